@@ -82,7 +82,7 @@ def resample_linear(
     or a column holding them.
     """
     pairs = lead_pair(df, keys, ts, metrics, tie, max_group_rows)
-    secs = F.lit(step) if isinstance(step, int) else F.col(step)
+    secs = (F.lit(step) if isinstance(step, int) else F.col(step)).cast("long")
     gap = F.unix_micros(F.col(f"next_{ts}").cast("timestamp")) - F.unix_micros(
         F.col(ts).cast("timestamp")
     )
@@ -94,8 +94,10 @@ def _interpolate(close, ts, metrics, secs, every_grid_point):
     if every_grid_point:
         first = to_seconds(time_ceil(ts, secs))
         last = to_seconds(f"next_{ts}")
-        points = F.when(first <= last, F.sequence(first, last, secs.cast("long")))
-        close = close.withColumn("adj_ts", F.timestamp_seconds(F.explode(points)))
+        points = F.when(first <= last, F.sequence(first, last, secs))
+        close = close.withColumn("_at", F.explode(points)).withColumn(
+            "adj_ts", F.timestamp_seconds("_at")
+        ).drop("_at")
     else:
         close = close.withColumn("adj_ts", time_ceil(ts, secs))
     # the ceiling works on whole seconds, so a sample with a fraction may lie after it

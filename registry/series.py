@@ -153,29 +153,25 @@ def group_spread(lineitem):
         "level", big("num"), rnd("med_cpu", 4), rnd("avg_cpu", 4), rnd("std_cpu", 4))
 
 
-HOURLY = """
-e302 AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS level FROM events
+DAILY = """
+e302 AS (SELECT user_id, date_trunc('day', ts) AS h, count(*) AS level FROM events
          WHERE event_type = 'view' GROUP BY 1, 2),
-e300 AS (SELECT user_id, date_trunc('hour', ts) AS h, value AS cpu FROM events
+e300 AS (SELECT user_id, date_trunc('day', ts) AS h, value AS cpu FROM events
          WHERE event_type = 'click'),
 pairs AS (SELECT level, cpu, e300.user_id FROM e302 JOIN e300 USING (user_id, h))"""
 
 
 def _load_pairs(events):
-    hour = F.date_trunc("hour", F.col("ts")).alias("h")
-    e302 = events.where(F.col("event_type") == "view").groupBy("user_id", hour).agg(
+    day = F.date_trunc("day", F.col("ts")).alias("h")
+    e302 = events.where(F.col("event_type") == "view").groupBy("user_id", day).agg(
         F.count(F.lit(1)).alias("level"))
     e300 = events.where(F.col("event_type") == "click").select(
-        "user_id", hour, F.col("value").alias("cpu"))
-    return joins_on_time(e302, e300)
-
-
-def joins_on_time(left, right):
-    return series.align_metrics(left, right, ["user_id", "h"])
+        "user_id", day, F.col("value").alias("cpu"))
+    return series.align_metrics(e302, e300, ["user_id", "h"])
 
 
 @query("events", sql=f"""
-WITH {HOURLY}, {SPREAD},
+WITH {DAILY}, {SPREAD},
 t AS (SELECT regr_slope(cpu, level) AS m, regr_intercept(cpu, level) AS c FROM pairs)
 SELECT level, num, round(med_cpu, 4) AS med_cpu, round(std_cpu, 4) AS std_cpu,
   round(level * m + c, 4) AS cpu_y FROM s CROSS JOIN t""")
@@ -186,7 +182,7 @@ def load_vs_cpu(events):
 
 
 @query("events", sql=f"""
-WITH {HOURLY}
+WITH {DAILY}
 SELECT user_id, level, cpu, round(m, 6) AS cpu_m, round(c, 6) AS cpu_c FROM pairs
 CROSS JOIN (SELECT regr_slope(cpu, level) AS m, regr_intercept(cpu, level) AS c FROM pairs)""")
 def regression_over_all(events):

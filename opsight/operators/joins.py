@@ -382,27 +382,36 @@ def _parent_with_wrap(df, session, line, ts, is_statement, is_fetch, max_group_r
     )
 
 
+def _shift_right(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", value, bits)
+
+
 def _blocks_of(value: Column, levels: int) -> Column:
     """The dyadic blocks containing an integer, one per level."""
-    return F.array(*[
-        F.struct(F.lit(n).alias("level"), F.shiftright(value.cast("long"), n).alias("node"))
-        for n in range(levels)
-    ])
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(levels - 1)),
+        lambda n: F.struct(
+            n.alias("level"), _shift_right(value.cast("long"), n).alias("node")
+        ),
+    )
 
 
 def _blocks_covering(low: Column, high: Column, levels: int) -> Column:
     """Disjoint dyadic blocks whose union is [low, high]: at most two per level.
     Needs 2^levels to exceed the length of the range."""
-    out = []
-    for n in range(levels):
-        size = F.lit(2**n).cast("long")
-        first = F.shiftright(low.cast("long") + size - 1, n)
-        past = F.shiftright(high.cast("long") + 1, n)
-        odd_first = (first < past) & (F.pmod(first, F.lit(2)) == 1)
-        odd_past = (first < past) & (F.pmod(past, F.lit(2)) == 1)
-        out.append(F.when(odd_first, F.struct(F.lit(n).alias("level"), first.alias("node"))))
-        out.append(F.when(odd_past, F.struct(F.lit(n).alias("level"), (past - 1).alias("node"))))
-    return F.array_compact(F.array(*out))
+
+    def at_level(n: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), n)
+        first = _shift_right(low.cast("long") + size - 1, n)
+        past = _shift_right(high.cast("long") + 1, n)
+        inside = first < past
+        left = F.when(inside & (F.pmod(first, F.lit(2)) == 1),
+                      F.struct(n.alias("level"), first.alias("node")))
+        right = F.when(inside & (F.pmod(past, F.lit(2)) == 1),
+                       F.struct(n.alias("level"), (past - 1).alias("node")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at_level))
 
 
 def concurrency(

@@ -225,11 +225,21 @@ def message_log(log_date: str) -> LogFormat:
 
 
 def parsed(lines: DataFrame, fmt: LogFormat, line: str = "value") -> DataFrame:
-    """Typed columns beside the line, with the raw texts in `_raw`."""
+    """Typed columns beside the line, with the raw texts in `_raw`.
+
+    Both steps go through a generator of one row. Spark would otherwise move the
+    later filter on the route below the projection and repeat the cut and the
+    conversions for every rule that mentions a column.
+    """
     others = [c for c in lines.columns if c != line]
-    cut = lines.select(F.col(line), *others, fmt.cut(F.col(line)).alias("_cut"))
+    cut = lines.select(
+        line, *others, F.explode(F.array(fmt.cut(F.col(line)))).alias("_cut")
+    )
     fields = fmt.fields(F.col("_cut"))
     return cut.select(
-        line, *others, *[typed.alias(name) for name, (_, typed) in fields.items()],
-        F.struct(*[raw.alias(name) for name, (raw, _) in fields.items()]).alias("_raw"),
+        line, *others,
+        F.inline(F.array(F.struct(
+            *[typed.alias(name) for name, (_, typed) in fields.items()],
+            F.struct(*[raw.alias(name) for name, (raw, _) in fields.items()]).alias("_raw"),
+        ))),
     )

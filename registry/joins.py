@@ -175,7 +175,7 @@ proc AS (SELECT event_id AS prcsinstance, event_type AS prcsname, ts AS begindtt
              AS enddttm FROM events WHERE event_type IN ('purchase', 'signup')),
 snap AS (SELECT DISTINCT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS snap_id FROM events),
 samp AS (SELECT event_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS snap_id, ts,
-           CASE WHEN user_id % 2 = 0 THEN 'purchase' ELSE 'signup' END AS module,
+           CASE WHEN value < 250 THEN 'purchase' ELSE 'signup' END AS module,
            concat('PI=', user_id) AS action, event_type AS sql_id FROM events)"""
 
 
@@ -194,7 +194,7 @@ def _session_samples(events):
     samples = events.select(
         "event_id", hour.alias("snap_id"), F.lit(1).alias("dbid"),
         F.lit(1).alias("instance_number"), F.col("ts").cast("timestamp").alias("sample_time"),
-        F.when(F.col("user_id") % 2 == 0, "purchase").otherwise("signup").alias("module"),
+        F.when(F.col("value") < 250, "purchase").otherwise("signup").alias("module"),
         F.concat(F.lit("PI="), F.col("user_id").cast("string")).alias("action"),
         F.col("event_type").alias("sql_id"))
     return samples, snapshots, processes

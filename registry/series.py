@@ -74,7 +74,7 @@ p AS (SELECT {cols}, ts, value, lead(ts) OVER w AS nts, lead(value) OVER w AS nv
       WINDOW w AS (PARTITION BY {keys} ORDER BY ts, event_id)),
 c AS (SELECT *, date_trunc('day', ts) + to_seconds(CAST(ceil((floor(epoch(ts))
         - epoch(date_trunc('day', ts))) / step) * step AS BIGINT)) AS adj
-      FROM p WHERE nts IS NOT NULL AND epoch_us(nts) - epoch_us(ts) < step * 2000000)"""
+      FROM p WHERE nts IS NOT NULL AND epoch_us(nts) - epoch_us(ts) < step::BIGINT * 2000000)"""
 LINE = "value + (epoch_us({x}) - epoch_us(ts)) * (nv - value) / (epoch_us(nts) - epoch_us(ts))"
 
 

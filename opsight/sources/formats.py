@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsight.functions.text import empty_to_null, query_slots
+from opsight.functions.text import empty_to_null
 
 _UNIT = "\u0001"
 
@@ -17,14 +17,18 @@ _UNIT = "\u0001"
 class LogFormat:
     """A record layout.
 
-    cut:    line -> array of raw fields, computed once per line
-    fields: raw array -> {column: (raw text, typed value)}
+    cut:    line -> array of raw fields
+    fields: raw array -> {column: (raw text or None, typed value)}; a raw text
+            that gives no value is a failed conversion
+    refine: raw array -> raw array with parts of fields (octets, query slots)
+            cut further
     keep:   lines for which this is false are discarded, not rejected
     rules:  conditions on typed columns that a loaded row must meet
     """
 
     cut: Callable[[Column], Column]
-    fields: Callable[[Column], Mapping[str, tuple[Column, Column]]]
+    fields: Callable[[Column], Mapping[str, tuple[Column | None, Column]]]
+    refine: Callable[[Column], Column] | None = None
     keep: Callable[[Column], Column] = lambda line: F.lit(True)
     rules: Mapping[str, Column] = field(default_factory=dict)
 
@@ -33,19 +37,14 @@ def _item(raw: Column, i: int) -> Column:
     return empty_to_null(F.trim(F.get(raw, F.lit(i))))
 
 
-def _text(raw: Column) -> tuple[Column, Column]:
-    return raw, raw
+def _text(raw: Column) -> tuple[None, Column]:
+    return None, raw
 
 
 def _number(raw: Column, kind: str) -> tuple[Column, Column]:
     return raw, raw.try_cast(kind)
 
 
-def _octets(ip: Column) -> list[Column]:
-    parts = F.split(ip, r"\.", 4)
-    return [empty_to_null(F.get(parts, F.lit(i))) for i in range(4)]
-
-
 def _groups(pattern: str, n: int) -> Callable[[Column], Column]:
     """Cut a line by the groups of one anchored pattern, matched once; a line
     that does not match gives no fields."""
@@ -58,6 +57,33 @@ def _groups(pattern: str, n: int) -> Callable[[Column], Column]:
     return cut
 
 
+def _padded(parts: Column, n: int) -> Column:
+    return F.slice(F.concat(parts, F.array(*[F.lit("")] * n)), 1, n)
+
+
+def _access_parts(ip: int, query: Callable[[Column], Column], before: int):
+    """The first `before` raw fields, then 4 octets, then the query slots."""
+
+    def refine(raw: Column) -> Column:
+        octets = F.split(F.coalesce(F.get(raw, F.lit(ip)), F.lit("")), r"\.", 4)
+        slots = F.split(F.coalesce(query(raw), F.lit("")), "&", -1)
+        return F.concat(_padded(raw, before), _padded(octets, 4), _padded(slots, 8))
+
+    return refine
+
+
+def _access_fields(raw: Column, octets: int, drop_first: bool):
+    """Octets and query slots. Slots beyond the eighth are dropped; drop_first
+    cuts the first character of the first slot."""
+    out = {f"remote_host{i + 1}": _text(_item(raw, octets + i)) for i in range(4)}
+    for i in range(8):
+        slot = F.get(raw, F.lit(octets + 4 + i))
+        if i == 0 and drop_first:
+            slot = F.substring(slot, 2, 2**31 - 1)
+        out[f"query_string{i + 1}"] = _text(empty_to_null(slot))
+    return out
+
+
 def _access_rules() -> dict[str, Column]:
     required = ("timestamp", "duration", "bytes_sent", "url") + tuple(
         f"remote_host{i}" for i in range(1, 5)
@@ -70,32 +96,29 @@ def _access_rules() -> dict[str, Column]:
     return rules
 
 
-def _query_fields(query: Column, drop_first: bool) -> dict[str, tuple[Column, Column]]:
-    return {
-        f"query_string{i + 1}": _text(s) for i, s in enumerate(query_slots(query, 8, drop_first))
-    }
-
-
 def pipe_access_log(drop_first: bool = True) -> LogFormat:
     """S1: '|'-separated access log. The fourth field is skipped; the tenth is
     the whole rest of the line, a query string."""
 
     def fields(raw):
-        ip = _octets(_item(raw, 4))
         stamp, status = _item(raw, 0), F.nullif(_item(raw, 6), F.lit("-"))
+        parts = _access_fields(raw, 9, drop_first)
         return {
             "timestamp": (stamp, F.try_to_timestamp(stamp, F.lit("yyyy.MM.dd HH:mm:ss"))),
             "duration": _number(_item(raw, 1), "decimal(9,3)"),
             "bytes_sent": _number(_item(raw, 2), "decimal(7,0)"),
-            **{f"remote_host{i + 1}": _text(ip[i]) for i in range(4)},
+            **{c: v for c, v in parts.items() if c.startswith("remote")},
             "user_agent": _text(_item(raw, 5)),
             "return_status": _number(status, "decimal(3,0)"),
             "request_method": _text(_item(raw, 7)),
             "url": _text(_item(raw, 8)),
-            **_query_fields(F.get(raw, F.lit(9)), drop_first),
+            **{c: v for c, v in parts.items() if c.startswith("query")},
         }
 
-    return LogFormat(lambda line: F.split(line, r"\|", 10), fields, rules=_access_rules())
+    return LogFormat(
+        lambda line: F.split(line, r"\|", 10), fields,
+        _access_parts(4, lambda raw: F.get(raw, F.lit(9)), 9), rules=_access_rules(),
+    )
 
 
 def w3c_access_log(drop_first: bool = True) -> LogFormat:
@@ -106,28 +129,29 @@ def w3c_access_log(drop_first: bool = True) -> LogFormat:
 
     def cut(line):
         return F.concat(
-            F.array(F.regexp_replace(F.substring(line, 1, 19), r"\s", " ")),
+            F.array(F.translate(F.substring(line, 1, 19), "\t", " ")),
             F.regexp_extract_all(F.substring(line, 20, 2**31 - 1), F.lit(r'"[^"]*"|\S+'), F.lit(0)),
         )
 
     def fields(raw):
-        ip = _octets(_item(raw, 3))
         stamp, status = _item(raw, 0), F.nullif(_item(raw, 6), F.lit("-"))
-        rest = F.array_join(F.slice(raw, 10, 1000), " ")
+        parts = _access_fields(raw, 9, drop_first)
         return {
             "timestamp": (stamp, F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss"))),
             "duration": _number(_item(raw, 1), "decimal(9,3)"),
             "bytes_sent": _number(_item(raw, 2), "decimal(7,0)"),
-            **{f"remote_host{i + 1}": _text(ip[i]) for i in range(4)},
+            **{c: v for c, v in parts.items() if c.startswith("remote")},
             "remote_dns": _text(_item(raw, 4)),
             "request_method": _text(_item(raw, 5)),
             "return_status": _number(status, "decimal(3,0)"),
-            "user_agent": _text(F.regexp_replace(_item(raw, 7), '^"(.*)"$', "$1")),
+            "user_agent": _text(empty_to_null(F.btrim(_item(raw, 7), F.lit('"')))),
             "url": _text(_item(raw, 8)),
-            **_query_fields(rest, drop_first),
+            **{c: v for c, v in parts.items() if c.startswith("query")},
         }
 
-    return LogFormat(cut, fields, lambda line: ~F.startswith(line, F.lit("#")), _access_rules())
+    rest = _access_parts(3, lambda raw: F.array_join(F.slice(raw, 10, 1000), " "), 9)
+    return LogFormat(cut, fields, rest, lambda line: ~F.startswith(line, F.lit("#")),
+                     _access_rules())
 
 
 def service_trace(queue: str, tz_shift_hours: int = 1) -> LogFormat:
@@ -153,7 +177,7 @@ def service_trace(queue: str, tz_shift_hours: int = 1) -> LogFormat:
     rules["service too long"] = F.length("service") <= 20
     return LogFormat(
         lambda line: F.split(F.trim(line), r"\s+", -1), fields,
-        lambda line: F.startswith(line, F.lit("@")), rules,
+        keep=lambda line: F.startswith(line, F.lit("@")), rules=rules,
     )
 
 
@@ -225,21 +249,24 @@ def message_log(log_date: str) -> LogFormat:
 
 
 def parsed(lines: DataFrame, fmt: LogFormat, line: str = "value") -> DataFrame:
-    """Typed columns beside the line, with the raw texts in `_raw`.
+    """Typed columns beside the line, with the raw texts of converted ones in `_raw`.
 
-    Both steps go through a generator of one row. Spark would otherwise move the
-    later filter on the route below the projection and repeat the cut and the
+    Each step goes through a generator of one row. Spark would otherwise move
+    the later filter on the route below the projections and repeat the cuts and
     conversions for every rule that mentions a column.
     """
     others = [c for c in lines.columns if c != line]
-    cut = lines.select(
-        line, *others, F.explode(F.array(fmt.cut(F.col(line)))).alias("_cut")
-    )
+    cut = lines.select(line, *others, F.explode(F.array(fmt.cut(F.col(line)))).alias("_cut"))
+    if fmt.refine is not None:
+        cut = cut.select(
+            line, *others, F.explode(F.array(fmt.refine(F.col("_cut")))).alias("_cut")
+        )
     fields = fmt.fields(F.col("_cut"))
+    raws = [raw.alias(name) for name, (raw, _) in fields.items() if raw is not None]
     return cut.select(
         line, *others,
         F.inline(F.array(F.struct(
             *[typed.alias(name) for name, (_, typed) in fields.items()],
-            F.struct(*[raw.alias(name) for name, (raw, _) in fields.items()]).alias("_raw"),
+            F.struct(*raws).alias("_raw"),
         ))),
     )

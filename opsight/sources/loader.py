@@ -44,7 +44,7 @@ def load_with_rejects(lines: DataFrame, fmt: LogFormat, line: str = "value") ->
     rows = parsed(lines, fmt, line)
     fields = fmt.fields(F.col("_cut"))
     rules = {f"{c} not convertible": ~(F.col(f"_raw.{c}").isNotNull() & F.col(c).isNull())
-             for c in fields}
+             for c, (raw, _) in fields.items() if raw is not None}
     rules.update(fmt.rules)
     kept = fmt.keep(F.col(line))
     routed = rows.withColumn("_reasons", F.when(kept, failed_rules(rules)))

@@ -39,15 +39,26 @@ def split_query_string(
     return df.select("*", *[s.alias(f"{prefix}{i + 1}") for i, s in enumerate(slots)])
 
 
-def percent_decoded(value, passes: int = 3) -> Column:
-    """%XX becomes its byte; '+' stays. Decoded text is decoded again (so
-    %2541 gives A), up to `passes` times; text that is no valid code stays as
-    it is instead of failing the row."""
+def _decoded_once(value: Column) -> Column:
+    step = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(value, F.lit("%")), F.coalesce(step, value)).otherwise(value)
+
+
+def percent_decoded(value) -> Column:
+    """%XX becomes its byte; '+' stays. Decoded text is decoded again until
+    nothing is left to decode (so %2541 gives A); text that is no valid code
+    stays as it is instead of failing the row.
+
+    Most texts are done after two rounds. Each round shortens a text by two
+    characters at least, which bounds the rounds of the rest.
+    """
     c = _col(value)
-    for _ in range(passes):
-        step = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-        c = F.when(F.contains(c, F.lit("%")), F.coalesce(step, c)).otherwise(c)
-    return c
+    twice = F.transform(F.transform(F.array(c), _decoded_once), _decoded_once)
+    rest = F.transform(twice, lambda x: F.when(
+        F.contains(x, F.lit("%")),
+        F.aggregate(F.sequence(F.lit(0), F.length(x)), x, lambda acc, _: _decoded_once(acc)),
+    ).otherwise(x))
+    return F.when(F.contains(c, F.lit("%")), F.get(rest, F.lit(0))).otherwise(c)
 
 
 def percent_decode(df: DataFrame, cols: Sequence[str]) -> DataFrame:

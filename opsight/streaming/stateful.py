@@ -150,8 +150,7 @@ def progress_step(
 
 
 def running_stats_stream(stream: DataFrame, ts: str = "execdttm") -> DataFrame:
-    """Statistics per user and query, for an update- or complete-mode sink.
-    Spark combines each micro-batch per task before it touches the state."""
+    """Statistics per user and query, for an update-mode sink. Spark combines each micro-batch per task before it touches the state."""
     return stream.groupBy("oprid", "qryname").agg(
         F.count(F.lit(1)).alias("execcount"), F.avg("exectime").alias("avgexectime"),
         F.avg("fetchtime").alias("avgfetchtime"), F.avg("numrows").alias("avgnumrows"),
@@ -186,15 +185,24 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append"):
     )
 
 
-def run_upsert(stream: DataFrame, folder: str):
-    """Run an aggregating stream in complete mode; each micro-batch replaces the table."""
-    def process(batch, batch_id):
+def run_updates(stream: DataFrame, folder: str):
+    """Run an aggregating stream in update mode: each micro-batch writes the
+    keys it changed. `read_latest` gives the current value of every key."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/result/batch={batch_id}")
-        if batch_id > 0:
-            _drop(batch.sparkSession, f"{folder}/result/batch={batch_id - 1}")
 
     shared_dir(stream.sparkSession)
     return (
-        stream.writeStream.outputMode("complete").foreachBatch(process)
+        stream.writeStream.outputMode("update").foreachBatch(process)
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
+
+
+def read_latest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each key."""
+    rows = spark.read.parquet(f"{folder}/result")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(
+        F.max_by(F.struct(*values), "batch").alias("_r")
+    ).select(*keys, "_r.*")

@@ -1 +1,353 @@
-"""Queries."""
+"""Event-driven queries (E1-E9, W12), batch and streaming. A streaming query
+reads the same files as a stream, runs until the input is used up and returns
+what it wrote; it is checked against the same SQL as its batch form."""
+
+from pyspark.sql import functions as F
+
+from opsight.operators import joins, stats
+from opsight.streaming import events as ops
+from opsight.streaming import stateful
+from registry.base import ORACLE, QUERIES, big, micros, query, rnd
+from registry.fixtures import DERIVED, configure, with_clause
+
+CHANGES = """
+c AS (SELECT *, lag(runstatus) OVER (PARTITION BY prcsinstance ORDER BY ts, event_id) AS old
+      FROM prc_changes)"""
+
+
+def _changes(rows):
+    return ops.with_old_value(rows, ["prcsinstance"], ["ts", "event_id"], "runstatus",
+                              "old_runstatus")
+
+
+TRANSITIONS = f"""
+WITH {CHANGES}
+SELECT event_id, CASE WHEN runstatus = 7 THEN 'Start' ELSE 'End' END AS phase,
+  concat(prcstype, ', ', prcsname, ', ', prcsinstance, ', ',
+    CASE WHEN runstatus = 7 THEN 'Start' ELSE 'End' END, ', ', oprid) AS comment
+FROM c WHERE (runstatus = 7 AND old <> 7) OR (runstatus <> 7 AND old = 7)"""
+
+
+@query("prc_changes", sql=TRANSITIONS)
+def status_transitions(rows):
+    """E1 with P16."""
+    return ops.status_transitions(_changes(rows)).select("event_id", "phase", "comment")
+
+
+@query("prc_changes", sql=f"""
+WITH {CHANGES}
+SELECT event_id, CASE WHEN runstatus = 7 THEN 'Start' ELSE 'End' END AS phase,
+  CAST(CASE WHEN runstatus = 7 THEN 5 ELSE 6 END AS BIGINT) AS snap_level
+FROM c WHERE ((runstatus = 7 AND old <> 7) OR (runstatus <> 7 AND old = 7))
+  AND runcntlid LIKE '%SNAP%'""")
+def status_transitions_of_run_controls(rows):
+    """E1 for matching run controls, with snapshot level."""
+    out = ops.status_transitions(_changes(rows), run_control_like="%SNAP%")
+    return out.select("event_id", "phase", big("snap_level"))
+
+
+SNAPSHOTS = f"""
+s AS (SELECT prcsinstance, 'reads' AS statistic, CASE WHEN runstatus = 7 THEN 'Start' ELSE 'End' END
+        AS phase, ts, event_id, value AS db_value, round(value / 2, 3) AS my_value
+      FROM ({{inner}}) c2
+      WHERE (runstatus = 7 AND old <> 7) OR (runstatus <> 7 AND old = 7))""".format(
+    inner=CHANGES.strip()[len("c AS ("):-1])
+PAIRED = f"""
+WITH {SNAPSHOTS},
+p AS (SELECT *, lag(phase) OVER w AS ph, lag(db_value) OVER w AS db0, lag(my_value) OVER w AS my0,
+        lag(ts) OVER w AS ts0 FROM s WINDOW w AS (PARTITION BY prcsinstance, statistic
+        ORDER BY ts, event_id))
+SELECT prcsinstance, statistic, db0 AS db_value_before, my0 AS my_value_before,
+  epoch_us(ts0) AS begindttm, db_value AS db_value_after, my_value AS my_value_after,
+  epoch_us(ts) AS enddttm FROM p WHERE phase = 'End' AND ph = 'Start'"""
+
+
+def _snapshots(changes):
+    done = ops.status_transitions(changes)
+    return done.select(
+        "prcsinstance", F.lit("reads").alias("statistic"), "phase", "ts", "event_id",
+        F.col("value").alias("db_value"), F.round(F.col("value") / 2, 3).alias("my_value"))
+
+
+PAIR_COLUMNS = ["db_value_before", "my_value_before", "db_value_after", "my_value_after"]
+
+
+@query("prc_changes", sql=PAIRED)
+def pair_snapshots(rows):
+    """E2."""
+    out = ops.pair_snapshots(_snapshots(_changes(rows)), ts="ts", tie=["event_id"])
+    return out.select("prcsinstance", "statistic", *PAIR_COLUMNS, micros("begindttm"),
+                      micros("enddttm"))
+
+
+@query("prc_changes", sql=f"""
+{PAIRED.replace("SELECT prcsinstance, statistic, db0", "SELECT prcsinstance, statistic, db0", 1)}
+AND (db_value <> db0 OR my_value <> my0)""".replace(
+    "SELECT prcsinstance, statistic, db0 AS db_value_before, my0 AS my_value_before,\n"
+    "  epoch_us(ts0) AS begindttm, db_value AS db_value_after, my_value AS my_value_after,\n"
+    "  epoch_us(ts) AS enddttm",
+    "SELECT prcsinstance, epoch_us(ts) AS enddttm, round(my_value - my0, 4) AS my_diff,\n"
+    "  round(db_value - db0, 4) AS db_diff"))
+def paired_snapshot_differences(rows):
+    """A14 on E2: what changed between Start and End."""
+    out = ops.pair_snapshots(_snapshots(_changes(rows)), ts="ts", tie=["event_id"])
+    return out.where(
+        (F.col("db_value_after") != F.col("db_value_before"))
+        | (F.col("my_value_after") != F.col("my_value_before"))
+    ).select("prcsinstance", micros("enddttm"),
+             F.round(F.col("my_value_after") - F.col("my_value_before"), 4).alias("my_diff"),
+             F.round(F.col("db_value_after") - F.col("db_value_before"), 4).alias("db_diff"))
+
+
+def _order_changes(orders):
+    gone = orders.where(F.col("o_orderstatus") == "F").withColumn("op", F.lit("D"))
+    return gone.unionByName(orders.withColumn("op", F.lit("I")))
+
+
+@query("orders", sql="""
+SELECT o_orderkey, o_custkey, o_totalprice, 'archive' AS kind FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 'live' FROM orders
+WHERE o_orderstatus <> 'F'""")
+def archive_on_delete(orders):
+    """Archived and live rows."""
+    archived = ops.archive_on_delete(_order_changes(orders), orders.columns)
+    live = ops.live_rows(orders, archived, ["o_orderkey"])
+    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
+    return archived.select(*columns, F.lit("archive").alias("kind")).unionByName(
+        live.select(*columns, F.lit("live").alias("kind")))
+
+
+@query("orders", sql="""
+SELECT count(*) AS rows_before, count(*) FILTER (WHERE o_orderstatus = 'F') AS rows_archived,
+  count(*) FILTER (WHERE o_orderstatus <> 'F') AS rows_live, true AS balanced FROM orders""")
+def archive_counts(orders):
+    """The check of counts."""
+    archived = ops.archive_on_delete(_order_changes(orders), orders.columns)
+    return ops.archive_counts(orders, archived, ops.live_rows(orders, archived, ["o_orderkey"]))
+
+
+PROGRESS = """
+SELECT l_orderkey AS prcsinstance, l_suppkey AS emplid, l_partkey, l_linenumber,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey,
+    l_extendedprice) - 1 AS sofar, count(*) OVER (PARTITION BY l_orderkey) AS totalwork,
+  left(concat('PI=', l_orderkey, ':EMPLID=', l_suppkey), 32) AS action
+FROM lineitem WHERE l_orderkey > 0"""
+
+
+@query("lineitem", sql=PROGRESS)
+def progress(lineitem):
+    """E6 with A17, P16."""
+    rows = lineitem.select(
+        F.col("l_orderkey").alias("prcsinstance"), F.col("l_suppkey").alias("emplid"),
+        "l_partkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    totals = rows.groupBy("prcsinstance").agg(F.count(F.lit(1)).alias("total_work"))
+    out = ops.progress(rows, totals, order=["l_shipdate", "l_linenumber", "l_partkey", "emplid",
+                                            "l_extendedprice"])
+    return out.select("prcsinstance", "emplid", "l_partkey", "l_linenumber", big("sofar"),
+                      big("totalwork"), "action")
+
+
+@query("prc_changes", sql=f"""
+WITH {CHANGES}
+SELECT event_id, CASE WHEN runcntlid LIKE 'TRACE%' THEN 'enable'
+    WHEN prcstype = 'Application Engine' THEN 'disable' ELSE 'none' END AS decision,
+  runcntlid LIKE 'TRACE%' AND runcntlid LIKE 'TRACE%BIND%' AS binds,
+  CASE WHEN runcntlid LIKE 'TRACE%' THEN replace(replace(concat_ws('_', prcstype, prcsname,
+    prcsinstance, servernamerun), ' ', '_'), '-', '_') END AS trace_tag,
+  concat('PI=', prcsinstance, ':Processing') AS action
+FROM c WHERE runstatus = 7 AND old <> 7 AND prcstype <> 'PSJob'""")
+def trace_rules(rows):
+    """E7 with P15, P16."""
+    return ops.trace_rules(_changes(rows)).select(
+        "event_id", "decision", "binds", "trace_tag", "action")
+
+
+MESSAGES = """
+x AS (SELECT conv_id AS pi, max(turn) AS used FROM conversations WHERE role = 'user' GROUP BY 1),
+ok AS (SELECT conv_id AS pi FROM conversations WHERE role = 'user' AND turn = 1),
+n AS (SELECT conv_id AS pi, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
+        + CASE WHEN EXISTS (SELECT 1 FROM ok WHERE ok.pi = conv_id) THEN
+            (SELECT used FROM x WHERE x.pi = conv_id) ELSE 0 END AS message_seq
+      FROM conversations WHERE role <> 'user' AND conv_id > 0 AND text <> '')"""
+
+
+def _messages(conversations):
+    existing = conversations.where(F.col("role") == "user").select(
+        F.col("conv_id").alias("process_instance"), F.col("turn").alias("message_seq"))
+    fresh = conversations.where(F.col("role") != "user").select(
+        F.col("conv_id").alias("process_instance"), F.col("turn"), F.col("text").alias("message"),
+        F.lit(None).cast("int").alias("severity"))
+    return ops.append_messages(fresh, existing, ["turn"])
+
+
+@query("conversations", sql=f"""
+WITH {MESSAGES}
+SELECT pi AS process_instance, CAST(message_seq AS BIGINT) AS message_seq,
+  CAST(65 AS BIGINT) AS message_set_nbr, CAST(30 AS BIGINT) AS message_nbr,
+  CAST(0 AS BIGINT) AS message_severity FROM n""")
+def append_message_headers(conversations):
+    """E8 with W12."""
+    header, _ = _messages(conversations)
+    return header.select("process_instance", *[big(c) for c in header.columns[1:]])
+
+
+@query("conversations", sql=f"""
+WITH RECURSIVE {MESSAGES},
+p AS (SELECT pi, message_seq, 0 AS seq, '' AS piece, text AS rest FROM n
+  UNION ALL
+  SELECT pi, message_seq, seq + 1, left(rest, k), substr(rest, k + 1) FROM (
+    SELECT *, CASE WHEN length(rest) < 254 THEN length(rest)
+      WHEN strpos(reverse(left(rest, 254)), ' ') > 0
+      THEN 255 - strpos(reverse(left(rest, 254)), ' ') ELSE 254 END AS k FROM p
+    WHERE rest <> '' AND seq < 9))
+SELECT pi AS process_instance, CAST(message_seq AS BIGINT) AS message_seq,
+  CAST(seq AS BIGINT) AS parm_seq, piece AS message_parm FROM p WHERE seq > 0""")
+def append_message_parts(conversations):
+    """E8 with P17: at most nine pieces, as the message format has."""
+    _, parts = _messages(conversations)
+    return parts.select("process_instance", big("message_seq"), big("parm_seq"), "message_parm")
+
+
+LABELLED = f"""
+d AS (SELECT CAST(CASE r_regionkey WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 8 ELSE 9 END AS VARCHAR)
+        AS fieldvalue, r_name, CASE r_regionkey WHEN 2 THEN 'I' ELSE 'A' END AS st,
+        row_number() OVER (PARTITION BY CASE WHEN r_regionkey <= 2 THEN r_regionkey ELSE 3 END
+                           ORDER BY r_regionkey DESC) AS newest FROM region), {CHANGES}
+SELECT event_id, left(concat('PI=', prcsinstance, ':',
+    CASE WHEN st = 'A' THEN r_name ELSE concat('Status:', runstatus) END), 32) AS action
+FROM c LEFT JOIN d ON fieldvalue = CAST(runstatus AS VARCHAR) AND newest = 1
+WHERE (runstatus IN (3, 7, 8, 9, 10) OR old IN (7, 8)) AND prcstype <> 'PSJob'"""
+
+
+def _status_texts(region):
+    key = F.col("r_regionkey")
+    return region.select(
+        F.when(key == 0, "3").when(key == 1, "7").when(key == 2, "8").otherwise("9").alias(
+            "fieldvalue"),
+        F.col("r_name").alias("xlatshortname"),
+        F.when(key == 2, "I").otherwise("A").alias("eff_status"),
+        F.timestamp_seconds(key.cast("long") * 86400).alias("effdt"))
+
+
+@query("prc_changes", "region", sql=f"WITH {LABELLED.strip()}")
+def status_labels(rows, region):
+    """E9 with J10."""
+    texts = _status_texts(region)
+    changes = _changes(rows).withColumn("runstatus", F.col("runstatus").cast("string"))
+    changes = changes.withColumn("runstatus", F.col("runstatus"))
+    out = ops.status_labels(changes, texts, "2024-01-01 00:00:00")
+    return out.select("event_id", "action")
+
+
+# ---- streaming forms ----
+
+def _event_stream(spark, sf_dir):
+    configure(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def _change_stream(spark, sf_dir):
+    return spark.sql(DERIVED["prc_changes"], events=_event_stream(spark, sf_dir))
+
+
+def _stream(name, sql=None, uses=()):
+    def register(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            body = sql.strip()
+            ORACLE[name] = (
+                with_clause(*uses) + (",\n" + body[4:] if body.startswith("WITH") else "\n" + body)
+                if uses else body)
+        return fn
+
+    return register
+
+
+def _finished(running):
+    running.awaitTermination()
+
+
+@_stream("stream_status_transitions", TRANSITIONS, ("prc_changes",))
+def stream_status_transitions(spark, sf_dir):
+    """E1 as a stream over a status history."""
+    folder = stateful.fresh_folder(spark, "transitions")
+    step = stateful.previous_value_step(
+        ["prcsinstance"], "ts", ["event_id"], "runstatus", "old_runstatus", ops.status_transitions)
+    _finished(stateful.run_stateful(_change_stream(spark, sf_dir), step, folder))
+    return stateful.read_output(spark, folder, "result").select("event_id", "phase", "comment")
+
+
+@_stream("stream_pair_snapshots", PAIRED, ("prc_changes",))
+def stream_pair_snapshots(spark, sf_dir):
+    """E1 feeding E2: two streams, the second reads what the first wrote."""
+    first = stateful.fresh_folder(spark, "transitions")
+    step = stateful.previous_value_step(
+        ["prcsinstance"], "ts", ["event_id"], "runstatus", "old_runstatus",
+        lambda changes: _snapshots(changes))
+    _finished(stateful.run_stateful(_change_stream(spark, sf_dir), step, first))
+    written = stateful.read_output(spark, first, "result")
+    source = spark.readStream.schema(written.schema).parquet(f"{first}/result/*")
+    folder = stateful.fresh_folder(spark, "pairs")
+    pair = stateful.pair_snapshots_step(
+        ["prcsinstance", "statistic"], "ts", "phase", ["db_value", "my_value"], ["event_id"])
+    _finished(stateful.run_stateful(source, pair, folder))
+    out = stateful.read_output(spark, folder, "result")
+    return out.select("prcsinstance", "statistic", *PAIR_COLUMNS, micros("begindttm"),
+                      micros("enddttm"))
+
+
+@_stream("stream_running_stats", """
+SELECT oprid, qryname, count(*) AS execcount, round(avg(exectime), 5) AS avgexectime,
+  epoch_us(max(execdttm)) AS lastexecdttm,
+  CAST(sum(CASE WHEN killedreason = ' ' THEN 0 ELSE 1 END) AS BIGINT) AS numkills
+FROM qry_log GROUP BY 1, 2""", ("qry_log",))
+def stream_running_stats(spark, sf_dir):
+    """E3 as an update-mode aggregation."""
+    log = spark.sql(DERIVED["qry_log"], events=_event_stream(spark, sf_dir))
+    folder = stateful.fresh_folder(spark, "stats")
+    _finished(stateful.run_updates(stateful.running_stats_stream(log), folder))
+    out = stateful.read_latest(spark, folder, ["oprid", "qryname"])
+    return out.select("oprid", "qryname", "execcount", rnd("avgexectime", 5),
+                      micros("lastexecdttm"), big("numkills"))
+
+
+@_stream("stream_enriched_rows", """
+SELECT event_id, concat('q=', user_id) AS query_string1, 'F84D' AS domain FROM events""")
+def stream_enriched_rows(spark, sf_dir):
+    """E5 as a stateless stream."""
+    rows = _event_stream(spark, sf_dir).select(
+        "event_id", F.concat(F.lit("q%3D"), F.col("user_id").cast("string")).alias("query_string1"),
+        F.concat(F.lit("/psp/f84d/"), "event_type").alias("url"))
+    folder = stateful.fresh_folder(spark, "enriched")
+    _finished(stateful.run_to_table(ops.enrich_access(rows, slots=1), folder))
+    return spark.read.parquet(f"{folder}/result").select("event_id", "query_string1", "domain")
+
+
+@_stream("stream_progress", """
+SELECT user_id AS prcsinstance, event_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sofar FROM events""")
+def stream_progress(spark, sf_dir):
+    """E6 as a stream."""
+    rows = _event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("prcsinstance"), "event_id", "ts")
+    folder = stateful.fresh_folder(spark, "progress")
+    step = stateful.progress_step("prcsinstance", ["ts", "event_id"])
+    _finished(stateful.run_stateful(rows, step, folder))
+    return stateful.read_output(spark, folder, "result").select(
+        "prcsinstance", "event_id", big("sofar"))
+
+
+@_stream("stream_windowed_counts", """
+WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events)
+SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS bucket, event_type, count(*) AS num_rows
+FROM events, m GROUP BY 1, 2, wm
+HAVING to_timestamp(bucket + 21600)::TIMESTAMP <= wm""")
+def stream_windowed_counts(spark, sf_dir):
+    """T5 as a watermarked tumbling window: windows closed by the watermark."""
+    rows = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = stateful.windowed_counts_stream(rows, "ts", ["event_type"], 21600, "10 minutes")
+    folder = stateful.fresh_folder(spark, "windows")
+    _finished(stateful.run_to_table(counts, folder))
+    return spark.read.parquet(f"{folder}/result").select(
+        F.unix_seconds("bucket").alias("bucket"), "event_type", "num_rows")

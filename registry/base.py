@@ -35,6 +35,8 @@ def query(*inputs: str, sql: str | None = None, uses: tuple[str, ...] | None = N
             body = sql.strip()
             if head == "WITH ":
                 ORACLE[name] = body
+            elif body[:14].upper() == "WITH RECURSIVE":
+                ORACLE[name] = "WITH RECURSIVE" + head[4:] + ",\n" + body[14:]
             elif body[:4].upper() == "WITH":
                 ORACLE[name] = head + ",\n" + body[4:]
             else:

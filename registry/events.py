@@ -298,7 +298,7 @@ def stream_pair_snapshots(spark, sf_dir):
 
 
 @_stream("stream_running_stats", """
-SELECT oprid, qryname, count(*) AS execcount, round(avg(exectime), 5) AS avgexectime,
+SELECT oprid, qryname, count(*) AS execcount, round(avg(exectime), 8) AS avgexectime,
   epoch_us(max(execdttm)) AS lastexecdttm,
   CAST(sum(CASE WHEN killedreason = ' ' THEN 0 ELSE 1 END) AS BIGINT) AS numkills
 FROM qry_log GROUP BY 1, 2""", ("qry_log",))
@@ -308,7 +308,7 @@ def stream_running_stats(spark, sf_dir):
     folder = stateful.fresh_folder(spark, "stats")
     _finished(stateful.run_updates(stateful.running_stats_stream(log), folder))
     out = stateful.read_latest(spark, folder, ["oprid", "qryname"])
-    return out.select("oprid", "qryname", "execcount", rnd("avgexectime", 5),
+    return out.select("oprid", "qryname", "execcount", rnd("avgexectime", 8),
                       micros("lastexecdttm"), big("numkills"))
 
 

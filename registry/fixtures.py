@@ -26,7 +26,7 @@ DERIVED = {
                CASE WHEN p_brand = 'Brand#7' THEN concat('T_', cast(p_partkey AS varchar(20)))
                     ELSE ' ' END AS sqltablename,
                CASE WHEN p_brand = 'Brand#3' THEN 'F5' ELSE ' ' END AS systemidfieldname,
-               p_brand AS brand, p_type AS kind, p_size AS size
+               p_brand AS brand, p_type AS kind, p_size AS size, p_partkey AS pkey
         FROM {part}""",
     "cat_pairs": """
         SELECT l_partkey, l_suppkey, min(l_quantity) AS q, max(l_tax) AS tax,
@@ -62,15 +62,15 @@ DERIVED = {
         SELECT CASE WHEN rectype IN (1, 6) THEN 'VIEW' ELSE 'TABLE' END AS object_type,
                table_name AS object_name
         FROM {cat_named} WHERE rectype <> 3 AND brand <> 'Brand#11'
-        UNION ALL
+        UNION
         SELECT 'TABLE', concat(table_name, '_OLD') FROM {cat_named} WHERE brand = 'Brand#2'
-        UNION ALL
+        UNION
         SELECT 'TABLE', concat(table_name, '2') FROM {cat_named}
         WHERE rectype = 7 AND kind = 'ECONOMY'
-        UNION ALL
+        UNION
         SELECT 'TABLE', concat(table_name, '14') FROM {cat_named}
         WHERE rectype = 7 AND kind = 'SMALL'
-        UNION ALL
+        UNION
         SELECT 'TABLE', concat(table_name, '9') FROM {cat_named}
         WHERE rectype = 7 AND kind = 'LARGE'""",
     "cat_columns": """
@@ -101,6 +101,158 @@ DERIVED = {
     "cat_instances": """
         SELECT recname, CASE WHEN size <= 46 THEN 6 ELSE 0 END AS temptblinstances
         FROM {cat_records} WHERE rectype = 7 AND brand <> 'Brand#5'""",
+    "cat_raw_fields": """
+        SELECT recname, fieldname, useedit, fieldnum * 10 AS fieldnum FROM {cat_fields}
+        UNION ALL
+        SELECT a.recname, b.recname, 0, cast(CASE WHEN a.kind = 'PROMO' THEN 5 ELSE 15 END AS bigint)
+        FROM {cat_records} a JOIN {cat_records} b ON b.pkey = a.pkey + 1 WHERE b.rectype = 3""",
+    "cat_indexes": """
+        SELECT recname, '_' AS indexid, CASE WHEN brand = 'Brand#9' THEN 0 ELSE 1 END AS platform_ora,
+               CASE WHEN size <= 20 THEN 1 ELSE 0 END AS custkeyorder FROM {cat_records}
+        UNION ALL
+        SELECT recname, 'A', 1, CASE WHEN size <= 10 THEN 1 ELSE 0 END FROM {cat_records}
+        WHERE kind = 'ECONOMY'
+        UNION ALL
+        SELECT recname, '0', 1, 0 FROM {cat_records} WHERE kind IN ('LARGE', 'PROMO')
+        UNION ALL
+        SELECT recname, '1', 1, 0 FROM {cat_records} WHERE kind = 'LARGE'""",
+    "cat_keys": """
+        SELECT recname, '_' AS indexid, fieldname,
+               cast(row_number() OVER (PARTITION BY recname ORDER BY fieldname DESC) AS bigint)
+                   AS keyposn
+        FROM {cat_fields} WHERE useedit IN (1, 2, 257)
+        UNION ALL
+        SELECT recname, 'A', fieldname,
+               cast(row_number() OVER (PARTITION BY recname ORDER BY useedit, fieldname) AS bigint)
+        FROM {cat_fields} WHERE useedit IN (0, 256)""",
+    "cat_ind_columns": """
+        SELECT n.table_name, concat('PS', k.indexid, k.recname) AS index_name,
+               k.fieldname AS column_name,
+               CASE WHEN n.brand = 'Brand#4' THEN k.keyposn + 1 ELSE k.keyposn END
+                   AS column_position
+        FROM {cat_keys} k JOIN {cat_named} n ON n.recname = k.recname
+        WHERE NOT (n.brand = 'Brand#6' AND k.keyposn = 1)
+          AND (k.indexid = '_' OR n.kind = 'ECONOMY' OR n.brand = 'Brand#25')""",
+    "cat_tables": """
+        SELECT 'SYSADM' AS owner, object_name AS table_name,
+               CASE WHEN n.kind = 'SMALL' AND n.size >= 40 THEN 'Y' ELSE 'N' END AS temporary,
+               CASE WHEN n.brand = 'Brand#8' THEN 'YES' ELSE 'NO' END AS partitioned,
+               CASE WHEN n.brand = 'Brand#10' AND n.size <= 25 THEN 'CLU' END AS cluster_name,
+               CASE WHEN n.brand = 'Brand#13' AND n.size <= 25 THEN 'IOT' END AS iot_type,
+               CASE WHEN n.brand = 'Brand#8' THEN NULL ELSE concat('TS', n.kind) END
+                   AS tablespace_name,
+               n.size * 10 AS avg_row_len
+        FROM {cat_objects} o LEFT JOIN {cat_named} n ON n.table_name = o.object_name
+        WHERE o.object_type = 'TABLE'
+        UNION ALL
+        SELECT 'SYSADM', concat('GT_', recname), 'Y', 'NO', NULL, NULL, 'TSTEMP', 0
+        FROM {cat_named} WHERE brand = 'Brand#14'""",
+    "cat_table_indexes": """
+        SELECT DISTINCT 'SYSADM' AS owner, i.index_name, 'SYSADM' AS table_owner, i.table_name,
+               CASE WHEN n.brand = 'Brand#15' THEN 'Y' ELSE 'N' END AS temporary,
+               CASE WHEN n.brand = 'Brand#16' AND n.size <= 25 THEN 'YES' ELSE 'NO' END AS partitioned
+        FROM {cat_ind_columns} i JOIN {cat_named} n ON n.table_name = i.table_name
+        UNION ALL
+        SELECT 'SYSADM', concat('PSZ', recname), 'SYSADM', table_name, 'N', 'NO'
+        FROM {cat_named} WHERE brand IN ('Brand#17', 'Brand#18')
+        UNION ALL
+        SELECT 'SYSADM', concat('IX', recname), 'SYSADM', table_name, 'N', 'NO'
+        FROM {cat_named} WHERE brand = 'Brand#19'""",
+    "cat_expressions": """
+        SELECT 'SYSADM' AS index_owner, concat('PSZ', recname) AS index_name,
+               'SYSADM' AS table_owner, table_name
+        FROM {cat_named} WHERE brand = 'Brand#18'""",
+    "cat_triggers": """
+        SELECT 'SYSADM' AS table_owner, table_name,
+               CASE WHEN size <= 25 THEN concat('PSU', recname) ELSE concat('TR', recname) END
+                   AS trigger_name
+        FROM {cat_named} WHERE brand = 'Brand#20'""",
+    "cat_constraints": """
+        SELECT 'SYSADM' AS owner, table_name, 'P' AS constraint_type,
+               concat('PS_', recname) AS index_name
+        FROM {cat_named} WHERE brand = 'Brand#21'""",
+    "cat_mview_logs": """
+        SELECT 'SYSADM' AS log_owner, table_name AS master FROM {cat_named}
+        WHERE brand = 'Brand#22'""",
+    "cat_mviews": """
+        SELECT 'SYSADM' AS owner, table_name AS mview_name FROM {cat_named}
+        WHERE brand = 'Brand#23'""",
+    "cat_ddl_events": """
+        SELECT concat(n.recname, ':', o.object_name) AS event_id,
+               CASE n.kind WHEN 'ECONOMY' THEN 'ALTER' WHEN 'PROMO' THEN 'RENAME' ELSE 'DROP' END
+                   AS sysevent,
+               'TABLE' AS obj_type, 'SYSADM' AS obj_owner, o.object_name AS obj_name,
+               CASE WHEN n.kind = 'ECONOMY' AND n.size <= 20
+                        THEN concat('alter table ', o.object_name, ' rename to x')
+                    WHEN n.kind = 'SMALL' THEN concat('ALTER TABLE ', o.object_name,
+                        ' RENAME TO GT_', substr(o.object_name, 4), 'X')
+                    ELSE 'ddl' END AS sql_text,
+               n.size = 50 AS ddl_permitted
+        FROM {cat_named} n JOIN {cat_objects} o
+          ON o.object_type = 'TABLE' AND (o.object_name = n.table_name
+             OR (n.kind <> 'LARGE' AND o.object_name IN (concat(n.table_name, '2'),
+                 concat(n.table_name, '14'))))
+        UNION ALL
+        SELECT concat('I:', n.recname, ':', i.index_name), 'DROP', 'INDEX', 'SYSADM', i.index_name, 'drop index', n.size = 49
+        FROM {cat_named} n
+        JOIN (SELECT table_name, max(index_name) AS index_name FROM {cat_table_indexes}
+              GROUP BY table_name) i ON i.table_name = n.table_name""",
+    "cat_stat_units": """
+        SELECT 'SYSADM' AS owner, p_brand AS table_name, p_type AS partition_name,
+               concat('S', cast(p_size AS varchar(20))) AS subpartition_name,
+               CASE WHEN p_size = 7 THEN NULL ELSE count(*) * 20 END AS num_rows
+        FROM {part} GROUP BY p_brand, p_type, p_size
+        UNION ALL
+        SELECT 'SYSADM', p_brand, p_type, NULL, count(*) * 25 FROM {part} GROUP BY p_brand, p_type
+        UNION ALL
+        SELECT 'SYSADM', p_brand, NULL, NULL, count(*) * 30 FROM {part} GROUP BY p_brand""",
+    "cat_part_lines": """
+        SELECT p_brand, p_type, p_size, l_returnflag, l_quantity, l_tax
+        FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""",
+    "cat_modifications": """
+        SELECT 'SYSADM' AS owner, p_brand AS table_name, p_type AS partition_name,
+               concat('S', cast(p_size AS varchar(20))) AS subpartition_name,
+               sum(CASE WHEN l_quantity <= 1 THEN 1 ELSE 0 END) AS inserts,
+               sum(CASE WHEN l_quantity = 2 THEN 1 ELSE 0 END) AS updates,
+               sum(CASE WHEN l_quantity = 3 THEN 1 ELSE 0 END) AS deletes,
+               CASE WHEN max(l_tax) < 0.08 THEN 'YES' ELSE 'NO' END AS truncated
+        FROM {cat_part_lines} GROUP BY p_brand, p_type, p_size
+        UNION ALL
+        SELECT 'SYSADM', p_brand, p_type, NULL, sum(CASE WHEN l_quantity <= 2 THEN 1 ELSE 0 END),
+               0, 0, 'NO' FROM {cat_part_lines} WHERE p_type <> 'SMALL' GROUP BY p_brand, p_type
+        UNION ALL
+        SELECT 'SYSADM', p_brand, NULL, NULL, sum(CASE WHEN l_quantity <= 4 THEN 1 ELSE 0 END),
+               0, 0, 'NO' FROM {cat_part_lines} GROUP BY p_brand""",
+    "cat_stat_locks": """
+        SELECT owner, table_name, partition_name, subpartition_name,
+               CASE WHEN table_name = 'Brand#5' THEN 'ALL' END AS stattype_locked
+        FROM {cat_stat_units}""",
+    "cat_overrides": """
+        SELECT recname, CASE WHEN size <= 15 THEN 'N' WHEN size <= 30 THEN 'R' ELSE 'G' END
+                   AS gather_stats,
+               CASE WHEN size <= 38 THEN '42' ELSE ' ' END AS estimate_percent,
+               CASE WHEN size <= 45 THEN 'Y' ELSE ' ' END AS block_sample,
+               CASE WHEN size <= 33 THEN NULL ELSE 'FOR ALL COLUMNS SIZE 1' END AS method_opt
+        FROM {cat_records} WHERE brand IN ('Brand#1', 'Brand#20', 'Brand#21', 'Brand#22')""",
+    "cat_stat_requests": """
+        SELECT 'SYSADM' AS owner, table_name, 5 AS estpct FROM {cat_tables}
+        UNION ALL
+        SELECT 'SYSADM', concat('NO_', recname), 5 FROM {cat_records} WHERE brand = 'Brand#24'""",
+    "qry_records": """
+        SELECT concat('U', cast(o_custkey AS varchar(20))) AS oprid,
+               concat('Q', cast(l_orderkey AS varchar(20))) AS qryname,
+               CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS selnum,
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                   l_extendedprice) AS rcdnum,
+               CASE l_linenumber WHEN 1 THEN 'A' WHEN 2 THEN 'B' WHEN 3 THEN 'C' WHEN 4 THEN 'D'
+                    ELSE 'E' END AS corrname,
+               p_type AS recname
+        FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey""",
+    "qry_fields": """
+        SELECT oprid, qryname, selnum, rcdnum AS fldrcdnum,
+               CASE WHEN corrname = 'E' AND recname = 'PROMO' THEN 'GONE' ELSE recname END AS recname,
+               concat('F', corrname) AS fieldname
+        FROM {qry_records}""",
     # monitoring samples: users are agents, event types definitions
     "mon_samples": """
         SELECT 1 AS pm_event_defn_set,
@@ -174,7 +326,7 @@ DERIVED = {
                CASE WHEN value < 100 THEN 'Application Engine' WHEN value < 150 THEN 'PSJob'
                     ELSE 'SQR Report' END AS prcstype,
                concat('PRC ', event_type) AS prcsname, 'OPR-1' AS oprid,
-               CASE WHEN value < 50 THEN 'TRACE_BIND' WHEN value < 120 THEN 'TRACE 1'
+               CASE WHEN value < 30 THEN 'TRACE_BIND' WHEN value < 60 THEN 'TRACE 1'
                     WHEN value < 300 THEN 'MY_SNAP' ELSE 'DAILY' END AS runcntlid,
                concat('SRV-', event_type) AS servernamerun, value
         FROM {events}""",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsight.session import configure
+from opsight.session import configure, stable
 
 SOURCES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -363,10 +363,16 @@ DERIVED = {
 }
 
 
+# written once when a query has several inputs that are built from them
+BUILT_ONCE = ("cat_pairs", "cat_fields", "cat_keys", "cat_ind_columns", "cat_objects",
+              "cat_table_indexes")
+
+
 def derived(spark: SparkSession, sf_dir: str, *names: str):
     """The named source or derived tables as DataFrames; only files that are
     needed are opened."""
     configure(spark)
+    several = sum(n in DERIVED for n in names) >= 3
     known: dict[str, DataFrame] = {}
 
     def table(name: str) -> DataFrame:
@@ -374,7 +380,8 @@ def derived(spark: SparkSession, sf_dir: str, *names: str):
             if name in DERIVED:
                 sql = DERIVED[name]
                 used = {n: table(n) for n in (*SOURCES, *DERIVED) if f"{{{n}}}" in sql}
-                known[name] = spark.sql(sql, **used)
+                made = spark.sql(sql, **used)
+                known[name] = stable(made) if several and name in BUILT_ONCE else made
             else:
                 known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return known[name]

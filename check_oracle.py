@@ -1,7 +1,12 @@
-"""Run registered queries beside their checking SQL: check_oracle.py [sf] [name ...]."""
+"""Run registered queries beside their checking SQL: check_oracle.py [sf] [name ...].
+
+MAX_GROUP_ROWS in the environment lowers the limit above which a group is cut
+into chunks, so that the path for hot keys is checked as well.
+"""
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -20,6 +25,8 @@ def session() -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if "MAX_GROUP_ROWS" in os.environ:
+        spark.conf.set("spark.opsight.maxGroupRows", os.environ["MAX_GROUP_ROWS"])
     return spark
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from opsight.functions.timegrid import to_seconds
 from opsight.operators.scan import (
-    broadcast_if_small, last_before, null_safe, ordered_scan, running_sum,
+    broadcast_if_small, group_row_limit, largest_group, last_before, null_safe, ordered_scan,
+    running_sum,
 )
 
 
@@ -365,11 +366,15 @@ def _parent_with_wrap(df, session, line, ts, is_statement, is_fetch, max_group_r
         F.explode(_blocks_covering(F.lit(0).cast("long"), second, DAY_LEVELS + 1)).alias("_block"),
     )
     both = statements.unionByName(fetches)
+    # a block holds at most the lines of its session
+    limit = group_row_limit(df.sparkSession, max_group_rows)
+    bounded = largest_group(df, session) <= limit
     scanned = ordered_scan(
         both.select("*", F.col("_block.level").alias("_level"), F.col("_block.node").alias("_node"))
         .drop("_block"),
         [*session, "_level", "_node"], ["_line", "_kind"],
         [last_before("_seen", F.when(F.col("_kind") == 0, F.col("_line")))], max_group_rows,
+        bounded,
     )
     best = scanned.where(F.col("_kind") == 1).groupBy(
         *[F.col(k).alias(f"_b_{k}") for k in session], F.col("_line").alias("_b_line")
@@ -438,35 +443,40 @@ def concurrency(
         *queue, F.struct(*id_cols).alias("_id"), begin.alias("_start"), finish.alias("_end"),
         *([to_seconds(ts).alias("_ts")] if ts else []),
     )
+    bounded = False
     group = list(queue)
-    running = base.where(F.col("_end") >= F.col("_start"))
+    running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
     asks = base
     if ts:
         span = F.ceil(F.col("_end") - F.col("_start") + 1).cast("long")
         longest = base.agg(F.max(span)).first()[0] or 1
         levels = max(1, (int(longest) + 1).bit_length())
-        running = running.withColumn("_block", F.explode(_blocks_of(F.col("_ts"), levels)))
-        asks = asks.withColumn(
-            "_block", F.explode(_blocks_covering(F.col("_ts") - span, F.col("_ts"), levels))
+        # A block holds two edges of each of its requests and is asked for by
+        # requests of its top-level block and the next two: five times the
+        # largest top-level block bounds every group.
+        top_blocks = [*queue, F.shiftright("_ts", levels - 1)]
+        limit = group_row_limit(df.sparkSession, max_group_rows)
+        bounded = 5 * largest_group(base, top_blocks) <= limit
+        # each request becomes many rows; spread them first
+        base = base.repartition(*queue, "_ts")
+        running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
+        asks = base
+        running = running.select("*", F.inline(_blocks_of(F.col("_ts"), levels)))
+        asks = asks.select(
+            "*", F.inline(_blocks_covering(F.col("_ts") - span, F.col("_ts"), levels))
         )
-        group.append("_block")
-    edges = running.select(
-        *group, F.lit(None).cast(base.schema["_id"].dataType).alias("_id"),
-        F.explode(F.array(
-            F.struct(F.col("_start").alias("x"), F.lit(0).alias("kind"), F.lit(1).alias("step")),
-            F.struct(F.col("_end").alias("x"), F.lit(2).alias("kind"), F.lit(-1).alias("step")),
-        )).alias("_e"),
-    )
-    # starts and ends at one instant are added up before the scan
-    edges = edges.groupBy(*group, "_id", F.col("_e.x").alias("_x"), F.col("_e.kind").alias("_kind")
-                          ).agg(F.sum("_e.step").alias("_step"))
+        group += ["level", "node"]
+    edges = running.select(*group, F.inline(F.array(
+        F.struct(F.col("_start").alias("_x"), F.lit(0).alias("_kind"), F.lit(1).alias("_step")),
+        F.struct(F.col("_end").alias("_x"), F.lit(2).alias("_kind"), F.lit(-1).alias("_step")),
+    )))
     asks = asks.select(
-        *group, "_id", F.col("_start").alias("_x"), F.lit(1).alias("_kind"),
-        F.lit(0).cast("long").alias("_step"),
+        *group, F.col("_start").alias("_x"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), "_id"
     )
+    # rows of equal (_x, _kind) all step the same way, so their order is free
     scanned = ordered_scan(
-        edges.unionByName(asks), group, ["_x", "_kind", "_id"],
-        [running_sum("_live", "_step")], max_group_rows,
+        edges.unionByName(asks, allowMissingColumns=True), group, ["_x", "_kind"],
+        [running_sum("_live", "_step")], max_group_rows, bounded,
     ).where(F.col("_kind") == 1)
     if ts:
         scanned = scanned.groupBy(*queue, "_id").agg(F.sum("_live").alias("_live"))

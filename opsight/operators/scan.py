@@ -98,14 +98,27 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int):
     return cold, warm, sum(r["_n"] for r in rows)
 
 
+def largest_group(df: DataFrame, keys: Sequence) -> int:
+    """Rows of the largest group."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.max("_n")).first()[0] or 0
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence,
     outputs: Sequence[Scan],
     max_group_rows: int | None = None,
+    known_bounded: bool = False,
 ) -> DataFrame:
-    """Add the scan outputs, computed per key in the given total order."""
+    """Add the scan outputs, computed per key in the given total order.
+
+    known_bounded skips the counting of groups; it is for callers that have
+    proved already that none exceeds the limit.
+    """
+    if known_bounded:
+        return _scan_in_window(df, list(keys), [_col(o) for o in order], outputs)
     limit = group_row_limit(df.sparkSession, max_group_rows)
     order = [_col(o) for o in order]
     cold, hot, hot_rows = split_hot(df, keys, limit)

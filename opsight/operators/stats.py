@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.functions.text import strip_instance_suffix
 from opsight.functions.timegrid import elapsed_seconds, within_days
 from opsight.operators.joins import range_assign
-from opsight.operators.scan import broadcast_if_small
+from opsight.operators.scan import broadcast_if_small, null_safe
 
 SUCCESS = (9, 11, 14)  # run statuses of finished, successful processes: fixed values
 
@@ -79,31 +79,42 @@ def count_distinct(df: DataFrame, by: Sequence[str], value: str, name: str) -> D
 
 def statement_times(
     df: DataFrame, program: str = "bat_program_name", detail: str = "detail_id",
+    executions: bool = True,
 ) -> DataFrame:
     """Executions and times in seconds per program and statement.
 
-    Executions are distinct processes; counting them exactly shares the one
-    aggregation with the sums by grouping on the process first.
+    The sums combine to one row per statement and task before their shuffle.
+    Executions are distinct processes; they are counted apart, since counting
+    them along would carry all sums through a shuffle by process.
     """
     ms = ["execute_time", "compile_time", "fetch_time", "retrieve_time"]
     sql = sum((F.col(c) for c in ms[1:]), F.col(ms[0]))
-    per_process = df.groupBy(program, detail, "process_instance").agg(
-        F.sum("execute_time").alias("_exec"), F.sum("execute_count").alias("_count"),
-        F.sum(sql).alias("_ae"), F.sum("peoplecodesqltime").alias("_pcsql"),
-        F.sum("peoplecodetime").alias("_pc"), F.sum("peoplecodecount").alias("_pccount"),
-        F.sum(sql + F.col("peoplecodesqltime")).alias("_sql"),
-        F.sum(sql + F.col("peoplecodesqltime") + F.col("peoplecodetime")).alias("_total"),
-    )
-    return per_process.groupBy(program, detail).agg(
-        F.count("process_instance").alias("executions"),
-        (F.sum("_exec") / 1000).alias("execute_time"), F.sum("_count").alias("execute_count"),
-        (F.sum("_pcsql") / 1000).alias("pc_sqltime"), (F.sum("_pc") / 1000).alias("pc_time"),
-        F.sum("_pccount").alias("pc_count"), (F.sum("_ae") / 1000).alias("ae_sqltime"),
-        (F.sum("_sql") / 1000).alias("sqltime"), (F.sum("_total") / 1000).alias("total_time"),
-    ).select(F.concat(F.coalesce(F.col(program), F.lit("")), F.lit("."),
-                      F.coalesce(F.col(detail), F.lit(""))).alias("detail_id"),
-             "executions", "execute_time", "execute_count", "pc_sqltime", "pc_time", "pc_count",
-             "ae_sqltime", "sqltime", "total_time")
+
+    def seconds(value) -> Column:
+        return F.sum(value) / 1000
+
+    times = df.groupBy(program, detail).agg(
+        seconds("execute_time").alias("execute_time"),
+        F.sum("execute_count").alias("execute_count"),
+        seconds("peoplecodesqltime").alias("pc_sqltime"),
+        seconds("peoplecodetime").alias("pc_time"), F.sum("peoplecodecount").alias("pc_count"),
+        seconds(sql).alias("ae_sqltime"),
+        seconds(sql + F.col("peoplecodesqltime")).alias("sqltime"),
+        seconds(sql + F.col("peoplecodesqltime") + F.col("peoplecodetime")).alias("total_time"),
+    )
+    name = F.concat(F.coalesce(F.col(program), F.lit("")), F.lit("."),
+                    F.coalesce(F.col(detail), F.lit("")))
+    values = times.columns[2:]
+    if not executions:
+        return times.select(name.alias("detail_id"), *values)
+    runs = count_distinct(df, [program, detail], "process_instance", "executions").select(
+        F.col(program).alias("_p"), F.col(detail).alias("_d"), "executions"
+    )
+    joined = times.join(runs, null_safe(times, runs, [(program, "_p"), (detail, "_d")]), "left")
+    return joined.select(
+        name.alias("detail_id"),
+        F.coalesce("executions", F.lit(0).cast("long")).alias("executions"), *values,
+    )
 
 
 def sampled_time(df: DataFrame, by: Sequence[str], seconds_per_sample: int = 10) -> DataFrame:

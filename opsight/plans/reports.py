@@ -61,7 +61,7 @@ def ranked_shares(
 def top_statements(timings: DataFrame, n: int = 20) -> DataFrame:
     """The n statements with the largest SQL time."""
     return ranked_shares(
-        stats.statement_times(timings), n, "sqltime",
+        stats.statement_times(timings, executions=False), n, "sqltime",
         {"sqltime": "sqltime", "total_time": "total_time"},
     ).select(
         "stmtrank", "detail_id", "execute_count", "ae_sqltime", "pc_sqltime", "pc_time",

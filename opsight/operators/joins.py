@@ -175,25 +175,33 @@ def sample_interval_join(
     """Session samples taken while a process ran, whose action names it.
 
     The tag test 'PI=<instance>%' also accepts longer instance numbers (PI=1
-    takes PI=12); exact_tag asks for the number itself.
+    takes PI=12); exact_tag asks for the number itself. Either way the instance
+    is part of the join key: a sample is keyed by its number, or by each prefix
+    of it.
     """
     with_snap = session_sample_snapshot_join(samples, snapshots)
+    number = F.regexp_extract("action", r"^PI=([0-9]+)", 1)
+    if exact_tag:
+        named = with_snap.withColumn("_tag", number).where(
+            F.col("action").rlike(r"^PI=[0-9]+(:|$)")
+        )
+    else:
+        prefixes = F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(number), F.lit(1))),
+            lambda n: F.substr(number, F.lit(1), n),
+        )
+        named = with_snap.withColumn("_tag", F.explode(prefixes))
+    named = named.where(F.col("_tag") != "")
+    tagged = processes.withColumn("_instance", F.col("prcsinstance").cast("string"))
     hits = interval_join(
-        with_snap, processes, [("module", "prcsname")], "sample_time", "begindttm", "enddttm",
-        bin_seconds, as_of,
+        named, tagged, [("module", "prcsname"), ("_tag", "_instance")], "sample_time",
+        "begindttm", "enddttm", bin_seconds, as_of,
     )
     finish = F.coalesce(F.col("enddttm").cast("timestamp"), F.lit(as_of).cast("timestamp"))
     overlap = (F.col("end_interval_time") >= F.col("begindttm")) & (
         F.col("begin_interval_time") <= finish
     )
-    tag = F.concat(F.lit("PI="), F.col("prcsinstance").cast("string"))
-    if exact_tag:
-        named = (F.col("action") == tag) | F.startswith(
-            F.col("action"), F.concat(tag, F.lit(":"))
-        )
-    else:
-        named = F.startswith(F.col("action"), tag)
-    return hits.where(overlap & named)
+    return hits.where(overlap).drop("_tag", "_instance")
 
 
 def like_join(

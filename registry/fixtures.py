@@ -189,9 +189,18 @@ DERIVED = {
                     ELSE 'ddl' END AS sql_text,
                n.size = 50 AS ddl_permitted
         FROM {cat_named} n JOIN {cat_objects} o
-          ON o.object_type = 'TABLE' AND (o.object_name = n.table_name
-             OR (n.kind <> 'LARGE' AND o.object_name IN (concat(n.table_name, '2'),
-                 concat(n.table_name, '14'))))
+          ON o.object_type = 'TABLE' AND o.object_name = n.table_name
+        UNION ALL
+        SELECT concat(n.recname, ':', o.object_name),
+               CASE n.kind WHEN 'ECONOMY' THEN 'ALTER' WHEN 'PROMO' THEN 'RENAME' ELSE 'DROP' END,
+               'TABLE', 'SYSADM', o.object_name,
+               CASE WHEN n.kind = 'SMALL' THEN concat('ALTER TABLE ', o.object_name,
+                        ' RENAME TO GT_', substr(o.object_name, 4), 'X')
+                    ELSE 'ddl' END, n.size = 50
+        FROM {cat_named} n JOIN {cat_objects} o
+          ON o.object_type = 'TABLE' AND o.object_name
+             = concat(n.table_name, CASE WHEN n.kind = 'SMALL' THEN '14' ELSE '2' END)
+        WHERE n.kind IN ('ECONOMY', 'SMALL')
         UNION ALL
         SELECT concat('I:', n.recname, ':', i.index_name), 'DROP', 'INDEX', 'SYSADM', i.index_name, 'drop index', n.size = 49
         FROM {cat_named} n

@@ -228,16 +228,20 @@ def sampled_time_of_exact_tags(events):
     return sampled_time(hits, ["sql_id", "prcsinstance"]).withColumn("ash_secs", big("ash_secs"))
 
 
-@query("events", sql=f"""
-WITH {SAMPLES}
-SELECT event_id, prcsinstance FROM samp JOIN proc ON module = prcsname
- AND ts BETWEEN begindttm AND coalesce(enddttm, TIMESTAMP '2024-01-30')""")
+@query("events", sql="""
+WITH proc AS (SELECT event_id AS prcsinstance, user_id, ts AS b,
+    ts + to_seconds(CAST(floor(value * 60) AS BIGINT)) AS e FROM events WHERE event_type = 'purchase')
+SELECT event_id, prcsinstance FROM events JOIN proc USING (user_id) WHERE ts BETWEEN b AND e""")
 def interval_join(events):
-    """All samples in the intervals of their module."""
-    samples, _, processes = _session_samples(events)
+    """The events of a user inside the intervals of that user."""
+    times = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    intervals = times.where(F.col("event_type") == "purchase").select(
+        F.col("event_id").alias("prcsinstance"), F.col("user_id").alias("owner"),
+        F.col("ts").alias("b"), F.timestamp_micros(
+            F.unix_micros("ts") + F.floor(F.col("value") * 60) * 1000000).alias("e"))
     return joins.interval_join(
-        samples, processes, [("module", "prcsname")], "sample_time", "begindttm", "enddttm", 7200,
-        "2024-01-30 00:00:00").select("event_id", "prcsinstance")
+        times.select("event_id", "user_id", "ts"), intervals, [("user_id", "owner")], "ts", "b", "e",
+        7200).select("event_id", "prcsinstance")
 
 
 @query("events", sql=f"""
@@ -256,21 +260,21 @@ def sampled_time(events):
     return by(joined, ["module", "action"]).withColumn("ash_secs", big("ash_secs"))
 
 
-@query("part", "supplier", sql="""
-WITH pat AS (SELECT s_suppkey, CASE WHEN s_nationkey <= 4 THEN concat('%', s_nationkey, '%')
-    WHEN s_nationkey <= 12 THEN concat('Brand#', s_nationkey, '%')
-    ELSE concat('Brand#', substr(CAST(s_nationkey AS VARCHAR), 1, 1), '_') END AS pattern
-  FROM supplier)
-SELECT s_suppkey, pattern, p_partkey FROM pat LEFT JOIN part ON p_brand LIKE pattern""")
-def like_join(part, supplier):
+@query("part", "nation", sql="""
+WITH pat AS (SELECT n_nationkey, CASE WHEN n_nationkey <= 4 THEN concat('%', n_nationkey, '%')
+    WHEN n_nationkey <= 12 THEN concat('Brand#', n_nationkey, '%')
+    ELSE concat('Brand#', substr(CAST(n_nationkey AS VARCHAR), 1, 1), '_x') END AS pattern
+  FROM nation)
+SELECT n_nationkey, pattern, p_partkey FROM pat LEFT JOIN part ON p_brand LIKE pattern""")
+def like_join(part, nation):
     """Patterns with and without literal prefix; patterns without match stay."""
-    n = F.col("s_nationkey").cast("string")
-    pattern = F.when(F.col("s_nationkey") <= 4, F.concat(F.lit("%"), n, F.lit("%"))).when(
-        F.col("s_nationkey") <= 12, F.concat(F.lit("Brand#"), n, F.lit("%"))
-    ).otherwise(F.concat(F.lit("Brand#"), F.substring(n, 1, 1), F.lit("_")))
-    pats = supplier.select("s_suppkey", pattern.alias("pattern"))
+    n = F.col("n_nationkey").cast("string")
+    pattern = F.when(F.col("n_nationkey") <= 4, F.concat(F.lit("%"), n, F.lit("%"))).when(
+        F.col("n_nationkey") <= 12, F.concat(F.lit("Brand#"), n, F.lit("%"))
+    ).otherwise(F.concat(F.lit("Brand#"), F.substring(n, 1, 1), F.lit("_x")))
+    pats = nation.select("n_nationkey", pattern.alias("pattern"))
     return joins.like_join(part.select("p_partkey", "p_brand"), pats, [("p_brand", "pattern")],
-                           how="left_patterns").select("s_suppkey", "pattern", "p_partkey")
+                           how="left_patterns").select("n_nationkey", "pattern", "p_partkey")
 
 
 @query("stm_timings", "prc_requests", "part", sql="""

@@ -1,0 +1,169 @@
+"""Secret scan by assignment-aware lexing.
+
+Three token patterns give the base spans. Beside them source and configuration
+syntax is read as pairs of a name and a literal: `name = "literal"`, `name: literal`,
+`"name" => 'literal'`, joined literals (`"ab" + "cd"`) and names that stand for a
+literal bound earlier (`a = "..."` then `password = a`), which are followed to the
+literal. A pair is scored by how sensitive the words of its name are and how much
+the literal looks like a value; literals at or above the threshold are spans of
+kind `named`.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# The base patterns, with the least lengths put into them.
+KINDS = ("assign", "access", "hex", "named")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
+LEAST_VALUE = 6
+#: One of these stands in every text in which ASSIGN can match.
+ASSIGN_HINTS = ("passw", "secret", "token", "api")
+
+#: How far each word of a target name speaks for a secret.
+SENSITIVE = {
+    "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
+    "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.5, "access": 0.4, "key": 0.5, "signature": 0.5,
+}
+#: Words that tell of a name about a secret rather than the secret.
+HARMLESS = {"length": 0.8, "name": 0.5, "id": 0.3, "file": 0.5, "path": 0.6, "type": 0.8, "count": 0.8, "public": 0.6, "url": 0.5}
+PLACEHOLDERS = ("example", "changeme", "placeholder", "redacted", "none", "null", "true", "false", "your_", "xxxx", "****")
+THRESHOLD = 0.5
+
+_PAIR = re.compile(
+    r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]{0,64}(?::=|=>|=(?!=)|:(?!:))[ \t]{0,64}"""
+    r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([^\s"',;#(){}\[\]<>]++))"""
+)
+_MORE = re.compile(r"""[ \t]{0,64}\+[ \t]{0,64}(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+def name_score(name: str) -> float:
+    words = [w.lower() for w in _WORDS.findall(name)]
+    joined = "".join(words)
+    weights = [SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE["apikey"] * ("apikey" in joined)]
+    most, rest = max(weights, default=0.0), 1.0
+    if sum(w > 0 for w in weights) > 1:  # several hints make up for weak ones
+        most = min(1.0, sum(sorted(weights)[-2:]))
+    for w in words:
+        rest *= 1 - HARMLESS.get(w, 0.0)
+    return most * rest
+
+
+def literal_score(value: str) -> float:
+    """0 for what can be no secret, rising with length and with the variety of characters."""
+    low = value.lower()
+    if len(value) < LEAST_VALUE or any(p in low for p in PLACEHOLDERS) or value[:1] in "$%{<":
+        return 0.0
+    head = value[:256]
+    counts = [head.count(c) for c in set(head)]
+    entropy = -sum(c / len(head) * math.log2(c / len(head)) for c in counts)
+    return min(1.0, 0.4 + entropy / 5)
+
+
+def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
+    """Spans of literals that sensitive names stand for, with their scores."""
+    bound: dict[str, tuple[int, int, str]] = {}
+    best: dict[tuple[int, int], float] = {}
+    for m in _PAIR.finditer(text):
+        name, kind = m[1], m.lastindex
+        start, end = m.span(kind)
+        value = m[kind]
+        if kind == 4 and _NAME.fullmatch(value) and value in bound:
+            start, end, value = bound[value]  # the constant is followed to its literal
+        elif kind != 4:
+            at = m.end()
+            while more := _MORE.match(text, at):
+                value += more[more.lastindex]
+                end = more.end(more.lastindex)
+                at = more.end()
+        bound[name] = (start, end, value)
+        score = name_score(name) * literal_score(value)
+        if score >= threshold and end > start:
+            best[start, end] = max(score, best.get((start, end), 0.0))
+    return sorted((*span, score) for span, score in best.items())
+
+
+def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) of one text, by start and then by the order of KINDS; offsets in code points."""
+    if not text:
+        return []
+    found = []
+    low = text.lower()
+    if any(h in low for h in ASSIGN_HINTS):
+        found += [("assign", m.start(), m.end(), 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
+    found += [("access", m.start(), m.end(), 1.0) for m in ACCESS.finditer(text)]
+    found += [("hex", m.start(), m.end(), 1.0) for m in HEX.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [("named", *span) for span in named_spans(text, threshold)]
+    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+SPANS = T.ArrayType(T.StructType([
+    T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
+    T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType()),
+]))
+
+
+def find_secrets(df: DataFrame, text: str = "text", spans: str = "spans", threshold: float = THRESHOLD) -> DataFrame:
+    """df with an array of spans (kind, start, end, score) for the whole text of each row.
+
+    A null or empty text has an empty array. Repeated rows keep one result each;
+    a column of the name `spans` is replaced, all others pass through.
+    """
+
+    @F.pandas_udf(SPANS)
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in scan(t if isinstance(t, str) else None, threshold)] for t in texts], dtype=object)
+
+    return df.withColumn(spans, find(F.col(text)))
+
+
+def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", threshold: float = THRESHOLD) -> DataFrame:
+    """df with every span replaced by mark; spans that touch or overlap become one mark.
+
+    Null stays null, a text without a span stays as it is.
+    """
+
+    def covered(spans: list[tuple[str, int, int, float]]) -> Iterator[tuple[int, int]]:
+        start = end = -1
+        for _, a, b, _ in spans:
+            if a > end:
+                if end >= 0:
+                    yield start, end
+                start, end = a, b
+            end = max(end, b)
+        if end >= 0:
+            yield start, end
+
+    def clean(t: str) -> str:
+        at, out = 0, []
+        for start, end in covered(scan(t, threshold)):
+            out += [t[at:start], mark]
+            at = end
+        return "".join([*out, t[at:]]) if out else t
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([clean(t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+    return df.withColumn(text, cut(F.col(text)))
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def of_kind(spans: Column, *kinds: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))

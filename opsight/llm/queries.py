@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import bpe, language_id, secrets, url_filter
-from opsight.llm.common import table
+from opsight.llm import bpe, decontaminate, language_id, license_scan, secret_scan, url_filter, warc
+from opsight.llm.common import delete_on_exit, table
+from opsight.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,13 +43,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts per base kind, digest of the base spans, all spans."""
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("spans")
-    count = lambda kind: F.size(secrets.of_kind(spans, kind)).cast("long").alias(f"n_{kind}")
-    base = secrets.joined(secrets.of_kind(spans, "assign", "access", "hex"))
+    count = lambda kind: F.size(secret_scan.of_kind(spans, kind)).cast("long").alias(f"n_{kind}")
+    base = secret_scan.joined(secret_scan.of_kind(spans, "assign", "access", "hex"))
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"),
-        secrets.joined(spans).alias("spans"), count("named"),
+        secret_scan.joined(spans).alias("spans"), count("named"),
     )
 
 
@@ -63,8 +65,54 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that the document holds within the item's error budget."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("hits").alias("hit"))
+    return found.select("doc_id", F.col("hit.item").alias("item_id"), F.col("hit.distance").alias("distance"))
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder and read back."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    delete_on_exit(spark, path)
+    back = warc.read(spark, path, texts=False)
+    return back.select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"), "url",
+    )
+
+
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
+ORACLE["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, url, sha1(coalesce(html, '')) AS payload_digest,
+         CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes
+  FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS last_id FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN last_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last_id <> page_id THEN last_id END AS refers_to, url
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
+"""

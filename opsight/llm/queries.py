@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import bpe, decontaminate, language_id, license_scan, secret_scan, url_filter, warc
+from opsight.llm import bpe, decontaminate, language_id, license_scan, secret_scan, suffix_repeats, url_filter, warc
 from opsight.llm.common import delete_on_exit, table
 from opsight.session import shared_dir
 
@@ -32,6 +32,13 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 3 == 1
 
 
+@query
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that documents with smaller ids have."""
+    kept = suffix_repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the two thirds that are not held out."""

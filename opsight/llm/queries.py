@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import bpe, decontaminate, language_id, license_scan, secret_scan, suffix_repeats, url_filter, warc
+from opsight.llm import bpe, decontaminate, hash_forest, language_id, license_scan, secret_scan, suffix_repeats, url_filter, warc
 from opsight.llm.common import delete_on_exit, table
 from opsight.session import shared_dir
 
@@ -32,6 +32,12 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 3 == 1
 
 
+@query
+def op1_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return hash_forest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that documents with smaller ids have."""

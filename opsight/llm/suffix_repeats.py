@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsight.llm.packing import pack, pieces_by, unpack
 from opsight.llm.words import batches, runs, words
 
 LENGTH = 13
@@ -38,23 +38,6 @@ CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 4 << 20
 REPORTED = 8
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length as one compressed block, each split into planes of equal bytes."""
-    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(len(columns[0]).to_bytes(8, "little") + raw)
-
-
-def _unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
-        at += n * size
-    return out
-
-
 def _cat(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(p) for p in zip(*parts, strict=True)]
 
@@ -66,15 +49,6 @@ def _within(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
-def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each number that occurs, with its places in their given order."""
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for own in np.split(order, cuts):
-        if len(own):
-            yield int(part[own[0]]), own
-
-
 def _windows(data: np.ndarray, offsets: np.ndarray, length: int):
     """Word hashes and, for each place where a run of `length` words of one text starts, its place and text."""
     found = words(data, offsets, fold=False)
@@ -125,8 +99,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     sizes = [p for p in PREFIXES if p < length]
 
     def places(keys: np.ndarray, position: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        for b, own in _by_part(bucket_of(keys, buckets)):
-            yield b, _pack(keys[own], position[own], check_of(label[own]))
+        for b, own in pieces_by(bucket_of(keys, buckets)):
+            yield b, pack(keys[own], position[own], check_of(label[own]))
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -149,13 +123,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 head = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
                 least = np.repeat(own[head], np.diff(np.r_[head, len(label)]))
                 known = own > least  # a smaller document is in this very chunk
-                rows = [(0, int(p), _pack(label[i].view(np.uint8).reshape(-1, 8)[:, 1:], own[i], position[i])) for p, i in _by_part((route % np.uint64(groups)).astype(np.int64)[~known]) for i in [np.flatnonzero(~known)[i]]]
+                rows = [(0, int(p), pack(label[i].view(np.uint8).reshape(-1, 8)[:, 1:], own[i], position[i])) for p, i in pieces_by((route % np.uint64(groups)).astype(np.int64)[~known]) for i in [np.flatnonzero(~known)[i]]]
                 rows += [(1, b % groups, b.to_bytes(8, "little") + block) for b, block in places(own[known], position[known], label[known])]
                 yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int64()), "block": pa.array([r[2] for r in rows], pa.binary())})
 
     def tree(rows: pd.DataFrame) -> pd.DataFrame:
         out = [(int.from_bytes(b[:8], "little"), b[8:]) for b in rows.loc[rows["kind"] == 1, "block"]]
-        blocks = [_unpack(b, "V7", np.int64, np.uint32) for b in rows.loc[rows["kind"] == 0, "block"]]
+        blocks = [unpack(b, "V7", np.int64, np.uint32) for b in rows.loc[rows["kind"] == 0, "block"]]
         if blocks:
             seven, own, position = _cat(blocks)
             label = np.zeros((len(seven), 8), np.uint8)
@@ -206,7 +180,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     plain = own.where("key IS NULL").mapInPandas(lambda parts: (_kept(p, np.zeros(0, np.int64), None, None, length) for p in parts), _KEPT)
 
     def judge(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        blocks = [_unpack(b, np.int64, np.uint32, np.uint16) for b in found["place"]]
+        blocks = [unpack(b, np.int64, np.uint32, np.uint16) for b in found["place"]]
         keys, position, check = _cat(blocks) if blocks else (np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint16))
         order = np.argsort(keys, kind="stable")
         return _kept(rows, keys[order], position[order], check[order], length)

@@ -23,13 +23,21 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _inverse() -> np.uint64:
+    return np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _table(base: np.uint64, n: int) -> np.ndarray:
+    table = np.full(n, base, np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > SLICE:  # one very long text
+        return tuple(_table(base, n) for base in (_BASE, _inverse()))
     if len(_powers[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for i, base in enumerate((_BASE, inverse)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.multiply.accumulate(table)
+        _powers[:] = [_table(base, SLICE) for base in (_BASE, _inverse())]
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -55,12 +63,29 @@ class Words:
         return np.diff(self.first)
 
 
+#: Bytes hashed at once, which bounds the temporary arrays.
+SLICE = 1 << 20
+
+
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
     """Words of the texts data[offsets[i]:offsets[i + 1]]; fold takes A-Z as a-z."""
+    parts, at = [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        base = offsets[at]
+        hashes, starts, ends = _words(data[base : offsets[to]], offsets[at : to + 1] - base, fold)
+        parts.append((hashes, starts + base, ends + base))
+        at = to
+    if not parts:
+        parts.append(_words(data[:0], offsets[:1], fold))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
-        empty = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     inner = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -71,10 +96,11 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> Words:
     after[-1], after[:-1] = False, inner[1:]
     ends = np.flatnonzero(inner & (~after | edge[1:])) + 1
     up, down = _power_tables(n)
+    value = (_FOLDED if fold else _BYTE)[data]
+    value *= up
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * up, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+    np.cumsum(value, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def runs(hashes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:

@@ -17,24 +17,25 @@ import heapq
 import json
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MAX_FILE_BYTES = 64 << 20
 #: Distinct pre-tokens a Python worker remembers.
-MEMORY = 300_000
+MEMORY = 150_000
 
 # Fixed value: the pattern that cuts text into pre-tokens before byte-level merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _SHIFT = 32
-_LOW = (1 << _SHIFT) - 1
 
 
 def byte_symbols() -> list[str]:
@@ -62,95 +63,142 @@ class Vocabulary:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in neighbours are not supported")
         symbols, ids = byte_symbols(), model["vocab"]
-        self.bytes_to_id = [ids[s] for s in symbols]
-        self.merge: dict[int, tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        self.first = np.array([ids[s] for s in symbols])
+        self.merges = []
+        for pair in model["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[ids[left] << _SHIFT | ids[right]] = (rank, ids[left + right])
+            self.merges.append((ids[left], ids[right], ids[left + right]))
+        keys = np.array([left << _SHIFT | right for left, right, _ in self.merges], np.int64)
+        self._order = np.argsort(keys)
+        self._keys = keys[self._order]
         back = {s: b for b, s in enumerate(symbols)}
-        self.token_bytes: dict[int, bytes] = {}
-        for token, i in ids.items():
-            self.token_bytes[i] = bytes(back[c] for c in token)
-        for token, i in self.added.items():
-            self.token_bytes[i] = token.encode()
+        of = {i: bytes(back[c] for c in token) for token, i in ids.items()} | {i: token.encode() for token, i in self.added.items()}
+        every = [of.get(i) for i in range(max(of) + 1)]
+        self.token_sizes = np.array([-1 if b is None else len(b) for b in every])
+        self.token_starts = np.cumsum(np.maximum(self.token_sizes, 0)) - np.maximum(self.token_sizes, 0)
+        self.token_bytes = np.frombuffer(b"".join(b or b"" for b in every), np.uint8)
         self.key = (path, os.path.getmtime(path), len(ids))
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, -1 if it has none."""
+        asked = left << _SHIFT | right
+        at = np.minimum(np.searchsorted(self._keys, asked), len(self._keys) - 1)
+        return np.where(self._keys[at] == asked, self._order[at], -1)
 
-def merge_all(words: list[bytes], vocabulary: Vocabulary) -> list[tuple[int, ...]]:
-    """Token ids of each pre-token, by one pass over the occurrence index of all of them."""
-    first, merge = vocabulary.bytes_to_id, vocabulary.merge
-    symbol = [first[b] for w in words for b in w]
-    n = len(symbol)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        at += len(w)
-        if w:
-            before[at - len(w)] = -1
-            after[at - 1] = -1
-    where: dict[int, list[int]] = {}
-    for i in range(n - 1):
-        if after[i] > 0:
-            pair = symbol[i] << _SHIFT | symbol[i + 1]
-            if pair in merge:
-                where.setdefault(pair, []).append(i)
-    active = [(merge[pair][0], pair) for pair in where]
-    heapq.heapify(active)
 
-    def found(pair: int, position: int) -> None:
-        if pair in where:
-            where[pair].append(position)
-        elif pair in merge:
-            where[pair] = [position]
-            heapq.heappush(active, (merge[pair][0], pair))
+def merge_all(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pre-tokens in a row and how many each has, by one pass over the occurrence index.
 
+    `symbol` holds the symbols of all pre-tokens, `after` and `before` their living
+    neighbours (n where there is none). The index maps the rank of a pair to the
+    positions of its left symbol; positions whose pair has gone are passed over.
+    """
+    data = np.frombuffer(b"".join(words), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    n = len(data)
+    symbol = np.r_[vocabulary.first[data], -1]
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    ends = np.cumsum(sizes)
+    begins = (ends - sizes)[sizes > 0]
+    before[begins], after[ends[sizes > 0] - 1] = n, n
+    where: dict[int, list[int]] = {}
+    inner = np.flatnonzero(after[:n] < n)
+    ranks = vocabulary.rank(symbol[inner], symbol[inner + 1])
+    inner, ranks = inner[ranks >= 0], ranks[ranks >= 0]
+    order = np.argsort(ranks, kind="stable")
+    cuts = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+    for at, to in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+        where[int(ranks[order[at]])] = inner[order[at:to]].tolist()
+    active = list(where)
+    heapq.heapify(active)
     while active:
-        _, pair = heapq.heappop(active)
-        left, right, new = pair >> _SHIFT, pair & _LOW, merge[pair][1]
-        positions = where.pop(pair)
+        rank = heapq.heappop(active)
+        left, right, new = vocabulary.merges[rank]
+        at = np.array(where.pop(rank))
         if left == right:  # of overlapping places the leftmost counts
-            positions.sort()
-        for i in positions:
-            j = after[i]
-            if symbol[i] != left or j < 0 or symbol[j] != right:
-                continue  # an earlier merge took one of the two
-            symbol[i], symbol[j] = new, -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                found(new << _SHIFT | symbol[k], i)
-            h = before[i]
-            if h >= 0:
-                found(symbol[h] << _SHIFT | new, h)
-    out = []
-    for start, w in zip(starts, words, strict=True):
-        ids, i = [], start if w else -1
-        while i >= 0:
-            ids.append(symbol[i])
-            i = after[i]
-        out.append(tuple(ids))
-    return out
-
-
-_memory: dict = {}
-
-
-def _known(key) -> dict[str, tuple[int, ...]]:
-    """What this Python worker remembers for one vocabulary."""
-    if _memory.get("key") != key:
-        _memory.clear()
-        _memory.update(key=key, words={})
-    return _memory["words"]
-
-
-def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[list[int]]:
-    """Token ids of each text."""
+            at = _leftmost(np.sort(at), after, symbol, left)
+        to = after[at]
+        good = (symbol[at] == left) & (symbol[to] == right)
+        at, to = at[good], to[good]
+        symbol[at], symbol[to] = new, -2
+        then = after[to]
+        after[at], before[then] = then, at
+        then, prior = after[at], before[at]
+        # the pairs on either side of each merged one are new
+        place = np.concatenate((at[then < n], prior[prior < n]))
+        lefts = symbol[place]
+        ranks = vocabulary.rank(lefts, symbol[after[place]])
+        for r, p in zip(ranks.tolist(), place.tolist(), strict=True):
+            if r >= 0:
+                known = where.get(r)
+                if known is None:
+                    where[r] = [p]
+                    heapq.heappush(active, r)
+                else:
+                    known.append(p)
+    alive = symbol[:n] >= 0
+    counts = np.diff(np.r_[0, np.cumsum(alive)][np.r_[0, ends]])
+    return symbol[:n][alive].astype(np.int32), counts
+
+
+def _leftmost(at: np.ndarray, after: np.ndarray, symbol: np.ndarray, own: int) -> np.ndarray:
+    taken, out = set(), []
+    for i in at.tolist():
+        j = int(after[i])
+        if i not in taken and symbol[i] == own and symbol[j] == own:
+            taken.update((i, j))
+            out.append(i)
+    return np.array(out, np.int64)
+
+
+def expand(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches flat[start:start + size] one after the other."""
+    ends = np.cumsum(sizes)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+
+
+class Memory:
+    """Numbers of the pre-tokens met so far and the token ids of each, up to a bound."""
+
+    def __init__(self, key):
+        self.key = key
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # an unknown pre-token gets the next number
+        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, vocabulary: Vocabulary) -> None:
+        """Encode the pre-tokens that have a number but no ids yet."""
+        fresh = list(islice(self.number, len(self.sizes), None))
+        ids, sizes = merge_all([b"" if w in vocabulary.added else w.encode() for w in fresh], vocabulary)
+        special = [(i, vocabulary.added[w]) for i, w in enumerate(fresh) if w in vocabulary.added]
+        for i, token in special:
+            ids = np.insert(ids, sizes[:i].sum(), token)
+            sizes[i] = 1
+        self.ids = np.r_[self.ids, ids]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+_memory: list[Memory] = []
+
+
+def encode_texts(texts: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts in a row, and how many each text has."""
+    if not _memory or _memory[0].key != vocabulary.key:
+        _memory[:] = [Memory(vocabulary.key)]
+    memory = _memory[0]
+    if len(memory.sizes) > MEMORY:
+        memory.clear()
     cut = regex.compile(PRE_TOKEN).findall
-    known = _known(vocabulary.key)
     added = vocabulary.added
     split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-    words, fresh = [], set()
+    number = memory.number.__getitem__
+    numbers = []
     for text in texts:
         if split is not None and split.search(text):
             own = []
@@ -158,14 +206,13 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[list[int]]:
                 own.extend([part] if part in added else cut(part))
         else:
             own = cut(text)
-        words.append(own)
-        fresh.update(own)
-    if len(known) + len(fresh) > MEMORY:
-        known.clear()
-    new = [w for w in fresh if w not in known and w not in added]
-    known.update(zip(new, merge_all([w.encode() for w in new], vocabulary), strict=True))
-    known.update((token, (i,)) for token, i in added.items())
-    return [list(chain.from_iterable(map(known.__getitem__, own))) for own in words]
+        numbers.append(np.fromiter(map(number, own), np.int32, len(own)))
+    memory.learn(vocabulary)
+    flat = np.concatenate([*numbers, np.zeros(0, np.int32)])
+    sizes = memory.sizes[flat]
+    ends = np.cumsum([0, *map(len, numbers)])
+    counts = np.diff(np.r_[0, np.cumsum(sizes)][ends])
+    return expand(memory.ids, memory.starts[flat], sizes), counts
 
 
 def _slices(sizes: list[int], limit: int) -> Iterator[slice]:
@@ -179,25 +226,24 @@ def _slices(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", chars_at_once: int = 4_000_000) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None, chars_at_once: int = 4_000_000) -> DataFrame:
     """df with a column of token ids for the whole text of each row.
 
     A null text counts as empty and has no ids; repeated rows each keep their own
-    result; every other column is passed on. An existing column of the name `ids`
-    is replaced.
+    result; every other column (or those in `keep`) is passed on. An existing column
+    of the name `ids` is replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    schema = T.StructType([f for f in df.schema if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    keep = [f.name for f in df.schema if f.name != ids]
+    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             for part in _slices(list(map(len, texts)), chars_at_once):
-                found = encode_texts(texts[part], vocabulary)
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int64).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
+                flat, counts = encode_texts(texts[part], vocabulary)
+                ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 kept = batch.slice(part.start, part.stop - part.start)
                 columns = [kept.column(kept.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*keep, ids])
@@ -216,14 +262,19 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     keep = [f.name for f in df.schema if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = held.value.token_bytes.__getitem__
+        v = held.value
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            sizes = [len(x) if x.is_valid else 0 for x in lists]
-            for part in _slices(sizes, 1_000_000):
+            lists = pc.fill_null(batch.column(batch.schema.get_field_index(ids)), [])
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            for part in _slices(counts.tolist(), 1_000_000):
                 kept = batch.slice(part.start, part.stop - part.start)
-                rows = kept.column(kept.schema.get_field_index(ids)).to_pylist()
-                out = [b"".join(map(look, x or ())).decode("utf-8", "replace") for x in rows]
+                own = lists.slice(part.start, part.stop - part.start).flatten().to_numpy(zero_copy_only=False)
+                sizes = v.token_sizes[own]
+                if len(sizes) and sizes.min() < 0:
+                    raise ValueError("an id that the vocabulary lacks")
+                raw = expand(v.token_bytes, v.token_starts[own], sizes).tobytes()
+                ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts[part])]].tolist()
+                out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
                 columns = [kept.column(kept.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], [*keep, text])
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import bpe, decontaminate, hash_forest, language_id, license_scan, secret_scan, suffix_repeats, url_filter, warc
+from opsight.llm import bpe, decontaminate, hash_forest, language_id, license_scan, partenum, secret_scan, suffix_repeats, url_filter, warc
 from opsight.llm.common import delete_on_exit, table
 from opsight.session import shared_dir
 
@@ -38,6 +38,12 @@ def op1_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return partenum.join(table(spark, sf_dir, "documents").select("doc_id", "text"), partenum.Rule(4, 85, 100))
+
+
 @query
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that documents with smaller ids have."""
@@ -71,7 +77,7 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as counts and digests."""
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.decode(bpe.encode(docs, path, keep=["doc_id"]), path)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -36,7 +36,7 @@ SENSITIVE = {
 }
 #: Words that tell of a name about a secret rather than the secret.
 HARMLESS = {"length": 0.8, "name": 0.5, "id": 0.3, "file": 0.5, "path": 0.6, "type": 0.8, "count": 0.8, "public": 0.6, "url": 0.5}
-PLACEHOLDERS = ("example", "changeme", "placeholder", "redacted", "none", "null", "true", "false", "your_", "xxxx", "****")
+PLACEHOLDERS = ("[secret]", "example", "changeme", "placeholder", "redacted", "none", "null", "true", "false", "your_", "xxxx", "****")
 THRESHOLD = 0.5
 
 _PAIR = re.compile(

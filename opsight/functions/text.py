@@ -19,7 +19,7 @@ def empty_to_null(value) -> Column:
 
 
 def query_slots(value, n: int = 8, drop_first: bool = False) -> list[Column]:
-    """The first n '&'-separated pieces; pieces beyond n are dropped.
+    """The first n '&'-separated pieces; `query_rest` has what follows them.
 
     drop_first cuts the first character of slot 1, which removes a leading '?'
     (and, when the log has none, a real character: '-' then becomes NULL).
@@ -31,34 +31,53 @@ def query_slots(value, n: int = 8, drop_first: bool = False) -> list[Column]:
     return [empty_to_null(s) for s in slots]
 
 
+def query_rest(value, n: int = 8) -> Column:
+    """What follows the first n pieces, NULL if nothing does."""
+    parts = F.split(_col(value), "&", -1)
+    return empty_to_null(F.array_join(F.slice(parts, n + 1, F.size(parts)), "&"))
+
+
 def split_query_string(
-    df: DataFrame, col: str, n: int = 8, prefix: str = "query_string", drop_first: bool = False
+    df: DataFrame, col: str, n: int = 8, prefix: str = "query_string", drop_first: bool = False,
+    rest: str = "query_rest",
 ) -> DataFrame:
-    """P1 as an operator: adds prefix1..prefixN."""
+    """P1 as an operator: adds prefix1..prefixN, and what is left of longer strings."""
     slots = query_slots(col, n, drop_first)
-    return df.select("*", *[s.alias(f"{prefix}{i + 1}") for i, s in enumerate(slots)])
+    return df.select("*", *[s.alias(f"{prefix}{i + 1}") for i, s in enumerate(slots)],
+                     query_rest(col, n).alias(rest))
+
+
+CODES = "(?:%[0-9A-Fa-f]{2})+"
 
 
 def _decoded_once(value: Column) -> Column:
-    step = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
-    return F.when(F.contains(value, F.lit("%")), F.coalesce(step, value)).otherwise(value)
+    """Every run of codes decoded, all else as it is."""
+    plain = F.split(value, CODES, -1)
+    runs = F.transform(F.regexp_extract_all(value, F.lit(CODES), F.lit(0)),
+                       lambda run: F.coalesce(F.try_url_decode(run), run))
+    both = F.zip_with(plain, runs, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    return F.when(F.rlike(value, F.lit(CODES)), F.array_join(both, "")).otherwise(value)
 
 
 def percent_decoded(value) -> Column:
     """%XX becomes its byte; '+' stays. Decoded text is decoded again until
-    nothing is left to decode (so %2541 gives A); text that is no valid code
-    stays as it is instead of failing the row.
+    nothing is left to decode (so %2541 gives A). Each code is decoded by itself:
+    a '%' that begins none stays, and so does what stands around it.
 
-    Most texts are done after two rounds. Each round shortens a text by two
-    characters at least, which bounds the rounds of the rest.
+    Most texts are done after two rounds. The others take as many as their codes
+    can still need: a code gives at most one '%', so that no more rounds than
+    there are codes and 25s behind them can change anything.
     """
     c = _col(value)
     twice = F.transform(F.transform(F.array(c), _decoded_once), _decoded_once)
-    rest = F.transform(twice, lambda x: F.when(
-        F.contains(x, F.lit("%")),
-        F.aggregate(F.sequence(F.lit(0), F.length(x)), x, lambda acc, _: _decoded_once(acc)),
-    ).otherwise(x))
-    return F.when(F.contains(c, F.lit("%")), F.get(rest, F.lit(0))).otherwise(c)
+
+    def rest(x: Column) -> Column:
+        marks = F.regexp_extract_all(x, F.lit("%(?:25)*"), F.lit(0))
+        rounds = F.aggregate(marks, F.lit(0), lambda a, m: a + F.length(m).cast("int"))
+        return F.aggregate(F.sequence(F.lit(0), rounds), x, lambda acc, _: _decoded_once(acc))
+
+    done = F.transform(twice, lambda x: F.when(F.rlike(x, F.lit(CODES)), rest(x)).otherwise(x))
+    return F.when(F.contains(c, F.lit("%")), F.get(done, F.lit(0))).otherwise(c)
 
 
 def percent_decode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -197,26 +216,28 @@ def session_tag(*parts) -> Column:
     return F.concat_ws("_", *[F.translate(_col(p).cast("string"), " -", "__") for p in parts])
 
 
-def status_comment(kind, name, instance, phase, user) -> Column:
-    """P16: 'type, name, instance, Start|End, user' cut at 160 characters."""
+def _cut(value: Column, size: int | None) -> Column:
+    return value if size is None else F.substring(value, 1, size)
+
+
+def status_comment(kind, name, instance, phase, user, size: int | None = None) -> Column:
+    """P16: 'type, name, instance, Start|End, user', cut at `size` characters if given."""
     parts = [F.coalesce(_col(p).cast("string"), F.lit("")) for p in
              (kind, name, instance, phase, user)]
-    return F.substring(F.concat_ws(", ", *parts), 1, 160)
+    return _cut(F.concat_ws(", ", *parts), size)
 
 
-def action_tag(instance, text) -> Column:
-    """P16: 'PI=<instance>:<text>' cut at 32 characters."""
-    return F.substring(
-        F.concat(F.lit("PI="), _col(instance).cast("string"), F.lit(":"), _col(text)), 1, 32
-    )
+def action_tag(instance, text, size: int | None = None) -> Column:
+    """P16: 'PI=<instance>:<text>', cut at `size` characters if given."""
+    return _cut(F.concat(F.lit("PI="), _col(instance).cast("string"), F.lit(":"), _col(text)), size)
 
 
-def text_chunks(value, size: int = 254, max_parts: int | None = 9) -> Column:
+def text_chunks(value, size: int = 254, max_parts: int | None = None) -> Column:
     """Array of pieces of at most `size` characters.
 
     A full piece backs up to its last blank, which stays at its end; a full
-    piece without a blank is kept whole. max_parts=9 is the limit of the
-    message format; None splits the whole text.
+    piece without a blank is kept whole. max_parts keeps the
+    first pieces only (the message format has nine); None splits the whole text.
 
     One greedy expression states the rule: where at least `size` characters are
     left, up to the last blank among them, else all of them; then the rest.
@@ -227,7 +248,7 @@ def text_chunks(value, size: int = 254, max_parts: int | None = 9) -> Column:
 
 
 def chunk_text(
-    df: DataFrame, col: str, size: int = 254, max_parts: int | None = 9,
+    df: DataFrame, col: str, size: int = 254, max_parts: int | None = None,
     seq: str = "parm_seq", piece: str = "message_parm",
 ) -> DataFrame:
     """P17 as an operator: one row per piece, numbered from 1. A row never moves

@@ -308,91 +308,104 @@ def effective_dated_lookup(
     )
 
 
-def range_assign(
-    df: DataFrame, ranges: DataFrame, value: str, low: str, high: str,
-    max_broadcast: int = 100_000,
-) -> DataFrame:
-    """Rows with the ranges [low, high] that contain their value.
+RANGE_LEVELS = 62
+
+
+def _position(df: DataFrame, name: str) -> Column:
+    """A long that never falls as the column rises: the integer part of a number, the
+    microseconds of a time, the first seven bytes of a text."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    if kind == "string":
+        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
+        return F.conv(head, 16, 10).cast("long")
+    return F.floor(F.col(name)).cast("long")
+
 
-    A range table of proven small size is broadcast. Otherwise ranges, which
-    must not overlap, are found by an as-of scan: the latest range starting at
-    or below the value contains it or none does.
+def range_assign(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:
+    """Rows with all ranges [low, high] that contain their value; ranges may overlap.
+
+    Each range is filed under the dyadic blocks that make it up, each value asks for
+    its block at the levels that occur (62 at most), and the two meet on (level,
+    block). Values finer than `_position` are compared after that. Texts should
+    differ in their first seven bytes, or many of them share a block.
     """
-    if ranges.limit(max_broadcast + 1).count() <= max_broadcast:
-        small = F.broadcast(ranges)
-        return df.join(small, df[value].between(small[low], small[high]))
-    carry = [c for c in ranges.columns if c != low]
-    found = asof_join(df, ranges, [], value, low, carry, df.columns)
-    return found.where(F.col(value) <= F.col(high))
+    filed = ranges.where(F.col(low) <= F.col(high)).withColumn(
+        "_b", F.explode(_blocks_covering(_position(ranges, low), _position(ranges, high), RANGE_LEVELS))
+    ).select(*[F.col(c).alias(f"_r_{c}") for c in ranges.columns], "_b.level", "_b.node")
+    levels = filed.agg(F.collect_set("level"))
+    asked = df.withColumn("_level", F.explode(levels.scalar()))
+    asked = asked.withColumn("_node", _shift_right(_position(df, value), F.col("_level")))
+    met = asked.join(filed, (asked["_level"] == filed["level"]) & (asked["_node"] == filed["node"]))
+    inside = F.col(value).between(F.col(f"_r_{low}"), F.col(f"_r_{high}"))
+    return met.where(inside).select(*df.columns, *[F.col(f"_r_{c}").alias(c) for c in ranges.columns])
 
 
 def asof_parent(
     df: DataFrame, session: Sequence[str] = ("database", "program", "pid", "line_id", "cursor"),
     line: str = "line_num", operation: str = "operation", ts: str = "timestamp",
-    times_wrap: bool = False, max_group_rows: int | None = None,
+    monotone: bool = False, max_group_rows: int | None = None,
 ) -> DataFrame:
     """For each Fetch the latest earlier statement line of its session and
-    cursor; -1 if there is none, 0 on other rows.
+    cursor whose time (to the second) is not later; -1 if there is none, 0 on other rows.
 
-    The scan runs in line order. The time test (statement not later than the
-    fetch) can only fail when times wrap at midnight; times_wrap adds an exact
-    search for it, see `_parent_with_wrap`. Statements are 'COM Stmt=' lines;
+    A scan in line order finds the latest statement. Where its time passes the
+    fetch's, as when times wrap at midnight, the sessions concerned are searched
+    again, see `_parent_by_time`. monotone leaves the time test out, for logs whose
+    times are known to rise with their lines. Statements are 'COM Stmt=' lines;
     'CEX Stmt=' counts too, though ingest strips it.
     """
     is_statement = F.col(operation).like("COM Stmt=%") | F.col(operation).like("CEX Stmt=%")
     is_fetch = F.col(operation) == "Fetch"
-    if times_wrap:
-        return _parent_with_wrap(df, session, line, ts, is_statement, is_fetch, max_group_rows)
-    scanned = ordered_scan(
-        df, session, [line], [last_before("_parent", F.when(is_statement, F.col(line)))],
-        max_group_rows,
-    )
-    return scanned.withColumn(
-        "parent_line_num",
-        F.when(is_fetch, F.coalesce("_parent", F.lit(-1))).otherwise(0).cast("long"),
-    ).drop("_parent")
-
-
-DAY_LEVELS = 17  # 2^17 seconds cover a day
-
-
-def _parent_with_wrap(df, session, line, ts, is_statement, is_fetch, max_group_rows):
-    """Latest earlier statement whose time of day is not later than the fetch's.
-
-    Times are seconds of the day. A statement is filed under the dyadic block
-    of every level that contains its time; [0, t] of a fetch is the union of at
-    most one block per level. So each block needs one scan in line order and
-    the answer is the largest of at most 18 candidates.
+    parent = F.when(is_statement, F.struct(F.col(line).alias("line"), to_seconds(ts).alias("at")))
+    scanned = ordered_scan(df, session, [line], [last_before("_parent", parent)], max_group_rows)
+    late = is_fetch & (F.col("_parent.at") > to_seconds(ts))
+    number = F.when(is_fetch, F.coalesce("_parent.line", F.lit(-1))).otherwise(0).cast("long")
+    plain = scanned.withColumn("parent_line_num", number).withColumn("_late", F.coalesce(late, F.lit(False)))
+    if monotone:
+        return plain.drop("_parent", "_late")
+    fetches = plain.where("_late").select(*df.columns)
+    sessions = fetches.select(*[F.col(k).alias(f"_s_{k}") for k in session]).distinct()
+    same = null_safe(df, sessions, [(k, f"_s_{k}") for k in session])
+    again = _parent_by_time(
+        df.where(is_statement).join(sessions, same, "left_semi"), fetches, session, line, ts, max_group_rows)
+    return plain.where(~F.col("_late")).drop("_parent", "_late").unionByName(again)
+
+
+TIME_LEVELS = 34  # 2^34 seconds reach past the year 2500
+
+
+def _parent_by_time(told, asking, session, line, ts, max_group_rows):
+    """Fetches with the latest earlier statement whose time is not later than theirs.
+
+    A statement is filed under the dyadic block of every level that contains its
+    second; [0, t] of a fetch is the union of at most one block per level. So each
+    block needs one scan in line order and the answer is the largest of at most 35
+    candidates.
     """
-    second = F.pmod(to_seconds(ts), F.lit(86400))
-    statements = df.where(is_statement).select(
+    second = to_seconds(ts)
+    statements = told.select(
         *session, F.col(line).alias("_line"), F.lit(0).alias("_kind"),
-        F.explode(_blocks_of(second, DAY_LEVELS + 1)).alias("_block"),
+        F.explode(_blocks_of(second, TIME_LEVELS + 1)).alias("_block"),
     )
-    fetches = df.where(is_fetch).select(
+    fetches = asking.select(
         *session, F.col(line).alias("_line"), F.lit(1).alias("_kind"),
-        F.explode(_blocks_covering(F.lit(0).cast("long"), second, DAY_LEVELS + 1)).alias("_block"),
+        F.explode(_blocks_covering(F.lit(0).cast("long"), second, TIME_LEVELS + 1)).alias("_block"),
     )
     both = statements.unionByName(fetches)
-    # a block holds at most the lines of its session
-    limit = group_row_limit(df.sparkSession, max_group_rows)
-    bounded = largest_group(df, session) <= limit
     scanned = ordered_scan(
         both.select("*", F.col("_block.level").alias("_level"), F.col("_block.node").alias("_node"))
         .drop("_block"),
         [*session, "_level", "_node"], ["_line", "_kind"],
         [last_before("_seen", F.when(F.col("_kind") == 0, F.col("_line")))], max_group_rows,
-        bounded,
     )
     best = scanned.where(F.col("_kind") == 1).groupBy(
         *[F.col(k).alias(f"_b_{k}") for k in session], F.col("_line").alias("_b_line")
     ).agg(F.max("_seen").alias("_parent"))
-    cond = null_safe(df, best, [(k, f"_b_{k}") for k in session]) & (df[line] == best["_b_line"])
-    return df.join(best, cond, "left").select(
-        *df.columns,
-        F.when(is_fetch, F.coalesce("_parent", F.lit(-1))).otherwise(0).cast("long")
-        .alias("parent_line_num"),
-    )
+    cond = null_safe(asking, best, [(k, f"_b_{k}") for k in session]) & (asking[line] == best["_b_line"])
+    return asking.join(best, cond, "left").select(
+        *asking.columns, F.coalesce("_parent", F.lit(-1)).cast("long").alias("parent_line_num"))
 
 
 def _shift_right(value: Column, bits: Column) -> Column:

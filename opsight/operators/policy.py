@@ -159,9 +159,7 @@ def _tables_with_record(facts: SchemaFacts) -> DataFrame:
         F.col("base_table").alias("_table"), "recname", "rectype", F.lit("").alias("_suffix"),
         F.lit(0).alias("_pass"),
     )
-    numbered = numbered_instances(facts.records.where(F.col("rectype") == 7)).where(
-        F.col("instance") <= 99
-    ).select(F.col("table_name").alias("_table"), "recname", "rectype",
+    numbered = numbered_instances(facts.records.where(F.col("rectype") == 7)).select(F.col("table_name").alias("_table"), "recname", "rectype",
              F.col("instance").cast("string").alias("_suffix"), F.lit(1).alias("_pass"))
     # a name found directly is not searched among instances
     both = base.unionByName(numbered)

@@ -61,30 +61,32 @@ def _padded(parts: Column, n: int) -> Column:
     return F.slice(F.concat(parts, F.array(*[F.lit("")] * n)), 1, n)
 
 
-def _access_parts(ip: int, query: Callable[[Column], Column], before: int):
-    """The first `before` raw fields, then 4 octets, then the query slots."""
+def _access_parts(ip: int, query: Callable[[Column], Column], before: int, slots: int):
+    """The first `before` raw fields, then 4 octets, the query slots and what is left of the query."""
 
     def refine(raw: Column) -> Column:
         octets = F.split(F.coalesce(F.get(raw, F.lit(ip)), F.lit("")), r"\.", 4)
-        slots = F.split(F.coalesce(query(raw), F.lit("")), "&", -1)
-        return F.concat(_padded(raw, before), _padded(octets, 4), _padded(slots, 8))
+        pieces = F.split(F.coalesce(query(raw), F.lit("")), "&", -1)
+        rest = F.array_join(F.slice(pieces, slots + 1, F.size(pieces)), "&")
+        return F.concat(_padded(raw, before), _padded(octets, 4), _padded(pieces, slots), F.array(rest))
 
     return refine
 
 
-def _access_fields(raw: Column, octets: int, drop_first: bool):
-    """Octets and query slots. Slots beyond the eighth are dropped; drop_first
-    cuts the first character of the first slot."""
+def _access_fields(raw: Column, octets: int, drop_first: bool, slots: int):
+    """Octets and query slots. What follows the last slot is in query_rest;
+    drop_first cuts the first character of the first slot."""
     out = {f"remote_host{i + 1}": _text(_item(raw, octets + i)) for i in range(4)}
-    for i in range(8):
+    for i in range(slots):
         slot = F.get(raw, F.lit(octets + 4 + i))
         if i == 0 and drop_first:
             slot = F.substring(slot, 2, 2**31 - 1)
         out[f"query_string{i + 1}"] = _text(empty_to_null(slot))
+    out["query_rest"] = _text(empty_to_null(F.get(raw, F.lit(octets + 4 + slots))))
     return out
 
 
-def _access_rules() -> dict[str, Column]:
+def _access_rules(max_url: int | None) -> dict[str, Column]:
     required = ("timestamp", "duration", "bytes_sent", "url") + tuple(
         f"remote_host{i}" for i in range(1, 5)
     )
@@ -92,21 +94,25 @@ def _access_rules() -> dict[str, Column]:
     for i in range(1, 5):
         rules[f"remote_host{i} too long"] = F.length(f"remote_host{i}") <= 3
     rules["request_method too long"] = F.length("request_method") <= 8
-    rules["url too long"] = F.length("url") <= 4000
+    if max_url is not None:
+        rules["url too long"] = F.length("url") <= max_url
     return rules
 
 
-def pipe_access_log(drop_first: bool = True) -> LogFormat:
+def pipe_access_log(
+    drop_first: bool = True, slots: int = 8, bytes_digits: int = 7, max_url: int | None = None,
+) -> LogFormat:
     """S1: '|'-separated access log. The fourth field is skipped; the tenth is
-    the whole rest of the line, a query string."""
+    the whole rest of the line, a query string. Sizes of more than bytes_digits
+    digits and URLs longer than max_url are rejected."""
 
     def fields(raw):
         stamp, status = _item(raw, 0), F.nullif(_item(raw, 6), F.lit("-"))
-        parts = _access_fields(raw, 9, drop_first)
+        parts = _access_fields(raw, 9, drop_first, slots)
         return {
             "timestamp": (stamp, F.try_to_timestamp(stamp, F.lit("yyyy.MM.dd HH:mm:ss"))),
             "duration": _number(_item(raw, 1), "decimal(9,3)"),
-            "bytes_sent": _number(_item(raw, 2), "decimal(7,0)"),
+            "bytes_sent": _number(_item(raw, 2), f"decimal({bytes_digits},0)"),
             **{c: v for c, v in parts.items() if c.startswith("remote")},
             "user_agent": _text(_item(raw, 5)),
             "return_status": _number(status, "decimal(3,0)"),
@@ -117,11 +123,13 @@ def pipe_access_log(drop_first: bool = True) -> LogFormat:
 
     return LogFormat(
         lambda line: F.split(line, r"\|", 10), fields,
-        _access_parts(4, lambda raw: F.get(raw, F.lit(9)), 9), rules=_access_rules(),
+        _access_parts(4, lambda raw: F.get(raw, F.lit(9)), 9, slots), rules=_access_rules(max_url),
     )
 
 
-def w3c_access_log(drop_first: bool = True) -> LogFormat:
+def w3c_access_log(
+    drop_first: bool = True, slots: int = 8, bytes_digits: int = 7, max_url: int | None = None,
+) -> LogFormat:
     """Blank- or tab-separated access log with '#' header lines, which are
     discarded. The time is columns 1-19. Since this log has no leading '?', the
     cut of the first character costs slot 1 a real one: drop_first=False keeps it.
@@ -135,11 +143,11 @@ def w3c_access_log(drop_first: bool = True) -> LogFormat:
 
     def fields(raw):
         stamp, status = _item(raw, 0), F.nullif(_item(raw, 6), F.lit("-"))
-        parts = _access_fields(raw, 9, drop_first)
+        parts = _access_fields(raw, 9, drop_first, slots)
         return {
             "timestamp": (stamp, F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss"))),
             "duration": _number(_item(raw, 1), "decimal(9,3)"),
-            "bytes_sent": _number(_item(raw, 2), "decimal(7,0)"),
+            "bytes_sent": _number(_item(raw, 2), f"decimal({bytes_digits},0)"),
             **{c: v for c, v in parts.items() if c.startswith("remote")},
             "remote_dns": _text(_item(raw, 4)),
             "request_method": _text(_item(raw, 5)),
@@ -149,12 +157,12 @@ def w3c_access_log(drop_first: bool = True) -> LogFormat:
             **{c: v for c, v in parts.items() if c.startswith("query")},
         }
 
-    rest = _access_parts(3, lambda raw: F.array_join(F.slice(raw, 10, 1000), " "), 9)
+    rest = _access_parts(3, lambda raw: F.array_join(F.slice(raw, 10, F.greatest(F.size(raw), F.lit(1))), " "), 9, slots)
     return LogFormat(cut, fields, rest, lambda line: ~F.startswith(line, F.lit("#")),
-                     _access_rules())
+                     _access_rules(max_url))
 
 
-def service_trace(queue: str, tz_shift_hours: int = 1) -> LogFormat:
+def service_trace(queue: str, tz_shift_hours: int = 1, pid_digits: int = 6) -> LogFormat:
     """S3: '@' lines of a service trace. Times come as epoch seconds, shifted by
     a fixed number of hours, and as milliseconds. The fifth field (end date) is
     taken up by the constant queue."""
@@ -165,7 +173,7 @@ def service_trace(queue: str, tz_shift_hours: int = 1) -> LogFormat:
         start, end = _item(raw, 3), _item(raw, 5)
         return {
             "service": _text(empty_to_null(F.substring(_item(raw, 0), 2, 2**31 - 1))),
-            "pid": _number(_item(raw, 1), "decimal(6,0)"),
+            "pid": _number(_item(raw, 1), f"decimal({pid_digits},0)"),
             "stimestamp": (epoch, shifted),
             "stime": (start, (start.try_cast("double") / 1000).cast("decimal(13,3)")),
             "queue": _text(F.lit(queue)),
@@ -186,14 +194,16 @@ _TRACE_TAIL = (
 )
 
 
-def sql_trace(log_date: str, has_program: bool = True) -> LogFormat:
+def sql_trace(log_date: str, has_program: bool = True, max_text: int | None = None) -> LogFormat:
     """SQL trace. Server lines start with 'program.pid'; client lines lack it
-    and get 'Client' and 0. Lines carry a time only; log_date gives the day."""
+    and get 'Client' and 0. Lines carry a time only; log_date gives the day.
+    Statements are whole unless max_text gives a length to cut them at."""
     head = r"^\s*([^.\s]*)\.(\S+)\s+" if has_program else r"^()()\s*"
 
     def fields(raw):
         time = _item(raw, 4)
-        operation = empty_to_null(F.substring(F.get(raw, F.lit(10)), 1, 4000))
+        operation = F.get(raw, F.lit(10))
+        operation = empty_to_null(operation if max_text is None else F.substring(operation, 1, max_text))
         program, pid = _item(raw, 0), _item(raw, 1)
         return {
             "program": (program, F.coalesce(program, F.lit("Client"))),
@@ -221,7 +231,7 @@ def sql_trace(log_date: str, has_program: bool = True) -> LogFormat:
 MESSAGE_FUNCTIONS = ("tpservice", "tpreturn")  # fixed values
 
 
-def message_log(log_date: str) -> LogFormat:
+def message_log(log_date: str, size_digits: int = 8) -> LogFormat:
     """Middleware message log. `service` keeps the '{"' and quotes of its
     token; for a tpreturn it holds the return code."""
     pattern = (
@@ -238,7 +248,7 @@ def message_log(log_date: str) -> LogFormat:
             "prcsid": _text(_item(raw, 3)),
             "funcname": _text(_item(raw, 4)),
             "service": _text(_item(raw, 5)),
-            "msg_size": _number(_item(raw, 6), "decimal(8,0)"),
+            "msg_size": _number(_item(raw, 6), f"decimal({size_digits},0)"),
         }
 
     required = ("timestamp", "nodename", "prcsname", "prcsid", "funcname", "service")

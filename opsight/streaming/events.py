@@ -177,10 +177,11 @@ def next_sequence(
 def append_messages(
     messages: DataFrame, existing: DataFrame, order: Sequence[str],
     instance: str = "process_instance", text: str = "message", severity: str = "severity",
-    max_group_rows: int | None = None,
+    max_group_rows: int | None = None, max_parts: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Message headers and their text pieces, numbered per process after
-    the messages it already has. Messages without a process or text are ignored."""
+    the messages it already has. Messages without a process or text are ignored.
+    max_parts keeps the first pieces of a text only; by default it is stored whole."""
     valid = messages.where((F.col(instance) > 0) & F.col(text).isNotNull() & (F.col(text) != ""))
     numbered = next_sequence(valid, existing, instance, order, "message_seq", max_group_rows)
     header = numbered.select(
@@ -189,7 +190,7 @@ def append_messages(
         F.coalesce(F.col(severity), F.lit(0)).alias("message_severity"),
     )
     pieces = numbered.select(
-        instance, "message_seq", F.posexplode(text_chunks(text)).alias("_p", "message_parm")
+        instance, "message_seq", F.posexplode(text_chunks(text, max_parts=max_parts)).alias("_p", "message_parm")
     ).select(instance, "message_seq", (F.col("_p") + 1).alias("parm_seq"), "message_parm")
     return header, pieces
 

@@ -180,19 +180,19 @@ def ingest_client_sql_trace(events):
 
 def _message_lines(events):
     call = F.when(F.col("event_type") == "click", F.concat(
-        F.lit('{ tpservice({"S'), _s("user_id"), F.lit('", 0x0, 0x27a20e0, '), _s("event_id"),
-        F.lit(", 0, -1, {1082411597, 0, 30}})")))
+        F.lit('{ tpservice({"S'), _s("user_id"), F.lit('", 0x0, 0xabc, '), _s("event_id"),
+        F.lit(", 0, -1, {5, 0, 30}})")))
     call = call.when(F.col("event_type") == "view", F.concat(
-        F.lit("{ tpreturn(2, 0, 0x27dfd10, "), _s("event_id"), F.lit(", 0x0)")))
-    call = call.otherwise(F.concat(F.lit('{ tpalloc("CARRAY", "", '), _s("event_id"), F.lit(")")))
+        F.lit("{ tpreturn(2, 0, 0x123, "), _s("event_id"), F.lit(", 0x0)")))
+    call = call.otherwise(F.concat(F.lit('{ tpalloc("BYTES", "", '), _s("event_id"), F.lit(")")))
     return events.select(F.concat(
-        _stamp("HHmmss"), F.lit(".NODE-3!PSAPPSRV."), _s("user_id"), F.lit(".1060.0: TRACE:at:  "),
+        _stamp("HHmmss"), F.lit(".UNIT-9!SHOPSRV."), _s("user_id"), F.lit(".7.5: TRACE:at:  "),
         call).alias("value"))
 
 
 @query("events", sql="""
 SELECT CAST(floor(epoch(ts)) - epoch(date_trunc('day', ts)) AS BIGINT) AS time_of_day,
-  'NODE-3' AS nodename, concat(user_id, '.1060.0') AS prcsid,
+  'UNIT-9' AS nodename, concat(user_id, '.7.5') AS prcsid,
   CASE event_type WHEN 'click' THEN 'tpservice' ELSE 'tpreturn' END AS funcname,
   CASE event_type WHEN 'click' THEN concat('{"S', user_id, '"') ELSE '2' END AS service,
   event_id AS msg_size FROM events WHERE event_type IN ('click', 'view')""")

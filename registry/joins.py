@@ -358,12 +358,16 @@ def _trace(events):
         .when(F.col("event_type") == "error", "Fetch").otherwise("Other").alias("operation"))
 
 
+PARENT = """
+m AS (SELECT f.line_num, max(s.line_num) AS parent FROM x f JOIN x s ON s.cursor = f.cursor
+  AND s.line_num < f.line_num AND s.at <= f.at WHERE f.operation = 'Fetch'
+  AND s.operation LIKE 'COM Stmt=%' GROUP BY 1)
+SELECT x.line_num, CASE WHEN operation = 'Fetch' THEN coalesce(parent, -1) ELSE 0 END
+  AS parent_line_num FROM x LEFT JOIN m USING (line_num)"""
+
+
 @query("events", sql=f"""
-WITH {TRACE}
-SELECT line_num, CASE WHEN operation = 'Fetch' THEN coalesce(max(CASE WHEN operation LIKE 'COM Stmt=%'
-    THEN line_num END) OVER (PARTITION BY cursor ORDER BY line_num
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) ELSE 0 END AS parent_line_num
-FROM t""")
+WITH {TRACE}, x AS (SELECT line_num, cursor, operation, floor(epoch(stamp)) AS at FROM t), {PARENT}""")
 def asof_parent(events):
     """Fetches with the statement they belong to."""
     return joins.asof_parent(_trace(events)).select("line_num", "parent_line_num")
@@ -371,15 +375,24 @@ def asof_parent(events):
 
 @query("events", sql=f"""
 WITH {TRACE}, x AS (SELECT line_num, cursor, operation,
-    floor(epoch(stamp)) - epoch(date_trunc('day', stamp)) AS sod FROM t),
-m AS (SELECT f.line_num, max(s.line_num) AS parent FROM x f JOIN x s ON s.cursor = f.cursor
-  AND s.line_num < f.line_num AND s.sod <= f.sod WHERE f.operation = 'Fetch'
-  AND s.operation LIKE 'COM Stmt=%' GROUP BY 1)
-SELECT x.line_num, CASE WHEN operation = 'Fetch' THEN coalesce(parent, -1) ELSE 0 END
-  AS parent_line_num FROM x LEFT JOIN m USING (line_num)""")
+    floor(epoch(stamp)) - epoch(date_trunc('day', stamp)) AS at FROM t), {PARENT}""")
 def asof_parent_time_of_day(events):
-    """J9 where times are times of day and wrap at midnight."""
-    return joins.asof_parent(_trace(events), times_wrap=True).select("line_num", "parent_line_num")
+    """J9 on a log whose times go back: they are times of day and wrap at midnight."""
+    trace = _trace(events)
+    second = F.pmod(F.unix_seconds(F.col("timestamp").cast("timestamp")), F.lit(86400))
+    return joins.asof_parent(trace.withColumn("timestamp", F.timestamp_seconds(second))).select(
+        "line_num", "parent_line_num")
+
+
+@query("events", sql=f"""
+WITH {TRACE}
+SELECT line_num, CASE WHEN operation = 'Fetch' THEN coalesce(max(CASE WHEN operation LIKE 'COM Stmt=%'
+    THEN line_num END) OVER (PARTITION BY cursor ORDER BY line_num
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) ELSE 0 END AS parent_line_num
+FROM t""")
+def asof_parent_by_line(events):
+    """J9 without the time test."""
+    return joins.asof_parent(_trace(events), monotone=True).select("line_num", "parent_line_num")
 
 
 DATED = """
@@ -423,32 +436,36 @@ def effective_dated_lookup_per_row(orders, lineitem):
 
 
 STREAMS = """
-strm AS (SELECT s_suppkey AS strm_num, s_suppkey * 15 AS emplid_from, s_suppkey * 15 + 9 AS emplid_to
-         FROM supplier)"""
+strm AS (SELECT s_suppkey AS strm_num, s_suppkey * 15 AS emplid_from,
+           s_suppkey * 15 + s_suppkey % 40 AS emplid_to FROM supplier)"""
 
 
 def _streams(supplier):
     return supplier.select(
         F.col("s_suppkey").alias("strm_num"), (F.col("s_suppkey") * 15).alias("emplid_from"),
-        (F.col("s_suppkey") * 15 + 9).alias("emplid_to"))
+        (F.col("s_suppkey") * 15 + F.col("s_suppkey") % 40).alias("emplid_to"))
 
 
 @query("customer", "supplier", sql=f"""
 WITH {STREAMS}
 SELECT c_custkey, strm_num FROM customer JOIN strm ON c_custkey BETWEEN emplid_from AND emplid_to""")
 def range_assign(customer, supplier):
-    """J13 with a range table of checked size."""
+    """J13 with ranges that overlap."""
     return joins.range_assign(customer, _streams(supplier), "c_custkey", "emplid_from",
                               "emplid_to").select("c_custkey", "strm_num")
 
 
 @query("customer", "supplier", sql=f"""
 WITH {STREAMS}
-SELECT c_custkey, strm_num FROM customer JOIN strm ON c_custkey BETWEEN emplid_from AND emplid_to""")
+SELECT c_name, strm_num FROM customer JOIN strm ON c_name BETWEEN
+  concat('Customer#', lpad(CAST(emplid_from AS VARCHAR), 9, '0')) AND
+  concat('Customer#', lpad(CAST(emplid_to AS VARCHAR), 9, '0'))""")
 def range_assign_by_scan(customer, supplier):
-    """J13 as it runs when the range table is too large to broadcast."""
-    return joins.range_assign(customer, _streams(supplier), "c_custkey", "emplid_from",
-                              "emplid_to", max_broadcast=0).select("c_custkey", "strm_num")
+    """J13 with ranges of texts."""
+    name = lambda c: F.concat(F.lit("Customer#"), F.lpad(F.col(c).cast("string"), 9, "0")).alias(c)
+    named = _streams(supplier).select("strm_num", name("emplid_from"), name("emplid_to"))
+    return joins.range_assign(customer, named, "c_name", "emplid_from", "emplid_to").select(
+        "c_name", "strm_num")
 
 
 @query("cat_objects", "cat_named", sql="""

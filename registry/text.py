@@ -14,31 +14,26 @@ u AS (SELECT page_id, url, CASE WHEN strpos(url, '?') > 0
 WITH {URL_PARTS}
 SELECT page_id, nullif(substr(split_part(q, '&', 1), 2), '') AS query_string1,
   nullif(split_part(q, '&', 2), '') AS query_string2,
-  nullif(split_part(q, '&', 3), '') AS query_string3 FROM u""")
+  nullif(split_part(q, '&', 3), '') AS query_string3,
+  nullif(array_to_string(string_split(q, '&')[2:], '&'), '') AS query_rest FROM u""")
 def split_query_string(pages):
     """P1."""
     at = F.instr("url", "?")
     q = pages.select("page_id", F.when(at > 0, F.substr(F.col("url"), at)).otherwise("").alias("q"))
-    return text.split_query_string(q, "q", drop_first=True).select(
-        "page_id", "query_string1", "query_string2", "query_string3")
+    all_slots = text.split_query_string(q, "q", drop_first=True)
+    rest = text.split_query_string(q, "q", 1).select("page_id", "query_rest")
+    return all_slots.drop("query_rest").join(rest, "page_id").select(
+        "page_id", "query_string1", "query_string2", "query_string3", "query_rest")
 
 
 @query("documents", sql="""
-SELECT doc_id, concat(replace(replace(text, '%', '%25'), ' ', '+'), '|', source, '=a b') AS decoded
-FROM documents WHERE NOT contains(text, '%')
-UNION ALL
-SELECT doc_id, concat(text, '%20', source) FROM documents WHERE contains(text, '%')""")
+SELECT doc_id, concat(replace(text, ' ', '+'), '|100%&', source, '=a b%zé% ', text) AS decoded FROM documents""")
 def percent_decode(documents):
-    """Texts encoded by replacement are read back; '+' stays as it is."""
-    plain = ~F.contains(F.col("text"), F.lit("%"))
-    encoded = F.when(
-        plain, F.concat(F.replace(F.col("text"), F.lit(" "), F.lit("+")), F.lit("%7C"), "source",
-                        F.lit("%3Da%2520b"))
-    ).otherwise(F.concat("text", F.lit("%20"), "source"))
-    rows = documents.select("doc_id", encoded.alias("decoded"), plain.alias("plain"))
-    done = text.percent_decode(rows, ["decoded"])
-    # texts with a bare '%' are no valid code: they stay as they are
-    return done.select("doc_id", "decoded")
+    """Good, bad and doubly coded parts in one text; '+' stays as it is."""
+    encoded = F.concat(
+        F.replace(F.col("text"), F.lit(" "), F.lit("+")), F.lit("%7C100%&"), "source",
+        F.lit("%3Da%2520b%z%C3%A9% "), "text")
+    return text.percent_decode(documents.select("doc_id", encoded.alias("decoded")), ["decoded"])
 
 
 @query("pages", sql="""
@@ -125,9 +120,9 @@ def session_tags(requests):
     return requests.select(
         "prcsinstance",
         text.session_tag("prcstype", "prcsname", "prcsinstance", "servernamerun").alias("tag"),
-        text.status_comment("prcstype", "prcsname", "prcsinstance", F.lit("Start"), "oprid").alias(
+        text.status_comment("prcstype", "prcsname", "prcsinstance", F.lit("Start"), "oprid", 160).alias(
             "comment"),
-        text.action_tag("prcsinstance", F.concat("servernamerun", F.lit(" "), "oprid")).alias(
+        text.action_tag("prcsinstance", F.concat("servernamerun", F.lit(" "), "oprid"), 32).alias(
             "action"))
 
 

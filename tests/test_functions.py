@@ -17,7 +17,7 @@ def one(spark, column):
 def test_query_slots(frame):
     df = frame("q string", ("?a=1&b=&c=3&d&e&f&g&h&ninth",), ("-",), (None,))
     got = text.split_query_string(df, "q", drop_first=True).drop("q").collect()
-    assert tuple(got[0]) == ("a=1", "b=", "c=3", "d", "e", "f", "g", "h")
+    assert tuple(got[0]) == ("a=1", "b=", "c=3", "d", "e", "f", "g", "h", "ninth")
     assert got[1][0] is None  # '-' loses its only character
     assert got[2][0] is None
     assert text.split_query_string(df, "q").collect()[1][1] == "-"
@@ -25,7 +25,8 @@ def test_query_slots(frame):
 
 @pytest.mark.parametrize("raw, want", [
     ("a%20b+c", "a b+c"), ("%2541", "A"), ("%25252541", "A"), ("%", "%"), ("%zz", "%zz"),
-    ("plain", "plain"), ("%252525252525252541", "A"), (None, None),
+    ("plain", "plain"), ("%252525252525252541", "A"), (None, None), ("a=100%&b=x%20y", "a=100%&b=x y"),
+    ("%zz%41%", "%zzA%"), ("%%34%31", "A"), ("%C3%A9%2", "é%2"), ("", ""),
 ])
 def test_percent_decode(frame, raw, want):
     df = frame("s string", (raw,))
@@ -72,8 +73,8 @@ def test_labels_and_tags(spark):
     assert one(spark, text.session_tag(F.lit("SQR Report"), F.lit("A-B"), F.lit(7))) == (
         "SQR_Report_A_B_7")
     assert len(one(spark, text.status_comment(
-        F.lit("x" * 200), F.lit("n"), F.lit(1), F.lit("End"), F.lit("o")))) == 160
-    assert one(spark, text.action_tag(F.lit(12), F.lit("y" * 40))) == "PI=12:" + "y" * 26
+        F.lit("x" * 200), F.lit("n"), F.lit(1), F.lit("End"), F.lit("o"), 160))) == 160
+    assert one(spark, text.action_tag(F.lit(12), F.lit("y" * 40), 32)) == "PI=12:" + "y" * 26
     assert one(spark, text.decode_codes(null, {"a": "A", None: "nothing"})) == "nothing"
 
 

@@ -174,7 +174,7 @@ def test_parent_with_wrapped_times(frame, limit):
     data = [(rnd.choice([1, 1, 2]), i, at(rnd.randint(0, 86399)),
              rnd.choice(["COM Stmt=x", "Fetch", "Fetch", "Other"])) for i in range(150)]
     df = frame("c int, n int, t timestamp, operation string", *data)
-    got = joins.asof_parent(df, ["c"], "n", "operation", "t", True, limit)
+    got = joins.asof_parent(df, ["c"], "n", "operation", "t", max_group_rows=limit)
     want = []
     for c, n, t, op in data:
         parents = [m for d, m, u, o in data if d == c and m < n and u <= t and o[:3] == "COM"]
@@ -203,12 +203,30 @@ def test_effective_date_then_status(frame):
         ("9", at(0), "Done")]
 
 
-@pytest.mark.parametrize("bound", [0, 100])
-def test_range_assign(frame, bound):
-    ranges = frame("g int, lo int, hi int", (1, 0, 4), (2, 10, 14))
-    df = frame("v int", *[(v,) for v in (0, 4, 5, 9, 10, 14, 15, 4)])
-    got = joins.range_assign(df, ranges, "v", "lo", "hi", max_broadcast=bound)
-    assert rows(got, "v", "g") == [(0, 1), (10, 2), (14, 2), (4, 1), (4, 1)]
+def test_range_assign(frame):
+    spans = ((1, 0, 100), (2, 10, 20), (3, 50, 60), (4, 7, 6), (5, -9, -9), (6, -20, 15))
+    ranges = frame("g int, lo int, hi int", *spans)
+    values = (15, 55, 70, 15, 0, 100, 101, -9, -21, 10, 20, 21)
+    got = joins.range_assign(frame("v int", *[(v,) for v in values]), ranges, "v", "lo", "hi")
+    assert rows(got, "v", "g") == sorted(
+        ((v, g) for v in values for g, lo, hi in spans if lo <= v <= hi), key=repr)
+    nothing = joins.range_assign(frame("v int", (1,)), ranges.limit(0), "v", "lo", "hi")
+    assert nothing.count() == 0
+
+
+def test_range_assign_of_texts_and_fractions(frame):
+    spans = (("a", "employee07", "employee11"), ("b", "B", "f"), ("c", "employee11", "employee11"))
+    words = ("employee06", "employee07", "employee10", "employee11x", "employee11", "C", "é", "")
+    got = joins.range_assign(frame("v string", *[(w,) for w in words]),
+                             frame("g string, lo string, hi string", *spans), "v", "lo", "hi")
+    assert rows(got, "v", "g") == sorted(
+        ((v, g) for v in words for g, lo, hi in spans if lo <= v <= hi), key=repr)
+    parts = ((1, 0.5, 0.7), (2, 0.6, 3.2))
+    numbers = (0.4, 0.5, 0.65, 3.2, 3.3)
+    got = joins.range_assign(frame("v double", *[(v,) for v in numbers]),
+                             frame("g int, lo double, hi double", *parts), "v", "lo", "hi")
+    assert rows(got, "v", "g") == sorted(
+        ((v, g) for v in numbers for g, lo, hi in parts if lo <= v <= hi), key=repr)
 
 
 def test_interval_join_with_open_end(frame):

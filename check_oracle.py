@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -17,12 +18,13 @@ from registry import ORACLE, QUERIES
 from registry.fixtures import SOURCES
 
 
-def session() -> SparkSession:
+def session(shared: str) -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]").appName("check")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", shared).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     if "MAX_GROUP_ROWS" in os.environ:
@@ -66,10 +68,15 @@ def compare(spark, con, name: str, sf_dir: str) -> str:
 
 
 def main() -> int:
+    with tempfile.TemporaryDirectory() as shared:
+        return check(shared)
+
+
+def check(shared: str) -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
     names = sys.argv[2:] or list(QUERIES)
     sf_dir = f"/root/testdata/{sf}"
-    spark = session()
+    spark = session(shared)
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in (*SOURCES, "embeddings"):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsight.operators.ranking import cumulative_by_value, share
 from opsight.operators.scan import (
-    broadcast_if_small, last_before, null_safe, ordered_scan, row_number, running_sum,
+    last_before, null_safe, ordered_scan, row_number, running_sum,
 )
 
 
@@ -44,7 +44,6 @@ def message_log_cdf(df: DataFrame, size: str, max_group_rows: int | None = None)
     table = cumulative_by_value(
         shares, size, {"prop_msg": "_rn", "prop_bndw": "_rb"}, (), max_group_rows
     ).withColumnRenamed(size, "_size")
-    table = broadcast_if_small(table)
     return df.join(table, df[size].eqNullSafe(table["_size"])).drop("_size")
 
 
@@ -87,7 +86,6 @@ def rowwise_cdf(
     totals = df.groupBy(F.col(file).alias("_file")).agg(
         F.count(F.lit(1)).alias("_lines"), F.sum(size).alias("_total")
     )
-    totals = broadcast_if_small(totals)
     return (
         scanned.join(totals, null_safe(scanned, totals, [(file, "_file")]))
         .where(F.col(size) > 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsight.functions.timegrid import to_seconds
 from opsight.operators.scan import (
-    broadcast_if_small, group_row_limit, largest_group, last_before, null_safe, ordered_scan,
+    group_row_limit, largest_group, last_before, null_safe, ordered_scan,
     running_sum,
 )
 
@@ -23,9 +23,9 @@ def star_join(
     the system applies to the small side before samples are touched."""
     if dbnames is not None:
         systems = systems.where(F.col("dbname").isin(list(dbnames)))
-    hosts = broadcast_if_small(agents.join(systems, "pm_systemid"))
+    hosts = agents.join(systems, "pm_systemid")
     return samples.join(hosts, "pm_agentid").join(
-        broadcast_if_small(definitions), ["pm_event_defn_set", "pm_event_defn_id"]
+        definitions, ["pm_event_defn_set", "pm_event_defn_id"]
     )
 
 
@@ -69,10 +69,10 @@ def transaction_detail(
     if top_instance is not None:
         transactions = transactions.where(F.col("pm_top_inst_id") == top_instance)
     key = ["pm_trans_defn_set", "pm_trans_defn_id"]
-    labelled = broadcast_if_small(with_metric_labels(definitions, metrics, key))
-    hosts = broadcast_if_small(agents.join(systems, "pm_systemid"))
+    labelled = with_metric_labels(definitions, metrics, key)
+    hosts = agents.join(systems, "pm_systemid")
     out = transactions.join(hosts, "pm_agentid").join(labelled, key)
-    names = broadcast_if_small(contexts.select("pm_contextid", "pm_contextlabel"))
+    names = contexts.select("pm_contextid", "pm_contextlabel")
     for i in (1, 2, 3):
         ctx = names.select(F.col("pm_contextid").alias(f"pm_contextid_{i}"),
                            F.col("pm_contextlabel").alias(f"pm_contextlabel{i}"))
@@ -135,7 +135,7 @@ def left_join_after_topn(top: DataFrame, definitions: DataFrame, on: Sequence[st
 def session_sample_snapshot_join(samples: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Samples with the snapshot they belong to."""
     return samples.join(
-        broadcast_if_small(snapshots), ["snap_id", "dbid", "instance_number"]
+        snapshots, ["snap_id", "dbid", "instance_number"]
     )
 
 
@@ -145,27 +145,26 @@ def interval_join(
 ) -> DataFrame:
     """Points with the intervals of the same key that contain them.
 
-    Both sides are cut into time bins: an interval is repeated once per bin it
-    touches, a point has one bin, and (key, bin) is an equi-join key. A busy key
-    is thereby spread over its bins. An open end counts as as_of.
+    Time is cut into bins. An interval is filed under the dyadic blocks that make
+    up its bins, at most two per level however long it is; a point asks for its
+    block at each level that occurs, and (key, level, block) is an equi-join key.
+    A busy key is thereby spread over its blocks. An open end counts as as_of.
     """
     stop = F.col(end) if as_of is None else F.coalesce(
         F.col(end).cast("timestamp"), F.lit(as_of).cast("timestamp")
     )
-    binned = intervals.withColumn("_stop", stop).withColumn(
-        "_bin",
-        F.explode(F.sequence(
-            F.floor(to_seconds(begin) / bin_seconds),
-            F.greatest(F.floor(to_seconds("_stop") / bin_seconds),
-                       F.floor(to_seconds(begin) / bin_seconds)),
-        )),
-    )
-    placed = points.withColumn("_pbin", F.floor(to_seconds(ts) / bin_seconds))
-    cond = placed["_pbin"] == binned["_bin"]
+    bin_of = lambda c: F.floor(to_seconds(c) / bin_seconds).cast("long")
+    closed = intervals.withColumn("_stop", stop)
+    binned = closed.withColumn(
+        "_b", F.explode(_blocks_covering(bin_of(begin), F.greatest(bin_of(begin), bin_of("_stop")), RANGE_LEVELS))
+    ).withColumn("_bin", F.col("_b.node")).withColumn("_level", F.col("_b.level")).drop("_b")
+    placed = points.withColumn("_plevel", F.explode(binned.agg(F.collect_set("_level")).scalar()))
+    placed = placed.withColumn("_pbin", _shift_right(bin_of(ts), F.col("_plevel")))
+    cond = (placed["_pbin"] == binned["_bin"]) & (placed["_plevel"] == binned["_level"])
     for left, right in on:
         cond = cond & (placed[left] == binned[right])
     cond = cond & (placed[ts] >= binned[begin]) & (placed[ts] <= binned["_stop"])
-    return placed.join(binned, cond).drop("_pbin", "_bin", "_stop")
+    return placed.join(binned, cond).drop("_pbin", "_bin", "_plevel", "_level", "_stop")
 
 
 def sample_interval_join(
@@ -302,7 +301,6 @@ def effective_dated_lookup(
     active = known.where(F.col(f"_e.{status}") == "A").select(
         "_code", F.col(f"_e.{label}").alias("_label")
     )
-    active = broadcast_if_small(active)
     return df.join(active, df[code] == active["_code"], "left").select(
         *df.columns, F.coalesce("_label", missing).alias(name)
     )

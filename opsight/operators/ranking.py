@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsight.operators.scan import broadcast_if_small, null_safe, ordered_scan, running_sum
+from opsight.operators.scan import null_safe, ordered_scan, running_sum
 
 MAX_BROADCAST_RANKS = 100_000
 
@@ -73,7 +73,6 @@ def share(
     totals = df.groupBy(*by).agg(*sums)
     totals = totals.select(*[F.col(k).alias(f"_b_{k}") for k in by],
                            *[f"_t{i}" for i in range(len(sums))])
-    totals = broadcast_if_small(totals)
     cond = null_safe(df, totals, [(k, f"_b_{k}") for k in by])
     return df.join(totals, cond).select(*df.columns, *fractions)
 
@@ -99,7 +98,6 @@ def cumulative(
     value. Rows are summed per value first; only distinct values are scanned."""
     table = cumulative_by_value(df, order, measures, keys, max_group_rows, descending)
     table = table.select(*[F.col(c).alias(f"_b_{c}") for c in (*keys, order)], *measures)
-    table = broadcast_if_small(table)
     cond = null_safe(df, table, [(c, f"_b_{c}") for c in (*keys, order)])
     return df.join(table, cond).select(*df.columns, *measures)
 

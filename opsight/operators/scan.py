@@ -20,7 +20,6 @@ from opsight.session import stable
 
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 MAX_GROUP_ROWS_CONF = "spark.opsight.maxGroupRows"
-MAX_CHUNKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -78,24 +77,18 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int):
     """(groups of at most limit rows, larger groups or None, rows in the larger).
 
     The counting pass reads only the key columns and combines before its
-    shuffle. At most total_rows / limit keys can be hot, so that list is small.
+    shuffle. The hot keys stay a table; only the sum of their rows is read here.
     """
     if not keys:
         total = df.count()
         return (df, None, 0) if total <= limit else (None, df, total)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    rows = hot.collect()
-    if not rows:
+    hot = stable(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
+    rows = hot.agg(F.sum("_n")).first()[0]
+    if rows is None:
         return df, None, 0
-    schema = hot.schema
-    small = df.sparkSession.createDataFrame(rows, schema)
-    for k in keys:
-        small = small.withColumnRenamed(k, f"_hot_{k}")
+    small = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
     cond = null_safe(df, small, [(k, f"_hot_{k}") for k in keys])
-    small = F.broadcast(small)
-    cold = df.join(small, cond, "left_anti")
-    warm = df.join(small, cond, "left_semi")
-    return cold, warm, sum(r["_n"] for r in rows)
+    return df.join(small, cond, "left_anti"), df.join(small, cond, "left_semi"), rows
 
 
 def largest_group(df: DataFrame, keys: Sequence) -> int:
@@ -154,7 +147,7 @@ def _scan_in_window(df, keys, order, outputs):
 
 def _scan_in_chunks(df, keys, order, outputs, rows, limit):
     columns = df.columns
-    chunks = min(MAX_CHUNKS, max(2, math.ceil(2 * rows / limit)))
+    chunks = max(2, math.ceil(2 * rows / limit))
     ranged = (
         df.select("*", *[s.source.alias(f"_src{i}") for i, s in enumerate(outputs)])
         .repartitionByRange(chunks, *keys, *order)
@@ -205,7 +198,7 @@ def _scan_in_chunks(df, keys, order, outputs, rows, limit):
     carry = edges.select(*[F.col(k).alias(f"_c_{k}") for k in keys],
                          F.col("_chunk").alias("_c_chunk"), *carries)
     cond = null_safe(local, carry, [(k, f"_c_{k}") for k in keys])
-    joined = local.join(F.broadcast(carry), cond & (local["_chunk"] == carry["_c_chunk"]))
+    joined = local.join(carry, cond & (local["_chunk"] == carry["_c_chunk"]))
     final = []
     for i, s in enumerate(outputs):
         loc, car = F.col(f"_loc{i}"), F.col(f"_carry{i}")
@@ -219,14 +212,3 @@ def _scan_in_chunks(df, keys, order, outputs, rows, limit):
             value = F.coalesce(loc, car)
         final.append(value.alias(s.name))
     return joined.select(*columns, *final)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast only when a look at the rows proves the side is small.
-
-    Above the bound no hint is given: Spark then plans a shuffle join, and
-    adaptive execution splits its skewed partitions.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opsight.functions.text import host_of, port_of
 from opsight.functions.timegrid import linear, time_ceil, time_floor, to_seconds
 from opsight.operators.scan import (
-    broadcast_if_small, lag, lead, null_safe, ordered_scan, running_sum,
+    lag, lead, null_safe, ordered_scan, running_sum,
 )
 
 COUNTER = "1"  # metric type of counters; '2' is a gauge, '3' an identifier
@@ -139,7 +139,7 @@ def active_servers(
         & (F.col("pm_event_defn_id") == event_id)
         & F.col("pm_metric_value7").like(process_like)
     )
-    joined = picked.join(broadcast_if_small(live), "pm_agentid")
+    joined = picked.join(live, "pm_agentid")
     return joined.select(
         "dbname", host_of("pm_host_port").alias("pm_host"),
         port_of("pm_host_port").alias("pm_port"), "pm_domain_name",
@@ -167,7 +167,6 @@ def exact_median(
     totals = hist.groupBy(*[F.col(k).alias(f"_b_{k}") for k in keys]).agg(
         F.sum("_n").alias("_total")
     )
-    totals = broadcast_if_small(totals)
     joined = scanned.join(totals, null_safe(scanned, totals, [(k, f"_b_{k}") for k in keys]))
     low = F.floor((F.col("_total") + 1) / 2)
     high = F.ceil((F.col("_total") + 1) / 2)

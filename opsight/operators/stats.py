@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opsight.functions.text import strip_instance_suffix
 from opsight.functions.timegrid import elapsed_seconds, within_days
 from opsight.operators.joins import range_assign
-from opsight.operators.scan import broadcast_if_small, null_safe
+from opsight.operators.scan import null_safe
 
 SUCCESS = (9, 11, 14)  # run statuses of finished, successful processes: fixed values
 
@@ -238,6 +238,6 @@ def total_work_by_group_list(
     segments: DataFrame, lists: DataFrame, value: str = "emplid", group: str = "group_list_id",
 ) -> DataFrame:
     """Segments per group list, by membership."""
-    return segments.join(broadcast_if_small(lists.select(group, value)), value).groupBy(group).agg(
+    return segments.join(lists.select(group, value), value).groupBy(group).agg(
         F.count(F.lit(1)).alias("total_work")
     )

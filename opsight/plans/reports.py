@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from opsight.functions.text import labelled_metric, nth_delimited_tail
 from opsight.functions.timegrid import within_days
 from opsight.operators import distribution, joins, ranking, series, stats
-from opsight.operators.scan import broadcast_if_small
 from opsight.session import stable
 
 top_message_sizes = distribution.message_size_cdf  # R5
@@ -38,12 +37,13 @@ def top_web_queries(
 
 def top_processes(
     requests: DataFrame, definitions: DataFrame, as_of=None, n: int = 5, days: int = 30,
-    by: Sequence[str] = ("prcstype", "prcsname"),
+    by: Sequence[str] = ("prcstype", "prcsname"), named_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """R2: the n processes with the largest total run time, with definitions."""
+    """R2: the n processes with the largest total run time, with definitions, which
+    are found by all columns of `by` or those of named_by."""
     totals = stable(stats.process_durations(requests, by, as_of, days))
     top = ranking.top_n_rank(totals, "dur", n, "prcrnk")
-    return joins.left_join_after_topn(top, definitions, by).orderBy("prcrnk", *by)
+    return joins.left_join_after_topn(top, definitions, named_by or by).orderBy("prcrnk", *by)
 
 
 def ranked_shares(
@@ -208,7 +208,7 @@ def traced_statement_plans(
     if process_instance is not None:
         traced = traced.where(F.col("process_instance") == process_instance)
     stem = F.substr(F.col("detail_id"), F.lit(1), F.length("detail_id") - 1)
-    statements = detail.join(broadcast_if_small(traced), "process_instance").select(
+    statements = detail.join(traced, "process_instance").select(
         "process_instance",
         F.concat("process_name", F.lit("."), "detail_id").alias("statement"),
         F.concat("process_name", F.lit("."), stem, statement_type_from_ascii("detail_id"))

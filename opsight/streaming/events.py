@@ -15,7 +15,7 @@ from opsight.functions.text import (
 )
 from opsight.operators.joins import effective_dated_lookup
 from opsight.operators.scan import (
-    broadcast_if_small, lag, null_safe, ordered_scan, row_number,
+    lag, null_safe, ordered_scan, row_number,
 )
 
 PROCESSING = 7  # run status of a process at work: fixed value
@@ -124,7 +124,7 @@ def progress(
     numbered = ordered_scan(
         running, [instance], [*order, employee], [row_number("_n")], max_group_rows
     )
-    sizes = broadcast_if_small(totals.select(F.col(instance).alias("_i"), "total_work"))
+    sizes = totals.select(F.col(instance).alias("_i"), "total_work")
     return numbered.join(sizes, numbered[instance] == sizes["_i"], "left").select(
         *updates.columns, (F.col("_n") - 1).alias("sofar"),
         F.coalesce("total_work", F.lit(0).cast("long")).alias("totalwork"),
@@ -168,7 +168,6 @@ def next_sequence(
         F.when(F.max(F.col(seq) == 1), F.max(seq)).alias("_max")
     )
     numbered = ordered_scan(rows, [key], order, [row_number("_n")], max_group_rows)
-    used = broadcast_if_small(used)
     return numbered.join(used, null_safe(numbered, used, [(key, "_k")]), "left").select(
         *rows.columns, (F.col("_n") + F.coalesce("_max", F.lit(0))).alias(seq)
     )

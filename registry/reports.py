@@ -66,8 +66,7 @@ def top_processes(requests, nation):
     definitions = nation.select(
         F.concat(F.lit("PRC"), F.col("n_nationkey").cast("string")).alias("prcsname"),
         F.col("n_name").alias("descr"))
-    types = requests.select("prcstype").distinct()
-    out = reports.top_processes(requests, types.crossJoin(definitions), "1996-01-31 00:00:00")
+    out = reports.top_processes(requests, definitions, "1996-01-31 00:00:00", named_by=["prcsname"])
     return out.select("prcstype", "prcsname", big("freq"), big("dur"),
                       F.round("avg_dur", 4).alias("avg_dur"), big("prcrnk"), "descr")
 

@@ -6,7 +6,7 @@ import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
 
-from opsight.operators import scan
+from opsight.operators import ranking, scan
 from opsight.session import shared_dir
 
 
@@ -64,10 +64,14 @@ def test_split_hot_keeps_every_row(spark):
     assert cold.where(F.col("k").isNull()).count() == sum(d[0] is None for d in data)
 
 
-def test_broadcast_only_when_small(spark):
-    small = spark.range(10)
-    assert "broadcast" in scan.broadcast_if_small(small, 10)._jdf.queryExecution().toString()
-    assert "broadcast" not in scan.broadcast_if_small(small, 9)._jdf.queryExecution().toString()
+def test_shares_start_no_job_before_the_action(spark):
+    sc = spark.sparkContext
+    df = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "k string, v double")
+    sc.setJobGroup("plan", "building a plan")
+    ranking.share(df, {"part": "v"})
+    ranking.share(df, {"part": "v"}, ["k"])
+    assert not sc.statusTracker().getJobIdsForGroup("plan")
+    sc.setJobGroup("rest", "")
 
 
 def test_shared_folder_comes_from_the_session(spark):

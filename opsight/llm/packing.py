@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import zstandard
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -33,3 +36,19 @@ def pieces_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     for own in np.split(order, cuts):
         if len(own):
             yield int(part[own[0]]), own
+
+
+def squeezed(text: Column) -> Column:
+    """Binary texts compressed one by one, for shuffles and tables of many texts; null stays null."""
+
+    @F.pandas_udf("binary")
+    def squeeze(texts: pd.Series) -> pd.Series:
+        compress = zstandard.ZstdCompressor(level=1).compress
+        return pd.Series([None if t is None else compress(t) for t in texts], dtype=object)
+
+    return squeeze(text)
+
+
+def opened(block: bytes | None) -> bytes:
+    """A text as it was before `squeezed`; null is empty."""
+    return b"" if block is None else zstandard.ZstdDecompressor().decompress(block)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from opsight.llm.common import written
 from opsight.llm.components import components
-from opsight.llm.packing import pack, pieces_by, unpack
+from opsight.llm.packing import opened, pack, pieces_by, squeezed, unpack
 from opsight.llm.words import batches, mix, runs, words
 
 #: Largest over smallest size in a band.
@@ -307,21 +307,19 @@ def _close(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
     return laid.mapInPandas(compare, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """pairs with `linked`, decided on the texts."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    kept = written(texts.join(needed, "key").dropDuplicates(["key"]), "join-texts")
+def _verified(pairs: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame:
+    """pairs with `linked`, decided on the (squeezed) texts of either key."""
 
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        def own(raw: bytes) -> np.ndarray:
-            data = np.frombuffer(raw, np.uint8)
-            return shingles(data, np.array([0, len(data)]), rule.n)[1]
+        def own(blocks: np.ndarray) -> list[np.ndarray]:
+            raw = [np.frombuffer(opened(b), np.uint8) for b in blocks]
+            return [shingles(data, np.array([0, len(data)]), rule.n)[1] for data in raw]
 
-        return pd.Series([rule.holds(own(x), own(y)) for x, y in zip(left, right, strict=True)])
+        return pd.Series([any(rule.holds(p, q) for p in own(x) for q in own(y)) for x, y in zip(left, right, strict=True)])
 
-    a, b = (kept.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", linked("text_a", "text_b").alias("linked"))
+    a, b = (kept.select(F.col("key").alias(c), F.col("texts").alias(f"texts_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", linked("texts_a", "texts_b").alias("linked"))
 
 
 def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -345,13 +343,16 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     classes = written(same.unionByName(far.select("key", F.coalesce("to", "first").alias("class"))), "join-classes")
     member = met.where("kind = 'member'").join(same, "key", "left")
     member = member.select("sig", "band", "size", F.coalesce("class", "key").alias("key")).dropDuplicates(["sig", "key"])
-    sketched = member.join(told.where("n > 0").dropDuplicates(["key"]), "key")
+    sketched = member.join(told.where("n > 0").distinct(), "key")
+    # texts of all that meet anyone, gathered once
+    few = texts.select("key", squeezed(F.col("text")).alias("text"))
+    kept = written(few.join(member.select("key").distinct(), "key").groupBy("key").agg(F.collect_set("text").alias("texts")), "join-texts")
     nearest = _close(sketched.withColumn("component", F.col("key")), rule, every=False).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = written(_verified(nearest, texts, rule), "join-tried")
+    tried = written(_verified(nearest, kept, rule), "join-tried")
     first = written(components(tried.where("linked").select("a", "b")), "join-components")
     rest = sketched.join(first.select("key", F.col("component").alias("c")), "key", "left").withColumn("component", F.coalesce("c", "key")).drop("c")
     left = _close(rest, rule, every=True).distinct().join(tried, ["a", "b"], "left_anti")
-    last = written(_verified(left, texts, rule), "join-left")
+    last = written(_verified(left, kept, rule), "join-left")
     links = tried.where("linked").select("a", "b").unionByName(last.where("linked").select("a", "b"))
     every = written(components(links), "join-components")
     # a class that joins no other is its own component; a shared key may be in several

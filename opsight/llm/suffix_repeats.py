@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.packing import pack, pieces_by, unpack
+from opsight.llm.packing import opened, pack, pieces_by, squeezed, unpack
 from opsight.llm.words import batches, runs, words
 
 LENGTH = 13
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     def bucket(keys: pd.Series) -> pd.Series:
         return pd.Series(bucket_of(keys.to_numpy(np.int64), buckets))
 
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    own = docs.select(F.col(key).cast("long").alias("key"), squeezed(F.col(text).cast("binary")).alias("text"))
     known = own.where("key IS NOT NULL").withColumn("bucket", bucket("key"))
     plain = own.where("key IS NULL").mapInPandas(lambda parts: (_kept(p, np.zeros(0, np.int64), None, None, length) for p in parts), _KEPT)
 
@@ -194,8 +194,9 @@ _KEPT = "key long, n_words long, n_removed long, kept binary"
 
 def _kept(rows: pd.DataFrame, keys: np.ndarray, position, check, length: int) -> pd.DataFrame:
     out = []
-    for key, raw in zip(rows["key"], rows["text"], strict=True):
-        parts = (raw or b"").split()  # of bytes: the six ASCII space characters
+    for key, block in zip(rows["key"], rows["text"], strict=True):
+        raw = opened(block)
+        parts = raw.split()  # of bytes: the six ASCII space characters
         n = len(parts)
         gone = np.zeros(n, bool)
         a, b = (np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")) if len(keys) else (0, 0)

@@ -123,6 +123,9 @@ def test_ngram_join_of_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     got = sorted(((r["doc_id"] or 0), r["n_shingles"], r["component_id"]) for r in partenum.join(docs).collect() if r["doc_id"])
     assert got == [(5, 26, 5), (5, 26, 5), (7, 0, 7), (8, 0, 8), (9, 26, 5)]
+    split = [(1, invented(11, 60)), (1, invented(12, 60)), (2, edited(invented(11, 60), 1, 1)), (3, edited(invented(12, 60), 2, 1)), (4, invented(13, 60))]
+    found = partenum.join(spark.createDataFrame(split, DOCS), partenum.Rule(2, 60, 100)).distinct()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
     assert [r["component_id"] for r in partenum.join(docs).where("doc_id IS NULL").collect()] == [None]
     assert partenum.join(docs.limit(0)).count() == 0
 

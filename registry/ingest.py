@@ -25,27 +25,34 @@ def _pipe_lines(events):
         "|", _stamp("yyyy.MM.dd HH:mm:ss"), taken, _s("event_id"), F.lit("-"),
         F.concat(F.lit("10.0.0."), _s("user_id")), F.lit("Agent (x; y)"), status, F.lit("GET"),
         F.concat(F.lit("/psp/F84D/"), "event_type"),
-        F.concat(F.lit("?ICType="), "event_type", F.lit("&q%3D"), _s("user_id"), F.lit("&c")))
+        F.concat(F.lit("?ICType="), "event_type", F.lit("&q%3D"), _s("user_id"), F.lit("&c&&5&6&7&8&9&ten")))
     return events.select(line.alias("value"))
 
 
 TYPED = """
 SELECT CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp", CAST(floor(value) AS DOUBLE) AS duration,
   event_id AS bytes_sent, CAST(CASE WHEN event_type = 'signup' THEN NULL ELSE 200 END AS BIGINT)
-  AS return_status, CAST(user_id AS VARCHAR) AS remote_host4, {slots}
+  AS return_status, '10' AS remote_host1, '0' AS remote_host2, '0' AS remote_host3,
+  CAST(user_id AS VARCHAR) AS remote_host4, 'Agent (x; y)' AS user_agent, 'GET' AS request_method,
+  concat('/psp/F84D/', event_type) AS url, {slots}
 FROM events WHERE {keep}"""
 
+SLOTS = [*(f"query_string{i}" for i in range(1, 9)), "query_rest"]
+OCTETS = [f"remote_host{i}" for i in range(1, 5)]
+DIGITS = 12  # event_id stands for sizes and processes, and grows with the table
+
 
 @query("events", sql=TYPED.format(
     slots="concat('ICType=', event_type) AS query_string1, concat('q%3D', user_id) AS query_string2,"
-          " 'c' AS query_string3, CAST(NULL AS VARCHAR) AS query_string4",
+          " 'c' AS query_string3, CAST(NULL AS VARCHAR) AS query_string4, '5' AS query_string5,"
+          " '6' AS query_string6, '7' AS query_string7, '8' AS query_string8, '9&ten' AS query_rest",
     keep="event_type <> 'error' AND user_id < 1000"))
 def ingest_pipe_access_log(events):
     """S1, S6."""
-    done = loader.load_with_rejects(_pipe_lines(events), formats.pipe_access_log()).accepted
+    fmt = formats.pipe_access_log(bytes_digits=DIGITS)
+    done = loader.load_with_rejects(_pipe_lines(events), fmt).accepted
     return done.select(secs("timestamp"), rnd("duration", 3), big("bytes_sent"),
-                       big("return_status"), "remote_host4", "query_string1", "query_string2",
-                       "query_string3", "query_string4")
+                       big("return_status"), *OCTETS, "user_agent", "request_method", "url", *SLOTS)
 
 
 @query("events", sql="""
@@ -53,7 +60,8 @@ SELECT event_id AS bytes_sent, concat('q=', user_id) AS query_string2, 'F84D' AS
 FROM events WHERE event_type <> 'error' AND user_id < 1000""")
 def enrich_access_log(events):
     """E5 with P2, P3 on loaded lines."""
-    done = loader.load_with_rejects(_pipe_lines(events), formats.pipe_access_log()).accepted
+    fmt = formats.pipe_access_log(bytes_digits=DIGITS)
+    done = loader.load_with_rejects(_pipe_lines(events), fmt).accepted
     return ops.enrich_access(done).select(big("bytes_sent"), "query_string2", "domain")
 
 
@@ -72,14 +80,19 @@ def _w3c_lines(events):
 
 @query("events", sql="""
 SELECT CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp", value AS duration, event_id AS bytes_sent,
+  '10' AS remote_host1, '0' AS remote_host2, '0' AS remote_host3,
+  CAST(user_id AS VARCHAR) AS remote_host4, 'host' AS remote_dns, 'GET' AS request_method,
+  CAST(200 AS BIGINT) AS return_status, '/psp/ps/' AS url,
   concat('Agent (', event_type, '; y)') AS user_agent,
   CASE WHEN event_type = 'signup' THEN NULL ELSE 'md=login' END AS query_string1,
   CASE WHEN event_type = 'signup' THEN NULL ELSE concat('u=', user_id) END AS query_string2
 FROM events WHERE event_type NOT IN ('error', 'purchase') AND user_id < 1000""")
 def ingest_w3c_access_log(events):
     """S2: '#' lines are discarded, the first character of slot 1 is cut."""
-    done = loader.load_with_rejects(_w3c_lines(events), formats.w3c_access_log()).accepted
-    return done.select(secs("timestamp"), rnd("duration", 3), big("bytes_sent"), "user_agent",
+    fmt = formats.w3c_access_log(bytes_digits=DIGITS)
+    done = loader.load_with_rejects(_w3c_lines(events), fmt).accepted
+    return done.select(secs("timestamp"), rnd("duration", 3), big("bytes_sent"), *OCTETS,
+                       "remote_dns", "request_method", big("return_status"), "url", "user_agent",
                        "query_string1", "query_string2")
 
 
@@ -93,7 +106,7 @@ SELECT count(*) AS read,
     <= 999999 AS within_limit FROM events""")
 def load_report(events):
     """S7."""
-    result = loader.load_with_rejects(_w3c_lines(events), formats.w3c_access_log())
+    result = loader.load_with_rejects(_w3c_lines(events), formats.w3c_access_log(bytes_digits=DIGITS))
     return loader.within_error_limit(loader.load_report(result))
 
 
@@ -103,7 +116,7 @@ SELECT CASE WHEN event_type = 'error' THEN 'duration not convertible' ELSE 'remo
 WHERE event_type = 'error' OR (event_type <> 'purchase' AND user_id >= 1000) GROUP BY 1""")
 def rejected_lines(events):
     """Why lines were rejected; the first reason of each."""
-    result = loader.load_with_rejects(_w3c_lines(events), formats.w3c_access_log())
+    result = loader.load_with_rejects(_w3c_lines(events), formats.w3c_access_log(bytes_digits=DIGITS))
     first = F.array_sort(F.filter("reasons", lambda r: ~F.endswith(r, F.lit("missing"))))
     return result.rejected.groupBy(F.get(first, F.lit(0)).alias("reason")).agg(
         F.count(F.lit(1)).alias("num_lines"))
@@ -128,7 +141,7 @@ SELECT event_type AS service, user_id AS pid, CAST(floor(epoch(ts)) + 3600 AS BI
 FROM events WHERE event_type <> 'signup'""")
 def ingest_service_trace(events):
     """S3: '@' lines, the epoch moved by an hour, milliseconds to seconds."""
-    done = loader.load_with_rejects(_service_lines(events), formats.service_trace("APPQ")).accepted
+    done = loader.load_with_rejects(_service_lines(events), formats.service_trace("APPQ", pid_digits=DIGITS)).accepted
     wrap = F.lit(1000000).cast("decimal(13,3)")
     return done.select(
         "service", big("pid"), secs("stimestamp"),
@@ -199,6 +212,6 @@ SELECT CAST(floor(epoch(ts)) - epoch(date_trunc('day', ts)) AS BIGINT) AS time_o
 def ingest_message_log(events):
     """Only calls that carry a message pass the check."""
     done = loader.load_with_rejects(
-        _message_lines(events), formats.message_log("1970-01-01")).accepted
+        _message_lines(events), formats.message_log("1970-01-01", DIGITS)).accepted
     return done.select(F.unix_seconds("timestamp").alias("time_of_day"), "nodename", "prcsid",
                        "funcname", "service", big("msg_size"))

@@ -277,9 +277,9 @@ def like_join(part, nation):
                            how="left_patterns").select("n_nationkey", "pattern", "p_partkey")
 
 
-@query("stm_timings", "prc_requests", "part", sql="""
+@query("part", sql="""
 WITH plan AS (SELECT DISTINCT concat(p_brand, '.', p_type, CASE WHEN p_size <= 25 THEN 'D' ELSE 'S' END)
-    AS statement_id, concat(p_size, '-run(a)') AS remarks FROM part WHERE p_retailprice < 950),
+    AS statement_id, concat(p_size, '-run(a)') AS remarks FROM part),
 log AS (SELECT DISTINCT size AS process_instance, brand AS process_name, 'run' AS run_cntl_id
         FROM (SELECT p_size AS size, p_brand AS brand FROM part WHERE p_size > 8)),
 det AS (SELECT p_size AS process_instance, concat(p_type, chr(2)) AS detail_id,
@@ -292,13 +292,13 @@ x AS (SELECT process_instance, concat(process_name, '.', detail_id) AS statement
 SELECT CAST(process_instance AS BIGINT) AS process_instance, statement, remarks,
   round(exec_secs, 6) AS exec_secs, execute_count
 FROM x LEFT JOIN plan ON statement_id LIKE ip AND remarks LIKE rp""")
-def traced_statement_plans(timings, requests, part):
-    """R10 with J7, P7, P12."""
-    plans = part.where(F.col("p_retailprice") < 950).select(
+def traced_statement_plans(part):
+    """R10 with J7, P7, P12; plans have steps below the root."""
+    plans = part.select(
         F.concat("p_brand", F.lit("."), "p_type",
                  F.when(F.col("p_size") <= 25, "D").otherwise("S")).alias("statement_id"),
         F.concat(F.col("p_size").cast("string"), F.lit("-run(a)")).alias("remarks"),
-    ).distinct().withColumn("id", F.lit(0))
+    ).distinct().withColumn("id", F.explode(F.array(F.lit(0), F.lit(1))))
     log = part.select(
         F.col("p_size").alias("process_instance"), F.col("p_brand").alias("process_name"),
         F.lit("run").alias("run_cntl_id"),

@@ -65,14 +65,15 @@ def read_output(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}").drop("batch")
 
 
-def _late(batch: DataFrame, state: DataFrame | None, keys, ts):
-    """(rows in time, rows older than what their key has already shown)."""
+def _late(batch: DataFrame, state: DataFrame | None, keys, ts, tie=()):
+    """(rows in time, rows that stand, by time and tie, before what their key has already shown)."""
     if state is None:
         return batch, batch.where(F.lit(False))
     seen = state.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(
-        F.max(ts).alias("_seen")
+        F.max(F.struct(ts, *tie)).alias("_seen")
     )
-    cond = null_safe(batch, seen, [(k, f"_k_{k}") for k in keys]) & (batch[ts] < seen["_seen"])
+    place = F.struct(batch[ts], *[batch[c] for c in tie])
+    cond = null_safe(batch, seen, [(k, f"_k_{k}") for k in keys]) & (place < seen["_seen"])
     return batch.join(seen, cond, "left_anti"), batch.join(seen, cond, "left_semi")
 
 
@@ -84,7 +85,7 @@ def previous_value_step(
     older than it go to `late`. `finish` turns change rows into the result."""
 
     def step(batch, state):
-        fresh, late = _late(batch, state, keys, ts)
+        fresh, late = _late(batch, state, keys, ts, tie)
         rows = fresh.withColumn("_old_row", F.lit(False))
         if state is not None:
             rows = state.withColumn("_old_row", F.lit(True)).unionByName(rows)
@@ -164,7 +165,7 @@ def windowed_counts_stream(
 ) -> DataFrame:
     """T5 on a stream: rows per bucket of a step that divides a day, so Spark's
     epoch-anchored window equals the midnight-anchored grid. Rows later than
-    `delay` are dropped by the watermark."""
+    `delay` are dropped by the watermark; `windowed_counts_step` keeps them."""
     if 86400 % step_seconds:
         raise ValueError("step must divide a day")
     return (
@@ -175,6 +176,37 @@ def windowed_counts_stream(
     )
 
 
+def windowed_counts_step(
+    ts: str, keys: Sequence[str], step_seconds: int, delay_seconds: int,
+) -> Step:
+    """T5 per micro-batch, with an output for late rows. A bucket goes to `result`
+    once it ends at or before the latest time seen less the delay; rows of a bucket
+    that is out by then go to `late`. The state is the open buckets and that time."""
+    if 86400 % step_seconds:
+        raise ValueError("step must divide a day")
+
+    def step(batch, state):
+        bucket = F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / step_seconds) * step_seconds)
+        rows = batch.withColumn("bucket", bucket)
+        over = lambda mark: F.unix_seconds("bucket") + step_seconds <= F.unix_seconds(mark) - delay_seconds
+        late = rows.where(F.lit(False))
+        if state is not None:
+            behind = F.coalesce(over(state.agg(F.max("_mark")).scalar()), F.lit(False))
+            rows, late = rows.where(~behind), rows.where(behind)
+        counts = rows.groupBy("bucket", *keys).agg(F.count(F.lit(1)).alias("num_rows"))
+        marks = batch.select(F.col(ts).cast("timestamp").alias("_mark"))
+        if state is not None:
+            counts = counts.unionByName(state.where("bucket IS NOT NULL").drop("_mark"))
+            counts = counts.groupBy("bucket", *keys).agg(F.sum("num_rows").alias("num_rows"))
+            marks = marks.unionByName(state.select("_mark"))
+        mark = marks.agg(F.max("_mark").alias("_mark"))
+        shut = F.coalesce(over(mark.scalar()), F.lit(False))
+        following = counts.where(~shut).unionByName(mark, allowMissingColumns=True)
+        return {"result": counts.where(shut), "late": late.drop("bucket")}, following
+
+    return step
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append"):
     """Run a stateless or append-mode stream to parquet until the input is used up."""
     shared_dir(stream.sparkSession)

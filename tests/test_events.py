@@ -71,7 +71,7 @@ def test_messages_are_numbered_and_cut(frame):
     assert rows(parts.where("process_instance = 1"), "message_seq", "parm_seq", "message_parm") == [
         (5, 1, "x" * 254), (5, 2, "x" * 46), (6, 1, "short")]
     pieces = parts.where("process_instance = 4").collect()
-    assert len(pieces) == 9 and all(len(p.message_parm) == 250 for p in pieces)
+    assert len(pieces) == 12 and all(len(p.message_parm) == 250 for p in pieces)
 
 
 def test_progress(frame):
@@ -169,6 +169,28 @@ def test_stream_running_stats(spark, tmp_path, frame):
         ("q0", 6, 5.0, 2), ("q1", 6, 6.0, 2)]
 
 
+def test_windowed_counts_keep_late_rows(spark, tmp_path, history):
+    stream = _feed(spark, tmp_path, history, [("a", "id BETWEEN 6 AND 13"), ("b", "id BETWEEN 14 AND 30"),
+                                              ("c", "id < 6 OR id > 30")])
+    folder = stateful.fresh_folder(spark, "t")
+    step = stateful.windowed_counts_step("t", ["k"], 60, 60)
+    stateful.run_stateful(stream, step, folder).awaitTermination()
+    assert rows(stateful.read_output(spark, folder, "late"), "id") == [(i,) for i in range(6)]
+    got = stateful.read_output(spark, folder, "result").groupBy("k").agg(F.sum("num_rows").alias("n"))
+    # seen up to second 390 less 60: the five buckets that end by 330, from id 6 on
+    assert rows(got, "k", "n") == [(k, sum(1 + i % 3 == k for i in range(6, 30))) for k in (1, 2, 3)]
+
+
+def test_equal_times_are_late_by_their_tie(spark, tmp_path, frame):
+    data = frame("id int, k int, t timestamp, s int", (5, 1, at(0), 1), (3, 1, at(0), 2), (7, 1, at(0), 3))
+    stream = _feed(spark, tmp_path, data, [("a", "id = 5"), ("b", "id <> 5")])
+    folder = stateful.fresh_folder(spark, "t")
+    step = stateful.previous_value_step(["k"], "t", ["id"], "s", "old", lambda d: d)
+    stateful.run_stateful(stream, step, folder).awaitTermination()
+    assert rows(stateful.read_output(spark, folder, "late"), "id") == [(3,)]
+    assert rows(stateful.read_output(spark, folder, "result"), "id", "old") == [(5, None), (7, 1)]
+
+
 def test_window_step_must_divide_a_day(spark, history):
     with pytest.raises(ValueError):
         stateful.windowed_counts_stream(history, "t", ["k"], 420, "1 minute")

@@ -122,11 +122,14 @@ def signatures(owner: np.ndarray, h: np.ndarray, texts: int, rule: Rule) -> Iter
             # two sets may agree in an empty partition alone: it is signed with the size of the set ...
             at = np.flatnonzero(~filled)
             yield mix(tag[at] + size[sign[at // m]].astype(np.uint64) * _VOID), sign[at // m], band
-            # ... and asked for at every size in reach by sets with too few groups without one
+            # ... and asked for at every size in reach by sets with too few groups without one:
+            # the differences to a set in reach leave fewer than that untouched
             both = filled.reshape(len(sign), -1, 2).all(axis=2).sum(axis=1)
-            for i in np.flatnonzero(both <= k[band] // 2):
+            top = low[band + 1] - 1 if band + 1 < len(low) else size.max() * rule.den
+            most = np.minimum(size[sign] * rule.den // rule.num, top)
+            for i in np.flatnonzero(both <= rule.differences(size[sign] + most) // 2):
                 s = int(size[sign[i]])
-                others = np.arange(-(-s * rule.num // rule.den), s * rule.den // rule.num + 1, dtype=np.uint64)
+                others = np.arange(-(-s * rule.num // rule.den), most[i] + 1, dtype=np.uint64)
                 empty = np.flatnonzero(~filled[i * m : (i + 1) * m]) + i * m
                 asked = mix((tag[empty][:, None] + others[None, :] * _VOID).reshape(-1))
                 yield asked, np.full(len(asked), sign[i]), band

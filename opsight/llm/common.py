@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 from opsight.session import shared_dir
 
 
+#: Bytes of rows that a Python worker gets at once.
+BATCH_BYTES = "8m"
 #: The folder that holds the package.
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find the package where it lies on the driver's path alone.
+    """Let Python workers find the package where it lies on the driver's path alone, and bound their batches.
 
     A cluster whose nodes lack that folder gets the package with --py-files.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, known)))

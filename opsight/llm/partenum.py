@@ -33,11 +33,11 @@ from opsight.llm.words import batches, mix, runs, words
 
 #: Largest over smallest size in a band.
 BAND = 1.5
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Signatures in a group of the join, and members compared in one block.
 GROUP_SIGNATURES, BLOCK = 1_000_000, 2_048
-#: Pairs of sketches compared at once.
-PAIRS = 1 << 18
+#: 64-bit words of sketches compared, and bits of sketches made, at once.
+PAIR_WORDS, SKETCH_BITS = 1 << 20, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -229,8 +229,9 @@ def _described(texts: DataFrame, rule: Rule) -> DataFrame:
             value = mix(h)
             for b in np.unique(width[width > 0]):
                 own = np.flatnonzero(width == b)
-                for at in range(0, len(own), max(1, (8 << 20) // int(b))):
-                    some = own[at : at + max(1, (8 << 20) // int(b))]
+                step = max(1, SKETCH_BITS // int(b))
+                for at in range(0, len(own), step):
+                    some = own[at : at + step]
                     place = np.full(len(keys), -1)
                     place[some] = np.arange(len(some))
                     mine = place[owner] >= 0
@@ -290,9 +291,9 @@ def _close(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
             folded = np.stack([_fold(s, int(w)) for s in sketch[rows]])
             # each row meets those after it in its group
             after = np.concatenate([np.arange(size[g] - 1, -1, -1) for g in groups])
-            at = 0
+            at, most = 0, max(1, PAIR_WORDS // int(w))
             while at < len(rows):
-                to = at + max(1, int(np.searchsorted(np.cumsum(after[at : at + PAIRS]), PAIRS, "right")))
+                to = at + max(1, int(np.searchsorted(np.cumsum(after[at : at + most]), most, "right")))
                 left = np.repeat(np.arange(at, min(to, len(rows))), after[at:to])
                 first = np.cumsum(after[at:to]) - after[at:to]
                 right = left + 1 + np.arange(len(left)) - np.repeat(first, after[at:to])

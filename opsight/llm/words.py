@@ -125,10 +125,12 @@ def batches(column, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    if column.null_count:
+        column = pc.fill_null(column, b"")
     raw = column.buffers()
     n = len(column)
-    offsets = np.frombuffer(raw[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(raw[1], kind)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     data = np.frombuffer(raw[2], np.uint8) if n and raw[2] is not None and raw[2].size else np.zeros(0, np.uint8)
     start = 0
     while start < n:

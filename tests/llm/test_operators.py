@@ -93,7 +93,7 @@ def test_ngram_join(spark, corpus, n, num):
 
 def test_ngram_join_in_small_blocks(spark, corpus, monkeypatch):
     monkeypatch.setattr(partenum, "BLOCK", 3)
-    monkeypatch.setattr(partenum, "PAIRS", 5)
+    monkeypatch.setattr(partenum, "PAIR_WORDS", 5)
     rows = corpus[:80]
     got = {r[0]: (r["n_shingles"], r["component_id"]) for r in partenum.join(spark.createDataFrame(rows, DOCS).repartition(4), partenum.Rule(4, 85, 100)).collect()}
     assert got == reference.similar_components(rows)

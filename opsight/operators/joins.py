@@ -486,17 +486,20 @@ def concurrency(
         )
         group += ["level", "node"]
     edges = running.select(*group, F.inline(F.array(
-        F.struct(F.col("_start").alias("_x"), F.lit(0).alias("_kind"), F.lit(1).alias("_step")),
-        F.struct(F.col("_end").alias("_x"), F.lit(2).alias("_kind"), F.lit(-1).alias("_step")),
+        F.struct(F.col("_start").alias("_x"), F.lit(1).alias("_up"), F.lit(0).alias("_down")),
+        F.struct(F.col("_end").alias("_x"), F.lit(0).alias("_up"), F.lit(1).alias("_down")),
     )))
-    asks = asks.select(
-        *group, F.col("_start").alias("_x"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), "_id"
-    )
-    # rows of equal (_x, _kind) all step the same way, so their order is free
+    asks = asks.select(*group, F.col("_start").alias("_x"), "_id")
+    asked = asks.select(*group, "_x", F.lit(0).alias("_up"), F.lit(0).alias("_down"))
+    # one row per time: however many start or end at once, the scan sees them summed
+    line = edges.unionByName(asked).groupBy(*group, "_x").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
     scanned = ordered_scan(
-        edges.unionByName(asks, allowMissingColumns=True), group, ["_x", "_kind"],
-        [running_sum("_live", "_step")], max_group_rows, bounded,
-    ).where(F.col("_kind") == 1)
+        line, group, ["_x"], [running_sum("_sum", F.col("_up") - F.col("_down"))], max_group_rows, bounded,
+    )
+    # what ends at a time still runs at it
+    live = scanned.select(*[F.col(k).alias(f"_l_{k}") for k in [*group, "_x"]],
+                          (F.col("_sum") + F.col("_down")).alias("_live"))
+    scanned = asks.join(live, null_safe(asks, live, [(k, f"_l_{k}") for k in [*group, "_x"]]))
     if ts:
         scanned = scanned.groupBy(*queue, "_id").agg(F.sum("_live").alias("_live"))
     return scanned.select(

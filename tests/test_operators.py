@@ -159,6 +159,13 @@ def test_concurrency_matches_brute_force(frame, limit):
     assert back != strict
 
 
+def test_concurrency_of_equal_starts(spark, frame):
+    df = frame("i int, q string, s int, e int", *[(i, "q", 5, 5 + i % 2) for i in range(300)], (300, "q", 6, 6), (301, None, 5, 9))
+    got = joins.concurrency(df, ["q"], ["i"], "s", "e", max_group_rows=20)
+    assert {(r.q, r.i, r.concurrent) for r in got.collect()} == {
+        *(("q", i, 300) for i in range(300)), ("q", 300, 151), (None, 301, 1)}
+
+
 def test_lookback_misses_an_early_long_request(frame):
     df = frame("i int, q string, s int, e int, t timestamp", (1, "q", 0, 100, at(0)),
                (2, "q", 50, 51, at(50)))

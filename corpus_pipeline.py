@@ -56,7 +56,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, keep=["doc_id"]), path)
+    coded = bpe.encode(docs.select("doc_id", "text"), path, keep=["doc_id"], decoded="decoded")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.array_join("ids", ",").alias("token_ids"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -28,9 +28,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from opsight.llm.common import give_back
+
 MAX_FILE_BYTES = 64 << 20
 #: Distinct pre-tokens a Python worker remembers.
-MEMORY = 150_000
+MEMORY = 100_000
 
 # Fixed value: the pattern that cuts text into pre-tokens before byte-level merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -226,16 +228,21 @@ def _slices(sizes: list[int], limit: int) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None, chars_at_once: int = 4_000_000) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None,
+           decoded: str | None = None, chars_at_once: int = 2_000_000) -> DataFrame:
     """df with a column of token ids for the whole text of each row.
 
     A null text counts as empty and has no ids; repeated rows each keep their own
-    result; every other column (or those in `keep`) is passed on. An existing column
-    of the name `ids` is replaced.
+    result; every other column (or those in `keep`) is passed on. `decoded` names a
+    column for the text that the ids stand for, decoded in the same pass. Existing
+    columns of these names are replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(path))
-    keep = [c for c in (df.columns if keep is None else keep) if c != ids]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (ids, decoded)]
+    schema = T.StructType([df.schema[c] for c in keep]).add(ids, T.ArrayType(T.IntegerType()))
+    if decoded is not None:
+        schema = schema.add(decoded, T.StringType())
+    columns_made = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
@@ -246,11 +253,25 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep:
                 ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 kept = batch.slice(part.start, part.stop - part.start)
                 columns = [kept.column(kept.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*keep, ids])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                if decoded is not None:
+                    columns.append(pa.array(decode_ids(flat, counts, vocabulary), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, columns_made)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def decode_ids(ids: np.ndarray, counts: np.ndarray, vocabulary: Vocabulary) -> list[str]:
+    """Texts of the given numbers of ids each; what is no UTF-8 becomes U+FFFD."""
+    sizes = vocabulary.token_sizes[ids]
+    if len(sizes) and sizes.min() < 0:
+        raise ValueError("an id that the vocabulary lacks")
+    raw = expand(vocabulary.token_bytes, vocabulary.token_starts[ids], sizes).tobytes()
+    ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]].tolist()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text that its token ids stand for.
 
@@ -266,16 +287,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         for batch in batches:
             lists = pc.fill_null(batch.column(batch.schema.get_field_index(ids)), [])
             counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            for part in _slices(counts.tolist(), 1_000_000):
+            for part in _slices(counts.tolist(), 200_000):
                 kept = batch.slice(part.start, part.stop - part.start)
                 own = lists.slice(part.start, part.stop - part.start).flatten().to_numpy(zero_copy_only=False)
-                sizes = v.token_sizes[own]
-                if len(sizes) and sizes.min() < 0:
-                    raise ValueError("an id that the vocabulary lacks")
-                raw = expand(v.token_bytes, v.token_starts[own], sizes).tobytes()
-                ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts[part])]].tolist()
-                out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+                out = decode_ids(own, counts[part], v)
                 columns = [kept.column(kept.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], [*keep, text])
+        give_back()
 
     return df.mapInArrow(run, schema)

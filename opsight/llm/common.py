@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,21 +56,17 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the machine: idle workers stay alive beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere there is no need
+    if trim is not None:
+        trim(0)
+
+
 def share(key: Column, limit: int, total: int) -> Column:
     """Pick about `limit` of `total` rows, the same ones on every run, by a hash of key."""
     if total <= limit:
         return F.lit(True)
     steps = 1 << 30
     return F.pmod(F.xxhash64(key), F.lit(steps)) < F.lit(int(steps * limit / total))
-
-
-def chunks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
-    """Slices of a list whose summed lengths stay near limit; one long text is a slice of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsight.llm.common import written
+from opsight.llm.common import give_back, written
 from opsight.llm.components import components
 from opsight.llm.packing import opened, pack, pieces_by, squeezed, unpack
 from opsight.llm.words import batches, mix, runs, words
@@ -35,7 +35,7 @@ from opsight.llm.words import batches, mix, runs, words
 BAND = 1.5
 CHUNK_BYTES = 2 << 20
 #: Signatures in a group of the join, and members compared in one block.
-GROUP_SIGNATURES, BLOCK = 1_000_000, 2_048
+GROUP_SIGNATURES, BLOCK = 250_000, 2_048
 #: 64-bit words of sketches compared, and bits of sketches made, at once.
 PAIR_WORDS, SKETCH_BITS = 1 << 20, 1 << 20
 
@@ -152,6 +152,7 @@ def _sets(source: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[np.nda
         for start, end, data, offsets in batches(batch.column(1), CHUNK_BYTES):
             owner, h = shingles(data, offsets, rule.n)
             yield keys.slice(start, end - start), owner, h
+    give_back()
 
 
 def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:

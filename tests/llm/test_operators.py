@@ -273,6 +273,9 @@ def test_bpe_is_that_of_the_tokenizer(spark):
         text = texts[r["doc_id"]] or ""
         assert r["ids"] == whole.encode(text, add_special_tokens=False).ids
         assert r["decoded"] == whole.decode(r["ids"], skip_special_tokens=False) == text
+    once = bpe.encode(docs, PATH, keep=["doc_id"], decoded="back", chars_at_once=900)
+    assert once.columns == ["doc_id", "ids", "back"]
+    assert all(r["back"] == (texts[r["doc_id"]] or "") for r in once.collect())
     assert bpe.encode(docs.limit(0), PATH).count() == 0
 
 

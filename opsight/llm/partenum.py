@@ -92,11 +92,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return owner[new], h[new]
 
 
+#: Added to the band of a signature of an empty partition: of a set that has it, of one that asks for it.
+HELD, ASKED = 1 << 8, 1 << 9
 _GOLD, _TAG, _VOID = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def signatures(owner: np.ndarray, h: np.ndarray, texts: int, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(signatures, text numbers, band) of the sets, band by band."""
+    """(signatures, text numbers, band and mark) of the sets, band by band."""
     size = np.bincount(owner, minlength=texts)
     if not len(h):
         return
@@ -121,7 +123,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, texts: int, rule: Rule) -> Iter
         if k[band]:
             # two sets may agree in an empty partition alone: it is signed with the size of the set ...
             at = np.flatnonzero(~filled)
-            yield mix(tag[at] + size[sign[at // m]].astype(np.uint64) * _VOID), sign[at // m], band
+            yield mix(tag[at] + size[sign[at // m]].astype(np.uint64) * _VOID), sign[at // m], band + HELD
             # ... and asked for at every size in reach by sets with too few groups without one:
             # the differences to a set in reach leave fewer than that untouched
             both = filled.reshape(len(sign), -1, 2).all(axis=2).sum(axis=1)
@@ -132,7 +134,7 @@ def signatures(owner: np.ndarray, h: np.ndarray, texts: int, rule: Rule) -> Iter
                 others = np.arange(-(-s * rule.num // rule.den), most[i] + 1, dtype=np.uint64)
                 empty = np.flatnonzero(~filled[i * m : (i + 1) * m]) + i * m
                 asked = mix((tag[empty][:, None] + others[None, :] * _VOID).reshape(-1))
-                yield asked, np.full(len(asked), sign[i]), band
+                yield asked, np.full(len(asked), sign[i]), band + ASKED
 
 
 def _sketches(owner: np.ndarray, h: np.ndarray, texts: int, bits: int) -> np.ndarray:
@@ -185,7 +187,7 @@ def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
             found += [(s, t, np.full(len(s), b)) for s, t, b in signatures(owner[stays], h[stays], len(keys), rule)]
             sig, who, band = (np.concatenate(x) for x in zip(*found, strict=True))
             by_sig = np.argsort(sig, kind="stable")
-            sig, who, band = sig[by_sig], keys[who[by_sig]], band[by_sig].astype(np.int8)
+            sig, who, band = sig[by_sig], keys[who[by_sig]], band[by_sig].astype(np.int16)
             rows += [(0, p, pack(sig[i], who[i], band[i])) for p, i in pieces_by((sig % np.uint64(groups)).astype(np.int64))]
             yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int64()), "block": pa.array([r[2] for r in rows], pa.binary())})
 
@@ -196,10 +198,10 @@ def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
         for block in rows.loc[rows["kind"] == 1, "block"]:
             key, other = unpack(block, np.int64, np.int64)
             out.append(pd.DataFrame({"kind": "copy", "key": key, "other": other, "sig": 0, "band": 0, "size": 0}))
-        blocks = [unpack(b, np.uint64, np.int64, np.int8) for b in rows.loc[rows["kind"] == 0, "block"]]
+        blocks = [unpack(b, np.uint64, np.int64, np.int16) for b in rows.loc[rows["kind"] == 0, "block"]]
         if blocks:
             sig, key, band = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            order = np.lexsort((key, sig))
+            order = np.lexsort((-band, key, sig))  # who asks counts as one who asks
             sig, key, band = sig[order], key[order], band[order]
             new = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
             sig, key, band = sig[new], key[new], band[new]
@@ -207,7 +209,10 @@ def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
             size = np.diff(np.r_[head, len(sig)])
             first, size = np.repeat(key[head], size), np.repeat(size, size)
             same = (band < 0) & (key != first)
-            some = (band >= 0) & (size > 1)
+            # an empty partition matters only where a set asked for it
+            asked = np.repeat(np.logical_or.reduceat(band >= ASKED, head), np.diff(np.r_[head, len(sig)]))
+            some = (band >= 0) & (size > 1) & ((band < HELD) | asked)
+            band = band & (HELD - 1)
             out.append(pd.DataFrame({"kind": "same", "key": key[same], "other": first[same], "sig": 0, "band": 0, "size": 0}))
             out.append(pd.DataFrame({"kind": "member", "key": key[some], "other": 0, "sig": sig[some].view(np.int64), "band": band[some], "size": size[some]}))
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Share of a template's words that a block must have.
 THRESHOLD = 0.8
-#: A paragraph may have so many times the words of the template.
-MOST_TIMES = 4
+#: A block may have so many times the words of the template: long ones count as well as short ones.
+MOST_TIMES = math.inf
 
 # Phrases whose places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -88,24 +88,23 @@ def word_order(docs: DataFrame, text: str, words: list[str]) -> list[str]:
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
 
 
-def _template_hits(ranks: Column, n: Column, sets: Mapping[str, list[int]], threshold: float, most_times: int, wrapped: bool) -> list[Column]:
+def _template_hits(ranks: Column, n: Column, sets: Mapping[str, list[int]], threshold: float) -> list[Column]:
     """For each template a struct (label, share), null if one of the filters or the exact count rules the block out."""
     out = []
     for label, own in sets.items():
         size = len(own)
         least = math.ceil(threshold * size - 1e-9)
         whole, prefix = F.array(*map(F.lit, own)), F.array(*map(F.lit, own[: size - least + 1]))
-        long_enough = (n >= least) & (n <= most_times * size) if wrapped else n >= least
         shared = F.array_intersect(whole, ranks)
         head = F.element_at(shared, 1)
         left = F.least(F.lit(size) - F.array_position(whole, head), F.size(ranks) - F.array_position(ranks, head))
-        passes = F.when(long_enough, F.when(F.arrays_overlap(ranks, prefix), F.when(1 + left >= least, F.size(shared) >= least)))
+        passes = F.when(n >= least, F.when(F.arrays_overlap(ranks, prefix), F.when(1 + left >= least, F.size(shared) >= least)))
         out.append(F.when(passes, F.struct(F.lit(label).alias("label"), (F.size(shared) / F.lit(size)).alias("share"))))
     return out
 
 
 def scan(docs: DataFrame, text: str = "text", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES,
-         threshold: float = THRESHOLD, most_times: int = MOST_TIMES) -> DataFrame:
+         threshold: float = THRESHOLD) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels (arrays) and score for every whole text.
 
     score is 1 with a phrase, else the largest share a block has of a template it
@@ -129,20 +128,20 @@ def scan(docs: DataFrame, text: str = "text", phrases: Mapping[str, str] = PHRAS
     some = lambda f, k: f(*(F.col(f"__{k}{i}") for i in each)) if len(places) > 1 else F.col(f"__{k}0")
     base = F.array_distinct(F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"__n{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))))
 
-    def block_hits(blocks: Column, wrapped: bool) -> Column:
+    def block_hits(blocks: Column) -> Column:
         def one(block: Column) -> Column:
             held = F.array_distinct(F.split(F.trim(F.regexp_replace(block, SEPARATORS, " ")), " "))
             # positions in the global order, ascending
             ranks = F.array_sort(F.transform(F.array_intersect(held, all_words), lambda w: (F.array_position(all_words, w) - 1).cast("int")))
             info = F.struct(ranks.alias("r"), F.size(held).alias("n"))
-            return F.flatten(F.transform(F.array(info), lambda x: F.array_compact(F.array(*_template_hits(x["r"], x["n"], sets, threshold, most_times, wrapped)))))
+            return F.flatten(F.transform(F.array(info), lambda x: F.array_compact(F.array(*_template_hits(x["r"], x["n"], sets, threshold)))))
 
         return F.flatten(F.transform(blocks, one))
 
     nothing = F.array().cast("array<struct<label:string,share:double>>")
     may = F.arrays_overlap(F.split("__words", " "), rare_words)
     lines, paragraphs = F.split("__low", r"\r?\n"), F.split("__low", r"\r?\n[ \t]*\r?\n")
-    hits = F.when(may, F.concat(block_hits(lines, False), block_hits(paragraphs, True))).otherwise(nothing) if sets else nothing
+    hits = F.when(may, F.concat(block_hits(lines), block_hits(paragraphs))).otherwise(nothing) if sets else nothing
     own = own.withColumn("__hits", hits)
     labels = F.array_sort(F.array_distinct(F.concat(base, F.transform("__hits", lambda h: h["label"]))))
     drop = ["n_base", "first_word", "last_word", "base_labels", "labels", "score"]

@@ -429,3 +429,16 @@ def test_licenses(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         license_scan.scan(docs, phrases={"a b a": "x"})
+
+
+def test_wrapped_licenses_in_long_paragraphs(spark):
+    texts = {}
+    for label, t in license_scan.TEMPLATES.items():
+        wrapped = t.replace(" ", "\n")
+        for before, after in ((300, 300), (0, 9000), (9000, 0)):
+            texts[len(texts)] = (label, "\n".join((invented(len(texts), before, 10**6), wrapped, invented(-len(texts), after, 10**6))))
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], DOCS)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        label, text = texts[r["doc_id"]]
+        assert label in r["labels"] and r["labels"] == sorted(template_labels(text)) and r["score"] == 1.0

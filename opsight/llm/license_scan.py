@@ -37,6 +37,24 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc0": "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide",
+    # Names in one-line notices. Up to four words, so that at the threshold all of them must be there: with more, one
+    # license would pass for its neighbour. A family's name is part of the names of its members, hence a label of its own.
+    "gpl-family": "GNU General Public License",
+    "gpl-short": "licensed under the GPL",
+    "lgpl-notice": "Lesser General Public License",
+    "lgpl-short": "licensed under the LGPL",
+    "agpl-notice": "Affero General Public License",
+    "agpl-short": "licensed under the AGPL",
+    "mpl-notice": "Mozilla Public License",
+    "mpl-short": "licensed under the MPL",
+    "bsd-notice": "under the BSD License",
+    "bsd-2-notice": "BSD 2 Clause License",
+    "bsd-3-notice": "BSD 3 Clause License",
+    "cc-family": "Creative Commons Attribution License",
+    "cc-short": "licensed under CC BY",
+    "cc-by-sa-notice": "Creative Commons Attribution ShareAlike",
+    "cc-by-nc-notice": "Creative Commons Attribution NonCommercial",
+    "cc-by-nd-notice": "Creative Commons Attribution NoDerivatives",
 }
 
 # Fixed value: what separates words once A-Z are lower case.

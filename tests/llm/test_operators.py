@@ -442,3 +442,34 @@ def test_wrapped_licenses_in_long_paragraphs(spark):
     for r in got:
         label, text = texts[r["doc_id"]]
         assert label in r["labels"] and r["labels"] == sorted(template_labels(text)) and r["score"] == 1.0
+
+
+NOTICES = {
+    "This work is licensed under the GNU General Public License, version 3.": ["gpl-family"],
+    "Released under the GNU Lesser General Public License v2.1 or later": ["gpl-family", "lgpl-notice"],
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3": ["agpl-notice", "gpl-family"],
+    "Licensed under the GPL v2 or later.": ["gpl-short"],
+    "Licensed under the LGPL.": ["lgpl-short"],
+    "licensed under the AGPL-3.0": ["agpl-short"],
+    "Mozilla Public License Version 2.0": ["mpl-notice"],
+    "Licensed under the MPL 2.0": ["mpl-short"],
+    "Distributed under the BSD license": ["bsd-notice"],
+    "Released under the BSD 3-Clause License": ["bsd-3-notice", "bsd-notice"],
+    "BSD 2-Clause \"Simplified\" License": ["bsd-2-notice"],
+    "Licensed under CC BY 4.0.": ["cc-short"],
+    "Creative Commons Attribution-ShareAlike 4.0 International": ["cc-by-sa-notice"],
+    "a Creative Commons Attribution-NonCommercial License": ["cc-by-nc-notice", "cc-family"],
+    "Creative Commons Attribution-NoDerivatives 3.0": ["cc-by-nd-notice"],
+    "Licensed under CC BY-NC 4.0.": ["cc-by-nc", "cc-short"],
+    "Released under the MIT License.": ["mit"],
+    "Licensed under the Apache License, Version 2.0.": ["apache-2"],
+    "This program is free software under a general public license": [],
+    "The license of this work is public": [],
+}
+
+
+def test_license_notices(spark):
+    texts = list(NOTICES)
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(f"some words\n{t}\nmore words" for t in texts)), DOCS)).collect()
+    assert {texts[r["doc_id"]]: r["labels"] for r in got} == NOTICES
+    assert all(r["score"] == (1.0 if r["labels"] else 0.0) for r in got)

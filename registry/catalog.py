@@ -292,7 +292,7 @@ FROM (SELECT recname FROM f1 UNION SELECT recname FROM f2) JOIN ok USING (recnam
 UNION ALL
 SELECT CAST(1 AS BIGINT), recname, indexid FROM f2 JOIN ok USING (recname)""")
 def rebuild_list(records, objects, fields, columns, indexes, keys, ind_columns, tables):
-    """C13."""
+    """C13 over three of its audits: C1, C4 and C11. rebuild_list_of_all_audits has all nine."""
     positions = _positions(fields, indexes, keys)
     return catalog.rebuild_list(
         [catalog.missing_objects(records, objects),
@@ -301,6 +301,75 @@ def rebuild_list(records, objects, fields, columns, indexes, keys, ind_columns,
         records, tables).select(big("object_type"), "recname", "indexid")
 
 
+@query("cat_records", "cat_objects", "cat_fields", "cat_columns", "cat_indexes", "cat_keys",
+       "cat_ind_columns", "cat_tables", "cat_instances", "cat_settings", "cat_field_types", sql=f"""
+WITH {BUILT}, {COUNTS}, {POSITIONS},
+r AS (SELECT *, CASE WHEN sqltablename = ' ' THEN concat('PS_', recname) ELSE sqltablename END AS base
+  FROM cat_records),
+there AS (SELECT b.* FROM b JOIN cat_objects ON object_type = otype AND object_name = base),
+temps AS (SELECT b.recname, base, coalesce(i.temptblinstances, 0) + s.temptblinstances AS n
+  FROM b LEFT JOIN cat_instances i USING (recname) CROSS JOIN cat_settings s WHERE rectype = 7),
+pairs AS (SELECT b.recname, b.rectype, b.systemidfieldname, q.fieldname AS declared, q.fieldnum, q.useedit,
+    c.* FROM b JOIN cat_fields q USING (recname)
+  JOIN cat_columns c ON c.table_name = base AND c.column_name = q.fieldname),
+f1 AS (SELECT recname FROM b WHERE NOT EXISTS (SELECT 1 FROM cat_objects WHERE object_type = otype
+    AND object_name = base)
+  UNION SELECT recname FROM temps JOIN cat_objects ON object_type = 'TABLE' AND starts_with(object_name, base)
+    AND object_name BETWEEN concat(base, '1') AND concat(base, '9999')
+    WHERE TRY_CAST(substr(object_name, length(base) + 1) AS INTEGER) > n
+  UNION SELECT recname FROM b JOIN p USING (recname) JOIN d ON d.table_name = base
+    WHERE pscols <> dbcols
+  UNION SELECT recname FROM there JOIN cat_fields USING (recname) WHERE NOT EXISTS (
+    SELECT 1 FROM cat_columns WHERE table_name = base AND column_name = fieldname)
+  UNION SELECT recname FROM b JOIN cat_columns ON table_name = base WHERE NOT EXISTS (
+    SELECT 1 FROM there JOIN cat_fields q ON q.recname = there.recname
+    WHERE there.recname = b.recname AND q.fieldname = column_name)
+  UNION SELECT recname FROM pairs c JOIN cat_field_types f ON f.fieldname = declared
+    WHERE rectype IN (0, 7) AND (useedit % 512 = 256 AND nullable = 'Y'
+      OR fieldtype IN (0, 2, 3) AND nullable = 'Y' AND NOT declared = systemidfieldname
+      OR data_type = 'VARCHAR2' AND fieldtype = 0 AND data_length <> least(4000, f.length)
+      OR fieldtype = 1 AND f.length BETWEEN 1 AND 2000 AND data_type <> 'VARCHAR2'
+      OR fieldtype = 1 AND NOT f.length BETWEEN 1 AND 2000 AND f.format = 0 AND data_type <> 'LONG'
+      OR fieldtype = 1 AND f.format = 7 AND data_type <> 'LONG RAW'
+      OR fieldtype = 2 AND NOT (data_type = 'NUMBER' AND data_scale = f.decimalpos
+        AND (data_precision + 1 = f.length OR data_scale = 0))
+      OR fieldtype = 3 AND NOT (data_type = 'NUMBER' AND data_scale = f.decimalpos
+        AND (data_precision + 2 = f.length OR data_scale = 0))
+      OR fieldtype IN (4, 5, 6) AND data_type <> 'DATE' OR fieldtype = 8 AND data_type <> 'LONG RAW'
+      OR fieldtype = 9 AND NOT (data_type = 'VARCHAR2' AND data_length = 30))
+  UNION SELECT pairs.recname FROM pairs JOIN p ON p.recname = pairs.recname
+    JOIN d ON d.table_name = pairs.table_name AND pscols = dbcols WHERE column_id <> fieldnum
+    AND EXISTS (SELECT 1 FROM cat_field_types t WHERE t.fieldname = declared)),
+k AS (SELECT recname, indexid, count(*) AS n FROM pos GROUP BY 1, 2),
+i AS (SELECT table_name, index_name, count(*) AS n FROM cat_ind_columns GROUP BY 1, 2),
+f2 AS (SELECT recname, indexid FROM k JOIN r USING (recname) JOIN i ON table_name = base
+    AND index_name = concat('PS', indexid, recname) WHERE k.n <> i.n
+  UNION SELECT pos.recname, pos.indexid FROM pos JOIN r USING (recname) JOIN cat_ind_columns c
+    ON c.table_name = base AND c.index_name = concat('PS', indexid, pos.recname) AND column_name = fieldname
+    WHERE keyposn <> column_position),
+ok AS (SELECT recname FROM cat_records EXCEPT SELECT recname FROM b JOIN cat_tables ON table_name = base
+       WHERE rectype IN (0, 7) AND tablespace_name IS NULL)
+SELECT CAST(0 AS BIGINT) AS object_type, recname, ' ' AS indexid
+FROM (SELECT recname FROM f1 UNION SELECT recname FROM f2) JOIN ok USING (recname)
+UNION ALL
+SELECT CAST(1 AS BIGINT), recname, indexid FROM f2 JOIN ok USING (recname)""")
+def rebuild_list_of_all_audits(records, objects, fields, columns, indexes, keys, ind_columns, tables,
+                               instances, settings, types):
+    """C13 over the nine audits that feed it: C1, C3-C7 and C9 for records, C10 and C11 for indexes."""
+    positions = _positions(fields, indexes, keys)
+    return catalog.rebuild_list(
+        [catalog.missing_objects(records, objects),
+         catalog.excess_temp_instances(records, objects, instances, settings),
+         catalog.column_count_mismatch(records, fields, columns),
+         catalog.missing_columns(records, objects, fields, columns),
+         catalog.undeclared_columns(records, objects, fields, columns),
+         catalog.definition_mismatch(records, fields, types, columns, settings),
+         catalog.column_position_mismatch(records, fields, types, columns)],
+        [catalog.index_count_mismatch(records, positions, ind_columns),
+         catalog.index_position_mismatch(records, positions, ind_columns)],
+        records, tables).select(big("object_type"), "recname", "indexid")
+
+
 @query("cat_records", "cat_tables", sql=f"""
 WITH {BUILT}
 SELECT recname, 'TSSMALL' AS ddlspacename, table_name, tablespace_name AS new_ddlspacename

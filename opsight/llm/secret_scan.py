@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,12 +39,14 @@ SENSITIVE = {
 HARMLESS = {"length": 0.8, "name": 0.5, "id": 0.3, "file": 0.5, "path": 0.6, "type": 0.8, "count": 0.8, "public": 0.6, "url": 0.5}
 PLACEHOLDERS = ("[secret]", "example", "changeme", "placeholder", "redacted", "none", "null", "true", "false", "your_", "xxxx", "****")
 THRESHOLD = 0.5
+#: Characters of the parts, each half over the next, in which a long literal's variety is looked for.
+PART = 256
 
 _PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]{0,64}(?::=|=>|=(?!=)|:(?!:))[ \t]{0,64}"""
+    r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|=(?!=)|:(?!:))[ \t]*+"""
     r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([^\s"',;#(){}\[\]<>]++))"""
 )
-_MORE = re.compile(r"""[ \t]{0,64}\+[ \t]{0,64}(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_MORE = re.compile(r"""[ \t]*+\+[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -60,15 +63,19 @@ def name_score(name: str) -> float:
     return most * rest
 
 
+def entropy(value: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
 def literal_score(value: str) -> float:
     """0 for what can be no secret, rising with length and with the variety of characters."""
     low = value.lower()
     if len(value) < LEAST_VALUE or any(p in low for p in PLACEHOLDERS) or value[:1] in "$%{<":
         return 0.0
-    head = value[:256]
-    counts = [head.count(c) for c in set(head)]
-    entropy = -sum(c / len(head) * math.log2(c / len(head)) for c in counts)
-    return min(1.0, 0.4 + entropy / 5)
+    # the whole literal and each part of it, so that no uniform stretch hides what stands before or behind it
+    parts = [value] + ([value[i : i + PART] for i in range(0, len(value) - PART // 2, PART // 2)] if len(value) > PART else [])
+    return min(1.0, 0.4 + max(map(entropy, parts)) / 5)
 
 
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:

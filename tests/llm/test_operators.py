@@ -251,6 +251,17 @@ def test_secret_names():
     assert named('user = "bob_the_builder"') == [] and named('pwd = "changeme"') == [] and named("token_count = 1234567") == []
 
 
+def test_secrets_in_long_literals_and_behind_wide_blanks():
+    secret = "".join(random.Random(2).choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=40))
+    for before, after in ((0, 0), (0, 9000), (256, 0), (300, 0), (9000, 0), (9000, 9000), (251, 3)):
+        value = "-" * before + secret + "-" * after
+        for text in (f'auth_password = "{value}"', f"password{' ' * 500}={' ' * 500}'{value}'"):
+            assert [text[a:b] for a, b, _ in secret_scan.named_spans(text)] == [value]
+    assert secret_scan.named_spans('password = "' + "-" * 9000 + '"') == []
+    text = 'secret = "abc"' + " " * 500 + "+" + "\t" * 500 + '"defgh"'
+    assert [text[a:b] for a, b, _ in secret_scan.named_spans(text)] == [text[10:-1]]
+
+
 def test_secrets_and_redaction(spark):
     rows = [(i, t, "old") for i, t in enumerate(SECRET_TEXTS)] + [(3, SECRET_TEXTS[3], "old"), (None, SECRET_TEXTS[3], None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")

@@ -399,6 +399,17 @@ def test_url_models_tell_unseen_urls_apart():
     assert abs(np.exp(model.accepted.log_p(np.arange(256, dtype=np.uint64), last)).sum() - 1) < 1e-9
 
 
+def test_url_sample_is_that_of_distinct_urls(spark):
+    few = [(f"http://a{i}.net/{v}", v) for i in range(60) for v in ("allow", "block")]
+    once = spark.createDataFrame(few, "url string, verdict string")
+    often = once.crossJoin(spark.range(50)).drop("id")
+    for most in (100, 20):
+        a, b = (url_filter.fit(rows, max_urls=most) for rows in (once, often))
+        assert (a.threshold, a.scores(["http://a7.net/x"]).tolist()) == (b.threshold, b.scores(["http://a7.net/x"]).tolist())
+        for side in ("accepted", "rejected"):
+            assert getattr(a, side).context_n.tolist() == getattr(b, side).context_n.tolist() != []
+
+
 LICENSES = [None, "", "...", "Under the MIT  License! under-the.mit/license", "mit license", "Apache License, Version 2.0 and CC BY-NC 4 (cc-by-nc)", "Kit under the mİt license",
             "über Under The Mit License é", "cc by nc cc by nc", license_scan.TEMPLATES["bsd"].upper(), "x\n\n" + license_scan.TEMPLATES["mpl-2"].replace(" ", "\n") + "\n\ny",
             license_scan.TEMPLATES["gpl"].rsplit(" ", 12)[0], "word " * 40_000 + "under the mit license"]

@@ -11,6 +11,7 @@ broadcast in blocks of bounded size; more items mean more blocks, not larger one
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,16 +23,28 @@ from pyspark.sql import types as T
 
 #: Edits allowed per 100 characters of an item.
 ERROR_PERCENT = 5
-#: Items with fewer characters say too little to be matched and take no part.
+#: Items with fewer characters are matched without errors and only as whole words.
 LEAST_CHARS = 20
 #: Characters of the items in one broadcast block (about: items are dealt by a hash).
 BLOCK_CHARS = 4 << 20
+#: Letters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana and ideographs.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def spaced(c: str) -> bool:
+    """Whether c belongs to a word of a script that puts spaces between words."""
+    return c.isalnum() and not UNSPACED.match(c)
+
+
+def apart(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends inside a word."""
+    return not any(0 < at < len(text) and spaced(text[at - 1]) and spaced(text[at]) for at in (start, end))
+
+
 def budget(length: int, percent: int = ERROR_PERCENT) -> int:
     return length * percent // 100
 
@@ -81,6 +94,7 @@ class Item:
     text: str
     errors: int
     bits: dict[str, int]
+    short: bool
 
 
 class Matcher:
@@ -91,12 +105,13 @@ class Matcher:
         where: dict[str, list[tuple[int, int]]] = {}
         for key, raw in items:
             text = normal(raw)
-            if len(text) < max(least, 1):
+            if not text:
                 continue
-            errors = budget(len(text), percent)
+            short = len(text) < least
+            errors = 0 if short else budget(len(text), percent)
             for offset, piece in pieces(text, errors):
                 where.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append(Item(key, text, errors, bits(text)))
+            self.items.append(Item(key, text, errors, bits(text), short))
         self.automaton = ahocorasick.Automaton()
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -116,6 +131,10 @@ class Matcher:
                     continue
                 item = self.items[i]
                 start = end + 1 - size - offset
+                if item.short:  # its one piece is the whole item
+                    if apart(text, start, end + 1):
+                        best[i] = 0
+                    continue
                 if start in (seen := tried.setdefault(i, set())):
                     continue
                 seen.add(start)
@@ -143,7 +162,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", hits: str
             item_text: str = "text", percent: int = ERROR_PERCENT, least: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with an array of (item, distance) for the items that each whole text holds.
 
-    Null and empty texts and null items match nothing; an empty benchmark gives
+    Items of fewer than `least` characters are held where they stand unchanged and
+    as whole words. Null and empty texts and items match nothing; an empty benchmark gives
     empty arrays. Items with equal keys count apart. Repeated rows of docs keep one
     result each; a column of the name `hits` is replaced.
     """

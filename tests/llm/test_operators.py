@@ -333,6 +333,15 @@ def test_decontamination(spark):
     assert decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def test_short_items_are_held_as_whole_words(spark):
+    items = [(1, "2 + 2 = 4?"), (2, "Too  Short"), (3, "x"), (4, "東京"), (5, " \n"), (6, None), (7, "too short")]
+    held = {"so 2 + 2 = 4? yes": [1], "2 + 2 = 4?": [1], "2 + 2 = 5?": [], "12 + 2 = 4?": [], "it is too\nshort.": [2, 7], "too shorty": [], "tattoo short": [],
+            "tattoo short, too short": [2, 7], "x": [3], "ax xa": [], "(x)": [3], "私は東京に行く": [4], "東 京": [], "": [], None: []}
+    docs = spark.createDataFrame(list(enumerate(held)), DOCS)
+    got = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["text"]: [tuple(h) for h in r["hits"]] for r in got} == {t: [(k, 0) for k in own] for t, own in held.items()}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "".join(random.Random(1).choices("abc é\r\n\r\n", k=90_000))
     rows = [(1, "http://a/", big, 1), (2, "http://b/", big, 1), (3, None, None, 1), (4, "http://d\r\n/", "", 1), (5, "u", "x" * 999, 1), (6, "u", "x" * 999, 1),

@@ -108,8 +108,8 @@ def merge_all(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, n
     ranks = vocabulary.rank(symbol[inner], symbol[inner + 1])
     inner, ranks = inner[ranks >= 0], ranks[ranks >= 0]
     order = np.argsort(ranks, kind="stable")
-    cuts = np.flatnonzero(np.diff(ranks[order], prepend=-1))
-    for at, to in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
+    edges = np.r_[np.flatnonzero(np.diff(ranks[order], prepend=-1)), len(order)]
+    for at, to in zip(edges, edges[1:], strict=False):
         where[int(ranks[order[at]])] = inner[order[at:to]].tolist()
     active = list(where)
     heapq.heapify(active)
@@ -176,6 +176,8 @@ class Memory:
     def learn(self, vocabulary: Vocabulary) -> None:
         """Encode the pre-tokens that have a number but no ids yet."""
         fresh = list(islice(self.number, len(self.sizes), None))
+        if not fresh:
+            return
         ids, sizes = merge_all([b"" if w in vocabulary.added else w.encode() for w in fresh], vocabulary)
         special = [(i, vocabulary.added[w]) for i, w in enumerate(fresh) if w in vocabulary.added]
         for i, token in special:

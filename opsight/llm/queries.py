@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.llm import bpe, decontaminate, hash_forest, language_id, license_scan, partenum, secret_scan, suffix_repeats, url_filter, warc
+from opsight.llm import (
+    bpe, decontaminate, hash_forest, id_files, language_id, license_scan, partenum, secret_scan, suffix_repeats, url_filter, warc, whitening,
+    word_runs,
+)
 from opsight.llm.common import delete_on_exit, table
 from opsight.session import shared_dir
 
@@ -17,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
+END_ID = 2
 RULES = (
     url_filter.Rule("org/", "allow"), url_filter.Rule("example.org/es/", "block"), url_filter.Rule("example.org/en/1", "block"),
     url_filter.Rule("com/fr/", "allow"), url_filter.Rule("com/de/", "block"),
@@ -122,6 +127,63 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) in which every tenth document, by the checksum h of its id, goes round in circles.
+
+    With n words and g = h // 10, the words from a = g % n on are the first p of them
+    over and over, p = 1 + (n - a) // (3 + g % 8). Null ids leave a text as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    chosen = docs.withColumns({"h": h, "words": F.when(h % 10 == 0, words)}).withColumn("n", F.size("words"))
+    g, a, p = F.floor(F.col("h") / 10), F.col("a"), F.col("p")
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, (g % F.col("n")).cast("int")))
+    chosen = chosen.withColumn("p", (1 + F.floor((F.col("n") - a) / (3 + g % 8))).cast("int"))
+    round_ = F.slice("words", a + 1, p)
+    times = F.ceil((F.col("n") - a) / p).cast("int")
+    turned = F.slice(F.concat(F.slice("words", F.lit(1), a), F.flatten(F.array_repeat(round_, times))), F.lit(1), F.col("n"))
+    return chosen.select("doc_id", F.when(a.isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every document, the longest of them, and digests of all and of what stays."""
+    found = word_runs.find_runs(looped(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("runs")
+    longest = F.array_min(F.transform(runs, lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = found.withColumn("best", longest)
+    length, period = -F.col("best.less"), F.col("best.period")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to files with seek tables in the shared folder and read back."""
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    id_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path(WORD_VOCABULARY), end=END_ID)
+    delete_on_exit(spark, path)
+    back = id_files.read(spark, path, ids=False)
+    return back.select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector along the first 16 components, in units of their deviations."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    explained = F.array(*map(F.lit, model.explained)) if model.explained else F.array().cast("array<double>")
+    rows = whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("place")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
 ORACLE["op8_warc"] = """
 WITH p AS (
   SELECT page_id, url, sha1(coalesce(html, '')) AS payload_digest,

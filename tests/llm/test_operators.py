@@ -291,6 +291,19 @@ def test_bpe_is_that_of_the_tokenizer(spark):
     assert bpe.encode(docs.limit(0), PATH).count() == 0
 
 
+@pytest.mark.parametrize("rows", [
+    [(1, "7")], [(1, None), (2, ""), (3, None)], [(i, "the same words") for i in range(20_000)], [(1, "one two"), (2, "one two"), (3, "")],
+])
+def test_bpe_where_a_slice_brings_no_new_word(spark, rows, monkeypatch):
+    """Single characters, nothing but nulls, and later slices whose words are all known."""
+    tokenizer = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    coded = bpe.encode(docs, PATH, decoded="decoded", chars_at_once=40).collect()
+    assert len(coded) == len(rows)
+    for text, ids, decoded in {(r["text"], tuple(r["ids"]), r["decoded"]) for r in coded}:
+        assert list(ids) == tokenizer.encode(text or "", add_special_tokens=False).ids and decoded == (text or "")
+
+
 def test_bpe_decode_of_part_of_a_character(spark):
     whole = Tokenizer.from_file(PATH)
     ids = whole.encode("漢", add_special_tokens=False).ids

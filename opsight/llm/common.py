@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 import pyarrow as pa
@@ -36,6 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: Sequence[str]) -> str:
+    """A column name of this kind that is not taken, whatever the case of its letters."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back.
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.llm.common import ready, written
+from opsight.llm.common import free_name, ready, written
 
 #: Bytes of one block of the fit list.
 BLOCK_BYTES = 1 << 20
@@ -229,7 +229,7 @@ def transform(df: DataFrame, model: Model, vector: str = "embedding", whitened:
     keep = [c for c in df.columns if c not in (whitened, deviation)]
     schema = T.StructType([df.schema[c] for c in keep]).add(deviation, T.LongType()).add(whitened, T.ArrayType(T.DoubleType()))
     own = F.col(vector).cast("array<double>")
-    rows = df.where(valid(own) & (F.size(own) == model.entries)).select(*keep, own.alias("__v"))
+    rows = df.where(valid(own) & (F.size(own) == model.entries)).select(*keep, own.alias(free_name("__v", keep)))
     k = len(model.values)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.llm.common import give_back, ready
+from opsight.llm.common import free_name, give_back, ready
 from opsight.llm.words import batches
 
 #: Bytes of texts that are searched at once.
@@ -203,4 +203,4 @@ def find_runs(df: DataFrame, text: str = "text", least: int = 6, times: int = 4,
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), lists, pa.array(short, pa.string())], [*keep, *made])
         give_back()
 
-    return df.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text).cast("binary").alias(free_name("__text", keep))).mapInArrow(run, schema)

@@ -298,7 +298,7 @@ def test_bpe_where_a_slice_brings_no_new_word(spark, rows, monkeypatch):
     """Single characters, nothing but nulls, and later slices whose words are all known."""
     tokenizer = Tokenizer.from_file(PATH)
     docs = spark.createDataFrame(rows, DOCS).coalesce(1)
-    coded = bpe.encode(docs, PATH, decoded="decoded", chars_at_once=40).collect()
+    coded = bpe.encode(docs, PATH, decoded="decoded", chars_at_once=2000).collect()
     assert len(coded) == len(rows)
     for text, ids, decoded in {(r["text"], tuple(r["ids"]), r["decoded"]) for r in coded}:
         assert list(ids) == tokenizer.encode(text or "", add_special_tokens=False).ids and decoded == (text or "")

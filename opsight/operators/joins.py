@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsight.functions.timegrid import to_seconds
+from opsight.operators.intervals import match_points, shift_right
 from opsight.operators.scan import (
     group_row_limit, largest_group, last_before, null_safe, ordered_scan,
     running_sum,
@@ -141,35 +142,27 @@ def session_sample_snapshot_join(samples: DataFrame, snapshots: DataFrame) -> Da
 
 def interval_join(
     points: DataFrame, intervals: DataFrame, on: Sequence[tuple[str, str]], ts: str,
-    begin: str, end: str, bin_seconds: int, as_of=None,
+    begin: str, end: str, as_of=None,
 ) -> DataFrame:
     """Points with the intervals of the same key that contain them.
 
-    Time is cut into bins. An interval is filed under the dyadic blocks that make
-    up its bins, at most two per level however long it is; a point asks for its
-    block at each level that occurs, and (key, level, block) is an equi-join key.
-    A busy key is thereby spread over its blocks. An open end counts as as_of.
+    Intervals are filed by length class, see `intervals.match_points`, so a busy key is
+    spread over its cells and long intervals are not copied along their length. An open
+    end counts as as_of.
     """
     stop = F.col(end) if as_of is None else F.coalesce(
         F.col(end).cast("timestamp"), F.lit(as_of).cast("timestamp")
     )
-    bin_of = lambda c: F.floor(to_seconds(c) / bin_seconds).cast("long")
+    second = lambda c: to_seconds(c).cast("long")
     closed = intervals.withColumn("_stop", stop)
-    binned = closed.withColumn(
-        "_b", F.explode(_blocks_covering(bin_of(begin), F.greatest(bin_of(begin), bin_of("_stop")), RANGE_LEVELS))
-    ).withColumn("_bin", F.col("_b.node")).withColumn("_level", F.col("_b.level")).drop("_b")
-    placed = points.withColumn("_plevel", F.explode(binned.agg(F.collect_set("_level")).scalar()))
-    placed = placed.withColumn("_pbin", _shift_right(bin_of(ts), F.col("_plevel")))
-    cond = (placed["_pbin"] == binned["_bin"]) & (placed["_plevel"] == binned["_level"])
-    for left, right in on:
-        cond = cond & (placed[left] == binned[right])
-    cond = cond & (placed[ts] >= binned[begin]) & (placed[ts] <= binned["_stop"])
-    return placed.join(binned, cond).drop("_pbin", "_bin", "_plevel", "_level", "_stop")
+    return match_points(
+        points, closed, on, [ts], second(ts), second(begin), second("_stop"),
+        lambda own: own(ts).between(F.col(begin), F.col("_stop")),
+    ).drop("_stop")
 
 
 def sample_interval_join(
-    samples: DataFrame, snapshots: DataFrame, processes: DataFrame, as_of,
-    bin_seconds: int = 3600, exact_tag: bool = False,
+    samples: DataFrame, snapshots: DataFrame, processes: DataFrame, as_of, exact_tag: bool = False,
 ) -> DataFrame:
     """Session samples taken while a process ran, whose action names it.
 
@@ -194,7 +187,7 @@ def sample_interval_join(
     tagged = processes.withColumn("_instance", F.col("prcsinstance").cast("string"))
     hits = interval_join(
         named, tagged, [("module", "prcsname"), ("_tag", "_instance")], "sample_time",
-        "begindttm", "enddttm", bin_seconds, as_of,
+        "begindttm", "enddttm", as_of,
     )
     finish = F.coalesce(F.col("enddttm").cast("timestamp"), F.lit(as_of).cast("timestamp"))
     overlap = (F.col("end_interval_time") >= F.col("begindttm")) & (
@@ -306,9 +299,6 @@ def effective_dated_lookup(
     )
 
 
-RANGE_LEVELS = 62
-
-
 def _position(df: DataFrame, name: str) -> Column:
     """A long that never falls as the column rises: the integer part of a number, the
     microseconds of a time, the first seven bytes of a text."""
@@ -324,20 +314,16 @@ def _position(df: DataFrame, name: str) -> Column:
 def range_assign(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:
     """Rows with all ranges [low, high] that contain their value; ranges may overlap.
 
-    Each range is filed under the dyadic blocks that make it up, each value asks for
-    its block at the levels that occur (62 at most), and the two meet on (level,
-    block). Values finer than `_position` are compared after that. Texts should
-    differ in their first seven bytes, or many of them share a block.
+    Ranges are filed by length class, see `intervals.match_points`. Values finer than
+    `_position` are compared after that. Texts should differ in their first seven
+    bytes, or many of them share a cell.
     """
-    filed = ranges.where(F.col(low) <= F.col(high)).withColumn(
-        "_b", F.explode(_blocks_covering(_position(ranges, low), _position(ranges, high), RANGE_LEVELS))
-    ).select(*[F.col(c).alias(f"_r_{c}") for c in ranges.columns], "_b.level", "_b.node")
-    levels = filed.agg(F.collect_set("level"))
-    asked = df.withColumn("_level", F.explode(levels.scalar()))
-    asked = asked.withColumn("_node", _shift_right(_position(df, value), F.col("_level")))
-    met = asked.join(filed, (asked["_level"] == filed["level"]) & (asked["_node"] == filed["node"]))
-    inside = F.col(value).between(F.col(f"_r_{low}"), F.col(f"_r_{high}"))
-    return met.where(inside).select(*df.columns, *[F.col(f"_r_{c}").alias(c) for c in ranges.columns])
+    named = ranges.where(F.col(low) <= F.col(high)).select(*[F.col(c).alias(f"_r_{c}") for c in ranges.columns])
+    met = match_points(
+        df, named, [], [value], _position(df, value), _position(named, f"_r_{low}"), _position(named, f"_r_{high}"),
+        lambda own: own(value).between(F.col(f"_r_{low}"), F.col(f"_r_{high}")),
+    )
+    return met.select(*df.columns, *[F.col(f"_r_{c}").alias(c) for c in ranges.columns])
 
 
 def asof_parent(
@@ -406,16 +392,12 @@ def _parent_by_time(told, asking, session, line, ts, max_group_rows):
         *asking.columns, F.coalesce("_parent", F.lit(-1)).cast("long").alias("parent_line_num"))
 
 
-def _shift_right(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftright", value, bits)
-
-
 def _blocks_of(value: Column, levels: int) -> Column:
     """The dyadic blocks containing an integer, one per level."""
     return F.transform(
         F.sequence(F.lit(0), F.lit(levels - 1)),
         lambda n: F.struct(
-            n.alias("level"), _shift_right(value.cast("long"), n).alias("node")
+            n.alias("level"), shift_right(value.cast("long"), n).alias("node")
         ),
     )
 
@@ -426,8 +408,8 @@ def _blocks_covering(low: Column, high: Column, levels: int) -> Column:
 
     def at_level(n: Column) -> Column:
         size = F.call_function("shiftleft", F.lit(1).cast("long"), n)
-        first = _shift_right(low.cast("long") + size - 1, n)
-        past = _shift_right(high.cast("long") + 1, n)
+        first = shift_right(low.cast("long") + size - 1, n)
+        past = shift_right(high.cast("long") + 1, n)
         inside = first < past
         left = F.when(inside & (F.pmod(first, F.lit(2)) == 1),
                       F.struct(n.alias("level"), first.alias("node")))

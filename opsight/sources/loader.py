@@ -1,11 +1,13 @@
-"""Loading logs (S1-S10): routing of lines, load accounting, sinks."""
+"""Loading logs (S1-S7, S9): routing of lines, load accounting, per-file output. S8 and S10 are in `versions`."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsight.functions.rules import failed_rules
 from opsight.sources.formats import (
@@ -71,14 +73,14 @@ def within_error_limit(report: DataFrame, errors: int = 999999) -> DataFrame:
     return report.withColumn("within_limit", F.col("rejected") <= errors)
 
 
-def read_log_set(spark: SparkSession, glob: str) -> DataFrame:
-    """The lines of a set of files, with file name and position.
+def read_log_set(spark: SparkSession, glob: str, file: Column | None = None) -> DataFrame:
+    """The lines of a set of files, with the file (by default its name) and their position.
 
     (file, block, seq) is the line order: a file is split into byte blocks, and
-    seq grows along the lines of a block.
+    seq grows along the lines of a block. See `line_numbers`.
     """
     return spark.read.text(glob).select(
-        "value", F.col("_metadata.file_name").alias("file"),
+        "value", (F.col("_metadata.file_name") if file is None else file).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
     )
@@ -87,13 +89,42 @@ def read_log_set(spark: SparkSession, glob: str) -> DataFrame:
 LINE_ORDER = ("block", "seq")
 
 
-def write_per_file_csv(df: DataFrame, path: str, file: str = "file", order=()) -> None:
-    """One folder of CSV with header per input file. Rows are spread by
-    range, so a large input file becomes several parts in order."""
+def line_numbers(lines: DataFrame, name: str = "line") -> DataFrame:
+    """The lines of `read_log_set` with their number in their file, from 1.
+
+    Blocks count their own lines; one row per block then says how many lines of its
+    file come before it. No file is brought into one task.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        F.col("file").alias("_f"), F.col("block").alias("_b"), "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = (lines["file"] == starts["_f"]) & (lines["block"] == starts["_b"])
+    return lines.join(starts, same).select(
+        *lines.columns, (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias(name))
+
+
+def write_per_file_csv(df: DataFrame, path: str, file: str = "file", order: Sequence[str] = LINE_ORDER) -> None:
+    """One folder of CSV with header per input file, in the given order.
+
+    Rows are dealt by ranges of (file, *order), so a large input file becomes several
+    parts, and the names of its parts rise with the order. Columns of LINE_ORDER, where
+    they are the order, are not written.
+    """
     out = df.repartitionByRange(F.col(file), *order).sortWithinPartitions(F.col(file), *order)
+    if tuple(order) == LINE_ORDER:
+        out = out.drop(*LINE_ORDER)
     out.write.mode("overwrite").partitionBy(file).option("header", True).csv(path)
 
 
+def read_per_file_csv(spark: SparkSession, path: str, columns: str, file: str = "file") -> DataFrame:
+    """The rows of `write_per_file_csv` with their place (part, seq) among those of their file."""
+    schema = T.StructType.fromDDL(columns)
+    rows = spark.read.option("header", True).option("basePath", path).schema(schema.add(file, "string")).csv(path)
+    return rows.select("*", F.col("_metadata.file_name").alias("part"), F.monotonically_increasing_id().alias("seq"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
@@ -126,14 +157,3 @@ def ingest_sql_trace(spark, path: str, log_date: str, has_program: bool = True)
 def ingest_message_log(spark, path: str, log_date: str) -> LoadResult:
     """S5."""
     return load_with_rejects(read_lines(spark, path), message_log(log_date))
-
-
-def replace_load(df: DataFrame, path: str, partition_by=()) -> None:
-    """Empty the target, then load."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
-def materialize(df: DataFrame, path: str, append: bool = False, partition_by=()) -> DataFrame:
-    """Write a snapshot and continue from it."""
-    df.write.mode("append" if append else "overwrite").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)

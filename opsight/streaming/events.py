@@ -13,6 +13,7 @@ from opsight.functions.text import (
     DOMAIN_RULES, action_tag, classified, fingerprint, percent_decoded, session_tag,
     status_comment, text_chunks,
 )
+from opsight.operators.intervals import Validity
 from opsight.operators.joins import effective_dated_lookup
 from opsight.operators.scan import (
     lag, null_safe, ordered_scan, row_number,
@@ -164,15 +165,35 @@ def next_sequence(
 ) -> DataFrame:
     """Number new rows of a key on from its largest used number. As in the
     message log, a key whose number 1 is missing starts again at 1."""
-    used = existing.groupBy(F.col(key).alias("_k")).agg(
-        F.when(F.max(F.col(seq) == 1), F.max(seq)).alias("_max")
+    return number_on(rows, used_sequences(existing, key, seq), key, order, seq, max_group_rows)
+
+
+def used_sequences(existing: DataFrame, key: str, seq: str) -> DataFrame:
+    """Key and _max, the number after which new rows of the key go on; keys without number 1 have none."""
+    return existing.groupBy(key).agg(
+        F.when(F.max(F.col(seq) == 1), F.max(seq)).cast("long").alias("_max")
     )
+
+
+def number_on(
+    rows: DataFrame, used: DataFrame | None, key: str, order: Sequence[str], seq: str,
+    max_group_rows: int | None = None,
+) -> DataFrame:
+    """Rows numbered by `order` after _max of their key in `used`."""
     numbered = ordered_scan(rows, [key], order, [row_number("_n")], max_group_rows)
-    return numbered.join(used, null_safe(numbered, used, [(key, "_k")]), "left").select(
+    if used is None:
+        return numbered.select(*rows.columns, F.col("_n").alias(seq))
+    known = used.select(F.col(key).alias("_k"), "_max")
+    return numbered.join(known, null_safe(numbered, known, [(key, "_k")]), "left").select(
         *rows.columns, (F.col("_n") + F.coalesce("_max", F.lit(0))).alias(seq)
     )
 
 
+def valid_messages(messages: DataFrame, instance: str, text: str) -> DataFrame:
+    """Messages with a process and a text."""
+    return messages.where((F.col(instance) > 0) & F.col(text).isNotNull() & (F.col(text) != ""))
+
+
 def append_messages(
     messages: DataFrame, existing: DataFrame, order: Sequence[str],
     instance: str = "process_instance", text: str = "message", severity: str = "severity",
@@ -181,8 +202,15 @@ def append_messages(
     """Message headers and their text pieces, numbered per process after
     the messages it already has. Messages without a process or text are ignored.
     max_parts keeps the first pieces of a text only; by default it is stored whole."""
-    valid = messages.where((F.col(instance) > 0) & F.col(text).isNotNull() & (F.col(text) != ""))
+    valid = valid_messages(messages, instance, text)
     numbered = next_sequence(valid, existing, instance, order, "message_seq", max_group_rows)
+    return message_rows(numbered, instance, text, severity, max_parts)
+
+
+def message_rows(
+    numbered: DataFrame, instance: str, text: str, severity: str, max_parts: int | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Headers and text pieces of messages that have their message_seq."""
     header = numbered.select(
         instance, "message_seq", F.lit(MESSAGE_SET).alias("message_set_nbr"),
         F.lit(MESSAGE_NUMBER).alias("message_nbr"),
@@ -199,10 +227,25 @@ def status_labels(
     old: str = "old_runstatus", instance: str = "prcsinstance",
 ) -> DataFrame:
     """Action text with the status label, for statuses of interest or
-    processes leaving work. On a stream `dated` is the static side."""
-    wanted = changes.where(
+    processes leaving work. On a stream `dated` is the static side; for labels
+    by a time column of a stream see `status_labels_at`."""
+    labelled = effective_dated_lookup(_of_interest(changes, status, old), dated, status, as_of, name="status_label")
+    return labelled.withColumn("action", action_tag(instance, F.col("status_label")))
+
+
+def _of_interest(changes: DataFrame, status: str, old: str) -> DataFrame:
+    return changes.where(
         (F.col(status).isin(list(LABELLED_STATUSES)) | F.col(old).isin(list(LEFT_STATUSES)))
         & (F.col("prcstype") != JOB_TYPE)
     )
-    labelled = effective_dated_lookup(wanted, dated, status, as_of, name="status_label")
+
+
+def status_labels_at(
+    changes: DataFrame, validity: Validity, ts: str, status: str = "runstatus",
+    old: str = "old_runstatus", instance: str = "prcsinstance",
+) -> DataFrame:
+    """E9 with the label that was valid at each row's own time. Stateless: `changes` may be a stream."""
+    found = validity.at(_of_interest(changes, status, old), status, ts, "status_label")
+    missing = F.concat(F.lit("Status:"), F.col(status).cast("string"))
+    labelled = found.withColumn("status_label", F.coalesce("status_label", missing))
     return labelled.withColumn("action", action_tag(instance, F.col("status_label")))

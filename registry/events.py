@@ -5,10 +5,12 @@ what it wrote; it is checked against the same SQL as its batch form."""
 from pyspark.sql import functions as F
 
 from opsight.operators import joins, stats
+from opsight.operators.intervals import Validity
+from opsight.sources import files
 from opsight.streaming import events as ops
-from opsight.streaming import stateful
+from opsight.streaming import keyed, stateful
 from registry.base import ORACLE, QUERIES, big, micros, query, rnd
-from registry.fixtures import DERIVED, configure, with_clause
+from registry.fixtures import derived, with_clause
 
 CHANGES = """
 c AS (SELECT *, lag(runstatus) OVER (PARTITION BY prcsinstance ORDER BY ts, event_id) AS old
@@ -239,16 +241,77 @@ def status_labels(rows, region):
     return out.select("event_id", "action")
 
 
+DATED = """
+d AS (SELECT CAST(CASE r_regionkey WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 8 ELSE 9 END AS VARCHAR)
+        AS fieldvalue, r_name, CASE r_regionkey WHEN 2 THEN 'I' ELSE 'A' END AS st,
+        TIMESTAMP '2024-01-02' + to_days(CAST(r_regionkey * 6 AS INTEGER)) AS effdt FROM region)"""
+LABELLED_AT = f"""
+WITH {DATED.strip()}, {CHANGES}
+SELECT event_id, left(concat('PI=', prcsinstance, ':',
+    CASE WHEN st = 'A' THEN r_name ELSE concat('Status:', runstatus) END), 32) AS action
+FROM c ASOF LEFT JOIN d ON d.fieldvalue = CAST(runstatus AS VARCHAR) AND c.ts >= d.effdt
+WHERE (runstatus IN (3, 7, 8, 9, 10) OR old IN (7, 8)) AND prcstype <> 'PSJob'"""
+
+
+def _validity(region):
+    """Texts that come into force six days apart."""
+    start = F.unix_seconds(F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    days = (F.unix_seconds("effdt") / 86400).cast("long")  # of _status_texts: the region's number
+    return Validity.of(_status_texts(region).withColumn("effdt", F.timestamp_seconds(start + days * 6 * 86400)))
+
+
+@query("prc_changes", "region", sql=LABELLED_AT)
+def status_labels_at_time(rows, region):
+    """E9 with labels valid at each row's own time."""
+    changes = _changes(rows).withColumn("runstatus", F.col("runstatus").cast("string"))
+    return ops.status_labels_at(changes, _validity(region), "ts").select("event_id", "action")
+
+
 # ---- streaming forms ----
+# Every stream is fed as three files, one per micro-batch. Where batches carry state, the
+# last one is run again as after a failure, so the SQL also checks that a replay changes nothing.
+
+PARTS = 3
+
+
+def _fed(rows, part):
+    """A stream of rows in three files, by part 0, 1 or 2."""
+    spark = rows.sparkSession
+    folder = stateful.fresh_folder(spark, "fed")
+    marked = rows.withColumn("_part", part.cast("int"))
+    for i in range(PARTS):
+        marked.where(F.col("_part") == i).drop("_part").repartition(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _thirds(rows, ts="ts"):
+    """0, 1 or 2: the third of all time that a row falls into."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    return F.lit(0) if low is None else F.expr(f"(3 * (unix_micros(cast({ts} AS timestamp)) - {low})) div {high - low + 1}")
+
 
-def _event_stream(spark, sf_dir):
-    configure(spark)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+THIRDS = """
+b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+t AS (SELECT *, (3 * (epoch_us(ts) - lo)) // (hi - lo + 1) AS third FROM events, b)"""
 
 
-def _change_stream(spark, sf_dir):
-    return spark.sql(DERIVED["prc_changes"], events=_event_stream(spark, sf_dir))
+def _rows(spark, sf_dir, *names):
+    return derived(spark, sf_dir, *names)
+
+
+def _run(stream, step, name, keys, ts=None, seed=None, **state):
+    """Run a step over the stream, then its last batch once more."""
+    spark = stream.sparkSession
+    where = keyed.KeyedState(stateful.fresh_folder(spark, name), tuple(keys), ts, **state)
+    if seed is not None:
+        where.seed(seed)
+    keyed.run_keyed(stream, step, where).awaitTermination()
+    last = where.last_batch(spark)
+    for file in (f"{last}", f".{last}.crc"):
+        files.delete(spark, f"{where.folder}/checkpoint/commits/{file}")
+    keyed.run_keyed(stream, step, where).awaitTermination()
+    return where
 
 
 def _stream(name, sql=None, uses=()):
@@ -256,47 +319,104 @@ def _stream(name, sql=None, uses=()):
         QUERIES[name] = fn
         if sql is not None:
             body = sql.strip()
-            ORACLE[name] = (
-                with_clause(*uses) + (",\n" + body[4:] if body.startswith("WITH") else "\n" + body)
-                if uses else body)
+            if not uses:
+                ORACLE[name] = body
+            elif body.startswith("WITH RECURSIVE"):
+                ORACLE[name] = "WITH RECURSIVE" + with_clause(*uses)[4:] + ",\n" + body[14:]
+            else:
+                ORACLE[name] = with_clause(*uses) + (",\n" + body[4:] if body.startswith("WITH") else "\n" + body)
         return fn
 
     return register
 
 
-def _finished(running):
-    running.awaitTermination()
+def _change_run(spark, sf_dir, name, finish):
+    """A step over three files of status changes that knows each process's last status."""
+    rows = _rows(spark, sf_dir, "prc_changes")
+    step = stateful.previous_value_step(
+        ["prcsinstance"], "ts", ["event_id"], "runstatus", "old_runstatus", finish)
+    return _run(_fed(rows, _thirds(rows)), step, name, ["prcsinstance"], "ts")
 
 
 @_stream("stream_status_transitions", TRANSITIONS, ("prc_changes",))
 def stream_status_transitions(spark, sf_dir):
     """E1 as a stream over a status history."""
-    folder = stateful.fresh_folder(spark, "transitions")
-    step = stateful.previous_value_step(
-        ["prcsinstance"], "ts", ["event_id"], "runstatus", "old_runstatus", ops.status_transitions)
-    _finished(stateful.run_stateful(_change_stream(spark, sf_dir), step, folder))
-    return stateful.read_output(spark, folder, "result").select("event_id", "phase", "comment")
+    state = _change_run(spark, sf_dir, "transitions", ops.status_transitions)
+    return keyed.output(spark, state, "result").select("event_id", "phase", "comment")
 
 
 @_stream("stream_pair_snapshots", PAIRED, ("prc_changes",))
 def stream_pair_snapshots(spark, sf_dir):
     """E1 feeding E2: two streams, the second reads what the first wrote."""
-    first = stateful.fresh_folder(spark, "transitions")
-    step = stateful.previous_value_step(
-        ["prcsinstance"], "ts", ["event_id"], "runstatus", "old_runstatus",
-        lambda changes: _snapshots(changes))
-    _finished(stateful.run_stateful(_change_stream(spark, sf_dir), step, first))
-    written = stateful.read_output(spark, first, "result")
-    source = spark.readStream.schema(written.schema).parquet(f"{first}/result/*")
-    folder = stateful.fresh_folder(spark, "pairs")
+    first = _change_run(spark, sf_dir, "snapshots", _snapshots)
+    written = keyed.output(spark, first, "result")
     pair = stateful.pair_snapshots_step(
         ["prcsinstance", "statistic"], "ts", "phase", ["db_value", "my_value"], ["event_id"])
-    _finished(stateful.run_stateful(source, pair, folder))
-    out = stateful.read_output(spark, folder, "result")
+    state = _run(_fed(written, _thirds(written)), pair, "pairs", ["prcsinstance", "statistic"], "ts")
+    out = keyed.output(spark, state, "result")
     return out.select("prcsinstance", "statistic", *PAIR_COLUMNS, micros("begindttm"),
                       micros("enddttm"))
 
 
+@_stream("stream_trace_rules", ORACLE["trace_rules"])
+def stream_trace_rules(spark, sf_dir):
+    """E7 on a stream of status changes."""
+    state = _change_run(spark, sf_dir, "trace", ops.trace_rules)
+    return keyed.output(spark, state, "result").select("event_id", "decision", "binds", "trace_tag", "action")
+
+
+@_stream("stream_status_labels", ORACLE["status_labels_at_time"])
+def stream_status_labels(spark, sf_dir):
+    """E9 on a stream: changes written by one stream, labelled by a second one without state
+    through an equi-join with intervals of validity."""
+    region = _rows(spark, sf_dir, "region")
+    first = _change_run(spark, sf_dir, "changes", lambda changes: changes)
+    written = keyed.output(spark, first, "result")
+    stream = _fed(written, _thirds(written)).withColumn("runstatus", F.col("runstatus").cast("string"))
+    folder = stateful.fresh_folder(spark, "labels")
+    stateful.run_to_table(ops.status_labels_at(stream, _validity(region), "ts"), folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/result").select("event_id", "action")
+
+
+@_stream("stream_archive_on_delete", ORACLE["archive_on_delete"])
+def stream_archive_on_delete(spark, sf_dir):
+    """E4 as a stream of inserts and deletes: what was archived, and the live table in the state."""
+    orders = _rows(spark, sf_dir, "orders")
+    changes = _order_changes(orders).withColumn("seq", F.when(F.col("op") == "D", 2).otherwise(1))
+    odd = F.col("o_orderkey") % 2 == 1  # their deletes come with their inserts, those of the others later
+    part = F.when(odd, 1).when(F.col("op") == "D", 2).otherwise(0)
+    step = stateful.archive_step(["o_orderkey"], orders.columns, ["seq"])
+    state = _run(_fed(changes, part), step, "archive", ["o_orderkey"])
+    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
+    live = state.current(spark)
+    return keyed.output(spark, state, "archive").select(*columns, F.lit("archive").alias("kind")).unionByName(
+        live.select(*columns, F.lit("live").alias("kind")))
+
+
+def _message_run(spark, sf_dir):
+    rows = _rows(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "process_instance")
+    existing = rows.where(F.col("role") == "user").withColumn("message_seq", F.col("turn"))
+    fresh = rows.where(F.col("role") != "user").select(
+        "process_instance", "turn", F.col("text").alias("message"), F.lit(None).cast("int").alias("severity"))
+    part = F.least(F.floor(F.col("turn") / 3), F.lit(2))
+    return _run(_fed(fresh, part), stateful.append_messages_step(["turn"]), "messages", ["process_instance"],
+                seed=ops.used_sequences(existing, "process_instance", "message_seq"))
+
+
+@_stream("stream_append_message_headers", ORACLE["append_message_headers"])
+def stream_append_message_headers(spark, sf_dir):
+    """E8 with W12 as a stream: numbers of a process go on from batch to batch."""
+    header = keyed.output(spark, _message_run(spark, sf_dir), "header")
+    return header.select("process_instance", *[big(c) for c in header.columns[1:]])
+
+
+@_stream("stream_append_message_parts", ORACLE["append_message_parts"])
+def stream_append_message_parts(spark, sf_dir):
+    """E8 with P17 as a stream."""
+    pieces = keyed.output(spark, _message_run(spark, sf_dir), "pieces")
+    return pieces.select("process_instance", big("message_seq"), big("parm_seq"), "message_parm")
+
+
 @_stream("stream_running_stats", """
 SELECT oprid, qryname, count(*) AS execcount, round(avg(exectime), 8) AS avgexectime,
   epoch_us(max(execdttm)) AS lastexecdttm,
@@ -304,9 +424,10 @@ SELECT oprid, qryname, count(*) AS execcount, round(avg(exectime), 8) AS avgexec
 FROM qry_log GROUP BY 1, 2""", ("qry_log",))
 def stream_running_stats(spark, sf_dir):
     """E3 as an update-mode aggregation."""
-    log = spark.sql(DERIVED["qry_log"], events=_event_stream(spark, sf_dir))
+    log = _rows(spark, sf_dir, "qry_log")
     folder = stateful.fresh_folder(spark, "stats")
-    _finished(stateful.run_updates(stateful.running_stats_stream(log), folder))
+    stream = _fed(log, _thirds(log, "execdttm"))
+    stateful.run_updates(stateful.running_stats_stream(stream), folder).awaitTermination()
     out = stateful.read_latest(spark, folder, ["oprid", "qryname"])
     return out.select("oprid", "qryname", "execcount", rnd("avgexectime", 8),
                       micros("lastexecdttm"), big("numkills"))
@@ -316,11 +437,12 @@ def stream_running_stats(spark, sf_dir):
 SELECT event_id, concat('q=', user_id) AS query_string1, 'F84D' AS domain FROM events""")
 def stream_enriched_rows(spark, sf_dir):
     """E5 as a stateless stream."""
-    rows = _event_stream(spark, sf_dir).select(
+    events = _rows(spark, sf_dir, "events")
+    rows = _fed(events, _thirds(events)).select(
         "event_id", F.concat(F.lit("q%3D"), F.col("user_id").cast("string")).alias("query_string1"),
         F.concat(F.lit("/psp/f84d/"), "event_type").alias("url"))
     folder = stateful.fresh_folder(spark, "enriched")
-    _finished(stateful.run_to_table(ops.enrich_access(rows, slots=1), folder))
+    stateful.run_to_table(ops.enrich_access(rows, slots=1), folder).awaitTermination()
     return spark.read.parquet(f"{folder}/result").select("event_id", "query_string1", "domain")
 
 
@@ -329,25 +451,33 @@ SELECT user_id AS prcsinstance, event_id,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sofar FROM events""")
 def stream_progress(spark, sf_dir):
     """E6 as a stream."""
-    rows = _event_stream(spark, sf_dir).select(
-        F.col("user_id").alias("prcsinstance"), "event_id", "ts")
-    folder = stateful.fresh_folder(spark, "progress")
+    events = _rows(spark, sf_dir, "events")
+    rows = events.select(F.col("user_id").alias("prcsinstance"), "event_id", "ts")
     step = stateful.progress_step("prcsinstance", ["ts", "event_id"])
-    _finished(stateful.run_stateful(rows, step, folder))
-    return stateful.read_output(spark, folder, "result").select(
-        "prcsinstance", "event_id", big("sofar"))
-
-
-@_stream("stream_windowed_counts", """
-WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events)
-SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS bucket, event_type, count(*) AS num_rows
-FROM events, m GROUP BY 1, 2, wm
-HAVING to_timestamp(bucket + 21600)::TIMESTAMP <= wm""")
+    state = _run(_fed(rows, _thirds(rows)), step, "progress", ["prcsinstance"], "ts")
+    return keyed.output(spark, state, "result").select("prcsinstance", "event_id", big("sofar"))
+
+
+@_stream("stream_windowed_counts", f"""
+WITH {THIRDS},
+f AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 2 ELSE third END AS part,
+        CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS bucket FROM t),
+m AS (SELECT part, max(epoch_us(ts)) AS mark FROM f GROUP BY 1),
+k AS (SELECT f.*, (bucket + 21600) * 1000000 <= (SELECT max(mark) FROM m WHERE m.part < f.part) - 600000000 AS late FROM f)
+SELECT 'late' AS kind, bucket, event_type, count(*) AS num_rows, round(max(value), 6) AS top FROM k WHERE late GROUP BY 2, 3
+UNION ALL
+SELECT 'result', bucket, event_type, count(*), round(max(value), 6) FROM k
+WHERE late IS NOT TRUE AND (bucket + 21600) * 1000000 <= (SELECT max(mark) FROM m) - 600000000 GROUP BY 2, 3""")
 def stream_windowed_counts(spark, sf_dir):
-    """T5 as a watermarked tumbling window: windows closed by the watermark."""
-    rows = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = stateful.windowed_counts_stream(rows, "ts", ["event_type"], 21600, "10 minutes")
-    folder = stateful.fresh_folder(spark, "windows")
-    _finished(stateful.run_to_table(counts, folder))
-    return spark.read.parquet(f"{folder}/result").select(
-        F.unix_seconds("bucket").alias("bucket"), "event_type", "num_rows")
+    """T5 as tumbling windows over files out of order: windows that are over, and late rows."""
+    events = _rows(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    stream = _fed(events, F.when(F.col("event_id") % 10 == 0, 2).otherwise(_thirds(events)))
+    step = stateful.windowed_step("ts", ["event_type"], 21600, 600, {"num_rows": ("count", None), "top": ("max", "value")})
+    state = _run(stream, step, "windows", (), "ts", buckets=1)
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    late = keyed.output(spark, state, "late").groupBy(
+        (F.floor(second / 21600) * 21600).cast("long").alias("bucket"), "event_type").agg(
+        F.count(F.lit(1)).alias("num_rows"), F.max("value").alias("top"))
+    done = keyed.output(spark, state, "result").withColumn("bucket", F.unix_seconds("bucket"))
+    return late.withColumn("kind", F.lit("late")).unionByName(done.withColumn("kind", F.lit("result"))).select(
+        "kind", "bucket", "event_type", "num_rows", rnd("top"))

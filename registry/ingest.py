@@ -1,11 +1,13 @@
-"""Log ingest (S1-S7, E5). Spark writes the tables out as log lines of each
+"""Log ingest and sinks (S1-S10, E5). Spark writes the tables out as log lines of each
 format, good, bad and comment lines alike, and reads them back; the checking
 SQL computes the typed rows from the tables directly."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from opsight.sources import formats, loader
+from opsight.sources import formats, loader, versions
 from opsight.streaming import events as ops
+from opsight.streaming.stateful import fresh_folder
 from registry.base import big, query, rnd, secs
 
 
@@ -215,3 +217,63 @@ def ingest_message_log(events):
         _message_lines(events), formats.message_log("1970-01-01", DIGITS)).accepted
     return done.select(F.unix_seconds("timestamp").alias("time_of_day"), "nodename", "prcsid",
                        "funcname", "service", big("msg_size"))
+
+
+@query("orders", sql="""
+SELECT 'after a failed load' AS step, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'after a load', o_orderkey, o_totalprice FROM orders""")
+def replace_load(orders):
+    """A load, one that breaks off, and one of everything; the table is read after the second and the third."""
+    path = fresh_folder(orders.sparkSession, "loaded")
+    columns = ["o_orderkey", "o_totalprice"]
+    versions.replace_load(orders.where(F.col("o_orderstatus") == "O").select(*columns), path)
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    breaks = F.when(F.col("o_orderkey") == last, F.raise_error(F.lit("a line that cannot be loaded")).cast("double"))
+    try:
+        versions.replace_load(orders.select("o_orderkey", breaks.otherwise(F.col("o_totalprice")).alias("o_totalprice")), path)
+    except Exception as error:
+        if "a line that cannot be loaded" not in str(error):
+            raise
+    before = versions.current(orders.sparkSession, path).withColumn("step", F.lit("after a failed load"))
+    after = versions.replace_load(orders.select(*columns), path).withColumn("step", F.lit("after a load"))
+    return before.unionByName(after).select("step", *columns)
+
+
+@query("lineitem", sql="""
+SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'N')
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1""")
+def materialize_loads(lineitem):
+    """Loads added under an id, one of them twice; and a snapshot that replaces a wider one."""
+    spark = lineitem.sparkSession
+    rows = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    path, other = fresh_folder(spark, "added"), fresh_folder(spark, "snapshot")
+    for flag in ("A", "N", "A"):
+        table = versions.materialize(rows.where(F.col("l_returnflag") == flag), path, f"flag-{flag}")
+    wide = versions.materialize(rows.where(F.col("l_returnflag") == "A"), other)
+    return table.unionByName(versions.materialize(wide.where(F.col("l_linenumber") == 1), other))
+
+
+LINES_PER_LOG = 4000
+
+
+@query("events", sql=f"""
+SELECT CAST(event_id // {LINES_PER_LOG} AS VARCHAR) AS file, line, line AS place, value FROM (
+  SELECT event_id, concat(event_id, ' ', event_type) AS value,
+    row_number() OVER (PARTITION BY event_id // {LINES_PER_LOG} ORDER BY event_id) AS line FROM events)""")
+def log_set_per_file(events):
+    """A set of log files read with line numbers, written as CSV per file and read back in order."""
+    spark = events.sparkSession
+    logs, out = fresh_folder(spark, "logs"), fresh_folder(spark, "csv")
+    log = F.floor(F.col("event_id") / LINES_PER_LOG)
+    lines = events.select(log.alias("log"), "event_id", F.concat_ws(" ", _s("event_id"), "event_type").alias("value"))
+    lines.repartition("log").sortWithinPartitions("log", "event_id").drop("event_id").write.partitionBy("log").text(logs)
+    read = loader.read_log_set(spark, f"{logs}/*", F.regexp_extract("_metadata.file_path", "log=([0-9]+)", 1))
+    loader.write_per_file_csv(loader.line_numbers(read), out)
+    back = loader.read_per_file_csv(spark, out, "value string, line long")
+    per_part = Window.partitionBy("file", "part").orderBy("seq")
+    placed = back.withColumn("in_part", F.row_number().over(per_part))
+    parts = placed.groupBy(F.col("file").alias("f"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("f").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    joined = placed.join(parts, (placed["file"] == parts["f"]) & (placed["part"] == parts["p"]))
+    return joined.select("file", "line", (F.col("before") + F.col("in_part")).alias("place"), "value")

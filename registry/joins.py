@@ -241,7 +241,7 @@ def interval_join(events):
             F.unix_micros("ts") + F.floor(F.col("value") * 60) * 1000000).alias("e"))
     return joins.interval_join(
         times.select("event_id", "user_id", "ts"), intervals, [("user_id", "owner")], "ts", "b", "e",
-        7200).select("event_id", "prcsinstance")
+    ).select("event_id", "prcsinstance")
 
 
 @query("events", sql=f"""

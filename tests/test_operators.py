@@ -239,7 +239,7 @@ def test_range_assign_of_texts_and_fractions(frame):
 def test_interval_join_with_open_end(frame):
     points = frame("k int, t timestamp", (1, at(0)), (1, at(3600)), (1, at(90000)), (2, at(0)))
     spans = frame("kk int, b timestamp, e timestamp", (1, at(0), at(3600)), (1, at(3599), None))
-    got = joins.interval_join(points, spans, [("k", "kk")], "t", "b", "e", 600, str(at(90000)))
+    got = joins.interval_join(points, spans, [("k", "kk")], "t", "b", "e", str(at(90000)))
     assert rows(got, "t", "b") == [(at(0), at(0)), (at(3600), at(0)), (at(3600), at(3599)),
                                    (at(90000), at(3599))]
 

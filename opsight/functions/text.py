@@ -64,9 +64,10 @@ def percent_decoded(value) -> Column:
     nothing is left to decode (so %2541 gives A). Each code is decoded by itself:
     a '%' that begins none stays, and so does what stands around it.
 
-    Most texts are done after two rounds. The others take as many as their codes
-    can still need: a code gives at most one '%', so that no more rounds than
-    there are codes and 25s behind them can change anything.
+    Most texts are done after two rounds. The others go on until a round leaves no
+    code: a code gives at most one '%', so that no more rounds than there are codes
+    and 25s behind them can change anything, and once none is left the text is no
+    longer looked at.
     """
     c = _col(value)
     twice = F.transform(F.transform(F.array(c), _decoded_once), _decoded_once)
@@ -74,7 +75,10 @@ def percent_decoded(value) -> Column:
     def rest(x: Column) -> Column:
         marks = F.regexp_extract_all(x, F.lit("%(?:25)*"), F.lit(0))
         rounds = F.aggregate(marks, F.lit(0), lambda a, m: a + F.length(m).cast("int"))
-        return F.aggregate(F.sequence(F.lit(0), rounds), x, lambda acc, _: _decoded_once(acc))
+        state = lambda text: F.struct(text.alias("text"), F.rlike(text, F.lit(CODES)).alias("more"))
+        further = lambda acc: F.get(F.transform(F.array(_decoded_once(acc["text"])), state), F.lit(0))
+        return F.aggregate(
+            F.sequence(F.lit(0), rounds), state(x), lambda acc, _: F.when(acc["more"], further(acc)).otherwise(acc))["text"]
 
     done = F.transform(twice, lambda x: F.when(F.rlike(x, F.lit(CODES)), rest(x)).otherwise(x))
     return F.when(F.contains(c, F.lit("%")), F.get(done, F.lit(0))).otherwise(c)

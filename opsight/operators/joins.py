@@ -5,15 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from opsight.functions.timegrid import to_seconds
 from opsight.operators.intervals import match_points, shift_right
-from opsight.operators.scan import (
-    group_row_limit, largest_group, last_before, null_safe, ordered_scan,
-    running_sum,
-)
+from opsight.operators.scan import last_before, null_safe, ordered_scan, running_sum
+from opsight.session import stable
 
 
 def star_join(
@@ -196,56 +194,90 @@ def sample_interval_join(
     return hits.where(overlap).drop("_tag", "_instance")
 
 
+GRAM = 3
+_LITERAL = r"(?:[^%_\\]|\\.)"  # of a LIKE pattern; '\' escapes
+
+
+def _literal(run: Column) -> Column:
+    return F.regexp_replace(run, r"\\(.)", "$1")
+
+
+def _grams(value: Column) -> Column:
+    places = F.sequence(F.lit(1), F.length(value) - (GRAM - 1))
+    grams = F.transform(places, lambda i: F.concat(F.lit("g:"), F.substr(value, i, F.lit(GRAM))))
+    return F.when(F.length(value) >= GRAM, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+
+def _prefix_key(value: Column, n: Column) -> Column:
+    return F.concat(F.lit("p"), n.cast("string"), F.lit(":"), F.substr(value, F.lit(1), n))
+
+
 def like_join(
     df: DataFrame, patterns: DataFrame, pairs: Sequence[tuple[str, str]], salts: int = 32,
-    how: str = "inner",
+    how: str = "inner", hot_texts: int = 200_000,
 ) -> DataFrame:
     """Rows with every pattern row whose LIKE patterns they match. pairs is
     [(text column, pattern column), ...], the first one gives the join key.
 
-    LIKE alone is a nested loop. The literal text before the first wildcard
-    makes an equi-key: texts are keyed by each prefix length that occurs, and
-    LIKE is tested on rows that share the prefix. Patterns that start with a
-    wildcard have no prefix; they are repeated per salt so that the texts
-    meeting them spread over `salts` tasks. how='left_patterns' also keeps
+    LIKE alone is a nested loop. The key of a pattern is its literal prefix if that
+    has three characters or more; else the three characters of its longest literal
+    run that the fewest texts hold; else a shorter prefix. Texts are keyed by their
+    prefixes of the lengths that occur and by all their three characters that are
+    asked for, and LIKE is tested on pairs that share the key. Only patterns without
+    any of these meet all texts. A key with more than hot_texts texts is dealt by
+    salt, as are the texts of patterns without a key. Distinct texts and patterns
+    meet; other columns are joined to the matches. how='left_patterns' also keeps
     patterns without a match.
     """
-    text, pattern = pairs[0]
-    # '\' escapes in LIKE: a prefix ends before it as well
-    prefix = F.regexp_extract(F.col(pattern), r"^[^%_\\]*", 0)
-    keyed = patterns.withColumn("_prefix", prefix).withColumn(
-        "_len", F.length("_prefix")
-    ).withColumn(
-        "_psalt",
-        F.explode(F.when(F.col("_len") == 0, F.sequence(F.lit(0), F.lit(salts - 1)))
-                  .otherwise(F.array(F.lit(0)))),
-    )
-    lengths = patterns.select(F.length(prefix).alias("_tlen")).where(
-        F.col("_tlen").isNotNull()
-    ).distinct()
-    # prefix lengths are at most the longest pattern, so this list is short
-    texts = df.crossJoin(F.broadcast(lengths)).where(F.length(text) >= F.col("_tlen"))
-    texts = texts.withColumn("_key", F.substr(F.col(text), F.lit(1), F.col("_tlen"))).withColumn(
-        "_tsalt",
-        F.when(F.col("_tlen") == 0, F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"))
-        .otherwise(F.lit(0)),
-    )
-    cond = (
-        (texts["_tlen"] == keyed["_len"]) & (texts["_key"] == keyed["_prefix"])
-        & (texts["_tsalt"] == keyed["_psalt"])
-    )
+    text, pattern = F.col(f"_t_{pairs[0][0]}"), F.col(f"_p_{pairs[0][1]}")
+    text_columns, pattern_columns = (list(dict.fromkeys(side)) for side in zip(*pairs, strict=True))
+    texts = df.select(*[F.col(c).alias(f"_t_{c}") for c in text_columns]).na.drop().distinct()
+    wanted = patterns.select(*[F.col(c).alias(f"_p_{c}") for c in pattern_columns]).na.drop().distinct()
+    wanted = wanted.withColumn("_prefix", _literal(F.regexp_extract(pattern, f"^{_LITERAL}*", 0)))
+    runs = F.transform(F.regexp_extract_all(pattern, F.lit(f"{_LITERAL}+"), F.lit(0)), _literal)
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))
+    wanted = wanted.withColumn("_run", F.coalesce(longest["run"], F.lit("")))
+    size = F.length("_prefix")
+    by_prefix = (size >= GRAM) | ((size > 0) & (F.length("_run") < GRAM))
+    keys = F.when(by_prefix, F.array(_prefix_key(F.col("_prefix"), size))).when(
+        F.length("_run") >= GRAM, _grams(F.col("_run"))).otherwise(F.array(F.lit("all")))
+    wanted = wanted.withColumn("_size", F.when(by_prefix, size)).withColumn("_keys", keys)
+    names = [f"_p_{c}" for c in pattern_columns]
+    candidates = wanted.select(*names, F.explode("_keys").alias("_key"))
+    # as many lengths as the longest pattern has characters, at most
+    asked = wanted.agg(
+        F.coalesce(F.collect_set("_size"), F.array().cast("array<int>")).alias("sizes"),
+        F.coalesce(F.bool_or(F.startswith(F.col("_keys")[0], F.lit("g:"))), F.lit(False)).alias("grams"),
+    ).select(F.struct("sizes", "grams")).scalar()
+    held = texts.withColumn("_asked", asked)
+    prefixes = F.transform(F.filter("_asked.sizes", lambda n: n <= F.length(text)), lambda n: _prefix_key(text, n))
+    grams = F.when(F.col("_asked.grams"), _grams(text)).otherwise(F.array().cast("array<string>"))
+    held = held.withColumn("_key", F.explode(F.concat(prefixes, grams, F.array(F.lit("all"))))).drop("_asked")
+    held = held.join(candidates.select("_key").distinct(), "_key", "left_semi")
+    counts = held.groupBy(F.col("_key").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    rated = candidates.join(counts, candidates["_key"] == counts["_k"], "left")
+    # a pattern one of whose grams no text holds matches nothing
+    chosen = rated.groupBy(*names).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_key").alias("key"))).alias("_c"))
+    parts = F.when(F.col("_c.key") == "all", F.lit(salts)).otherwise(F.ceil(F.col("_c.n") / hot_texts)).cast("int")
+    chosen = chosen.where("_c.n > 0").select(*names, F.col("_c.key").alias("_ckey"), parts.alias("_salts"))
+    dealt = chosen.select(F.col("_ckey").alias("_dkey"), "_salts").distinct()
+    met = held.join(dealt, held["_key"] == dealt["_dkey"]).withColumn(
+        "_salt", F.pmod(F.xxhash64(*[f"_t_{c}" for c in text_columns]), F.col("_salts")).cast("int")).drop("_salts", "_dkey")
+    chosen = chosen.withColumn("_csalt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    cond = (met["_key"] == chosen["_ckey"]) & (met["_salt"] == chosen["_csalt"])
     for t, p in pairs:
-        cond = cond & F.expr(f"`{t}` LIKE `{p}`")
-    matched = texts.join(keyed, cond)
-    matched = matched.select(*df.columns, *patterns.columns)
+        cond = cond & F.expr(f"`_t_{t}` LIKE `_p_{p}`")
+    matched = met.join(chosen, cond).select(*[f"_t_{c}" for c in text_columns], *names)
+    same = F.lit(True)
+    for c in text_columns:
+        same = same & (df[c] == matched[f"_t_{c}"])
+    found = df.join(matched, same).select(*df.columns, *names)
+    same = F.lit(True)
+    for c in pattern_columns:
+        same = same & (found[f"_p_{c}"] == patterns[c])
     if how == "inner":
-        return matched
-    hit = matched.select(*patterns.columns).distinct()
-    hit = hit.select(*[F.col(c).alias(f"_h_{c}") for c in patterns.columns])
-    lonely = patterns.join(
-        hit, null_safe(patterns, hit, [(c, f"_h_{c}") for c in patterns.columns]), "left_anti"
-    )
-    return matched.unionByName(lonely, allowMissingColumns=True)
+        return found.join(patterns, same).select(*df.columns, *patterns.columns)
+    return patterns.join(found, same, "left").select(*df.columns, *patterns.columns)
 
 
 def asof_join(
@@ -349,12 +381,17 @@ def asof_parent(
     plain = scanned.withColumn("parent_line_num", number).withColumn("_late", F.coalesce(late, F.lit(False)))
     if monotone:
         return plain.drop("_parent", "_late")
+    # written once, and counted on the way: most logs have no late fetch and end here
+    seen = Observation()
+    plain = stable(plain.drop("_parent").observe(seen, F.count_if("_late").alias("late")))
+    if not seen.get["late"]:
+        return plain.drop("_late")
     fetches = plain.where("_late").select(*df.columns)
     sessions = fetches.select(*[F.col(k).alias(f"_s_{k}") for k in session]).distinct()
-    same = null_safe(df, sessions, [(k, f"_s_{k}") for k in session])
-    again = _parent_by_time(
-        df.where(is_statement).join(sessions, same, "left_semi"), fetches, session, line, ts, max_group_rows)
-    return plain.where(~F.col("_late")).drop("_parent", "_late").unionByName(again)
+    told = plain.where(is_statement).select(*df.columns)
+    same = null_safe(told, sessions, [(k, f"_s_{k}") for k in session])
+    again = _parent_by_time(told.join(sessions, same, "left_semi"), fetches, session, line, ts, max_group_rows)
+    return plain.where(~F.col("_late")).drop("_late").unionByName(again)
 
 
 TIME_LEVELS = 34  # 2^34 seconds reach past the year 2500
@@ -420,6 +457,29 @@ def _blocks_covering(low: Column, high: Column, levels: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at_level))
 
 
+SPAN_LEVELS = 62
+#: Blocks asked for on a level up to which they are listed one by one.
+FEW_BLOCKS = 64
+
+
+def _filed_where_asked(running: DataFrame, asks: DataFrame) -> DataFrame:
+    """running with level and node of its blocks, on the levels of asks; on levels with at most
+    FEW_BLOCKS nodes, only those nodes. The list is a scalar of 62 * FEW_BLOCKS numbers at most."""
+    asked = asks.select("level", "node").distinct()
+    sizes = asked.groupBy(F.col("level").alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
+    listed = asked.join(sizes, (asked["level"] == sizes["_level"]) & (sizes["_n"] <= FEW_BLOCKS))
+    nodes = listed.groupBy("level").agg(F.collect_list("node").alias("nodes"))
+    levels = sizes.join(nodes, sizes["_level"] == nodes["level"], "left").agg(
+        F.collect_list(F.struct(F.col("_level").alias("level"), F.col("nodes")))).scalar()
+    own = running.withColumn("_asked", levels)
+    filed = F.filter(
+        F.transform("_asked", lambda a: F.struct(a["level"].alias("level"), shift_right(F.col("_ts"), a["level"]).alias("node"), a["nodes"].alias("nodes"))),
+        lambda b: b["nodes"].isNull() | F.array_contains(b["nodes"], b["node"]),
+    )
+    blocks = F.transform(filed, lambda b: F.struct(b["level"], b["node"]))
+    return own.withColumn("_blocks", blocks).drop("_asked").select("*", F.inline("_blocks")).drop("_blocks")
+
+
 def concurrency(
     df: DataFrame, queue: Sequence[str], id_cols: Sequence[str], start: str | Column,
     end: str | Column, ts: str | None = None, max_group_rows: int | None = None,
@@ -434,9 +494,11 @@ def concurrency(
     With ts (the wall-clock time of the record): b must also have been recorded
     in [a.ts - ceil(a.end - a.start + 1) seconds, a.ts]. This guards against a
     restarted start/end clock; since the look-back is a's own duration, an
-    early, long b can be missed. Each b is filed under the dyadic block of
-    every level containing its ts, the look-back of a is a union of at most
-    two blocks per level, and the same sum runs along each block's time line.
+    early, long b can be missed. The look-back of a is a union of at most two
+    dyadic blocks per level up to its own span. Each b is filed under its block
+    of every level that is asked for; on levels where few blocks are asked for, as
+    those of a few very long spans, under these only. The same sum runs along
+    each block's time line.
     """
     begin = F.col(start) if isinstance(start, str) else start
     finish = F.col(end) if isinstance(end, str) else end
@@ -444,28 +506,16 @@ def concurrency(
         *queue, F.struct(*id_cols).alias("_id"), begin.alias("_start"), finish.alias("_end"),
         *([to_seconds(ts).alias("_ts")] if ts else []),
     )
-    bounded = False
     group = list(queue)
     running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
     asks = base
     if ts:
         span = F.ceil(F.col("_end") - F.col("_start") + 1).cast("long")
-        longest = base.agg(F.max(span)).first()[0] or 1
-        levels = max(1, (int(longest) + 1).bit_length())
-        # A block holds two edges of each of its requests and is asked for by
-        # requests of its top-level block and the next two: five times the
-        # largest top-level block bounds every group.
-        top_blocks = [*queue, F.shiftright("_ts", levels - 1)]
-        limit = group_row_limit(df.sparkSession, max_group_rows)
-        bounded = 5 * largest_group(base, top_blocks) <= limit
         # each request becomes many rows; spread them first
         base = base.repartition(*queue, "_ts")
         running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
-        asks = base
-        running = running.select("*", F.inline(_blocks_of(F.col("_ts"), levels)))
-        asks = asks.select(
-            "*", F.inline(_blocks_covering(F.col("_ts") - span, F.col("_ts"), levels))
-        )
+        asks = base.select("*", F.inline(_blocks_covering(F.col("_ts") - span, F.col("_ts"), SPAN_LEVELS)))
+        running = _filed_where_asked(running, asks)
         group += ["level", "node"]
     edges = running.select(*group, F.inline(F.array(
         F.struct(F.col("_start").alias("_x"), F.lit(1).alias("_up"), F.lit(0).alias("_down")),
@@ -476,7 +526,7 @@ def concurrency(
     # one row per time: however many start or end at once, the scan sees them summed
     line = edges.unionByName(asked).groupBy(*group, "_x").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
     scanned = ordered_scan(
-        line, group, ["_x"], [running_sum("_sum", F.col("_up") - F.col("_down"))], max_group_rows, bounded,
+        line, group, ["_x"], [running_sum("_sum", F.col("_up") - F.col("_down"))], max_group_rows,
     )
     # what ends at a time still runs at it
     live = scanned.select(*[F.col(k).alias(f"_l_{k}") for k in [*group, "_x"]],

@@ -2,9 +2,10 @@
 
 A Spark window puts every row of one key into one task. That is the best plan
 while groups fit a task, and it is what `ordered_scan` uses for them. Groups
-above `max_group_rows` are cut into chunks by a range shuffle on (key, order);
-each chunk is scanned by its own task and the few chunk edges - one row per key
-and chunk - carry the state from one chunk to the next.
+above `max_group_rows` are cut into chunks by a range shuffle on (key, order, place
+in the input), so that rows of equal order are cut as well; each chunk is scanned by
+its own task and the few chunk edges - one row per key and chunk - carry the state
+from one chunk to the next.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from opsight.session import stable
@@ -82,8 +83,10 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int):
     if not keys:
         total = df.count()
         return (df, None, 0) if total <= limit else (None, df, total)
-    hot = stable(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit))
-    rows = hot.agg(F.sum("_n")).first()[0]
+    seen = Observation()
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    hot = stable(hot.observe(seen, F.sum("_n").alias("rows")))
+    rows = seen.get["rows"]
     if rows is None:
         return df, None, 0
     small = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
@@ -148,13 +151,14 @@ def _scan_in_window(df, keys, order, outputs):
 def _scan_in_chunks(df, keys, order, outputs, rows, limit):
     columns = df.columns
     chunks = max(2, math.ceil(2 * rows / limit))
+    # the row's place in the input settles equal orders, so that chunks can end among them
     ranged = (
-        df.select("*", *[s.source.alias(f"_src{i}") for i, s in enumerate(outputs)])
-        .repartitionByRange(chunks, *keys, *order)
+        df.select("*", *[s.source.alias(f"_src{i}") for i, s in enumerate(outputs)], F.monotonically_increasing_id().alias("_place"))
+        .repartitionByRange(chunks, *keys, *order, "_place")
         .withColumn("_chunk", F.spark_partition_id())
     )
     ranged = stable(ranged)
-    window = Window.partitionBy("_chunk", *keys).orderBy(*order)
+    window = Window.partitionBy("_chunk", *keys).orderBy(*order, "_place")
     local = ranged.select(
         "*",
         *[_local(s, F.col(f"_src{i}"), window).alias(f"_loc{i}") for i, s in enumerate(outputs)],

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import time
+
 import pytest
 from tests.conftest import rows
 from pyspark.sql import functions as F
@@ -143,3 +145,14 @@ def test_rules(frame):
     df = frame("i int, f string", (1, "tpservice"), (2, "other"), (3, None))
     checks = {"allowed": F.col("f").isin("tpservice", "tpreturn"), "given": F.col("f").isNotNull()}
     assert rows(rules.check_rules(df, checks), "i", "rule") == [(2, "allowed"), (3, "given")]
+
+
+def test_percent_decoding_ends_when_nothing_is_left(spark):
+    """Long texts with many bare '%' take the rounds of their deepest code, not one per sign."""
+    long = "%25252541 50% of it, 100%! " + "a% b " * 20_000
+    df = spark.createDataFrame([(long,)] * 2, "t string")
+    text.percent_decode(df.limit(1), ["t"]).collect()
+    start = time.perf_counter()
+    got = text.percent_decode(df, ["t"]).collect()
+    assert time.perf_counter() - start < 5
+    assert [r["t"] for r in got] == ["A" + long[9:]] * 2

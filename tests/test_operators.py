@@ -133,6 +133,22 @@ def test_like_join_matches_brute_force(frame):
     assert kept.where("p = 'zz%' AND i IS NULL").count() == 1
 
 
+def test_like_join_by_grams(frame):
+    """Patterns without a prefix meet only the texts that hold their rarest three characters."""
+    rnd = random.Random(9)
+    words = ["alpha", "beta", "gamma", "delta_x", "50%off", "a\\\\b", "x"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 4))) for _ in range(200)] + [None, "alpha"]
+    pats = ["%alp%", "_lpha%", "%gam%bet%", "al%", "%elta\\_x", "%50\\%o%", "%zzz%", "%", "_", "alpha", "%a", "", None, "%alpha beta%"]
+    df = frame("i int, t string, u string", *[(i, t, "u") for i, t in enumerate(texts)])
+    patterns = frame("n int, p string, q string", *[(i, p, "_") for i, p in enumerate(pats)] + [(90, "%alp%", "_"), (91, "%alp%", "x")])
+    plain = df.join(patterns, F.expr("t LIKE p AND u LIKE q")).select("i", "t", "n", "p")
+    for hot in (1_000_000, 5):
+        got = joins.like_join(df, patterns, [("t", "p"), ("u", "q")], salts=3, hot_texts=hot)
+        assert rows(got, "i", "t", "n", "p") == rows(plain)
+    kept = joins.like_join(df, patterns, [("t", "p"), ("u", "q")], how="left_patterns")
+    assert {r["n"] for r in kept.where("i IS NULL").collect()} == {6, 12, 91}
+
+
 def _spans(seed, n=150):
     rnd = random.Random(seed)
     out = []
@@ -144,6 +160,20 @@ def _spans(seed, n=150):
     return out
 
 
+def test_one_broken_end_does_not_multiply_rows(frame):
+    """Blocks of a very long look-back are filed only where it asks for them."""
+    schema = "i int, q string, s long, e long, t timestamp"
+    data = [(i, "q", 7 * i, 7 * i + i % 40, at(7 * i)) for i in range(400)]
+    counts = []
+    for extra in ([], [(999, "q", 0, 3 * 10**9, at(2900))]):
+        base = frame(schema, *data, *extra).select(
+            "q", F.col("i").alias("_id"), F.col("s").alias("_start"), F.col("e").alias("_end"), F.unix_seconds("t").alias("_ts"))
+        span = F.col("_end") - F.col("_start") + 1
+        asks = base.select("*", F.inline(joins._blocks_covering(F.col("_ts") - span, F.col("_ts"), joins.SPAN_LEVELS)))
+        counts.append(joins._filed_where_asked(base, asks).count())
+    assert counts[1] < counts[0] + 500 and counts[0] > 2000
+
+
 @pytest.mark.parametrize("limit", [25, 100_000])
 def test_concurrency_matches_brute_force(frame, limit):
     data = _spans(11)

@@ -54,6 +54,19 @@ def test_scan_without_keys_and_descending(spark):
     assert chunked.agg(F.max("n")).first()[0] == 150
 
 
+def test_rows_of_equal_order_are_cut(spark, monkeypatch):
+    """200,000 rows of one key and order: no chunk above the limit, and numbers without gaps."""
+    df = spark.range(200_000, numPartitions=8).select(F.lit("k").alias("k"), F.lit(1).alias("o"), F.lit(2).alias("v"), "id")
+    kept, stable = [], scan.stable
+    monkeypatch.setattr(scan, "stable", lambda d: kept.append(stable(d)) or kept[-1])
+    got = scan.ordered_scan(df, ["k"], ["o"], [scan.row_number("n"), scan.running_sum("total", "v"), scan.lag("before", "id")], 20_000)
+    chunks = kept[-1].groupBy("_chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] <= 20_000
+    ends = got.agg(F.count_distinct("n"), F.min("n"), F.max("n"), F.max("total"), F.count_distinct("before")).first()
+    assert tuple(ends) == (200_000, 1, 200_000, 400_000, 199_999)
+    assert got.where("total <> 2 * n").count() == 0
+
+
 def test_split_hot_keeps_every_row(spark):
     df, data = _data(spark)
     cold, hot, n = scan.split_hot(df, ["k"], 100)

@@ -7,7 +7,8 @@ are widened so that at most `CLASSES` classes lie between the shortest and the l
 interval; no data are read while the plan is built.
 
 What is repeated per class is the key and the position of a point, once per distinct
-pair; its other columns are joined to the matches.
+pair; its other columns are joined to the matches. A point whose other columns are a few
+numbers or times is repeated as it is, which is less than a second join.
 """
 
 from __future__ import annotations
@@ -17,12 +18,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsight.operators.scan import lead, ordered_scan
 from opsight.session import stable
 
 #: Classes a point is asked with at most.
 CLASSES = 7
+#: Other columns, all of fixed width, with which a point is repeated as it is.
+NARROW = 2
+FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def shift_right(value: Column, bits: Column) -> Column:
@@ -54,9 +59,13 @@ def match_points(
     than positions. Null keys, positions and bounds match nothing. Columns of the two
     sides need different names.
     """
-    names = list(dict.fromkeys([*[k for k, _ in on], *compared]))
+    needed = list(dict.fromkeys([*[k for k, _ in on], *compared]))
+    rest = [f for f in points.schema if f.name not in needed]
+    narrow = len(rest) <= NARROW and all(isinstance(f.dataType, FIXED) for f in rest)
+    names = points.columns if narrow else needed
     own = lambda c: F.col(f"_m_{c}")
-    slim = points.select(*[F.col(c).alias(f"_m_{c}") for c in names], position.alias("_p")).where("_p IS NOT NULL").distinct()
+    slim = points.select(*[F.col(c).alias(f"_m_{c}") for c in names], position.alias("_p")).where("_p IS NOT NULL")
+    slim = slim if narrow else slim.distinct()
     filed = intervals.select("*", low.alias("_lo"), high.alias("_hi")).where("_lo <= _hi")
     filed = filed.withColumn("_c", exponent(F.col("_hi") - F.col("_lo") + 1))
     classes = _classes(filed)
@@ -73,6 +82,8 @@ def match_points(
         cond = cond & (own(left) == filed[right])
     met = asked.join(filed, cond & F.col("_p").between(F.col("_lo"), F.col("_hi")) & inside(own))
     met = met.select(*[own(c) for c in names], *intervals.columns)
+    if narrow:
+        return met.select(*[own(c).alias(c) for c in names], *intervals.columns)
     same = F.lit(True)
     for c in names:
         same = same & (points[c] == own(c))

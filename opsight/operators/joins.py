@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from opsight.functions.timegrid import to_seconds
-from opsight.operators.intervals import match_points, shift_right
+from opsight.operators.intervals import exponent, match_points, shift_right
 from opsight.operators.scan import last_before, null_safe, ordered_scan, running_sum
 from opsight.session import stable
 
@@ -439,6 +439,16 @@ def _blocks_of(value: Column, levels: int) -> Column:
     )
 
 
+def _with_blocks(df: DataFrame, low: Column, high: Column, levels: Column) -> DataFrame:
+    """df once per block of `_blocks_covering`, with its level and node."""
+    rows = df.select("*", low.cast("long").alias("_low"), high.cast("long").alias("_past"), F.explode(F.sequence(F.lit(0), levels - 1)).alias("level"))
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    first, past = shift_right(F.col("_low") + size - 1, F.col("level")), shift_right(F.col("_past") + 1, F.col("level"))
+    rows = rows.withColumns({"_first": first, "_past": past}).where("_first < _past")
+    left, right = F.when(F.pmod("_first", F.lit(2)) == 1, F.col("_first")), F.when(F.pmod("_past", F.lit(2)) == 1, F.col("_past") - 1)
+    return rows.select(*df.columns, "level", F.explode(F.array_compact(F.array(left, right))).alias("node"))
+
+
 def _blocks_covering(low: Column, high: Column, levels: int) -> Column:
     """Disjoint dyadic blocks whose union is [low, high]: at most two per level.
     Needs 2^levels to exceed the length of the range."""
@@ -465,19 +475,14 @@ FEW_BLOCKS = 64
 def _filed_where_asked(running: DataFrame, asks: DataFrame) -> DataFrame:
     """running with level and node of its blocks, on the levels of asks; on levels with at most
     FEW_BLOCKS nodes, only those nodes. The list is a scalar of 62 * FEW_BLOCKS numbers at most."""
-    asked = asks.select("level", "node").distinct()
-    sizes = asked.groupBy(F.col("level").alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
-    listed = asked.join(sizes, (asked["level"] == sizes["_level"]) & (sizes["_n"] <= FEW_BLOCKS))
-    nodes = listed.groupBy("level").agg(F.collect_list("node").alias("nodes"))
-    levels = sizes.join(nodes, sizes["_level"] == nodes["level"], "left").agg(
-        F.collect_list(F.struct(F.col("_level").alias("level"), F.col("nodes")))).scalar()
-    own = running.withColumn("_asked", levels)
-    filed = F.filter(
-        F.transform("_asked", lambda a: F.struct(a["level"].alias("level"), shift_right(F.col("_ts"), a["level"]).alias("node"), a["nodes"].alias("nodes"))),
-        lambda b: b["nodes"].isNull() | F.array_contains(b["nodes"], b["node"]),
-    )
-    blocks = F.transform(filed, lambda b: F.struct(b["level"], b["node"]))
-    return own.withColumn("_blocks", blocks).drop("_asked").select("*", F.inline("_blocks")).drop("_blocks")
+    first = Window.partitionBy("level").orderBy("node")  # cut to its first rows by each task
+    some = asks.select("level", "node").distinct().withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= FEW_BLOCKS + 1)
+    nodes = some.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.collect_list("node").alias("nodes"))
+    few = F.when(F.col("n") <= FEW_BLOCKS, F.col("nodes"))
+    levels = nodes.agg(F.collect_list(F.struct("level", few.alias("nodes")))).scalar()
+    own = running.select("*", F.explode(levels).alias("_a"))
+    own = own.select("*", F.col("_a.level").alias("level"), shift_right(F.col("_ts"), F.col("_a.level")).alias("node"))
+    return own.where(F.col("_a.nodes").isNull() | F.array_contains("_a.nodes", F.col("node"))).drop("_a")
 
 
 def concurrency(
@@ -514,7 +519,8 @@ def concurrency(
         # each request becomes many rows; spread them first
         base = base.repartition(*queue, "_ts")
         running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
-        asks = base.select("*", F.inline(_blocks_covering(F.col("_ts") - span, F.col("_ts"), SPAN_LEVELS)))
+        levels = F.least(exponent(F.greatest(span, F.lit(1)) + 2) + 1, F.lit(SPAN_LEVELS))
+        asks = _with_blocks(base, F.col("_ts") - span, F.col("_ts"), levels)
         running = _filed_where_asked(running, asks)
         group += ["level", "node"]
     edges = running.select(*group, F.inline(F.array(
@@ -525,6 +531,8 @@ def concurrency(
     asked = asks.select(*group, "_x", F.lit(0).alias("_up"), F.lit(0).alias("_down"))
     # one row per time: however many start or end at once, the scan sees them summed
     line = edges.unionByName(asked).groupBy(*group, "_x").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
+    if ts:
+        line = stable(line)  # the scan reads it twice
     scanned = ordered_scan(
         line, group, ["_x"], [running_sum("_sum", F.col("_up") - F.col("_down"))], max_group_rows,
     )

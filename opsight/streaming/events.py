@@ -61,14 +61,14 @@ def pair_snapshots(
     snapshots: DataFrame, keys: Sequence[str] = ("prcsinstance", "statistic"),
     ts: str = "dttm", phase: str = "phase", values: Sequence[str] = ("db_value", "my_value"),
     tie: Sequence[str] = (), run_control_like: str | None = None,
-    max_group_rows: int | None = None,
+    max_group_rows: int | None = None, known_bounded: bool = False,
 ) -> DataFrame:
     """Each End snapshot with the Start before it: <value>_before,
     <value>_after, begindttm, enddttm. An End with no open Start gives nothing."""
     if run_control_like is not None:
         snapshots = snapshots.where(F.col("runcntlid").like(run_control_like))
     scanned = ordered_scan(
-        snapshots, keys, [ts, *tie], [lag("_prev", F.struct(phase, ts, *values))], max_group_rows
+        snapshots, keys, [ts, *tie], [lag("_prev", F.struct(phase, ts, *values))], max_group_rows, known_bounded,
     )
     paired = scanned.where((F.col(phase) == "End") & (F.col(f"_prev.{phase}") == "Start"))
     return paired.select(
@@ -177,10 +177,10 @@ def used_sequences(existing: DataFrame, key: str, seq: str) -> DataFrame:
 
 def number_on(
     rows: DataFrame, used: DataFrame | None, key: str, order: Sequence[str], seq: str,
-    max_group_rows: int | None = None,
+    max_group_rows: int | None = None, known_bounded: bool = False,
 ) -> DataFrame:
     """Rows numbered by `order` after _max of their key in `used`."""
-    numbered = ordered_scan(rows, [key], order, [row_number("_n")], max_group_rows)
+    numbered = ordered_scan(rows, [key], order, [row_number("_n")], max_group_rows, known_bounded)
     if used is None:
         return numbered.select(*rows.columns, F.col("_n").alias(seq))
     known = used.select(F.col(key).alias("_k"), "_max")

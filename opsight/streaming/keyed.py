@@ -34,10 +34,13 @@ SWEEP = 16
 
 
 class Marks(NamedTuple):
-    """The latest time seen, in microseconds, by earlier batches and with this one; None before any."""
+    """What is known of a batch before its step: the latest time seen, in microseconds, by earlier
+    batches and with this one (None before any), and the most rows of it that one bucket, and so
+    one key, can have."""
 
     before: int | None
     after: int | None
+    largest: int
 
 
 #: step(batch, state rows or None, marks) gives outputs by name and the next state rows
@@ -122,11 +125,11 @@ def batch_function(step: Step, state: KeyedState) -> Callable[[DataFrame, int],
         try:
             latest = F.max(F.unix_micros(F.col(state.ts).cast("timestamp"))) if state.ts else F.lit(None).cast("long")
             # one row per bucket
-            found = batch.groupBy(state.bucket().alias("b")).agg(latest.alias("t")).collect()
+            found = batch.groupBy(state.bucket().alias("b")).agg(latest.alias("t"), F.count(F.lit(1)).alias("n")).collect()
             marks = [r["t"] for r in found if r["t"] is not None] + ([] if before.mark is None else [before.mark])
             mark = max(marks, default=None)
             visited = sorted({r["b"] for r in found} | {b for b in before.versions if b % SWEEP == batch_id % SWEEP})
-            outputs, following = step(batch, state.rows(spark, before, visited), Marks(before.mark, mark))
+            outputs, following = step(batch, state.rows(spark, before, visited), Marks(before.mark, mark, max((r["n"] for r in found), default=0)))
             for name, out in outputs.items():
                 out.write.mode("overwrite").parquet(f"{state.folder}/{name}/batch={batch_id}")
             state.write(spark, following, batch_id, before, visited, mark)

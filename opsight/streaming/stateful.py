@@ -17,7 +17,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsight.operators.scan import lag, ordered_scan, row_number, null_safe
+from opsight.operators.scan import group_row_limit, lag, ordered_scan, row_number, null_safe
 from opsight.session import shared_dir
 from opsight.streaming import events
 from opsight.streaming.keyed import Marks, Step
@@ -62,6 +62,11 @@ def _last_rows(rows: DataFrame, keys, order, columns) -> DataFrame:
     return last.select("_r.*")
 
 
+def _fits(batch: DataFrame, marks: Marks, max_group_rows: int | None) -> bool:
+    """Whether no key of the batch, with a row of state in front, is above the limit of a scan."""
+    return marks.largest + 1 <= group_row_limit(batch.sparkSession, max_group_rows)
+
+
 def previous_value_step(
     keys: Sequence[str], ts: str, tie: Sequence[str], value: str, old: str,
     finish: Callable[[DataFrame], DataFrame], max_group_rows: int | None = None,
@@ -77,7 +82,8 @@ def previous_value_step(
         rows = fresh.withColumn("_old_row", F.lit(False))
         if state is not None:
             rows = state.withColumn("_old_row", F.lit(True)).unionByName(rows)
-        changes = ordered_scan(rows, keys, [ts, *tie], [lag(old, value)], max_group_rows)
+        fits = _fits(batch, marks, max_group_rows)
+        changes = ordered_scan(rows, keys, [ts, *tie], [lag(old, value)], max_group_rows, fits)
         result = finish(changes.where(~F.col("_old_row")).drop("_old_row"))
         last = _last_rows(rows.drop("_old_row"), keys, [ts, *tie], batch.columns)
         return _leaving(last, {"result": result, "late": late}, ts, marks, ended, max_idle_seconds)
@@ -94,7 +100,8 @@ def pair_snapshots_step(
 
     def step(batch, state, marks):
         rows = batch if state is None else state.unionByName(batch)
-        paired = events.pair_snapshots(rows, keys, ts, phase, values, tie, max_group_rows=max_group_rows)
+        fits = _fits(batch, marks, max_group_rows)
+        paired = events.pair_snapshots(rows, keys, ts, phase, values, tie, None, max_group_rows, fits)
         last = _last_rows(rows, keys, [ts, *tie], batch.columns)
         return _leaving(last, {"result": paired}, ts, marks, F.col(phase) != "Start", max_age_seconds)
 
@@ -111,7 +118,8 @@ def progress_step(
         raise ValueError("max_idle_seconds needs ts")
 
     def step(batch, state, marks):
-        numbered = ordered_scan(batch, [instance], order, [row_number("_n")], max_group_rows)
+        fits = _fits(batch, marks, max_group_rows)
+        numbered = ordered_scan(batch, [instance], order, [row_number("_n")], max_group_rows, fits)
         done = F.lit(False) if ended is None else F.coalesce(ended, F.lit(False))
         last = F.max(ts) if ts else F.lit(None).cast("timestamp")
         counts = batch.groupBy(instance).agg(F.count(F.lit(1)).alias("_seen"), last.alias("_last"), F.max(done).alias("_done"))
@@ -138,7 +146,8 @@ def append_messages_step(
     def step(batch, state, marks):
         valid = events.valid_messages(batch, instance, text)
         used = None if state is None else state
-        numbered = events.number_on(valid, used, instance, order, "message_seq", max_group_rows)
+        fits = _fits(batch, marks, max_group_rows)
+        numbered = events.number_on(valid, used, instance, order, "message_seq", max_group_rows, fits)
         header, pieces = events.message_rows(numbered, instance, text, severity, max_parts)
         top = numbered.groupBy(instance).agg(F.max("message_seq").alias("_max"))
         if used is not None:

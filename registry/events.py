@@ -303,7 +303,7 @@ def _rows(spark, sf_dir, *names):
 def _run(stream, step, name, keys, ts=None, seed=None, **state):
     """Run a step over the stream, then its last batch once more."""
     spark = stream.sparkSession
-    where = keyed.KeyedState(stateful.fresh_folder(spark, name), tuple(keys), ts, **state)
+    where = keyed.KeyedState(stateful.fresh_folder(spark, name), tuple(keys), ts, **{"buckets": 8} | state)
     if seed is not None:
         where.seed(seed)
     keyed.run_keyed(stream, step, where).awaitTermination()

@@ -169,7 +169,7 @@ def test_one_broken_end_does_not_multiply_rows(frame):
         base = frame(schema, *data, *extra).select(
             "q", F.col("i").alias("_id"), F.col("s").alias("_start"), F.col("e").alias("_end"), F.unix_seconds("t").alias("_ts"))
         span = F.col("_end") - F.col("_start") + 1
-        asks = base.select("*", F.inline(joins._blocks_covering(F.col("_ts") - span, F.col("_ts"), joins.SPAN_LEVELS)))
+        asks = joins._with_blocks(base, F.col("_ts") - span, F.col("_ts"), F.lit(joins.SPAN_LEVELS))
         counts.append(joins._filed_where_asked(base, asks).count())
     assert counts[1] < counts[0] + 500 and counts[0] > 2000
 

@@ -1,5 +1,9 @@
 """The registered queries: contract, and a sample of them against their SQL."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -45,3 +49,14 @@ def test_rebuild_list_has_the_offenders_of_every_audit(spark, con):
     few = set(con.execute(ORACLE["rebuild_list"]).fetchall())
     assert few < set(found)
     assert {r[0] for r in set(found) - few} == {0, 1}  # records and indexes that offend only in the other six
+
+
+def test_a_missing_library_leaves_the_other_queries(tmp_path):
+    """Hide a library of the optional subpackage: the core queries are still there."""
+    (tmp_path / "zstandard.py").write_text("raise ImportError('hidden', name='zstandard')\n")
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1') for n in e.queries()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "PYTHONPATH": f"{tmp_path}{os.pathsep}{root}"}
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, check=True)
+    found, _ = out.stdout.split()
+    assert int(found) >= len(QUERIES)

@@ -11,6 +11,7 @@ broadcast in blocks of bounded size; more items mean more blocks, not larger one
 
 from __future__ import annotations
 
+import uuid
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -180,18 +181,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", hits: str
 
     found = []
     for items in blocks(benchmark, item_key, item_text, block_chars):
-        held = docs.sparkSession.sparkContext.broadcast((items, percent, least))
+        held = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items, percent, least))
         found.append(finder(held)(F.col(text)))
     return docs.withColumn(hits, F.concat(*found) if len(found) > 1 else found[0])
 
 
-_built: dict[int, Matcher] = {}
+#: Automata a Python worker keeps; the least recently used one goes.
+KEPT_BLOCKS = 4
+_built: dict[str, Matcher] = {}
 
 
 def _matcher(held) -> Matcher:
-    """The automaton of a block, built once per Python worker."""
-    key = held._jbroadcast.id() if held._jbroadcast is not None else id(held.value)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Matcher(*held.value)
-    return _built[key]
+    """The automaton of a block, built once per Python worker, under the name that its broadcast carries."""
+    name, *parts = held.value
+    matcher = _built.pop(name, None) or Matcher(*parts)
+    while len(_built) >= KEPT_BLOCKS:
+        _built.pop(next(iter(_built)))
+    _built[name] = matcher
+    return matcher

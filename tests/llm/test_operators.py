@@ -346,6 +346,30 @@ def test_decontamination(spark):
     assert decontaminate.matches(df.limit(0), bench).count() == 0
 
 
+def test_automata_of_several_blocks_are_built_once(monkeypatch):
+    """Blocks take turns batch by batch; each keeps its automaton, and a new broadcast never gets an old one."""
+    built = []
+
+    class Counted:
+        def __init__(self, items, percent, least):
+            built.append(items)
+
+    class Held:
+        def __init__(self, *value):
+            self.value = value
+
+    monkeypatch.setattr(decontaminate, "Matcher", Counted)
+    monkeypatch.setattr(decontaminate, "_built", {})
+    blocks = [Held(f"name{i}", [i], 10, 20) for i in range(3)]
+    for _ in range(50):
+        for held in blocks:
+            decontaminate._matcher(held)
+    assert built == [[0], [1], [2]]
+    for i in range(3, 3 + decontaminate.KEPT_BLOCKS):
+        decontaminate._matcher(Held(f"name{i}", [i], 10, 20))
+    assert len(decontaminate._built) == decontaminate.KEPT_BLOCKS
+
+
 def test_short_items_are_held_as_whole_words(spark):
     items = [(1, "2 + 2 = 4?"), (2, "Too  Short"), (3, "x"), (4, "東京"), (5, " \n"), (6, None), (7, "too short")]
     held = {"so 2 + 2 = 4? yes": [1], "2 + 2 = 4?": [1], "2 + 2 = 5?": [], "12 + 2 = 4?": [], "it is too\nshort.": [2, 7], "too shorty": [], "tattoo short": [],

@@ -17,8 +17,9 @@ the text, row), so a hot key is spread as well, and file names ascend with the k
 
 The tokenizer's file is a parameter, read by the driver and shipped with the tasks up to
 `MAX_FILE_BYTES`. Texts are encoded by the tokenizers library. For a vocabulary whose
-pre-tokens never hold white space, each distinct piece between white space is encoded
-once per worker and slice, and remembered up to a bound; others are encoded text by text.
+texts may be cut at white space, ASCII digits and the ends of ASCII words, each distinct
+piece is encoded once and remembered, up to a bound per worker; others, and texts with
+added tokens, are encoded as a whole.
 """
 
 from __future__ import annotations
@@ -51,9 +52,11 @@ FILE_BYTES = 4 << 20
 #: Ids in one frame at most.
 FRAME_IDS = 1 << 20
 #: Bytes of texts encoded at once.
-SLICE = 2 << 20
-#: Distinct pieces a Python worker remembers.
-MEMORY = 200_000
+SLICE = 1 << 20
+#: Distinct pieces a Python worker remembers, some 200 bytes each.
+MEMORY = 500_000
+#: New pieces encoded as one text.
+JOINED = 5_000
 #: Keys a look-up may ask for.
 MAX_KEYS = 100_000
 
@@ -68,7 +71,11 @@ _COUNTS = struct.Struct(">QQQ")  # ids of the file, ids before it in its part, d
 _ENTRY = np.dtype([("packed", "<u4"), ("raw", "<u4"), ("sum", "<u4")])
 _SPACE = re.compile(rb"[\t-\r ]")
 
-#: Fixed value: normalizer and pre-tokenizer under which pieces between white space are encoded alone.
+#: Where a text in lower case may be cut: after a run of ASCII letters or of other ASCII signs that
+#: no apostrophe or longer character follows, and around digits; anything else stays together.
+_PIECE = re.compile(rb"[a-z]++(?!['\x80-\xff])|[0-9]|[^\t-\r a-z0-9'\x80-\xff]++(?!['\x80-\xff])|[^\t-\r 0-9]+")
+
+#: Fixed value: normalizer and pre-tokenizer under which such pieces are encoded alone.
 _CUT_AT_SPACE = {
     "normalizer": {"type": "Sequence", "normalizers": [
         {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -76,8 +83,8 @@ _CUT_AT_SPACE = {
 }
 
 
-def apart_at_space(spec: dict) -> bool:
-    """Whether ids of a text are those of its pieces between ASCII white space in a row."""
+def cut_apart(spec: dict) -> bool:
+    """Whether ids of a text without added tokens are those of its pieces in a row, whatever the case of A-Z."""
     cut = spec.get("pre_tokenizer") or {}
     steps = cut.get("pretokenizers") or [{}]
     first = steps[0]
@@ -85,62 +92,128 @@ def apart_at_space(spec: dict) -> bool:
         spec.get("normalizer") == _CUT_AT_SPACE["normalizer"] and first.get("type") == "Split"
         and first.get("pattern") == {"Regex": _CUT_AT_SPACE["pattern"]} and first.get("behavior") == "Removed" and first.get("invert") is True
         and all(s.get("type") == "ByteLevel" and not s.get("add_prefix_space") and not s.get("use_regex", True) for s in steps[1:])
-        and not any(_SPACE.search(t["content"].encode()) for t in spec.get("added_tokens", []))
     )
 
 
 class Encoder:
     """Ids of texts by the tokenizers library."""
 
-    def __init__(self, spec: str):
-        self.library = Tokenizer.from_str(spec)
+    def __init__(self, file: str, apart: bool, added: Sequence[str]):
+        self.library = Tokenizer.from_str(file)
         self.library.no_truncation()
         self.library.no_padding()
-        self.apart = apart_at_space(json.loads(spec))
+        self.apart = apart
+        self.added = [t.encode().lower() for t in added]
         self.clear()
 
+    @staticmethod
+    def parts(path: str) -> tuple[str, bool, list[str]]:
+        """What an encoder is made of, from a tokenizer's file: read once, by the driver."""
+        if Path(path).stat().st_size > MAX_FILE_BYTES:
+            raise ValueError(f"{path} is larger than {MAX_FILE_BYTES} bytes, the bound for a broadcast")
+        file = Path(path).read_text(encoding="utf-8")
+        spec = json.loads(file)
+        return file, cut_apart(spec), [t["content"] for t in spec.get("added_tokens", [])]
+
     def clear(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict()
         self.number.default_factory = self.number.__len__
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that came more than once, half of the bound at most."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > MEMORY // 2:
+            kept = np.sort(np.argpartition(self.uses, -(MEMORY // 2))[-(MEMORY // 2) :])
+        known = list(self.number)
+        words = [known[i] for i in kept.tolist()]
+        ids, sizes, uses = expand(self.ids, self.starts[kept], self.sizes[kept]), self.sizes[kept], self.uses[kept]
+        self.clear()
+        self.number.update(zip(words, range(len(words)), strict=True))
+        self.ids, self.sizes, self.uses, self.starts = ids, sizes, uses, np.cumsum(sizes) - sizes
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
+        """Encode the pieces that have a number but no ids yet, as one text per `JOINED` of them."""
         fresh = [w.decode() for w in islice(self.number, len(self.sizes), None)]
-        if fresh:
-            made = self._encode(fresh)
-            self.ids = np.concatenate([self.ids, *made])
-            self.sizes = np.r_[self.sizes, [len(m) for m in made]].astype(np.int64)
-            self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """Ids of one whole text."""
-        if not self.apart:
-            return self._encode([text.decode()])[0]
-        parts, at = [], 0
-        while at < len(text):
-            cut = _SPACE.search(text, at + SLICE)
-            to = cut.start() if cut else len(text)
-            if len(self.sizes) > MEMORY:
-                self.clear()
-            own = text[at:to].split()
-            numbers = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-            self._learn()
-            parts.append(expand(self.ids, self.starts[numbers], self.sizes[numbers]))
-            at = to
-        return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, np.uint32)])
+        made, counts = [self.ids], [self.sizes]
+        for at in range(0, len(fresh), JOINED):
+            part = fresh[at : at + JOINED]
+            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            places = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            made.append(np.array(found.ids, np.uint32))
+            counts.append(np.bincount(np.searchsorted(begins, places, "right") - 1, minlength=len(part)))
+        self.ids, self.sizes = np.concatenate(made), np.concatenate(counts)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def encode_all(self, texts: Sequence[bytes]) -> list[np.ndarray]:
+        """Ids of each whole text, a slice of texts, or of a text, at a time."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if not self.apart or any(a in t.lower() for a in self.added)]
+        for i in whole:
+            out[i] = self._encode([texts[i].decode()])[0]
+        left = [i for i in range(len(texts)) if out[i] is None]
+        long = [i for i in left if len(texts[i]) > SLICE]
+        for i in long:
+            out[i] = np.concatenate([self._group([part])[0] for part in _cut(texts[i])])
+        short = [i for i in left if len(texts[i]) <= SLICE]
+        for own in _groups(short, [len(texts[i]) for i in short]):
+            for i, ids in zip(own, self._group([texts[i] for i in own]), strict=True):
+                out[i] = ids
+        return out
+
+    def _group(self, texts: Sequence[bytes]) -> list[np.ndarray]:
+        """Ids of texts: their pieces as numbers, the new ones encoded, and all put in a row."""
+        if len(self.sizes) > MEMORY:
+            self._forget()
+        number, numbers = self.number.__getitem__, []
+        for text in texts:
+            own = _PIECE.findall(text.lower())
+            numbers.append(np.fromiter(map(number, own), np.int32, len(own)))
+        self._learn()
+        flat = np.concatenate(numbers)
+        self.uses = np.bincount(flat, minlength=len(self.sizes)) + np.pad(self.uses, (0, len(self.sizes) - len(self.uses)))
+        sizes = self.sizes[flat]
+        ids = expand(self.ids, self.starts[flat], sizes)
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum([0, *map(len, numbers)])].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """A long text in slices that end before white space."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + SLICE)
+        to = cut.start() if cut else len(text)
+        yield text[at:to]
+        at = to
+
+
+def _groups(items: Sequence[int], sizes: Sequence[int]) -> Iterator[list[int]]:
+    """Items in groups of about a slice."""
+    group, total = [], 0
+    for item, size in zip(items, sizes, strict=True):
+        group.append(item)
+        total += size
+        if total >= SLICE:
+            yield group
+            group, total = [], 0
+    if group:
+        yield group
 
 
 _encoders: dict[int, Encoder] = {}
 
 
-def _encoder(spec: str) -> Encoder:
-    key = xxhash.xxh64_intdigest(spec)
+def _encoder(parts: tuple[str, bool, list[str]]) -> Encoder:
+    key = xxhash.xxh64_intdigest(parts[0])
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(spec)
+        _encoders[key] = Encoder(*parts)
     return _encoders[key]
 
 
@@ -226,21 +299,21 @@ def write(df: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text:
     all written; other columns are not. An empty table leaves a folder without ids.
     """
     spark = ready(df.sparkSession)
-    if Path(vocabulary).stat().st_size > MAX_FILE_BYTES:
-        raise ValueError(f"{vocabulary} is larger than {MAX_FILE_BYTES} bytes, the bound for a broadcast")
-    held = spark.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
-    most = max(Tokenizer.from_str(held.value).get_vocab(with_added_tokens=True).values())
+    parts = Encoder.parts(vocabulary)
+    held = spark.sparkContext.broadcast(parts)
+    most = max(Tokenizer.from_str(parts[0]).get_vocab(with_added_tokens=True).values())
     width = 2 if max(most, end or 0) < 1 << 16 else 4
     tail = np.array([] if end is None else [end], np.uint32)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, made = _encoder(held.value), FileMaker(width, 0)
-        for part in parts:
+        for part in batches_:
             keys = part.column(0).to_pylist()
             for start, to, data, offsets in batches(part.column(1), SLICE):
                 raw = data.tobytes()
-                for k, a, b in zip(keys[start:to], offsets, offsets[1:], strict=False):
-                    made.add(k, np.concatenate([encoder.encode(raw[a:b]), tail]))
+                texts = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+                for k, ids in zip(keys[start:to], encoder.encode_all(texts), strict=True):
+                    made.add(k, np.concatenate([ids, tail]))
                     if made.bytes >= FILE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array([made.content()], pa.binary())], ["content"])
                         made = FileMaker(width, made.before + made.ids)

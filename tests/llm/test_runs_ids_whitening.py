@@ -131,15 +131,20 @@ ODD = [
 ]
 
 
-def test_pieces_between_white_space_are_encoded_as_in_the_text(spark):
-    spec = open(WORDS, encoding="utf-8").read()
+def test_pieces_are_encoded_as_in_the_text(monkeypatch):
     library = Tokenizer.from_file(WORDS)
-    encoder = id_files.Encoder(spec)
+    encoder = id_files.Encoder(*id_files.Encoder.parts(WORDS))
     assert encoder.apart
     rng = random.Random(2)
     texts = ODD + ["".join(rng.choices("aB'sd \t\n\x0b\x0c\r.,é́Kİͅ\x1c\xa05<|>", k=rng.randint(1, 60))) for _ in range(3000)]
-    for text in texts:
-        assert encoder.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    texts.insert(40, "LONG text's " * 400)
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for slice_bytes in (id_files.SLICE, 700):
+        monkeypatch.setattr(id_files, "SLICE", slice_bytes)
+        monkeypatch.setattr(id_files, "MEMORY", slice_bytes)
+        monkeypatch.setattr(id_files, "JOINED", slice_bytes // 20)
+        for text, ids, want in zip(texts, encoder.encode_all([t.encode() for t in texts]), wanted, strict=True):
+            assert ids.tolist() == want, repr(text)
 
 
 def test_id_files(spark, tmp_path, monkeypatch):

@@ -231,7 +231,7 @@ def _slices(sizes: list[int], limit: int) -> Iterator[slice]:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None,
-           decoded: str | None = None, chars_at_once: int = 2_000_000) -> DataFrame:
+           decoded: str | None = None, chars_at_once: int = 500_000) -> DataFrame:
     """df with a column of token ids for the whole text of each row.
 
     A null text counts as empty and has no ids; repeated rows each keep their own

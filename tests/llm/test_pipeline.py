@@ -65,7 +65,7 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
 
 def test_every_operator_is_registered(spark):
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "decontaminate", "secret_scan", "bpe"]
     plan = entry.queries()["op10_license_scan"](spark, SF_DIR)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

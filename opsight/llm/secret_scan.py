@@ -1,20 +1,26 @@
 """Secret scan by assignment-aware lexing.
 
 Three token patterns give the base spans. Beside them source and configuration
-syntax is read as pairs of a name and a literal: `name = "literal"`, `name: literal`,
-`"name" => 'literal'`, joined literals (`"ab" + "cd"`) and names that stand for a
-literal bound earlier (`a = "..."` then `password = a`), which are followed to the
-literal. A pair is scored by how sensitive the words of its name are and how much
-the literal looks like a value; literals at or above the threshold are spans of
-kind `named`.
+syntax is read as pairs of a name and an expression: `name = "literal"`, `name: literal`,
+`"name" => 'literal'`, strings of one or several lines, YAML blocks (`name: |`), markup
+(`<name>literal</name>`, `<add key="name" value="literal"/>`), and sums of strings and
+names. Names in an expression, and `${name}`, `$name`, `{{ name }}` or `#{name}` in a
+string, are constants: they are followed, over any number of steps, to the literals of
+the nearest binding before their use, or else of the first one after it. A bare dotted
+name, a call, and a bare name of several words beside a spaced `=` are no literals. A
+pair is scored by how sensitive the words of its name are and how much the joined
+literals look like a value; at or above the threshold the literals are spans of kind
+`named`.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +41,8 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.5, "access": 0.4, "key": 0.5, "signature": 0.5,
 }
+#: Words that speak for a secret only beside another word.
+SENSITIVE_BESIDE = {"pass": 0.9, "pw": 0.9, "pin": 0.6}
 #: Words that tell of a name about a secret rather than the secret.
 HARMLESS = {"length": 0.8, "name": 0.5, "id": 0.3, "file": 0.5, "path": 0.6, "type": 0.8, "count": 0.8, "public": 0.6, "url": 0.5}
 PLACEHOLDERS = ("[secret]", "example", "changeme", "placeholder", "redacted", "none", "null", "true", "false", "your_", "xxxx", "****")
@@ -42,19 +50,33 @@ THRESHOLD = 0.5
 #: Characters of the parts, each half over the next, in which a long literal's variety is looked for.
 PART = 256
 
-_PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|=(?!=)|:(?!:))[ \t]*+"""
-    r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([^\s"',;#(){}\[\]<>]++))"""
+_TARGET = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z_][A-Za-z0-9_.-]*+)["']?([ \t]*+)(:=|=>|=(?!=)|:(?!:))([ \t]*+)""")
+#: One operand of an expression: strings of several lines, strings, a reference, a bare word.
+_OPERAND = re.compile(
+    r"""(?:[rRbBuUfF]{1,2}(?=["']))?(?:"{3}((?:[^"\\]|\\[\s\S]|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3}"""
+    r"""|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\\n]|\\.)*+)`)|(\$\{[^{}\n]*+\})|([^\s"',;#(){}\[\]<>]++)"""
 )
-_MORE = re.compile(r"""[ \t]*+\+[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""")
+_LINES, _REFERENCE, _BARE = (1, 2), 6, 7
+#: Between operands; in parentheses lines may end there. Strings may also just follow each other.
+_JOIN = re.compile(r"""[ \t]*+(?:\+|\.(?=[ \t"'])|(?=["']))[ \t]*+""")
+_JOIN_INSIDE = re.compile(r"""\s*+(?:\+|\.(?=[\s"'])|(?=["']))\s*+""")
+_OPEN = re.compile(r"\(\s*+")
+_BLOCK = re.compile(r"[|>][0-9+-]*+[ \t]*+(?:#[^\n]*+)?\n")
+_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)([^<>]*+)>(?:([^<>]++)</)?")
+_ATTRIBUTE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.:-]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""")
+_IN_STRING = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_.]*+)[^{}\n]*+\}|\$([A-Za-z_][A-Za-z0-9_]*+)|\{\{[ \t]*+([A-Za-z_][A-Za-z0-9_.]*+)[ \t]*+\}\}|#\{([A-Za-z_][A-Za-z0-9_.]*+)\}")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*")
+#: A name made of words, and one made of several.
+_WORDY = re.compile(r"_*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:_?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}))*_*[0-9]{0,2}")
+_SEVERAL = re.compile(r"[A-Za-z]_+[A-Za-z]|[a-z][A-Z]")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 def name_score(name: str) -> float:
     words = [w.lower() for w in _WORDS.findall(name)]
     joined = "".join(words)
-    weights = [SENSITIVE.get(w, 0.0) for w in words] + [SENSITIVE["apikey"] * ("apikey" in joined)]
+    known = SENSITIVE | SENSITIVE_BESIDE if len(words) > 1 else SENSITIVE
+    weights = [known.get(w, 0.0) for w in words] + [SENSITIVE["apikey"] * ("apikey" in joined)]
     most, rest = max(weights, default=0.0), 1.0
     if sum(w > 0 for w in weights) > 1:  # several hints make up for weak ones
         most = min(1.0, sum(sorted(weights)[-2:]))
@@ -78,26 +100,173 @@ def literal_score(value: str) -> float:
     return min(1.0, 0.4 + max(map(entropy, parts)) / 5)
 
 
+@dataclass(frozen=True)
+class Part:
+    """A literal of an expression, or with `maybe` a bare name that may stand for one."""
+
+    start: int
+    end: int
+    value: str
+    maybe: bool = False
+    spaced: bool = False
+
+
+def _expression(text: str, at: int, spaced: bool) -> tuple[list[Part], int]:
+    """The parts of the expression at a place, and where to read on."""
+    parts: list[Part] = []
+    inside = _OPEN.match(text, at)
+    join, at = (_JOIN_INSIDE, inside.end()) if inside else (_JOIN, at)
+    last, on = 0, at
+    while m := _OPERAND.match(text, at):
+        kind, end = m.lastindex, m.end()
+        (start, to), value = m.span(kind), m[kind]
+        if kind == _BARE:
+            if value.endswith("+") and text[end : end + 1] in ('"', "'"):  # a + stands right before a string
+                value, end, to = value[:-1], end - 1, to - 1
+            if parts and not _NAME.fullmatch(value):
+                break
+            if text[end : end + 1] in ("(", "["):  # a call or an element is no literal
+                return parts, end
+            parts.append(Part(start, to, value, bool(_NAME.fullmatch(value)), spaced))
+        elif parts and last not in (0, _REFERENCE, _BARE) and not parts[-1].maybe and kind != _REFERENCE:
+            before = parts.pop()  # joined strings are one literal
+            parts.append(Part(before.start, to, before.value + value))
+        else:
+            parts.append(Part(start, to, value))
+        # what stands in a string of several lines is read too
+        on = start if kind in _LINES and last == 0 else end
+        more = join.match(text, end)
+        if not more or (kind == _BARE and (not parts[-1].maybe or more[0].isspace() or not more[0])):
+            break
+        last, at = kind, more.end()
+    return parts, on
+
+
+def _yaml_block(text: str, name: int, at: int) -> Part | None:
+    """The lines that are indented deeper than the line of the name."""
+    head = text[text.rfind("\n", 0, name) + 1 : name]
+    if head.strip(" \t-\"'"):
+        return None
+    start = end = at
+    while end < len(text):
+        to = text.find("\n", end) + 1 or len(text)
+        line = text[end:to]
+        if line.strip() and len(line) - len(line.lstrip(" \t")) <= len(head.rstrip("\"'")):
+            break
+        end = to
+    body = text[start:end]
+    start += len(body) - len(body.lstrip())
+    return Part(start, start + len(body.strip()), body.strip()) if body.strip() else None
+
+
+def assignments(text: str) -> list[tuple[int, str, list[Part]]]:
+    """Place, name and expression of all assignments, by place."""
+    found, at = [], 0
+    while m := _TARGET.search(text, at):
+        block = _BLOCK.match(text, m.end()) if m[3] == ":" else None
+        body = _yaml_block(text, m.start(1), block.end()) if block else None
+        if body:
+            parts, at = [body], block.end()
+        else:
+            parts, at = _expression(text, m.end(), m[3] in ("=", ":=") and bool(m[2]) and bool(m[4]))
+        at = max(at, m.end())
+        if parts:
+            found.append((m.start(1), m[1], parts))
+    for m in _TAG.finditer(text) if "<" in text else ():
+        own = {a[1].lower(): a for a in _ATTRIBUTE.finditer(text, m.start(2), m.end(2))}
+        names = [m[1].rpartition(":")[2]] + [a[2] or a[3] or "" for k in ("key", "name", "id") if (a := own.get(k))]
+        spans = [own["value"].span(own["value"].lastindex)] if "value" in own else []
+        if m[3] and m[3].strip():
+            start = m.start(3) + len(m[3]) - len(m[3].lstrip())
+            spans.append((start, start + len(m[3].strip())))
+        found += [(m.start(), n, [Part(a, b, text[a:b])]) for n in names if n for a, b in spans]
+    return sorted(found, key=lambda f: f[0])
+
+
+def _is_name(part: Part) -> bool:
+    """Whether a bare word reads as a name of something else rather than as a value."""
+    steps = part.value.split(".")
+    if not all(map(_WORDY.fullmatch, steps)):
+        return False
+    return len(steps) > 1 or (part.spaced and bool(_SEVERAL.search(part.value)))
+
+
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
-    """Spans of literals that sensitive names stand for, with their scores."""
-    bound: dict[str, tuple[int, int, str]] = {}
+    """Spans of literals that sensitive names stand for, with their scores.
+
+    Constants are followed to a fixed point; a circle of names ends where it meets
+    itself. A literal that several names stand for has its highest score.
+    """
+    found = assignments(text)
+    bound: dict[str, list[int]] = {}
+    for i, (_, name, _) in enumerate(found):
+        bound.setdefault(name, []).append(i)
+
+    def binding(name: str, user: int) -> int | None:
+        places = bound.get(name, ())
+        before = bisect.bisect_left(places, user)
+        others = [p for p in (*places[max(0, before - 1) : before], *places[before : before + 2]) if p != user]
+        return others[0] if others else None
+
+    own: list[list[Part]] = []  # literals of each assignment, and the assignments that it names
+    uses: list[list[int]] = []
+    for i, (_, _, parts) in enumerate(found):
+        kept, used = [], []
+        for p in parts:
+            names = [p.value] if p.maybe else [m[m.lastindex] for m in _IN_STRING.finditer(p.value)] if "$" in p.value or "{" in p.value else []
+            known = {n: at for n in names if (at := binding(n, i)) is not None}
+            if p.maybe:
+                value = "" if known or _is_name(p) else p.value
+            else:
+                value = _IN_STRING.sub(lambda m: "" if m[m.lastindex] in known else m[0], p.value) if known else p.value
+            if any(map(str.isalnum, value)):
+                kept.append(Part(p.start, p.end, value))
+            used += known.values()
+        own.append(kept)
+        uses.append(used)
+
+    ends: dict[int, int] = {}
+
+    def end_of(at: int) -> int:
+        """The assignment behind a chain of mere names."""
+        path: dict[int, None] = {}
+        while at not in ends and at not in path and not own[at] and len(uses[at]) == 1:
+            path[at] = None
+            at = uses[at][0]
+        at = ends.get(at, at)
+        ends.update(dict.fromkeys(path, at))
+        return at
+
+    # what stands in a sensitive expression is as sensitive; the highest weight comes first
+    scores = [name_score(name) for _, name, _ in found]
+    weight = [0.0] * len(found)
+    for first in sorted(range(len(found)), key=lambda i: -scores[i]):
+        if scores[first] < threshold or not scores[first]:
+            break
+        todo = [first]
+        while todo:
+            i = todo.pop()
+            if not weight[i]:
+                weight[i] = scores[first]
+                todo += uses[i]
     best: dict[tuple[int, int], float] = {}
-    for m in _PAIR.finditer(text):
-        name, kind = m[1], m.lastindex
-        start, end = m.span(kind)
-        value = m[kind]
-        if kind == 4 and _NAME.fullmatch(value) and value in bound:
-            start, end, value = bound[value]  # the constant is followed to its literal
-        elif kind != 4:
-            at = m.end()
-            while more := _MORE.match(text, at):
-                value += more[more.lastindex]
-                end = more.end(more.lastindex)
-                at = more.end()
-        bound[name] = (start, end, value)
-        score = name_score(name) * literal_score(value)
-        if score >= threshold and end > start:
-            best[start, end] = max(score, best.get((start, end), 0.0))
+    alone: dict[int, float] = {}
+
+    def best_alone(i: int) -> float:
+        if i not in alone:
+            alone[i] = max((literal_score(p.value) for p in own[i] if len(p.value) >= LEAST_VALUE), default=0.0)
+        return alone[i]
+
+    for i in range(len(found)):
+        if not weight[i]:
+            continue
+        behind = list(dict.fromkeys(end_of(at) for at in uses[i]))
+        parts = own[i] + [p for at in behind for p in own[at]]
+        value = max(map(best_alone, (i, *behind)))
+        if parts and all(len(p.value) < LEAST_VALUE for p in parts):
+            value = literal_score("".join(p.value for p in parts))
+        for p in parts if weight[i] * value >= threshold else ():
+            best[p.start, p.end] = max(weight[i] * value, best.get((p.start, p.end), 0.0))
     return sorted((*span, score) for span, score in best.items())
 
 
@@ -111,7 +280,7 @@ def scan(text: str | None, threshold: float = THRESHOLD) -> list[tuple[str, int,
         found += [("assign", m.start(), m.end(), 1.0) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE]
     found += [("access", m.start(), m.end(), 1.0) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), 1.0) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if "=" in text or ":" in text or "</" in text:
         found += [("named", *span) for span in named_spans(text, threshold)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.llm.common import share
+from opsight.llm.common import free_name, share
 
 BUCKETS = 1 << 16
 #: Labelled rows that training reads at most (about: rows are picked by a hash).
@@ -164,5 +164,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
         languages, scores = held.value.predict([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang": languages, "score": scores})
 
-    out = docs.drop(lang, score).withColumn("__judged", judge(F.col(text)))
-    return out.withColumns({lang: F.col("__judged.lang"), score: F.col("__judged.score")}).drop("__judged")
+    judged = free_name("judged", docs.columns)
+    out = docs.drop(lang, score).withColumn(judged, judge(F.col(text)))
+    return out.withColumns({lang: F.col(judged)["lang"], score: F.col(judged)["score"]}).drop(judged)

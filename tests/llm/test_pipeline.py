@@ -63,6 +63,17 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
     assert "abcdefgh1" not in clean["text"] and clean["n_chars"] == len(clean["text"])
 
 
+def test_stages_leave_columns_of_any_name(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    names = ("__row", "__lang", "__n", "__hits", "hits", "n", "judged", "lang_pred", "lang_score")
+    docs = spark.createDataFrame([(1, long, "en", *names), (2, long, "en", *names)], ["doc_id", "text", "lang", *names])
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, SF_DIR)
+        assert kept.columns == docs.columns
+    assert [tuple(r) for r in kept.collect()] == [(1, long, "en", *names)]
+
+
 def test_every_operator_is_registered(spark):
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()

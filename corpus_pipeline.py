@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsight.llm import bpe, decontaminate, language_id, partenum, secret_scan
-from opsight.llm.common import ready, table, written
+from opsight.llm.common import free_name, ready, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -29,8 +29,9 @@ VOCABULARY = "byte_bpe_50k.json"
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     model = language_id.fit(docs, F.lit(True))
-    judged = language_id.predict(docs.withColumn("__row", F.struct(*docs.columns)), model, lang="__lang", score="__score")
-    return judged.where(F.col("__lang") != language_id.UNKNOWN).select("__row.*")
+    lang, score = free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns)
+    judged = language_id.predict(docs, model, lang=lang, score=score)
+    return judged.where(F.col(lang) != language_id.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +39,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     joined = partenum.join(docs, partenum.Rule(5, 80, 100))
     stays = joined.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn("__n", one).where("__n = 1").drop("__n").unionByName(docs.where("doc_id IS NULL"))
+    one, n = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")), free_name("n", docs.columns)
+    return kept.withColumn(n, one).where(F.col(n) == 1).drop(n).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), hits="__hits")
-    return found.where(F.size("__hits") == 0).drop("__hits")
+    hits = free_name("hits", docs.columns)
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), hits=hits)
+    return found.where(F.size(hits) == 0).drop(hits)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

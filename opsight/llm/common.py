@@ -17,6 +17,8 @@ from opsight.session import shared_dir
 
 #: Bytes of rows that a Python worker gets at once.
 BATCH_BYTES = "8m"
+#: Spark's setting by which a statement drops its shuffle files when it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The folder that holds the package.
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -48,12 +50,18 @@ def free_name(name: str, taken: Sequence[str]) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back.
 
-    Cuts the lineage and gives later reads the same rows on every attempt. The
-    folder is removed when the driver's JVM ends.
+    Cuts the lineage and gives later reads the same rows on every attempt. Shuffle
+    files of the steps before are dropped as soon as the table is there. The folder
+    is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -225,6 +225,15 @@ SECRET_TEXTS = [
 ]
 
 
+def test_tables_on_the_way_drop_their_shuffles(spark):
+    from opsight.llm import common
+
+    seen = spark.conf.get(common.DROP_SHUFFLES, None)
+    counts = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert sum(r["count"] for r in counts.collect()) == sum(r["count"] for r in counts.collect()) == 100
+    assert spark.conf.get(common.DROP_SHUFFLES, None) == seen
+
+
 def test_secret_base_spans():
     import re
 
@@ -251,6 +260,35 @@ def test_secret_names():
     assert named('user = "bob_the_builder"') == [] and named('pwd = "changeme"') == [] and named("token_count = 1234567") == []
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ('password = """hunter2\nhunter2"""', ["hunter2\nhunter2"]),
+    ("<cfg:password>hunter2hunter</cfg:password>", ["hunter2hunter"]),
+    ('<add key="password" value="hunter22x"/><entry name="pwd"> hunter33x </entry>', ["hunter22x", "hunter33x"]),
+    ("db:\n  password: |\n    first99line\n\n    second\n  user: somebody\n", ["first99line\n\n    second"]),
+    ('DB_PASS = "hunter2x9"\npassword = "${DB_PASS}"', ["hunter2x9"]),
+    ("password=${HIDDEN:-x}\nHIDDEN=qwerty99", ["qwerty99"]),
+    ('base = "hunter2"; password = base + "secretpart"', ["hunter2", "secretpart"]),
+    ('password = base+"secretpart"\nbase = "hunter2"', ["secretpart", "hunter2"]),
+    ('part = "abc"\nmy_token = part + "def9"', ["abc", "def9"]),
+    ('client_secret = ("abc"\n   "defgh9")', ['abc"\n   "defgh9']),
+    ('a = "zx81yy"\nb = a\nc = b\nmy_secret = c', ["zx81yy"]),
+    ("my_secret = c\nc = b\nb = a\na = 'zx81yy'", ["zx81yy"]),
+    ("doc = \'\'\'\npassword = \"inner99secret\"\n\'\'\'", ["inner99secret"]),
+    ("a = b\nb = a\npassword = a", []), ("password = getpass_from_env", []), ("passwd=os.environ", []),
+    ("token = request.token_value", []), ('password = get_it("abcdefgh")', []), ("the mountain pass: between hills", []),
+    ("token = eyJhbGciOi1.eyJzdWIiO2.SflKxwRJ3", ["eyJhbGciOi1.eyJzdWIiO2.SflKxwRJ3"]),
+])
+def test_secrets_by_syntax(text, want):
+    assert sorted(text[a:b] for a, b, _ in secret_scan.named_spans(text)) == sorted(want)
+
+
+def test_secrets_behind_long_chains_of_constants():
+    text = "".join(f"a{i + 1} = a{i}\n" for i in range(20_000)) + "password = a20000\na0 = 'zx81yy9'"
+    assert [text[a:b] for a, b, _ in secret_scan.named_spans(text)] == ["zx81yy9"]
+    for text in ("password = (" * 20_000, 'x = """' * 20_000, "k: |\n" * 20_000, "<" * 100_000):
+        secret_scan.named_spans(text)
+
+
 def test_secrets_in_long_literals_and_behind_wide_blanks():
     secret = "".join(random.Random(2).choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=40))
     for before, after in ((0, 0), (0, 9000), (256, 0), (300, 0), (9000, 0), (9000, 9000), (251, 3)):

@@ -539,7 +539,9 @@ def concurrency(
     # what ends at a time still runs at it
     live = scanned.select(*[F.col(k).alias(f"_l_{k}") for k in [*group, "_x"]],
                           (F.col("_sum") + F.col("_down")).alias("_live"))
-    scanned = asks.join(live, null_safe(asks, live, [(k, f"_l_{k}") for k in [*group, "_x"]]))
+    # a request's blocks are many times the size that the planner expects of either side: never broadcast
+    held = asks.hint("merge") if ts else asks
+    scanned = held.join(live, null_safe(held, live, [(k, f"_l_{k}") for k in [*group, "_x"]]))
     if ts:
         scanned = scanned.groupBy(*queue, "_id").agg(F.sum("_live").alias("_live"))
     return scanned.select(

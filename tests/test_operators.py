@@ -189,6 +189,13 @@ def test_concurrency_matches_brute_force(frame, limit):
     assert back != strict
 
 
+def test_blocks_of_the_lookback_are_not_broadcast(frame):
+    df = frame("i int, q string, s int, e int, t timestamp", *_spans(11))
+    got = joins.concurrency(df, ["q"], ["i"], "s", "e", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_concurrency_of_equal_starts(spark, frame):
     df = frame("i int, q string, s int, e int", *[(i, "q", 5, 5 + i % 2) for i in range(300)], (300, "q", 6, 6), (301, None, 5, 9))
     got = joins.concurrency(df, ["q"], ["i"], "s", "e", max_group_rows=20)

@@ -494,6 +494,24 @@ def test_url_sample_is_that_of_distinct_urls(spark):
             assert getattr(a, side).context_n.tolist() == getattr(b, side).context_n.tolist() != []
 
 
+def test_url_models_count_every_url(spark):
+    rng = random.Random(4)
+    texts = {v: sorted({f"http://{''.join(rng.choices(s, k=5))}.net/{i}" for i in range(25_000)}) for v, s in (("allow", "abcdevw"), ("block", "vwxyzab"))}
+    rows = spark.createDataFrame([(u, v) for v, urls in texts.items() for u in urls], "url string, verdict string")
+    got = url_filter.fit(rows)
+    want = url_filter.Model(*[url_filter.Markov([u for i, u in enumerate(texts[v]) if i % 4]) for v in ("allow", "block")])
+    for side in ("accepted", "rejected"):
+        for name in ("context", "context_n", "pair", "pair_n"):
+            assert getattr(getattr(got, side), name).tolist() == getattr(getattr(want, side), name).tolist()
+    assert got.threshold == url_filter.calibrated(*[want.scores(texts[v][::4]) for v in ("allow", "block")])
+    # a model of bounded size counts them as well
+    shared = url_filter.fit(rows, max_pairs=100)
+    assert shared.accepted.classes and shared.accepted.pair_n.sum() == want.accepted.pair_n.sum()
+    assert len(shared.accepted.pair) <= url_filter.CLASSES
+    some = texts["allow"][:50] + texts["block"][:50]
+    assert np.corrcoef(shared.scores(some), want.scores(some))[0, 1] > 0.99
+
+
 LICENSES = [None, "", "...", "Under the MIT  License! under-the.mit/license", "mit license", "Apache License, Version 2.0 and CC BY-NC 4 (cc-by-nc)", "Kit under the mİt license",
             "über Under The Mit License é", "cc by nc cc by nc", license_scan.TEMPLATES["bsd"].upper(), "x\n\n" + license_scan.TEMPLATES["mpl-2"].replace(" ", "\n") + "\n\ny",
             license_scan.TEMPLATES["gpl"].rsplit(" ", 12)[0], "word " * 40_000 + "under the mit license"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opsight.functions.timegrid import to_seconds
 from opsight.operators.intervals import exponent, match_points, shift_right
-from opsight.operators.scan import last_before, null_safe, ordered_scan, running_sum
+from opsight.operators.scan import last_before, null_safe, ordered_scan, row_number, running_sum
 from opsight.session import stable
 
 
@@ -333,28 +333,45 @@ def effective_dated_lookup(
 
 def _position(df: DataFrame, name: str) -> Column:
     """A long that never falls as the column rises: the integer part of a number, the
-    microseconds of a time, the first seven bytes of a text."""
+    microseconds of a time."""
     kind = dict(df.dtypes)[name]
     if kind in ("timestamp", "timestamp_ntz", "date"):
         return F.unix_micros(F.col(name).cast("timestamp"))
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("long")
     return F.floor(F.col(name)).cast("long")
 
 
-def range_assign(df: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:
+def _assign_texts(df, ranges, value, low, high, max_group_rows):
+    """`range_assign` of texts, by their places among all distinct texts of both sides.
+
+    A place is a running number over the texts in order, so it does not matter how many
+    texts begin alike.
+    """
+    texts = df.select(F.col(value).alias("_t")).unionByName(ranges.select(F.col(low).alias("_t"))).unionByName(
+        ranges.select(F.col(high).alias("_t"))).where("_t IS NOT NULL").distinct()
+    places = stable(ordered_scan(texts, [], ["_t"], [row_number("_at")], max_group_rows))
+    place = lambda name: places.select(F.col("_t").alias(f"_t{name}"), F.col("_at").alias(f"_at{name}"))
+    bounds = ranges.join(place("_lo"), F.col(low) == F.col("_t_lo")).join(place("_hi"), F.col(high) == F.col("_t_hi"))
+    points = df.join(place("_p"), F.col(value) == F.col("_t_p"))
+    return match_points(
+        points, bounds, [], ["_at_p"], F.col("_at_p"), F.col("_at_lo"), F.col("_at_hi"), lambda own: F.lit(True))
+
+
+def range_assign(
+    df: DataFrame, ranges: DataFrame, value: str, low: str, high: str, max_group_rows: int | None = None,
+) -> DataFrame:
     """Rows with all ranges [low, high] that contain their value; ranges may overlap.
 
     Ranges are filed by length class, see `intervals.match_points`. Values finer than
-    `_position` are compared after that. Texts should differ in their first seven
-    bytes, or many of them share a cell.
+    `_position` are compared after that; texts get their place in the order of all.
     """
     named = ranges.where(F.col(low) <= F.col(high)).select(*[F.col(c).alias(f"_r_{c}") for c in ranges.columns])
-    met = match_points(
-        df, named, [], [value], _position(df, value), _position(named, f"_r_{low}"), _position(named, f"_r_{high}"),
-        lambda own: own(value).between(F.col(f"_r_{low}"), F.col(f"_r_{high}")),
-    )
+    if dict(df.dtypes)[value] == dict(named.dtypes)[f"_r_{low}"] == dict(named.dtypes)[f"_r_{high}"] == "string":
+        met = _assign_texts(df, named, value, f"_r_{low}", f"_r_{high}", max_group_rows)
+    else:
+        met = match_points(
+            df, named, [], [value], _position(df, value), _position(named, f"_r_{low}"), _position(named, f"_r_{high}"),
+            lambda own: own(value).between(F.col(f"_r_{low}"), F.col(f"_r_{high}")),
+        )
     return met.select(*df.columns, *[F.col(f"_r_{c}").alias(c) for c in ranges.columns])
 
 

@@ -273,6 +273,24 @@ def test_range_assign_of_texts_and_fractions(frame):
         ((v, g) for v in numbers for g, lo, hi in parts if lo <= v <= hi), key=repr)
 
 
+@pytest.mark.parametrize("limit", [40, 100_000])
+def test_texts_that_begin_alike_have_places_of_their_own(frame, monkeypatch, limit):
+    seen, real = [], joins.match_points
+
+    def spy(points, intervals, on, compared, position, *rest):
+        seen.append(points.select(position.alias("p")).distinct().count())
+        return real(points, intervals, on, compared, position, *rest)
+
+    monkeypatch.setattr(joins, "match_points", spy)
+    words = [f"Customer#{i:09d}" for i in range(100)] + [None, "Customer#000000007"]
+    spans = [(g, words[g], words[g + g % 4]) for g in range(0, 90, 3)] + [(99, words[5], None), (98, "Customer#00000000", "Customer#0000000015")]
+    got = joins.range_assign(frame("v string", *[(w,) for w in words]), frame("g int, lo string, hi string", *spans),
+                             "v", "lo", "hi", max_group_rows=limit)
+    assert rows(got, "v", "g") == sorted(
+        ((v, g) for v in words if v for g, lo, hi in spans if hi and lo <= v <= hi), key=repr)
+    assert seen == [100]
+
+
 def test_interval_join_with_open_end(frame):
     points = frame("k int, t timestamp", (1, at(0)), (1, at(3600)), (1, at(90000)), (2, at(0)))
     spans = frame("kk int, b timestamp, e timestamp", (1, at(0), at(3600)), (1, at(3599), None))

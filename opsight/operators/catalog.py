@@ -143,7 +143,9 @@ def derive_index_definitions(fields: DataFrame, indexes: DataFrame) -> DataFrame
     here = indexes.where(F.col("platform_ora") == 1).select(
         F.col("recname").alias("_rec"), F.col("indexid").alias("_id")
     )
-    named = fields.join(
+    # a record has many fields of few origins
+    origins = fields.select("recname", "subrecname").distinct()
+    named = origins.join(
         here.where(~F.col("_id").between("0", "9")), F.col("subrecname") == F.col("_rec")
     ).select("recname", F.col("_id").alias("indexid"), F.col("recname").alias("subrecname"),
              F.col("_id").alias("subindexid")).distinct()
@@ -155,7 +157,8 @@ def derive_index_definitions(fields: DataFrame, indexes: DataFrame) -> DataFrame
 
 
 def _declared_keys(fields, indexes, keys, definitions):
-    """Key columns of the main ('_') and the lettered indexes with their rank."""
+    """Key columns of the main ('_') and the lettered indexes with their rank, and the
+    other columns of their definitions."""
     defs = definitions.where((F.col("indexid") == "_") | F.col("indexid").between("A", "Z"))
     custom = indexes.select(
         F.col("recname").alias("_ir"), F.col("indexid").alias("_ii"), "custkeyorder"
@@ -165,18 +168,19 @@ def _declared_keys(fields, indexes, keys, definitions):
     columns = fields.select(
         F.col("recname").alias("_cr"), "fieldname", "fieldnum", F.col("subrecname").alias("_cs")
     )
-    found = defs.join(columns, F.col("recname") == F.col("_cr")).join(
+    # fields that are keys first: only these meet the definitions
+    found = columns.join(
         keys.select(F.col("recname").alias("_kr"), F.col("indexid").alias("_ki"),
                     F.col("fieldname").alias("_kf"), F.col("keyposn").alias("_kp")),
-        (F.col("_cs") == F.col("_kr")) & (F.col("subindexid") == F.col("_ki"))
-        & (F.col("fieldname") == F.col("_kf")),
-    )
+        (F.col("_cs") == F.col("_kr")) & (F.col("fieldname") == F.col("_kf")),
+    ).join(defs, (F.col("_cr") == F.col("recname")) & (F.col("_ki") == F.col("subindexid")))
     per_index = Window.partitionBy("recname", "indexid")
     by_key = (F.col("indexid") != "_") | (F.col("custkeyorder") == 1)
     order = F.when(by_key, F.col("_kp")).otherwise(F.col("fieldnum"))
+    others = [c for c in definitions.columns if c not in ("recname", "indexid", "subrecname", "subindexid")]
     return found.select(
         "recname", "indexid", F.rank().over(per_index.orderBy(order)).alias("keyposn"),
-        "fieldname", F.rank().over(per_index.orderBy("fieldnum")).alias("fieldposn"),
+        "fieldname", F.rank().over(per_index.orderBy("fieldnum")).alias("fieldposn"), *others,
     )
 
 
@@ -187,25 +191,31 @@ def key_positions(
 
     An alternate key's index leads with its field, followed by the main key.
     Indexes with a custom key order take their positions from the declaration.
+
+    What is known per index - its custom order, and for the main key the record's
+    alternate indexes - is put to the definitions, so that key columns are ranked once.
     """
-    declared = _declared_keys(fields, indexes, keys, definitions)
-    alt = alternate_indexes(fields).select("recname", "indexid", "fieldname")
-    leading = alt.select("recname", "indexid", F.lit(1).alias("keyposn"), "fieldname")
-    main = declared.where(F.col("indexid") == "_").select(
-        "recname", F.col("fieldname").alias("_f"), F.col("fieldposn").alias("_p")
-    )
-    following = alt.join(main, "recname").select(
-        "recname", "indexid", (F.col("_p") + 1).alias("keyposn"), F.col("_f").alias("fieldname")
-    )
-    rows = declared.drop("fieldposn").unionByName(leading).unionByName(following)
     custom = definitions.select("recname", "indexid").join(
         indexes.where(F.col("custkeyorder") == 1).select("recname", "indexid"),
         ["recname", "indexid"],
     ).distinct().withColumn("_custom", F.lit(True))
+    alt = alternate_indexes(fields).select("recname", "indexid", "fieldname")
+    alt = alt.join(custom, ["recname", "indexid"], "left")
+    # as many as a record has alternate keys
+    behind = alt.groupBy(F.col("recname").alias("_ar")).agg(
+        F.collect_list(F.struct("indexid", "_custom")).alias("_alts"))
+    defs = definitions.join(custom, ["recname", "indexid"], "left")
+    defs = defs.join(behind, (F.col("recname") == F.col("_ar")) & (F.col("indexid") == "_"), "left").drop("_ar")
+    declared = _declared_keys(fields, indexes, keys, defs)
+    own = F.array(F.struct("indexid", "_custom", F.col("keyposn").cast("int").alias("keyposn")))
+    following = F.transform("_alts", lambda a: F.struct(
+        a["indexid"].alias("indexid"), a["_custom"].alias("_custom"), (F.col("fieldposn") + 1).alias("keyposn")))
+    rows = declared.select("recname", "fieldname", F.inline(F.when(
+        F.col("_alts").isNull(), own).otherwise(F.concat(own, following))))
+    leading = alt.select("recname", "fieldname", "indexid", "_custom", F.lit(1).alias("keyposn"))
+    rows = rows.unionByName(leading)
     override = keys.select("recname", "indexid", "fieldname", F.col("keyposn").alias("_declared"))
-    return rows.join(custom, ["recname", "indexid"], "left").join(
-        override, ["recname", "indexid", "fieldname"], "left"
-    ).select(
+    return rows.join(override, ["recname", "indexid", "fieldname"], "left").select(
         "recname", "indexid",
         F.when(F.col("_custom"), F.col("_declared")).otherwise(F.col("keyposn")).cast("long")
         .alias("keyposn"), "fieldname",

@@ -272,6 +272,13 @@ def status_labels_at_time(rows, region):
 # last one is run again as after a failure, so the SQL also checks that a replay changes nothing.
 
 PARTS = 3
+#: Rows of a stream for which its state gets one bucket more.
+BUCKET_ROWS = 250_000
+
+
+def _buckets(rows):
+    """Buckets of the state, so that one of them stays small however many rows the stream has."""
+    return max(8, -(-rows.count() // BUCKET_ROWS))
 
 
 def _fed(rows, part):
@@ -300,10 +307,10 @@ def _rows(spark, sf_dir, *names):
     return derived(spark, sf_dir, *names)
 
 
-def _run(stream, step, name, keys, ts=None, seed=None, **state):
+def _run(stream, step, name, keys, ts=None, seed=None, buckets=8):
     """Run a step over the stream, then its last batch once more."""
     spark = stream.sparkSession
-    where = keyed.KeyedState(stateful.fresh_folder(spark, name), tuple(keys), ts, **{"buckets": 8} | state)
+    where = keyed.KeyedState(stateful.fresh_folder(spark, name), tuple(keys), ts, buckets)
     if seed is not None:
         where.seed(seed)
     keyed.run_keyed(stream, step, where).awaitTermination()
@@ -335,7 +342,7 @@ def _change_run(spark, sf_dir, name, finish):
     rows = _rows(spark, sf_dir, "prc_changes")
     step = stateful.previous_value_step(
         ["prcsinstance"], "ts", ["event_id"], "runstatus", "old_runstatus", finish)
-    return _run(_fed(rows, _thirds(rows)), step, name, ["prcsinstance"], "ts")
+    return _run(_fed(rows, _thirds(rows)), step, name, ["prcsinstance"], "ts", buckets=_buckets(rows))
 
 
 @_stream("stream_status_transitions", TRANSITIONS, ("prc_changes",))
@@ -352,7 +359,7 @@ def stream_pair_snapshots(spark, sf_dir):
     written = keyed.output(spark, first, "result")
     pair = stateful.pair_snapshots_step(
         ["prcsinstance", "statistic"], "ts", "phase", ["db_value", "my_value"], ["event_id"])
-    state = _run(_fed(written, _thirds(written)), pair, "pairs", ["prcsinstance", "statistic"], "ts")
+    state = _run(_fed(written, _thirds(written)), pair, "pairs", ["prcsinstance", "statistic"], "ts", buckets=_buckets(written))
     out = keyed.output(spark, state, "result")
     return out.select("prcsinstance", "statistic", *PAIR_COLUMNS, micros("begindttm"),
                       micros("enddttm"))
@@ -386,7 +393,7 @@ def stream_archive_on_delete(spark, sf_dir):
     odd = F.col("o_orderkey") % 2 == 1  # their deletes come with their inserts, those of the others later
     part = F.when(odd, 1).when(F.col("op") == "D", 2).otherwise(0)
     step = stateful.archive_step(["o_orderkey"], orders.columns, ["seq"])
-    state = _run(_fed(changes, part), step, "archive", ["o_orderkey"])
+    state = _run(_fed(changes, part), step, "archive", ["o_orderkey"], buckets=_buckets(changes))
     columns = ["o_orderkey", "o_custkey", "o_totalprice"]
     live = state.current(spark)
     return keyed.output(spark, state, "archive").select(*columns, F.lit("archive").alias("kind")).unionByName(
@@ -400,7 +407,7 @@ def _message_run(spark, sf_dir):
         "process_instance", "turn", F.col("text").alias("message"), F.lit(None).cast("int").alias("severity"))
     part = F.least(F.floor(F.col("turn") / 3), F.lit(2))
     return _run(_fed(fresh, part), stateful.append_messages_step(["turn"]), "messages", ["process_instance"],
-                seed=ops.used_sequences(existing, "process_instance", "message_seq"))
+                seed=ops.used_sequences(existing, "process_instance", "message_seq"), buckets=_buckets(fresh))
 
 
 @_stream("stream_append_message_headers", ORACLE["append_message_headers"])
@@ -454,7 +461,7 @@ def stream_progress(spark, sf_dir):
     events = _rows(spark, sf_dir, "events")
     rows = events.select(F.col("user_id").alias("prcsinstance"), "event_id", "ts")
     step = stateful.progress_step("prcsinstance", ["ts", "event_id"])
-    state = _run(_fed(rows, _thirds(rows)), step, "progress", ["prcsinstance"], "ts")
+    state = _run(_fed(rows, _thirds(rows)), step, "progress", ["prcsinstance"], "ts", buckets=_buckets(rows))
     return keyed.output(spark, state, "result").select("prcsinstance", "event_id", big("sofar"))
 
 

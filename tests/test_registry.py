@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare
-from registry import ORACLE, QUERIES
+from registry import ORACLE, QUERIES, events
 from registry.fixtures import SOURCES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -60,3 +60,7 @@ def test_a_missing_library_leaves_the_other_queries(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, check=True)
     found, _ = out.stdout.split()
     assert int(found) >= len(QUERIES)
+
+
+def test_buckets_of_a_stream_grow_with_its_rows(spark):
+    assert [events._buckets(spark.range(n)) for n in (0, 100, 2_000_001, 20_000_000)] == [8, 8, 9, 80]

@@ -20,8 +20,8 @@ from opsight.functions.rules import has_flag, has_flag_unfloored
 from opsight.functions.text import decode_codes
 from opsight.operators.joins import prefix_name_join, scalar_cross
 from opsight.operators.ranking import minus
-from opsight.operators.scan import ordered_scan, row_number
-from opsight.session import stable
+from opsight.operators.scan import all_fit, ordered_scan, row_number
+from opsight.session import written
 
 TABLE, VIEW, SUBRECORD, QUERY_VIEW, TEMP_TABLE = 0, 1, 3, 6, 7  # record types: fixed values
 BUILT_TYPES = (TABLE, VIEW, QUERY_VIEW, TEMP_TABLE)
@@ -59,39 +59,48 @@ def expand_subrecords(fields: DataFrame, records: DataFrame, max_depth: int = 20
     was taken from.
 
     Each round joins only the references that are left; a field's place is the
-    path of positions that led to it.
+    path of positions that led to it. Fields and what a round found are written
+    once, references apart, so that no round computes its input again.
     """
     subrecords = records.where(F.col("rectype") == SUBRECORD).select(
         F.col("recname").alias("_sub")
-    )
-    inner = fields.select(
+    ).distinct()
+
+    def filed(rows: DataFrame) -> DataFrame:
+        marked = rows.join(subrecords, F.col("fieldname") == F.col("_sub"), "left")
+        return written(marked.withColumn("_ref", F.col("_sub").isNotNull().cast("int")).drop("_sub"),
+                       "expanded-fields", ("_ref",))
+
+    given = filed(fields.select("recname", "fieldname", "useedit", "fieldnum"))
+    inner = given.select(
         F.col("recname").alias("_owner"), F.col("fieldname").alias("_field"),
         F.col("useedit").alias("_useedit"), F.col("fieldnum").alias("_num"),
     )
-    current = fields.select(
+    current = given.select(
         "recname", "fieldname", "useedit", F.array("fieldnum").alias("_path"),
-        F.col("recname").alias("subrecname"),
+        F.col("recname").alias("subrecname"), "_ref",
     )
     finished = []
     for _ in range(max_depth):
-        is_reference = current["fieldname"] == subrecords["_sub"]
-        finished.append(current.join(subrecords, is_reference, "left_anti"))
-        references = current.join(subrecords, is_reference, "left_semi")
-        current = stable(
+        finished.append(current.where("_ref = 0"))
+        references = current.where("_ref = 1")
+        if references.isEmpty():
+            break
+        current = filed(
             references.join(inner, references["fieldname"] == inner["_owner"]).select(
                 "recname", F.col("_field").alias("fieldname"), F.col("_useedit").alias("useedit"),
                 F.concat("_path", F.array("_num")).alias("_path"),
                 F.col("_owner").alias("subrecname"),
             )
         )
-        if current.isEmpty():
-            break
     else:
-        raise ValueError(f"sub-records nested deeper than {max_depth}, or in a circle")
+        if not current.isEmpty():
+            raise ValueError(f"sub-records nested deeper than {max_depth}, or in a circle")
     rows = finished[0]
     for part in finished[1:]:
         rows = rows.unionByName(part)
-    numbered = ordered_scan(rows, ["recname"], ["_path", "fieldname"], [row_number("fieldnum")])
+    numbered = ordered_scan(rows, ["recname"], ["_path", "fieldname"], [row_number("fieldnum")],
+                            known_bounded=all_fit(rows, ["recname"]))
     return numbered.select("recname", "fieldname", "useedit", "fieldnum", "subrecname")
 
 

@@ -2,6 +2,9 @@
 reads the same files as a stream, runs until the input is used up and returns
 what it wrote; it is checked against the same SQL as its batch form."""
 
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsight.operators import joins, stats
@@ -268,7 +271,7 @@ def status_labels_at_time(rows, region):
 
 
 # ---- streaming forms ----
-# Every stream is fed as three files, one per micro-batch. Where batches carry state, the
+# Every stream is fed in three parts, one per micro-batch. Where batches carry state, the
 # last one is run again as after a failure, so the SQL also checks that a replay changes nothing.
 
 PARTS = 3
@@ -281,14 +284,29 @@ def _buckets(rows):
     return max(8, -(-rows.count() // BUCKET_ROWS))
 
 
+class _Fed(NamedTuple):
+    """Rows that arrive by part 0, 1 or 2, in as many files as tasks write them."""
+
+    rows: DataFrame
+    part: Column
+    folder: str
+
+    @property
+    def stream(self):
+        """The stream of what has arrived."""
+        return self.rows.sparkSession.readStream.schema(self.rows.schema).parquet(self.folder)
+
+    def run(self, start):
+        """Let each part arrive, and have the query that start(stream) gives use it up as one micro-batch."""
+        marked = self.rows.withColumn("_part", self.part.cast("int"))
+        for i in range(PARTS):
+            marked.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(self.folder)
+            start(self.stream).awaitTermination()
+
+
 def _fed(rows, part):
-    """A stream of rows in three files, by part 0, 1 or 2."""
-    spark = rows.sparkSession
-    folder = stateful.fresh_folder(spark, "fed")
-    marked = rows.withColumn("_part", part.cast("int"))
-    for i in range(PARTS):
-        marked.where(F.col("_part") == i).drop("_part").repartition(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    """Rows as a stream in three parts, by part 0, 1 or 2."""
+    return _Fed(rows, part, stateful.fresh_folder(rows.sparkSession, "fed"))
 
 
 def _thirds(rows, ts="ts"):
@@ -307,17 +325,17 @@ def _rows(spark, sf_dir, *names):
     return derived(spark, sf_dir, *names)
 
 
-def _run(stream, step, name, keys, ts=None, seed=None, buckets=8):
-    """Run a step over the stream, then its last batch once more."""
-    spark = stream.sparkSession
+def _run(fed, step, name, keys, ts=None, seed=None, buckets=8):
+    """Run a step over the parts, then its last batch once more."""
+    spark = fed.rows.sparkSession
     where = keyed.KeyedState(stateful.fresh_folder(spark, name), tuple(keys), ts, buckets)
     if seed is not None:
         where.seed(seed)
-    keyed.run_keyed(stream, step, where).awaitTermination()
+    fed.run(lambda stream: keyed.run_keyed(stream, step, where))
     last = where.last_batch(spark)
     for file in (f"{last}", f".{last}.crc"):
         files.delete(spark, f"{where.folder}/checkpoint/commits/{file}")
-    keyed.run_keyed(stream, step, where).awaitTermination()
+    keyed.run_keyed(fed.stream, step, where).awaitTermination()
     return where
 
 
@@ -338,7 +356,7 @@ def _stream(name, sql=None, uses=()):
 
 
 def _change_run(spark, sf_dir, name, finish):
-    """A step over three files of status changes that knows each process's last status."""
+    """A step over three parts of status changes that knows each process's last status."""
     rows = _rows(spark, sf_dir, "prc_changes")
     step = stateful.previous_value_step(
         ["prcsinstance"], "ts", ["event_id"], "runstatus", "old_runstatus", finish)
@@ -379,9 +397,15 @@ def stream_status_labels(spark, sf_dir):
     region = _rows(spark, sf_dir, "region")
     first = _change_run(spark, sf_dir, "changes", lambda changes: changes)
     written = keyed.output(spark, first, "result")
-    stream = _fed(written, _thirds(written)).withColumn("runstatus", F.col("runstatus").cast("string"))
+    fed = _fed(written, _thirds(written))
+    validity = _validity(region)
     folder = stateful.fresh_folder(spark, "labels")
-    stateful.run_to_table(ops.status_labels_at(stream, _validity(region), "ts"), folder).awaitTermination()
+
+    def label(stream):
+        changes = stream.withColumn("runstatus", F.col("runstatus").cast("string"))
+        return stateful.run_to_table(ops.status_labels_at(changes, validity, "ts"), folder)
+
+    fed.run(label)
     return spark.read.parquet(f"{folder}/result").select("event_id", "action")
 
 
@@ -433,8 +457,8 @@ def stream_running_stats(spark, sf_dir):
     """E3 as an update-mode aggregation."""
     log = _rows(spark, sf_dir, "qry_log")
     folder = stateful.fresh_folder(spark, "stats")
-    stream = _fed(log, _thirds(log, "execdttm"))
-    stateful.run_updates(stateful.running_stats_stream(stream), folder).awaitTermination()
+    fed = _fed(log, _thirds(log, "execdttm"))
+    fed.run(lambda stream: stateful.run_updates(stateful.running_stats_stream(stream), folder))
     out = stateful.read_latest(spark, folder, ["oprid", "qryname"])
     return out.select("oprid", "qryname", "execcount", rnd("avgexectime", 8),
                       micros("lastexecdttm"), big("numkills"))
@@ -445,11 +469,16 @@ SELECT event_id, concat('q=', user_id) AS query_string1, 'F84D' AS domain FROM e
 def stream_enriched_rows(spark, sf_dir):
     """E5 as a stateless stream."""
     events = _rows(spark, sf_dir, "events")
-    rows = _fed(events, _thirds(events)).select(
-        "event_id", F.concat(F.lit("q%3D"), F.col("user_id").cast("string")).alias("query_string1"),
-        F.concat(F.lit("/psp/f84d/"), "event_type").alias("url"))
+    fed = _fed(events, _thirds(events))
     folder = stateful.fresh_folder(spark, "enriched")
-    stateful.run_to_table(ops.enrich_access(rows, slots=1), folder).awaitTermination()
+
+    def enrich(stream):
+        rows = stream.select(
+            "event_id", F.concat(F.lit("q%3D"), F.col("user_id").cast("string")).alias("query_string1"),
+            F.concat(F.lit("/psp/f84d/"), "event_type").alias("url"))
+        return stateful.run_to_table(ops.enrich_access(rows, slots=1), folder)
+
+    fed.run(enrich)
     return spark.read.parquet(f"{folder}/result").select("event_id", "query_string1", "domain")
 
 
@@ -478,9 +507,9 @@ WHERE late IS NOT TRUE AND (bucket + 21600) * 1000000 <= (SELECT max(mark) FROM
 def stream_windowed_counts(spark, sf_dir):
     """T5 as tumbling windows over files out of order: windows that are over, and late rows."""
     events = _rows(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
-    stream = _fed(events, F.when(F.col("event_id") % 10 == 0, 2).otherwise(_thirds(events)))
+    fed = _fed(events, F.when(F.col("event_id") % 10 == 0, 2).otherwise(_thirds(events)))
     step = stateful.windowed_step("ts", ["event_type"], 21600, 600, {"num_rows": ("count", None), "top": ("max", "value")})
-    state = _run(stream, step, "windows", (), "ts", buckets=1)
+    state = _run(fed, step, "windows", (), "ts", buckets=1)
     second = F.unix_seconds(F.col("ts").cast("timestamp"))
     late = keyed.output(spark, state, "late").groupBy(
         (F.floor(second / 21600) * 21600).cast("long").alias("bucket"), "event_type").agg(

@@ -9,6 +9,7 @@ from opsight.operators.intervals import Validity
 from opsight.sources import files
 from opsight.streaming import events as ops
 from opsight.streaming import keyed, stateful
+from registry import events as registered
 from tests.conftest import rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -311,3 +312,19 @@ def test_equal_times_are_late_by_their_tie(spark, tmp_path, frame):
 def test_window_step_must_divide_a_day(spark, history):
     with pytest.raises(ValueError):
         stateful.windowed_counts_stream(history, "t", ["k"], 420, "1 minute")
+
+
+def test_a_part_is_written_by_many_tasks_and_read_as_one_batch(spark):
+    ids = spark.range(0, 400, 1, 4)
+    fed = registered._fed(ids, F.col("id") % 3)
+    batches, checkpoint = [], stateful.fresh_folder(spark, "checkpoint")
+
+    def start(stream):
+        def note(batch, batch_id):
+            named = batch.select("id", F.input_file_name().alias("file")).collect()
+            batches.append((batch_id, len({r["file"] for r in named}), sorted(r["id"] for r in named)))
+
+        return stream.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    fed.run(start)
+    assert batches == [(i, 4, [n for n in range(400) if n % 3 == i]) for i in range(3)]

@@ -162,7 +162,7 @@ def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
 
     `copy`: key has the same set as the smaller key `other` of its chunk, and takes no
     further part. `same`: likewise among chunks. `member`: key is one of `size` that
-    share the signature `sig`.
+    share a signature; `sig` stands for all signatures of a band with these members.
     """
 
     def sign(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +213,15 @@ def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
             asked = np.repeat(np.logical_or.reduceat(band >= ASKED, head), np.diff(np.r_[head, len(sig)]))
             some = (band >= 0) & (size > 1) & ((band < HELD) | asked)
             band = band & (HELD - 1)
+            # near copies share many signatures: those with the same members are one from here on
+            number = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(sig)]))
+            alike = np.add.reduceat(mix(key.view(np.uint64) + _TAG), head) + (band[head].astype(np.uint64) + np.uint64(1)) * _GOLD
+            alike = mix(alike + size[head].astype(np.uint64) * _VOID)
+            once = np.zeros(len(head), bool)
+            some_heads = np.flatnonzero(np.logical_or.reduceat(some, head))
+            once[some_heads[np.unique(alike[some_heads], return_index=True)[1]]] = True
+            some &= once[number]
+            sig = alike[number]
             out.append(pd.DataFrame({"kind": "same", "key": key[same], "other": first[same], "sig": 0, "band": 0, "size": 0}))
             out.append(pd.DataFrame({"kind": "member", "key": key[some], "other": 0, "sig": sig[some].view(np.int64), "band": band[some], "size": size[some]}))
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
@@ -265,7 +274,7 @@ def _close(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
     # a signature with many members is compared as pairs of blocks, each in a task of its own
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-    keys = ["sig", "lo", "hi"]
+    keys = ["sig", "size", "lo", "hi"]
     columns = [*keys, "key", "band", "n", "sketch", "component"]
 
     def compare(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -352,7 +361,7 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     far = copies.join(same.select(F.col("key").alias("first"), F.col("class").alias("to")), "first", "left")
     classes = written(same.unionByName(far.select("key", F.coalesce("to", "first").alias("class"))), "join-classes")
     member = met.where("kind = 'member'").join(same, "key", "left")
-    member = member.select("sig", "band", "size", F.coalesce("class", "key").alias("key")).dropDuplicates(["sig", "key"])
+    member = member.select("sig", "band", "size", F.coalesce("class", "key").alias("key")).dropDuplicates(["sig", "size", "key"])
     sketched = member.join(told.where("n > 0").distinct(), "key")
     # texts of all that meet anyone, gathered once
     few = texts.select("key", squeezed(F.col("text")).alias("text"))

@@ -597,3 +597,15 @@ def test_license_notices(spark):
     got = license_scan.scan(spark.createDataFrame(list(enumerate(f"some words\n{t}\nmore words" for t in texts)), DOCS)).collect()
     assert {texts[r["doc_id"]]: r["labels"] for r in got} == NOTICES
     assert all(r["score"] == (1.0 if r["labels"] else 0.0) for r in got)
+
+
+def test_near_copies_meet_once_whatever_signatures_they_share(spark, frame):
+    words = [f"w{i}" for i in range(400)]
+    near = [*words[:200], "other", *words[200:]]
+    docs = frame("doc_id long, text string", (1, " ".join(words)), (2, " ".join(near)))
+    texts = partenum._texts(docs.repartition(2, "doc_id"), "doc_id", "text")
+    met = partenum._meetings(texts, partenum.Rule(), 1).where("kind = 'member'")
+    assert {r["n"] for r in met.groupBy("sig").agg(F.count("*").alias("n")).collect()} == {2}
+    assert met.select("sig").distinct().count() == met.select("band").distinct().count()
+    linked = partenum.join(docs).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, linked)) == [(1, 1), (2, 1)]

@@ -10,9 +10,10 @@ as well.
 
 Sets that meet are compared first by parity sketches: the number of differing bits is
 at most the number of differing elements, so no similar pair is ruled out. Of the
-pairs left each document verifies the one with its smallest neighbour on the texts;
-after joining these into components, all pairs left between components are verified
-too. Nothing is lost, and pairs within a component need not be looked at.
+pairs left each document verifies one on the texts, with the smallest neighbour it finds in
+a few of its signatures; after joining these into components, all pairs left between
+components are verified too, in all signatures. Nothing is lost, and pairs within a
+component need not be looked at. A pair that shares many signatures is told by one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsight.llm.common import give_back, written
@@ -36,6 +37,8 @@ BAND = 1.5
 CHUNK_BYTES = 2 << 20
 #: Signatures in a group of the join, and members compared in one block.
 GROUP_SIGNATURES, BLOCK = 250_000, 2_048
+#: Smallest signatures of a row: those it looks for a neighbour in first, and by which a pair tells that it met before.
+LEAST = 8
 #: 64-bit words of sketches compared, and bits of sketches made, at once.
 PAIR_WORDS, SKETCH_BITS = 1 << 20, 1 << 20
 
@@ -264,18 +267,37 @@ def _fold(sketch: bytes, words_wanted: int) -> np.ndarray:
     return own
 
 
+#: No signature.
+NONE = int(np.iinfo(np.int64).max)
+
+
+def _first_shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest number that two rows share, or NONE."""
+    first = np.full(len(left), NONE)
+    for i in range(right.shape[1]):
+        one = right[:, i]
+        first = np.where((left == one[:, None]).any(axis=1), np.minimum(first, one), first)
+    return first
+
+
 def _close(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
     """Pairs (a < b) of members of one signature and of different components whose sketches allow a link.
 
-    With `every` all of them, else for each b the smallest a in the block.
+    With `every` all of them, told in the smallest signature that both have among their
+    least (in each they share, if there is none). Else the signatures among the least
+    alone, and for each b the smallest a in its block and in the first one.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     own = F.pmod(F.xxhash64("key"), blocks)
     # a signature with many members is compared as pairs of blocks, each in a task of its own
-    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    others = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    if not every:
+        members = members.where(F.array_contains("least", F.col("sig"))).drop("least")
+        others = F.when(own == 0, others).otherwise(F.array(F.lit(0).cast("long"), own))
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(others))
     dealt = dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     keys = ["sig", "size", "lo", "hi"]
-    columns = [*keys, "key", "band", "n", "sketch", "component"]
+    columns = [*keys, "own", "key", "band", "n", "sketch", "component", *(["least"] if every else [])]
 
     def compare(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -289,15 +311,20 @@ def _close(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
             yield from pairs(rest)
 
     def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        # of a key with several texts, those too small to have this signature
+        _, _, _, bits = bands(rule, 1 << 30)
+        part = part[part["sketch"].str.len().to_numpy() >= bits[part["band"].to_numpy()] // 8]
         if len(part) < 2:
             return
         ids = part[keys].to_numpy()
         head = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
         size = np.diff(np.r_[head, len(part)])
-        _, _, _, bits = bands(rule, 1 << 30)
         width = bits[part["band"].to_numpy()] // 64
-        key, n, comp = (part[c].to_numpy() for c in ("key", "n", "component"))
+        key, n, comp, sig, own = (part[c].to_numpy() for c in ("key", "n", "component", "sig", "own"))
+        across = (part["lo"] != part["hi"]).to_numpy()
         sketch = part["sketch"].to_numpy()
+        least = np.stack(part["least"].to_numpy()) if every else None
+        first_of = []
         for w in np.unique(width):
             groups = np.flatnonzero((width[head] == w) & (size > 1))
             rows = np.concatenate([np.arange(head[g], head[g] + size[g]) for g in groups]) if len(groups) else np.zeros(0, np.int64)
@@ -314,13 +341,23 @@ def _close(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
                 right = left + 1 + np.arange(len(left)) - np.repeat(first, after[at:to])
                 a, b = rows[left], rows[right]
                 good = (comp[a] != comp[b]) & (rule.den * np.minimum(n[a], n[b]) >= rule.num * np.maximum(n[a], n[b]))
+                good &= ~across[a] | (own[a] != own[b])  # those of one block meet where it is alone
                 left, right, a, b = left[good], right[good], a[good], b[good]
                 apart = np.bitwise_count(folded[left] ^ folded[right]).sum(axis=1, dtype=np.int64)
                 good = apart <= rule.differences(n[a] + n[b])
-                x, y = np.minimum(key[a[good]], key[b[good]]), np.maximum(key[a[good]], key[b[good]])
-                found = pd.DataFrame({"a": x, "b": y})
-                yield found if every else found.groupby("b", as_index=False)["a"].min()[["a", "b"]]
+                a, b = a[good], b[good]
+                if every:
+                    told = _first_shared(least[a], least[b])
+                    good = (told == NONE) | (told == sig[a])
+                    a, b = a[good], b[good]
+                found = pd.DataFrame({"a": np.minimum(key[a], key[b]), "b": np.maximum(key[a], key[b])})
+                if every:
+                    yield found
+                else:
+                    first_of.append(found.groupby("b", as_index=False)["a"].min())
                 at = to
+        if first_of:
+            yield pd.concat(first_of).groupby("b", as_index=False)["a"].min()[["a", "b"]]
 
     laid = dealt.select(*columns).repartition(*keys).sortWithinPartitions(*keys, "key")
     return laid.mapInPandas(compare, "a long, b long")
@@ -362,7 +399,14 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     classes = written(same.unionByName(far.select("key", F.coalesce("to", "first").alias("class"))), "join-classes")
     member = met.where("kind = 'member'").join(same, "key", "left")
     member = member.select("sig", "band", "size", F.coalesce("class", "key").alias("key")).dropDuplicates(["sig", "size", "key"])
-    sketched = member.join(told.where("n > 0").distinct(), "key")
+    # short rows hold their first one again, so that all are of one length; a key of several texts meets
+    # by signatures of each, which do not tell of the others, so it has none
+    some = member.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LEAST).alias("least"))
+    filled = F.concat("least", F.array_repeat(F.element_at("least", 1), F.lit(LEAST) - F.size("least")))
+    known = told.where("n > 0").distinct().withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("key"))).join(some, "key")
+    least = F.when(F.col("texts") == 1, filled).otherwise(F.array_repeat(F.lit(NONE), LEAST))
+    known = written(known.select("key", "n", "sketch", least.alias("least")), "join-known")
+    sketched = member.join(known, "key")
     # texts of all that meet anyone, gathered once
     few = texts.select("key", squeezed(F.col("text")).alias("text"))
     kept = written(few.join(member.select("key").distinct(), "key").groupBy("key").agg(F.collect_set("text").alias("texts")), "join-texts")

@@ -609,3 +609,28 @@ def test_near_copies_meet_once_whatever_signatures_they_share(spark, frame):
     assert met.select("sig").distinct().count() == met.select("band").distinct().count()
     linked = partenum.join(docs).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, linked)) == [(1, 1), (2, 1)]
+
+
+def test_pairs_that_share_many_signatures_are_told_once(spark, monkeypatch):
+    base = invented(5, 120)
+    rows = [(i, edited(base, i, 1 + i % 2)) for i in range(1, 61)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    rule, close, made = partenum.Rule(4, 85, 100), partenum._close, {}
+
+    def counted(members, rule, every):
+        out = close(members, rule, every).cache()
+        made[every] = out.count(), out.distinct().count()
+        return out
+
+    monkeypatch.setattr(partenum, "_close", counted)
+    got = {r[0]: (r["n_shingles"], r["component_id"]) for r in partenum.join(docs, rule).collect()}
+    assert got == reference.similar_components(rows)
+    assert 0 < made[False][0] <= 8 * len(rows), made
+    assert made[True][0] <= 1.5 * made[True][1], made
+
+
+def test_ngram_join_of_keys_with_texts_of_several_sizes(spark):
+    short, long = invented(21, 30), invented(22, 600)
+    rows = [(1, short), (1, long), (2, edited(short, 1, 1)), (2, edited(long, 1, 2)), (3, edited(long, 2, 2)), (4, edited(short, 3, 1)), (5, invented(23, 30))]
+    found = partenum.join(spark.createDataFrame(rows, DOCS).repartition(3), partenum.Rule(2, 60, 100)).distinct()
+    assert sorted({(r["doc_id"], r["component_id"]) for r in found.collect()}) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsight.session import configure, stable
+from opsight.session import configure, written
 
 SOURCES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -377,11 +377,29 @@ BUILT_ONCE = ("cat_pairs", "cat_fields", "cat_keys", "cat_ind_columns", "cat_obj
               "cat_table_indexes")
 
 
+def _built_once(names: tuple[str, ...]) -> set[str]:
+    """The tables to write before a query of these inputs: those of BUILT_ONCE that it reads
+    more than once. What one such table alone is built from once is a step on the way to it.
+    """
+    needed = set(names)
+    for name in reversed(DERIVED):
+        if name in needed:
+            needed.update(n for n in DERIVED if f"{{{n}}}" in DERIVED[name])
+    if {"qry_records", "qry_fields"} <= set(names):
+        return {"qry_records"}
+    if sum(n in DERIVED for n in names) < 3:
+        return set()
+    readers = {n: [m for m in needed if m in DERIVED for _ in range(DERIVED[m].count(f"{{{n}}}"))]
+               for n in BUILT_ONCE}
+    return {n for n in BUILT_ONCE if n in needed
+            and (n in names or len(readers[n]) > 1 or readers[n][0] not in BUILT_ONCE)}
+
+
 def derived(spark: SparkSession, sf_dir: str, *names: str):
     """The named source or derived tables as DataFrames; only files that are
     needed are opened."""
     configure(spark)
-    several = sum(n in DERIVED for n in names) >= 3
+    once = _built_once(names)
     known: dict[str, DataFrame] = {}
 
     def table(name: str) -> DataFrame:
@@ -390,7 +408,7 @@ def derived(spark: SparkSession, sf_dir: str, *names: str):
                 sql = DERIVED[name]
                 used = {n: table(n) for n in (*SOURCES, *DERIVED) if f"{{{n}}}" in sql}
                 made = spark.sql(sql, **used)
-                known[name] = stable(made) if several and name in BUILT_ONCE else made
+                known[name] = written(made, name) if name in once else made
             else:
                 known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return known[name]

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare
-from registry import ORACLE, QUERIES, events
+from registry import ORACLE, QUERIES, events, fixtures
 from registry.fixtures import SOURCES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -64,3 +64,25 @@ def test_a_missing_library_leaves_the_other_queries(tmp_path):
 
 def test_buckets_of_a_stream_grow_with_its_rows(spark):
     assert [events._buckets(spark.range(n)) for n in (0, 100, 2_000_001, 20_000_000)] == [8, 8, 9, 80]
+
+
+def test_query_rows_are_derived_once(spark, frame, tmp_path):
+    """reordered_fields reads the joined rows from one written table, not from lineitem for each use."""
+    kinds = {1: "ECONOMY", 2: "LARGE", 3: "PROMO", 4: "SMALL"}
+    frame("p_partkey long, p_type string", *kinds.items()).write.parquet(f"{tmp_path}/part.parquet")
+    frame("o_orderkey long, o_custkey long", (7, 1), (8, 1)).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(o, p, 1, p, 1.0, "N") for o, few in ((7, (1, 2, 3, 4)), (8, (1, 2))) for p in few]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string"
+    frame(schema, *lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["reordered_fields"](spark, str(tmp_path))
+    found = {(r["qryname"], r["fieldname"]): r["fldrcdnum"] for r in got.collect()}
+    assert found == {("Q7", "FA"): 3, ("Q7", "FB"): 2, ("Q7", "FC"): 1, ("Q7", "FD"): None, ("Q8", "FA"): 1, ("Q8", "FB"): 2}
+    assert not any("lineitem" in f for f in got.inputFiles())
+
+
+def test_steps_to_one_written_table_are_not_written(spark, monkeypatch):
+    """ddl_guard writes what it reads more than once; the pairs, keys and index columns are steps to that."""
+    made, write = [], fixtures.written
+    monkeypatch.setattr(fixtures, "written", lambda d, name: made.append(name) or write(d, name))
+    QUERIES["ddl_guard"](spark, SF_DIR)
+    assert sorted(made) == ["cat_fields", "cat_objects", "cat_table_indexes"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from opsight.functions.rules import has_flag, has_flag_unfloored
 from opsight.operators.joins import numbered_instances, resolve_instance_name
 from opsight.operators.scan import null_safe
+from opsight.session import written
 
 
 def stale_partitions(
@@ -368,11 +369,14 @@ def ddl_guard(
 
 def drop_corrupt_groups(groups: DataFrame, records: DataFrame, fields: DataFrame) -> DataFrame:
     """Queries whose fields all belong to one of their records; a field
-    with blank record and name is ignored."""
+    with blank record and name is ignored. The groups are written first, so that
+    few of them meet the rows without a shuffle of these."""
     key = ["oprid", "qryname"]
+    groups = written(groups, "query-groups")
     used = fields.where((F.col("recname") != " ") | (F.col("fieldname") != " "))
     corrupt = used.join(groups, key, "left_semi").join(
-        records.select(*key, "recname"), [*key, "recname"], "left_anti"
+        records.join(groups, key, "left_semi").select(*key, "recname"), [*key, "recname"],
+        "left_anti"
     ).select(*key)
     return groups.join(corrupt, key, "left_anti")
 
@@ -384,9 +388,11 @@ def reorder_members(
 
     positions maps an alias to its new place; other aliases get NULL. Aliases
     are handed out anew by rank over (selection, place): A to L, then NULL. A
-    query has few records, so a window per query is a small group.
+    query has few records, so a window per query is a small group. The groups and
+    their new order are written first: few of them meet the rows without a shuffle.
     """
     key = ["oprid", "qryname"]
+    groups = written(groups, "query-groups")
     place = None
     for alias, number in positions.items():
         hit = F.col("corrname") == alias
@@ -399,6 +405,7 @@ def reorder_members(
     ranked = chosen.withColumn("_rank", rank).withColumn(
         "_alias", F.when(F.col("_rank") <= 12, F.char(F.lit(64) + F.col("_rank")))
     ).withColumn("_hit", F.lit(True)).drop("_rank")
+    ranked = written(ranked, "query-order")
     on = [*key, "selnum", "recname"]
 
     def renumber(rows: DataFrame, number: str) -> DataFrame:

@@ -24,10 +24,13 @@ from opsight.llm import bpe, decontaminate, language_id, partenum, secret_scan
 from opsight.llm.common import free_name, ready, table, written
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Bytes of rows that a Python worker gets at once: all stages share the executors, whose buffers outside the
+#: heap stay as large as the largest batch. With the last row it is less than `partenum.CHUNK_BYTES`, as a rule.
+BATCH_BYTES = "1800k"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ready(spark, BATCH_BYTES)
     model = language_id.fit(docs, F.lit(True))
     lang, score = free_name("lang_pred", docs.columns), free_name("lang_score", docs.columns)
     judged = language_id.predict(docs, model, lang=lang, score=score)
@@ -35,7 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ready(spark, BATCH_BYTES)
     joined = partenum.join(docs, partenum.Rule(5, 80, 100))
     stays = joined.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
@@ -45,18 +48,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hits = free_name("hits", docs.columns)
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), hits=hits)
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark", BATCH_BYTES), hits=hits)
     return found.where(F.size(hits) == 0).drop(hits)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ready(spark, BATCH_BYTES)
     clean = secret_scan.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ready(spark)
+    ready(spark, BATCH_BYTES)
     path = public_tokenizers.path(VOCABULARY)
     coded = bpe.encode(docs.select("doc_id", "text"), path, keep=["doc_id"], decoded="decoded")
     return coded.select(
@@ -76,7 +79,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over `documents`, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", BATCH_BYTES)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"corpus-{name}")
     return docs

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opsight.llm.common import give_back
+
 #: Edits allowed per 100 characters of an item.
 ERROR_PERCENT = 5
 #: Items with fewer characters are matched without errors and only as whole words.
@@ -175,7 +177,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", hits: str
         @F.pandas_udf(schema)
         def find(texts: pd.Series) -> pd.Series:
             matcher = _matcher(held)
-            return pd.Series([[{"item": k, "distance": d} for k, d in matcher.find(t if isinstance(t, str) else None)] for t in texts], dtype=object)
+            found = pd.Series([[{"item": k, "distance": d} for k, d in matcher.find(t if isinstance(t, str) else None)] for t in texts], dtype=object)
+            give_back()
+            return found
 
         return find
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsight.llm.common import free_name, share
+from opsight.llm.common import free_name, give_back, share
 
 BUCKETS = 1 << 16
 #: Labelled rows that training reads at most (about: rows are picked by a hash).
@@ -28,7 +28,7 @@ MAX_ROWS = 20_000
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
 #: Code points scored at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _SPACE = 32
 _MULTIPLIERS = tuple(np.uint32(x) for x in (2654435761, 2246822519, 3266489917, 668265263, 374761393, 1640531527))
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, learn: Column, label: str = "lang", text: str = "text",
                         own += np.bincount(bucket, minlength=BUCKETS)
             if len(sums) > MAX_LANGUAGES:
                 raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        give_back()
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pd.DataFrame({"label": name, "bucket": np.r_[at, -1], "n": np.r_[own[at], rows[name]]})
@@ -160,9 +161,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        languages, scores = held.value.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang": languages, "score": scores})
+    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            languages, scores = held.value.predict([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang": languages, "score": scores})
+        give_back()
 
     judged = free_name("judged", docs.columns)
     out = docs.drop(lang, score).withColumn(judged, judge(F.col(text)))

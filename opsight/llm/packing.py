@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opsight.llm.common import give_back
+
 
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length as one compressed block, each split into planes of equal bytes."""
@@ -42,9 +44,11 @@ def squeezed(text: Column) -> Column:
     """Binary texts compressed one by one, for shuffles and tables of many texts; null stays null."""
 
     @F.pandas_udf("binary")
-    def squeeze(texts: pd.Series) -> pd.Series:
+    def squeeze(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compress = zstandard.ZstdCompressor(level=1).compress
-        return pd.Series([None if t is None else compress(t) for t in texts], dtype=object)
+        for texts in parts:
+            yield pd.Series([None if t is None else compress(t) for t in texts], dtype=object)
+        give_back()
 
     return squeeze(text)
 

@@ -37,6 +37,8 @@ BAND = 1.5
 CHUNK_BYTES = 2 << 20
 #: Signatures in a group of the join, and members compared in one block.
 GROUP_SIGNATURES, BLOCK = 250_000, 2_048
+#: Rows that a group of the join hands on at once.
+PIECE_ROWS = 30_000
 #: Smallest signatures of a row: those it looks for a neighbour in first, and by which a pair tells that it met before.
 LEAST = 8
 #: 64-bit words of sketches compared, and bits of sketches made, at once.
@@ -160,6 +162,17 @@ def _sets(source: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[np.nda
     give_back()
 
 
+#: Columns of `_meetings`.
+MET = ["kind", "key", "other", "sig", "band", "size"]
+
+
+def _told(kind: str, key: np.ndarray, **others: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows of `_meetings` in small pieces: each is a batch of its own on its way to the JVM."""
+    for at in range(0, len(key), PIECE_ROWS):
+        own = {n: v[at : at + PIECE_ROWS] for n, v in others.items()}
+        yield pd.DataFrame({"kind": kind, "key": key[at : at + PIECE_ROWS]} | dict.fromkeys(MET[2:], 0) | own)[MET]
+
+
 def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
     """Who shares a signature: kind, key, other, sig, band, size.
 
@@ -194,16 +207,16 @@ def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
             rows += [(0, p, pack(sig[i], who[i], band[i])) for p, i in pieces_by((sig % np.uint64(groups)).astype(np.int64))]
             yield pa.RecordBatch.from_pydict({"kind": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int64()), "block": pa.array([r[2] for r in rows], pa.binary())})
 
-    names = ["kind", "key", "other", "sig", "band", "size"]
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for block in rows.loc[rows["kind"] == 1, "block"]:
-            key, other = unpack(block, np.int64, np.int64)
-            out.append(pd.DataFrame({"kind": "copy", "key": key, "other": other, "sig": 0, "band": 0, "size": 0}))
-        blocks = [unpack(b, np.uint64, np.int64, np.int16) for b in rows.loc[rows["kind"] == 0, "block"]]
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks = []
+        for rows in parts:
+            for block in rows.loc[rows["kind"] == 1, "block"]:
+                key, other = unpack(block, np.int64, np.int64)
+                yield from _told("copy", key, other=other)
+            blocks += [unpack(b, np.uint64, np.int64, np.int16) for b in rows.loc[rows["kind"] == 0, "block"]]
         if blocks:
             sig, key, band = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            blocks.clear()
             order = np.lexsort((-band, key, sig))  # who asks counts as one who asks
             sig, key, band = sig[order], key[order], band[order]
             new = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
@@ -225,9 +238,9 @@ def _meetings(texts: DataFrame, rule: Rule, groups: int) -> DataFrame:
             once[some_heads[np.unique(alike[some_heads], return_index=True)[1]]] = True
             some &= once[number]
             sig = alike[number]
-            out.append(pd.DataFrame({"kind": "same", "key": key[same], "other": first[same], "sig": 0, "band": 0, "size": 0}))
-            out.append(pd.DataFrame({"kind": "member", "key": key[some], "other": 0, "sig": sig[some].view(np.int64), "band": band[some], "size": size[some]}))
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+            yield from _told("same", key[same], other=first[same])
+            yield from _told("member", key[some], sig=sig[some].view(np.int64), band=band[some], size=size[some])
+        give_back()
 
     packed = texts.where("key IS NOT NULL AND text IS NOT NULL").mapInArrow(sign, "kind int, part long, block binary")
     return packed.groupBy("part").applyInPandas(meet, "kind string, key long, other long, sig long, band int, size long")
@@ -309,6 +322,7 @@ def _close(members: DataFrame, rule: Rule, every: bool) -> DataFrame:
             yield from pairs(part)
         if rest is not None:
             yield from pairs(rest)
+        give_back()
 
     def pairs(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         # of a key with several texts, those too small to have this signature
@@ -367,12 +381,14 @@ def _verified(pairs: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame:
     """pairs with `linked`, decided on the (squeezed) texts of either key."""
 
     @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
+    def linked(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def own(blocks: np.ndarray) -> list[np.ndarray]:
             raw = [np.frombuffer(opened(b), np.uint8) for b in blocks]
             return [shingles(data, np.array([0, len(data)]), rule.n)[1] for data in raw]
 
-        return pd.Series([any(rule.holds(p, q) for p in own(x) for q in own(y)) for x, y in zip(left, right, strict=True)])
+        for left, right in parts:
+            yield pd.Series([any(rule.holds(p, q) for p in own(x) for q in own(y)) for x, y in zip(left, right, strict=True)])
+        give_back()
 
     a, b = (kept.select(F.col("key").alias(c), F.col("texts").alias(f"texts_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", linked("texts_a", "texts_b").alias("linked"))

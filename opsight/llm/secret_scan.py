@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opsight.llm.common import give_back
+
 # The base patterns, with the least lengths put into them.
 KINDS = ("assign", "access", "hex", "named")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -299,8 +301,10 @@ def find_secrets(df: DataFrame, text: str = "text", spans: str = "spans", thresh
     """
 
     @F.pandas_udf(SPANS)
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in scan(t if isinstance(t, str) else None, threshold)] for t in texts], dtype=object)
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in scan(t if isinstance(t, str) else None, threshold)] for t in texts], dtype=object)
+        give_back()
 
     return df.withColumn(spans, find(F.col(text)))
 
@@ -330,8 +334,10 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", threshold:
         return "".join([*out, t[at:]]) if out else t
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([clean(t) if isinstance(t, str) else None for t in texts], dtype=object)
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([clean(t) if isinstance(t, str) else None for t in texts], dtype=object)
+        give_back()
 
     return df.withColumn(text, cut(F.col(text)))
 

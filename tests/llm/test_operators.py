@@ -217,6 +217,21 @@ def test_language_scores_are_sums_over_ngrams():
     assert abs(scores[1] - want) < 1e-6
 
 
+def test_language_takes_little_memory_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    model = language_id.Model(list("abcd"), rng.random((language_id.BUCKETS, 4)).astype(np.float32), np.zeros(4))
+    texts = [invented(i, 250) for i in range(2000)]
+    model.predict(texts[:1])
+    tracemalloc.start()
+    try:
+        model.predict(texts)
+        assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    finally:
+        tracemalloc.stop()
+
+
 SECRET_TEXTS = [
     None, "", "no secret here", 'password = "hunter22x"', "PassWord:abcdef api-key", "api_key=abc", "apikey = ABCDEF1", "token\": 'qwertyuiop'",
     "AKIA" + "A1" * 8, "AKIA" + "A" * 15, "x" + "0a" * 12 + "z", "0a" * 11 + "g", "é" * 9 + " secret=ñabc secret=abcdefg",
@@ -634,3 +649,11 @@ def test_ngram_join_of_keys_with_texts_of_several_sizes(spark):
     rows = [(1, short), (1, long), (2, edited(short, 1, 1)), (2, edited(long, 1, 2)), (3, edited(long, 2, 2)), (4, edited(short, 3, 1)), (5, invented(23, 30))]
     found = partenum.join(spark.createDataFrame(rows, DOCS).repartition(3), partenum.Rule(2, 60, 100)).distinct()
     assert sorted({(r["doc_id"], r["component_id"]) for r in found.collect()}) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)]
+
+
+def test_groups_of_the_join_hand_on_small_pieces(monkeypatch):
+    monkeypatch.setattr(partenum, "PIECE_ROWS", 7)
+    pieces = list(partenum._told("member", np.arange(20), sig=np.arange(20) * 3))
+    assert [len(p) for p in pieces] == [7, 7, 6] and all([*p.columns] == partenum.MET for p in pieces)
+    assert [tuple(r) for p in pieces for r in p.itertuples(index=False)] == [("member", i, 0, 3 * i, 0, 0) for i in range(20)]
+    assert not list(partenum._told("same", np.arange(0), other=np.arange(0)))

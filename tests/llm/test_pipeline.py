@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from opsight.llm import decontaminate, secret_scan
+from opsight.llm import decontaminate, partenum, secret_scan
 from tests.llm import reference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -46,6 +46,21 @@ def test_pipeline_is_its_plain_form(spark):
         assert got[d]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_stages_hand_small_batches_to_python(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    docs = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
+    wide = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF_DIR)
+        got = [r["n"] for r in wide.mapInArrow(sizes, "n long").collect()]
+        assert 6_000_000 <= sum(got) and max(got) <= partenum.CHUNK_BYTES, name
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark):
     long = " ".join(f"word{i}" for i in range(40))
     rows = [(1, long, "en", "s", 7, 1.0), (1, long, "en", "s", 7, 1.0), (2, long + " more", None, None, None, None), (3, None, "en", "s", 0, 0.0),

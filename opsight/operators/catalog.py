@@ -203,13 +203,15 @@ def key_positions(
 
     What is known per index - its custom order, and for the main key the record's
     alternate indexes - is put to the definitions, so that key columns are ranked once.
+    Definitions and alternate keys are read several times, so both are written first.
     """
+    definitions = written(definitions, "index-definitions")
     custom = definitions.select("recname", "indexid").join(
         indexes.where(F.col("custkeyorder") == 1).select("recname", "indexid"),
         ["recname", "indexid"],
     ).distinct().withColumn("_custom", F.lit(True))
     alt = alternate_indexes(fields).select("recname", "indexid", "fieldname")
-    alt = alt.join(custom, ["recname", "indexid"], "left")
+    alt = written(alt.join(custom, ["recname", "indexid"], "left"), "alternate-keys")
     # as many as a record has alternate keys
     behind = alt.groupBy(F.col("recname").alias("_ar")).agg(
         F.collect_list(F.struct("indexid", "_custom")).alias("_alts"))
@@ -448,11 +450,13 @@ def index_count_mismatch(
 def index_position_mismatch(
     records: DataFrame, positions: DataFrame, index_columns: DataFrame
 ) -> DataFrame:
-    """C11: index columns in another position than declared."""
-    named = positions.join(with_base_table(records), "recname").withColumn("_index", _index_name())
-    return named.join(
-        index_columns,
-        (F.col("base_table") == F.col("table_name")) & (F.col("_index") == F.col("index_name"))
+    """C11: index columns in another position than declared. Actual columns, the fewer
+    rows, are given their records first, so that declared ones are shuffled once."""
+    owners = with_base_table(records).select(F.col("recname").alias("_owner"), "base_table")
+    actual = index_columns.join(owners, F.col("base_table") == F.col("table_name"))
+    return positions.withColumn("_index", _index_name()).join(
+        actual,
+        (F.col("recname") == F.col("_owner")) & (F.col("_index") == F.col("index_name"))
         & (F.col("fieldname") == F.col("column_name")),
     ).where(F.col("keyposn") != F.col("column_position")).select(
         "recname", "indexid", "fieldname", "keyposn", "column_position"
@@ -497,13 +501,17 @@ def rebuild_list(
 ) -> DataFrame:
     """What to rebuild, as project items: object type 0 per record and 1
     per index. Records whose table has no tablespace (temporary or partitioned)
-    are left out."""
+    are left out.
+
+    Each audit is run by itself and its distinct offenders are written: a plan of all
+    audits together takes the driver longer, and more memory, than the rows take the
+    executors.
+    """
     found = None
-    for part in record_offenders:
-        rows = part.select("recname", F.lit(None).cast("string").alias("indexid"))
-        found = rows if found is None else found.unionByName(rows)
-    for part in index_offenders:
-        rows = part.select("recname", "indexid")
+    parts = [part.select("recname", F.lit(None).cast("string").alias("indexid")) for part in record_offenders]
+    parts += [part.select("recname", "indexid") for part in index_offenders]
+    for part in parts:
+        rows = written(part.distinct(), "offenders")
         found = rows if found is None else found.unionByName(rows)
     placeless = with_base_table(records.where(F.col("rectype").isin(TABLE, TEMP_TABLE))).join(
         tables.where(F.col("tablespace_name").isNull()).select("table_name"),

@@ -143,6 +143,37 @@ def test_rebuild_list_skips_placeless_tables(frame, records):
     assert rows(got) == [(0, "A", " "), (1, "A", "_")]
 
 
+def test_rebuild_list_runs_each_audit_by_itself(frame, records):
+    """The plan that is left reads written offenders; it does not hold the plans of all audits."""
+    audits = [frame("recname string", (n,), (n,)).join(frame("recname string", (n,)), "recname") for n in ("A", "S")]
+    index_audits = [frame("recname string, indexid string", ("A", "_"), ("A", "_"), ("V", None))]
+    tables = frame("table_name string, tablespace_name string", ("PS_T", None))
+    got = catalog.rebuild_list(audits, index_audits, records, tables)
+    assert rows(got) == [(0, "A", " "), (0, "S", " "), (0, "V", " "), (1, "A", "_")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4  # each of the two outputs leaves out tables without a place
+
+
+def test_definitions_of_key_positions_are_read_from_one_table(frame):
+    fields = frame("recname string, fieldname string, useedit int, fieldnum int, subrecname string",
+                   ("A", "X", 16, 1, "A"), ("A", "K", 1, 2, "A"))
+    indexes = frame("recname string, indexid string, platform_ora int, custkeyorder int", ("A", "_", 1, 1), ("A", "0", 1, 0))
+    keys = frame("recname string, indexid string, fieldname string, keyposn int", ("A", "_", "K", 1))
+    got = catalog.key_positions(fields, indexes, keys, catalog.derive_index_definitions(fields, indexes))
+    assert rows(got, "indexid", "keyposn", "fieldname") == [("0", 1, "X"), ("0", 2, "K"), ("_", 1, "K")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("rank(") <= 2  # not those of alternate keys
+
+
+def test_index_positions_of_records_that_share_a_table(frame, records):
+    """Duplicate records and columns count each, as before; null names match nothing."""
+    positions = frame("recname string, indexid string, keyposn long, fieldname string",
+                      ("A", "_", 1, "X"), ("A", "_", 1, "X"), ("OWN", "_", 2, "X"), (None, "_", 1, "X"), ("T", None, 1, "X"))
+    actual = frame("table_name string, index_name string, column_name string, column_position long",
+                   ("PS_A", "PS_A", "X", 2), ("PS_A", "PS_A", "X", 3), ("PS_A", "PS_OWN", "X", 9), ("MYTAB", "PS_OWN", "X", 2),
+                   ("PS_T", None, "X", 5), (None, "PS_A", "X", 5))
+    got = catalog.index_position_mismatch(records.union(records.where("recname = 'A'")), positions, actual)
+    assert rows(got) == 4 * [("A", "_", "X", 1, 2)] + 4 * [("A", "_", "X", 1, 3)]
+
+
 def test_placement(frame, records):
     got = catalog.placement_drift(
         records, frame("recname string, ddlspacename string", ("A", "OLD"), ("OWN", "TS")),

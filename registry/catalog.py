@@ -4,6 +4,7 @@ parts are records, suppliers fields, line items say which record has which."""
 from pyspark.sql import functions as F
 
 from opsight.operators import catalog, policy
+from opsight.session import written
 from registry.base import big, query
 
 BUILT = """
@@ -356,7 +357,8 @@ SELECT CAST(1 AS BIGINT), recname, indexid FROM f2 JOIN ok USING (recname)""")
 def rebuild_list_of_all_audits(records, objects, fields, columns, indexes, keys, ind_columns, tables,
                                instances, settings, types):
     """C13 over the nine audits that feed it: C1, C3-C7 and C9 for records, C10 and C11 for indexes."""
-    positions = _positions(fields, indexes, keys)
+    columns = written(columns, "columns")  # five audits read them
+    positions = written(_positions(fields, indexes, keys), "key-positions")
     return catalog.rebuild_list(
         [catalog.missing_objects(records, objects),
          catalog.excess_temp_instances(records, objects, instances, settings),

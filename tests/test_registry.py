@@ -51,6 +51,21 @@ def test_rebuild_list_has_the_offenders_of_every_audit(spark, con):
     assert {r[0] for r in set(found) - few} == {0, 1}  # records and indexes that offend only in the other six
 
 
+def test_all_audits_read_columns_and_positions_once_made(spark, monkeypatch):
+    """Five audits read the actual columns and two the key positions: both come as written tables."""
+    from opsight.operators import catalog
+
+    seen, audits = [], ("column_position_mismatch", "index_position_mismatch", "index_count_mismatch")
+    for name in audits:
+        real = getattr(catalog, name)
+        monkeypatch.setattr(catalog, name, lambda *a, real=real: (seen.append(a[3] if len(a) == 4 else a[1]), real(*a))[1])
+    entry.queries()["rebuild_list_of_all_audits"](spark, SF_DIR)
+    assert len(seen) == 3
+    for df in seen:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan
+
+
 def test_a_missing_library_leaves_the_other_queries(tmp_path):
     """Hide a library of the optional subpackage: the core queries are still there."""
     (tmp_path / "zstandard.py").write_text("raise ImportError('hidden', name='zstandard')\n")

@@ -527,6 +527,20 @@ def test_url_models_count_every_url(spark):
     assert np.corrcoef(shared.scores(some), want.scores(some))[0, 1] > 0.99
 
 
+def test_large_url_models_keep_every_count(spark):
+    """Models too large to be held give the scores and verdicts of the whole counts, not of shared ones."""
+    rng = random.Random(5)
+    hosts = ["example.org/en", "example.org/es", "x.com/de", "y.net", "z.com"]
+    urls = [f"http://{rng.choice(hosts)}/{''.join(rng.choices('abcdefgé', k=rng.randint(0, 9)))}" for _ in range(3000)]
+    urls += [*urls[:50], None, "", "\n", "http://x.com/de/" + "p" * 3000]
+    pages = spark.createDataFrame([(i, u, 0.0) for i, u in enumerate(urls)], "page_id long, url string, _h1 double")
+    held, joined = (url_filter.filter_urls(pages, RULES, max_pairs=m).toPandas().sort_values("page_id") for m in (10**9, 100))
+    assert list(held.columns) == list(joined.columns) and len(joined) == len(urls)
+    for name in ("page_id", "url", "_h1", "host", "path", "rule", "verdict"):
+        assert held[name].fillna("").tolist() == joined[name].fillna("").tolist()
+    assert np.allclose(held["score"], joined["score"], rtol=1e-9, atol=1e-12)
+
+
 LICENSES = [None, "", "...", "Under the MIT  License! under-the.mit/license", "mit license", "Apache License, Version 2.0 and CC BY-NC 4 (cc-by-nc)", "Kit under the mİt license",
             "über Under The Mit License é", "cc by nc cc by nc", license_scan.TEMPLATES["bsd"].upper(), "x\n\n" + license_scan.TEMPLATES["mpl-2"].replace(" ", "\n") + "\n\ny",
             license_scan.TEMPLATES["gpl"].rsplit(" ", 12)[0], "word " * 40_000 + "under the mit license"]

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from opsight.functions.timegrid import to_seconds
-from opsight.operators.intervals import exponent, match_points, shift_right
-from opsight.operators.scan import last_before, null_safe, ordered_scan, row_number, running_sum
+from opsight.operators.intervals import match_points, shift_right
+from opsight.operators.scan import group_row_limit, last_before, null_safe, ordered_scan, row_number, running_sum
 from opsight.session import stable
 
 
@@ -516,11 +516,9 @@ def concurrency(
     With ts (the wall-clock time of the record): b must also have been recorded
     in [a.ts - ceil(a.end - a.start + 1) seconds, a.ts]. This guards against a
     restarted start/end clock; since the look-back is a's own duration, an
-    early, long b can be missed. The look-back of a is a union of at most two
-    dyadic blocks per level up to its own span. Each b is filed under its block
-    of every level that is asked for; on levels where few blocks are asked for, as
-    those of a few very long spans, under these only. The same sum runs along
-    each block's time line.
+    early, long b can be missed. Both orders, of ts and of start and end, are cut into
+    slices and counted there (`dominance`); a request is sent to a few of them, however
+    far it looks back.
     """
     begin = F.col(start) if isinstance(start, str) else start
     finish = F.col(end) if isinstance(end, str) else end
@@ -528,39 +526,36 @@ def concurrency(
         *queue, F.struct(*id_cols).alias("_id"), begin.alias("_start"), finish.alias("_end"),
         *([to_seconds(ts).alias("_ts")] if ts else []),
     )
-    group = list(queue)
-    running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
-    asks = base
     if ts:
+        from opsight.operators import dominance  # the one operator that needs numpy and Arrow
+
         span = F.ceil(F.col("_end") - F.col("_start") + 1).cast("long")
-        # each request becomes many rows; spread them first
-        base = base.repartition(*queue, "_ts")
-        running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
-        levels = F.least(exponent(F.greatest(span, F.lit(1)) + 2) + 1, F.lit(SPAN_LEVELS))
-        asks = _with_blocks(base, F.col("_ts") - span, F.col("_ts"), levels)
-        running = _filed_where_asked(running, asks)
-        group += ["level", "node"]
+        slice_rows = min(dominance.SLICE_ROWS, group_row_limit(df.sparkSession, max_group_rows))
+        near, far = dominance.counted(base.withColumn("_low", F.col("_ts") - span), queue, slice_rows)
+        per_id = lambda t, n: t.groupBy(F.struct(*queue, "_id").alias(f"_key{n}")).agg(F.sum("_n").alias(n))
+        near, far = per_id(near, "_near"), per_id(far, "_far")
+        live = near.join(far.hint("merge"), F.col("_key_near") == F.col("_key_far"), "left")
+        return live.select(
+            *[F.col(f"_key_near.{c}").alias(c) for c in queue], *[F.col(f"_key_near._id.{c}").alias(c) for c in id_cols],
+            (F.col("_near") + F.coalesce("_far", F.lit(0))).alias("concurrent"),
+        )
+    group = list(queue)
+    running = base.where(F.col("_end") >= F.col("_start")).drop("_id")
     edges = running.select(*group, F.inline(F.array(
         F.struct(F.col("_start").alias("_x"), F.lit(1).alias("_up"), F.lit(0).alias("_down")),
         F.struct(F.col("_end").alias("_x"), F.lit(0).alias("_up"), F.lit(1).alias("_down")),
     )))
-    asks = asks.select(*group, F.col("_start").alias("_x"), "_id")
+    asks = base.select(*group, F.col("_start").alias("_x"), "_id")
     asked = asks.select(*group, "_x", F.lit(0).alias("_up"), F.lit(0).alias("_down"))
     # one row per time: however many start or end at once, the scan sees them summed
     line = edges.unionByName(asked).groupBy(*group, "_x").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down"))
-    if ts:
-        line = stable(line)  # the scan reads it twice
     scanned = ordered_scan(
         line, group, ["_x"], [running_sum("_sum", F.col("_up") - F.col("_down"))], max_group_rows,
     )
     # what ends at a time still runs at it
     live = scanned.select(*[F.col(k).alias(f"_l_{k}") for k in [*group, "_x"]],
                           (F.col("_sum") + F.col("_down")).alias("_live"))
-    # a request's blocks are many times the size that the planner expects of either side: never broadcast
-    held = asks.hint("merge") if ts else asks
-    scanned = held.join(live, null_safe(held, live, [(k, f"_l_{k}") for k in [*group, "_x"]]))
-    if ts:
-        scanned = scanned.groupBy(*queue, "_id").agg(F.sum("_live").alias("_live"))
+    scanned = asks.join(live, null_safe(asks, live, [(k, f"_l_{k}") for k in [*group, "_x"]]))
     return scanned.select(
         *queue, *[F.col(f"_id.{c}").alias(c) for c in id_cols], F.col("_live").alias("concurrent")
     )

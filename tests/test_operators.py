@@ -1,13 +1,16 @@
 """Ranking, series, join and statistics operators on small cases."""
 
 import datetime as dt
+import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from opsight.operators import distribution, joins, ranking, series, stats
+from opsight.operators import distribution, dominance, joins, ranking, series, stats
 from opsight.plans import reports
 from tests.conftest import rows
 
@@ -196,6 +199,41 @@ def test_blocks_of_the_lookback_are_not_broadcast(frame):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+@pytest.mark.parametrize("kind", ["double", "decimal(18,6)", "decimal(28,6)"])
+def test_lookback_over_many_slices(frame, kind):
+    """Long look-backs over many slices, equal times, repeated ids, nulls, ends before starts: as by comparing all pairs.
+
+    A request is not multiplied by the length of its look-back."""
+    rnd = random.Random(5)
+    data = [(rnd.randrange(180), rnd.choice(["p", "q", None]), rnd.choice([0.0, 5.25, 5.5, rnd.randrange(-300, 300) / 4]),
+             rnd.choice([-3.0, -0.5, 0.0, 2.5, 40.0, 5000.0, 3e7]), rnd.choice([7, 7, rnd.randrange(3000)])) for _ in range(240)]
+    data = [(i, q, s, s + d, at(t)) for i, q, s, d, t in data] + [(500, "q", None, 1.0, at(1)), (501, "q", 1.0, None, at(1)), (502, "q", 1.0, 2.0, None)]
+    df = frame("i int, q string, s double, e double, t timestamp", *data)
+    df = df.withColumns({"s": F.col("s").cast(kind), "e": F.col("e").cast(kind)})
+    known = [b for b in data if None not in b[2:]]
+    want = {}
+    for i, q, s, e, t in known:
+        span = math.ceil(e - s + 1)
+        if span >= 0:
+            n = sum(b[1] == q and b[2] <= s <= b[3] and 0 <= (t - b[4]).total_seconds() <= span for b in known)
+            want[q, i] = want.get((q, i), 0) + n
+    for limit in (7, 100_000):
+        got = joins.concurrency(df, ["q"], ["i"], "s", "e", "t", max_group_rows=limit)
+        assert got.count() == len(want) and {(r.q, r.i): r.concurrent for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dominated_is_counted_as_by_pairs():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 333):
+        rank, weight, order = rng.integers(0, 40, n), rng.integers(-1, 2, n), rng.permutation(n)
+        at_ = np.argsort(order)
+        want = [sum(weight[j] for j in range(n) if at_[j] < at_[i] and rank[j] < rank[i]) for i in range(n)]
+        assert dominance._dominated(order, rank, weight).tolist() == want
+    values = pa.array([-np.inf, -2.5, -0.0, 0.0, 1e-300, 7.0, np.inf, np.nan])
+    assert (np.diff(dominance._ints(values)) > 0).tolist() == [True, True, False, True, True, True, True]
+
+
 def test_concurrency_of_equal_starts(spark, frame):
     df = frame("i int, q string, s int, e int", *[(i, "q", 5, 5 + i % 2) for i in range(300)], (300, "q", 6, 6), (301, None, 5, 9))
     got = joins.concurrency(df, ["q"], ["i"], "s", "e", max_group_rows=20)
